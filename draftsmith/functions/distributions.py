@@ -17,43 +17,52 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once per row and use it in ``body`` (a lambda).
+
+    A per-row scalar captured inside a ``transform`` lambda is re-evaluated
+    for every element; binding it through a one-element ``transform`` keeps
+    each softmax linear in the vocabulary size.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def logsumexp(x: Column) -> Column:
-    m = F.array_max(x)
-    return m + F.log(_sum(F.transform(x, lambda v: F.exp(v - m))))
+    return let(F.array_max(x), lambda m: m + F.log(_sum(F.transform(x, lambda v: F.exp(v - m)))))
 
 
 def log_softmax(x: Column) -> Column:
     """``x - logsumexp(x)``."""
-    lse = logsumexp(x)
-    return F.transform(x, lambda v: v - lse)
+    return let(logsumexp(x), lambda lse: F.transform(x, lambda v: v - lse))
 
 
 def softmax(x: Column) -> Column:
-    lse = logsumexp(x)
-    return F.transform(x, lambda v: F.exp(v - lse))
+    return let(logsumexp(x), lambda lse: F.transform(x, lambda v: F.exp(v - lse)))
+
+
+def _kl_terms(la: Column, lb: Column) -> Column:
+    """``sum exp(a) * (a - b)`` over two log-probability arrays; ``exp(a)=0`` terms are 0."""
+    return _sum(F.zip_with(la, lb, lambda a, b: F.when(F.exp(a) > 0, F.exp(a) * (a - b)).otherwise(0.0)))
 
 
 def kl(draft: Column, target: Column) -> Column:
     """``sum p (log p - log q)``, ``p = softmax(target)``, ``q = softmax(draft)``; ``p=0`` terms are 0."""
-    lq, lp = log_softmax(draft), log_softmax(target)
-    return _sum(F.zip_with(lp, lq, lambda a, b: F.when(F.exp(a) > 0, F.exp(a) * (a - b)).otherwise(0.0)))
+    return let(log_softmax(draft), lambda lq: let(log_softmax(target), lambda lp: _kl_terms(lp, lq)))
 
 
 def rkl(draft: Column, target: Column) -> Column:
     """KL with the arguments swapped, ``sum q (log q - log p)``."""
-    lq, lp = log_softmax(draft), log_softmax(target)
-    return _sum(F.zip_with(lq, lp, lambda a, b: F.when(F.exp(a) > 0, F.exp(a) * (a - b)).otherwise(0.0)))
+    return let(log_softmax(draft), lambda lq: let(log_softmax(target), lambda lp: _kl_terms(lq, lp)))
 
 
 def argmax(x: Column) -> Column:
     """0-based index of the first maximum."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+    return let(x, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def ce(draft: Column, target: Column) -> Column:
     """cross-entropy of the draft against the argmax of the target."""
-    idx = argmax(target)
-    return -F.element_at(log_softmax(draft), idx + 1)
+    return let(argmax(target), lambda idx: -F.element_at(log_softmax(draft), idx + 1))
 
 
 def overlap(draft: Column, target: Column) -> Column:
@@ -73,9 +82,10 @@ def nla(draft: Column, target: Column) -> Column:
 
 def lk_hybrid(draft: Column, target: Column, eta: float = 3.0) -> Column:
     """``lam*KL + (1-lam)*TV`` with ``lam = exp(-eta*alpha)``."""
-    a = overlap(draft, target)
-    lam = F.exp(-eta * a)
-    return lam * kl(draft, target) + (F.lit(1.0) - lam) * (F.lit(1.0) - a)
+    return let(
+        overlap(draft, target),
+        lambda a: F.exp(-eta * a) * kl(draft, target) + (F.lit(1.0) - F.exp(-eta * a)) * (F.lit(1.0) - a),
+    )
 
 
 def block_decay(pos: Column, gamma: float) -> Column:

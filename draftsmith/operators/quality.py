@@ -186,11 +186,14 @@ def block_metrics(
 def greedy_accept(df: DataFrame, top_k: int = 1, tolerance: float = 0.0, draft: str = "draft", target: str = "target") -> Column:
     """The drafted token (argmax of the draft) is accepted when its rank in
     the target is ``<= top_k`` and ``logp_top - logp_token <= tolerance``."""
-    tok = argmax(F.col(draft))
-    tval = F.element_at(F.col(target), tok + 1)
-    rank = F.size(F.filter(F.col(target), lambda v: v > tval)) + 1
-    gap = F.array_max(F.col(target)) - tval  # log-softmax differences equal logit differences
-    return (rank <= top_k) & (gap <= tolerance)
+    from draftsmith.functions.distributions import let
+
+    def rule(tval):
+        rank = F.size(F.filter(F.col(target), lambda v: v > tval)) + 1
+        gap = F.array_max(F.col(target)) - tval  # log-softmax differences equal logit differences
+        return (rank <= top_k) & (gap <= tolerance)
+
+    return let(F.element_at(F.col(target), argmax(F.col(draft)) + 1), rule)
 
 
 def threshold_check(per_pos_rate: DataFrame, thresholds: DataFrame) -> DataFrame:
