@@ -66,8 +66,10 @@ def attach_artefacts(rows: DataFrame, artefacts: DataFrame, policy: str = "gener
     if policy == "skip":
         return j.filter(has).withColumn("status", F.lit("present")).drop("_has")
     if policy == "raise":
-        status = F.when(has, F.lit("present")).otherwise(F.raise_error(F.concat(F.lit("missing artefact for "), F.col(key).cast("string"))))
-    elif policy == "warn":
+        # a filter predicate, so the check cannot be pruned away with a column
+        fail = F.raise_error(F.concat(F.lit("missing artefact for "), F.col(key).cast("string"))).isNull()
+        return j.filter(F.when(has, F.lit(True)).otherwise(fail)).withColumn("status", F.lit("present")).drop("_has")
+    if policy == "warn":
         status = F.when(has, F.lit("present")).otherwise(F.lit("missing"))
     else:
         status = F.when(has, F.lit("present")).otherwise(F.lit("generate"))
