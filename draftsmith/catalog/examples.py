@@ -284,3 +284,34 @@ def v1_layout(spark, sf):
     body, last = split_layers(F.col("embedding").cast("array<double>"), 4, 16)
     s = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
     return e.select("vec_id", F.size(body).cast("bigint").alias("body_len"), s(body).alias("body_sum"), s(last).alias("last_sum"))
+
+
+@register("target_alignment", f"""WITH {sql_prepared_chain()},
+{_SQL_BATCHED},
+al AS (SELECT s.batch_id, s.slot, p.token AS aligned FROM slots s LEFT JOIN slots p ON p.batch_id = s.batch_id AND p.slot = s.slot - 1)
+SELECT batch_id, md5(string_agg(CAST(coalesce(aligned, -1) AS VARCHAR), ',' ORDER BY slot)) AS aligned_digest,
+       CAST(count(aligned) AS BIGINT) AS n_aligned
+FROM al GROUP BY batch_id""", G)
+def target_alignment(spark, sf):
+    """Verifier outputs rolled right by one slot (equi self-join on slot-1)."""
+    from draftsmith.operators.examples import align_targets
+
+    a = align_targets(_slots(spark, sf), "token")
+    agg = a.groupBy("batch_id").agg(
+        F.sort_array(F.collect_list(F.struct("slot", F.coalesce("aligned", F.lit(-1)).alias("v")))).alias("_s"),
+        F.count("aligned").alias("n_aligned"),
+    )
+    return agg.select("batch_id", F.md5(F.array_join(F.transform("_s", lambda x: x["v"].cast("string")), ",")).alias("aligned_digest"), "n_aligned")
+
+
+@register("multi_depth_inputs", None, G)
+def multi_depth_inputs_q(spark, sf):
+    """P48 over COD-sampled anchors: real tokens at depth 0, the mask id deeper
+    (rows-only here; the COD step itself has an oracle, ``cod_sampling``)."""
+    from draftsmith.operators.examples import multi_depth_inputs
+    from draftsmith.operators.sampling import cod_sample
+
+    rows = prepared(spark, sf)
+    s = cod_sample(rows, 4, 0.7, 0.2, seed=SEED)
+    m = multi_depth_inputs(s, rows, MASK_ID)
+    return m.groupBy("sample_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("input_token").alias("token_sum"))

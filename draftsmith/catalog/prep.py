@@ -157,6 +157,14 @@ def prepare_rows_q(spark, sf):
     return _rows_summary(prepared(spark, sf))
 
 
+@register("prepare_rows_regex", f"WITH {sql_prepared_chain()}\n{_sql_rows_summary('prepared')}", G)
+def prepare_rows_regex(spark, sf):
+    """P15/P17 regex path (pattern of the template) — must equal the construction path."""
+    from draftsmith.operators.tokenize import prepare_rows_by_pattern
+
+    return _rows_summary(prepare_rows_by_pattern(turns(spark, sf), CHATML.assistant_pattern()))
+
+
 @register("min_valid_tokens", f"WITH {sql_prepared_chain()}\n{_sql_rows_summary('prepared', 'WHERE ' + sql_valid('loss_mask') + ' >= 200')}", G)
 def min_valid_tokens_q(spark, sf):
     return _rows_summary(prepared(spark, sf, min_valid=200))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
-from draftsmith.functions.distributions import argmax, block_decay, ce, kl, lk_hybrid, nla, overlap, power_decay, rkl, step_weights, tv
+from draftsmith.functions.distributions import argmax, block_decay, ce, kl, lk_hybrid, nla, overlap, power_decay, rkl, step_weights, tv  # noqa: F401
 from draftsmith.operators.quality import (
     block_accuracy,
     block_metrics,
@@ -298,3 +298,43 @@ def greedy_acceptance(spark, sf):
         F.sum(greedy_accept(s, 1, 0.0).cast("bigint")).alias("accepted_k1"),
         F.sum(greedy_accept(s, 3, 0.5).cast("bigint")).alias("accepted_k3"),
     )
+
+
+@register("step_metrics", f"""WITH {_SQL_SCORED},
+st AS (
+  SELECT a.vec_id AS pos, a.batch_id, a.mask AS base_mask, k.step, b.mask, a.pred, b.tgt AS target,
+         list_sum(list_transform(list_zip(b.lpp, a.lq), lambda z: CASE WHEN exp(z[1]) > 0 THEN exp(z[1]) * (z[1] - z[2]) ELSE 0.0 END)) AS kl
+  FROM fx a CROSS JOIN (SELECT UNNEST(range({STEPS})) AS step) k JOIN fx b ON b.vec_id = a.vec_id + k.step
+),
+ch AS (
+  SELECT *, base_mask AND coalesce(min(CAST(pred = target AS INTEGER)) OVER (PARTITION BY pos ORDER BY step
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1 AS prev FROM st
+),
+lb AS (SELECT step, batch_id, sum(kl * CAST(mask AS DOUBLE) * pow(0.8, step)) / (sum(CAST(mask AS DOUBLE)) + 1e-5) AS l FROM st GROUP BY step, batch_id),
+ls AS (SELECT step, avg(l) AS loss FROM lb GROUP BY step),
+acc AS (
+  SELECT step, sum(CAST(prev AND pred = target AND mask AS BIGINT)) AS full_correct, sum(CAST(mask AS BIGINT)) AS full_total,
+         sum(CAST(prev AS BIGINT)) AS cond_total FROM ch GROUP BY step
+)
+SELECT CAST(a.step AS INTEGER) AS step, round(l.loss, 6) AS loss, CAST(a.full_correct AS BIGINT) AS full_correct,
+       CAST(a.full_total AS BIGINT) AS full_total, CAST(a.cond_total AS BIGINT) AS cond_total
+FROM acc a JOIN ls l USING (step)""", G)
+def step_metrics(spark, sf):
+    """A15 (+P51, J9): per step ``k``, the draft at ``p`` is scored against the
+    target at ``p+k`` with the mask at ``p+k``: a KL loss with step decay
+    ``0.8**k`` (A9 per batch, mean over batches) and the chained accuracy (A7)."""
+    s = _scored(spark, sf).withColumn("pred", argmax(F.slice("draft", 1, 4)))
+    a = s.select(F.col("vec_id").alias("pos"), "batch_id", F.col("mask").alias("base_mask"), "draft", "pred",
+                 F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    b = s.select(F.col("vec_id").alias("_at"), "target", "mask", argmax(F.slice("target", 1, 4)).alias("tgt"))
+    st = a.join(b, a["pos"] + a["step"] == b["_at"]).drop("_at")
+    m = F.col("mask").cast("double")
+    loss = (
+        st.groupBy("step", "batch_id")
+        .agg((F.sum(kl(F.col("draft"), F.col("target")) * m * F.pow(F.lit(0.8), F.col("step"))) / (F.sum(m) + 1e-5)).alias("_l"))
+        .groupBy("step").agg(F.avg("_l").alias("loss"))
+    )
+    acc = chain_accuracy(st.withColumnRenamed("tgt", "target_id").select("pos", "step", "pred", F.col("target_id").alias("target"), "mask", "base_mask"))
+    return acc.join(loss, "step").select(
+        F.col("step").cast("int"), F.round("loss", 6).alias("loss"), "full_correct", "full_total", "cond_total"
+    )

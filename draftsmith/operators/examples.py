@@ -276,3 +276,46 @@ def causal_pair_counts(slots: DataFrame) -> DataFrame:
     return slots.filter(F.col("document_id") >= 0).groupBy("batch_id").agg(
         F.sum(F.col("position_id") + 1).cast("bigint").alias("n_pairs")
     )
+
+
+def align_targets(slots: DataFrame, col: str, out: str = "aligned") -> DataFrame:
+    """The verifier output is rolled right by one — slot ``i`` receives the
+    value of slot ``i-1`` of the same batch (equi self-join on the shifted
+    slot, no window); slot 0 has none (null, never a kept target)."""
+    prev = slots.select("batch_id", (F.col("slot") + 1).alias("slot"), F.col(col).alias(out))
+    return slots.join(prev, ["batch_id", "slot"], "left")
+
+
+def multi_depth_inputs(samples: DataFrame, rows: DataFrame, mask_id: int) -> DataFrame:
+    """Parallel-group inputs — the real token at depth 0, ``mask_id`` deeper.
+
+    ``samples(sample_id, depth, anchor)`` (e.g. from COD sampling) is joined
+    to the rows by id; the depth-0 token is read from the row array.
+    """
+    j = samples.join(rows.select("sample_id", "input_ids"), "sample_id")
+    tok = F.element_at("input_ids", (F.col("anchor") + F.col("depth") + 1).cast("int"))
+    return j.select("sample_id", "depth", "anchor", F.when(F.col("depth") == 0, tok).otherwise(F.lit(mask_id).cast("bigint")).alias("input_token"))
+
+
+def cast_states(df: DataFrame, cols: tuple[str, ...], dtype: str = "float") -> DataFrame:
+    """Cast hidden-state array columns (``array<...<dtype>>``) — bf16 is stored as float32."""
+    out = df
+    for c in cols:
+        t = df.schema[c].dataType
+        depth = 0
+        while hasattr(t, "elementType"):
+            depth += 1
+            t = t.elementType
+        out = out.withColumn(c, F.col(c).cast("array<" * depth + dtype + ">" * depth))
+    return out
+
+
+def request_projection(df: DataFrame, conv_col: str = "conversations") -> DataFrame:
+    """Ids always; the messages only for multimodal rows."""
+    from draftsmith.sources.conversations import is_multimodal
+
+    return df.select("sample_id", "input_ids", F.when(is_multimodal(F.col(conv_col)), F.col(conv_col)).alias("messages"))
+
+
+# Per-sample preprocessing selectable by name (collate pre-step).
+PREPROCESS = {"shift": shift_rows, "shift_mtp": shift_rows_mtp, "none": lambda df: df}

@@ -199,6 +199,41 @@ def mask_by_spans(tokens: DataFrame, spans: DataFrame, id_col: str) -> DataFrame
     return joined.withColumn("trainable", overlap).drop("_spans")
 
 
+def prepare_rows_by_pattern(
+    turns: DataFrame,
+    pattern: str,
+    template: ChatTemplate = CHATML,
+    max_length: int = 8192,
+    vocab_size: int = DEFAULT_VOCAB_SIZE,
+) -> DataFrame:
+    """P15 custom-pattern path: render → tokenize with offsets → regex spans →
+    overlap mask (J12) → rows, truncated to ``max_length`` (Q2: always).
+
+    Slower than :func:`prepare_rows` (offsets need a window per sample and
+    the spans a Python regex); use it when the template is not a
+    ``ChatTemplate`` table but only a pattern is known.  Tokens at or beyond
+    ``max_length`` are filtered before rows are collected.
+    """
+    from draftsmith.functions.text import token_id
+
+    text = render_text(turns, template)
+    toks = token_offsets(text, "sample_id", "text")
+    marked = mask_by_spans(toks, regex_spans(text, "sample_id", "text", pattern), "sample_id")
+    n_full = F.count(F.lit(1))
+    kept = marked.groupBy("sample_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos") < max_length, F.struct("pos", token_id(F.col("token"), vocab_size).alias("id"), "trainable")))).alias("_t"),
+        n_full.alias("_n"),
+    )
+    return kept.select(
+        "sample_id",
+        F.transform("_t", lambda x: x["id"]).alias("input_ids"),
+        F.transform("_t", lambda x: x["trainable"]).alias("loss_mask"),
+        F.least(F.col("_n"), F.lit(max_length)).cast("int").alias("seq_len"),
+        F.col("_n").cast("bigint").alias("n_tokens_full"),
+        (F.col("_n") > max_length).alias("truncated"),
+    )
+
+
 def trainable_runs(rows: DataFrame) -> DataFrame:
     """Maximal runs of equal mask value per row (gaps and islands).
 
@@ -217,20 +252,36 @@ def trainable_runs(rows: DataFrame) -> DataFrame:
 
 
 def arrow_tokenizer(encode, vocab_size: int | None = None):
-    """Wrap a model tokenizer as an Arrow batch UDF ``text -> array<bigint>``.
+    """X2 + P21: wrap a model tokenizer as an Arrow batch UDF
+    ``text -> struct<ids: array<bigint>, error: string>``.
 
     ``encode`` maps a list of strings to a list of id lists (e.g. the batch
     encoder of the ``tokenizers`` package).  It is called once per Arrow
-    batch, never per row; load the tokenizer inside ``encode`` lazily so
-    each Python worker loads it once.
+    batch; if the batch call fails, rows are retried one by one and a row
+    that still fails gets ``ids = null`` and its error (the row is dropped
+    by the caller and counted, never failing the job).  Load the tokenizer
+    inside ``encode`` lazily so each Python worker loads it once.
     """
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def _tok(texts: pd.Series) -> pd.Series:
-        out = encode(texts.fillna("").tolist())
+    out_t = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(out_t)
+    def _tok(texts: pd.Series) -> pd.DataFrame:
+        items = texts.fillna("").tolist()
+        try:
+            ids = encode(items)
+            errs = [None] * len(items)
+        except Exception:  # noqa: BLE001 - isolate the failing rows
+            ids, errs = [], []
+            for t in items:
+                try:
+                    ids.append(encode([t])[0])
+                    errs.append(None)
+                except Exception as e:  # noqa: BLE001
+                    ids.append(None)
+                    errs.append(repr(e))
         if vocab_size is not None:
-            out = [[int(i) % vocab_size for i in ids] for ids in out]
-        return pd.Series(out)
+            ids = [None if x is None else [int(i) % vocab_size for i in x] for x in ids]
+        return pd.DataFrame({"ids": ids, "error": errs})
 
     return _tok
 

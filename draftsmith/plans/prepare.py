@@ -28,17 +28,27 @@ def prepare_turns(
     seed: int = 0,
     max_samples: int | None = None,
     id_col: str = "conv_id",
+    assistant_pattern: str | None = None,
 ) -> DataFrame:
     """Long-form raw turns → prepared rows.
 
     ``max_samples`` applies the early cap (``3*n`` conversations in seeded
     order, before the tokenizer, O2) and the final cap (``n`` rows, O3).
+
+    Mask method (P15), resolved once on the driver: a custom
+    ``assistant_pattern`` (X3) uses the regex path; otherwise the template
+    table gives the spans by construction.
     """
     norm = normalize_turns(turns, id_col=id_col, turn_dropout=turn_dropout, seed=seed)
     if max_samples is not None:
         ids = shuffle_cap(norm.select("sample_id").distinct(), seed, "sample_id", 3 * max_samples)
         norm = norm.join(ids, "sample_id", "left_semi")
-    rows = prepare_rows(norm, template, max_length, vocab_size, minimum_valid_tokens)
+    if assistant_pattern is not None:
+        from draftsmith.operators.tokenize import min_valid_tokens, prepare_rows_by_pattern
+
+        rows = min_valid_tokens(prepare_rows_by_pattern(norm, assistant_pattern, template, max_length, vocab_size), minimum_valid_tokens)
+    else:
+        rows = prepare_rows(norm, template, max_length, vocab_size, minimum_valid_tokens)
     if max_samples is not None:
         rows = shuffle_cap(rows, seed, "sample_id", max_samples)
     return rows

@@ -197,8 +197,23 @@ def regen_stream(
     return conversations.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
 
 
-def backfill_stream(rows: DataFrame, store: str, generate: Callable[[DataFrame], DataFrame], ckpt: str):
-    """On-demand artefacts — rows missing from the store are generated and appended."""
+def backfill_stream(
+    rows: DataFrame,
+    store: str,
+    generate: Callable[[DataFrame], DataFrame],
+    ckpt: str,
+    retention: str = "cache",
+    consume: Callable[[DataFrame, int], None] | None = None,
+):
+    """T2 + K5: on-demand artefacts — rows missing from the store are generated.
+
+    ``retention="cache"`` appends them to the store (later runs reuse them);
+    ``"delete"`` hands them to ``consume(df, batch_id)`` only and keeps the
+    store unchanged.  A batch's writes are its own (batch-id keyed when
+    consumed), so a retried batch does not duplicate work downstream.
+    """
+    if retention not in ("cache", "delete"):
+        raise ValueError("retention must be 'cache' or 'delete'")
 
     def sink(bdf: DataFrame, batch_id: int) -> None:
         spark = bdf.sparkSession
@@ -208,7 +223,11 @@ def backfill_stream(rows: DataFrame, store: str, generate: Callable[[DataFrame],
             todo = bdf.join(have, "sample_id", "left_anti")
         except Exception:  # noqa: BLE001 - empty store
             pass
-        generate(todo).write.mode("append").parquet(store)
+        made = generate(todo)
+        if retention == "cache":
+            made.write.mode("append").parquet(store)
+        if consume is not None:
+            consume(made, batch_id)
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
 
