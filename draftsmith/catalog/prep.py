@@ -26,8 +26,9 @@ from draftsmith.functions.hashing import sql_seeded_key
 from draftsmith.functions.text import CHATML, PIECE_PATTERN
 from draftsmith.operators.normalize import drop_empty_conversations, normalize_turns
 from draftsmith.operators.tokenize import (
-    mask_by_spans,
+    mask_rows,
     render_text,
+    token_array,
     rendered_spans,
     token_offsets,
     trainable_runs,
@@ -127,12 +128,13 @@ marked AS (
 SELECT id AS sample_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(tr) AS BIGINT) AS n_trainable
 FROM marked GROUP BY id""", G)
 def loss_mask(spark, sf):
+    """J12 on the rendered text: token offsets in row, spans by construction
+    (running rendered lengths), joined per row and tested in row."""
     t = turns(spark, sf)
-    toks = token_offsets(render_text(t, CHATML), "sample_id", "text")
-    spans = rendered_spans(t, CHATML)
-    marked = mask_by_spans(toks, spans, "sample_id")
-    return marked.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.sum(F.col("trainable").cast("int")).cast("bigint").alias("n_trainable")
+    rows = render_text(t, CHATML).select("sample_id", token_array(F.col("text")).alias("tokens"))
+    m = mask_rows(rows, rendered_spans(t, CHATML), "sample_id")
+    return m.select(
+        "sample_id", F.size("tokens").cast("bigint").alias("n_tokens"), valid_tokens(F.col("mask")).cast("bigint").alias("n_trainable")
     )
 
 

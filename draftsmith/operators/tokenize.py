@@ -108,30 +108,94 @@ def prepare_rows(
     vocab_size: int = DEFAULT_VOCAB_SIZE,
     minimum_valid_tokens: int | None = None,
 ) -> DataFrame:
-    """Normalised long-form turns → prepared rows (the Prep job's core)."""
+    """Normalised long-form turns → prepared rows (the Prep job's core).
+
+    The turns are hash-partitioned by ``sample_id`` *before* tokenising: this
+    is the exchange the per-conversation window and aggregate need anyway, it
+    moves raw text (smaller than id arrays), and the tokenizer then runs in
+    every task.  The window and the aggregate reuse that partitioning.
+    """
+    turns = turns.repartition("sample_id")
     rows = assemble_rows(tokenize_turns(turns, template, vocab_size), max_length)
     return min_valid_tokens(rows, minimum_valid_tokens)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def piece_starts(pieces):
+    """Start offset of every piece of a row: an exclusive prefix sum of the piece
+    lengths (code points), computed per Arrow batch with vectorised compute
+    (``utf8_length`` + ``cumulative_sum``), re-based at each row — no explode,
+    no shuffle, no per-element Python."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pieces.combine_chunks()
+    n = len(pieces)
+    off = pc.subtract(pieces.offsets, pieces.offsets[0])
+    flat = pc.list_flatten(pieces)
+    if len(flat) == 0:
+        return pa.ListArray.from_arrays(off, pa.array([], pa.int64()))
+    ln = pc.utf8_length(flat).cast(pa.int64())
+    excl = pc.subtract(pc.cumulative_sum(ln), ln)
+    first = off.slice(0, n)
+    sizes = pc.subtract(off.slice(1, n), first)
+    base = pc.take(excl, pc.if_else(pc.greater(sizes, 0), first, 0))
+    starts = pc.subtract(excl, pc.take(base, pc.list_parent_indices(pieces)))
+    return pa.ListArray.from_arrays(off, starts)
+
+
+TOKEN_STRUCT = "array<struct<token:string,start:bigint,end:bigint>>"
+
+
+def token_array(text: Column) -> Column:
+    """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE_PATTERN), 0)
+    z = F.arrays_zip(pieces.alias("token"), piece_starts(pieces).alias("start"))
+    toks = F.filter(z, lambda x: ~x["token"].rlike(r"^[ \t\r\n]+$"))
+    return F.transform(
+        toks,
+        lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).cast("bigint").alias("end")),
+    )
+
+
 def token_offsets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """P14 with offsets: long table ``(id, pos, token, start, end)``.
+    """P14 with offsets as a long table ``(id, pos, token, start, end)``.
 
-    Pieces tile the text, so a token's start is the running sum of the
-    previous piece lengths (in code points).  Computed per row with
-    ``posexplode`` and a window partitioned by the row id; space runs are
-    kept only for the running sum and filtered out afterwards.
+    Narrow: tokens and offsets are computed in row (:func:`token_array`) and
+    exploded last; no exchange.
     """
-    w = Window.partitionBy(id_col).orderBy("_piece")
-    pieces = docs.select(
-        F.col(id_col), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PIECE_PATTERN), 0)).alias("_piece", "token")
+    from draftsmith.session import spread
+
+    return spread(docs.select(id_col, text_col)).select(F.col(id_col), F.posexplode(token_array(F.col(text_col))).alias("pos", "_t")).select(
+        id_col, F.col("pos").cast("bigint").alias("pos"), "_t.token", "_t.start", "_t.end"
     )
-    start = F.coalesce(F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    toks = (
-        pieces.withColumn("start", start.cast("bigint"))
-        .withColumn("end", (F.col("start") + F.length("token")).cast("bigint"))
-        .filter(~F.col("token").rlike(r"^[ \t\r\n]+$"))
+
+
+def overlap_mask(tokens: Column, spans: Column) -> Column:
+    """P18 / J12 in row: a token is trainable if it overlaps any span
+    (``end > span_start and start < span_end``); a row has few spans."""
+    sp = F.coalesce(spans, F.array().cast("array<struct<span_start:bigint,span_end:bigint>>"))
+    return F.transform(tokens, lambda t: F.exists(sp, lambda s: (t["end"] > s["span_start"]) & (t["start"] < s["span_end"])))
+
+
+def mask_rows(token_rows: DataFrame, spans: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """Attach each row's spans (grouped per row — a handful) by an equi join
+    on the row id, then test the overlap in row (no token-level join)."""
+    per_row = spans.groupBy(id_col).agg(F.collect_list(F.struct("span_start", "span_end")).alias("_spans"))
+    return token_rows.join(per_row, id_col, "left").withColumn("mask", overlap_mask(F.col(tokens_col), F.col("_spans"))).drop("_spans")
+
+
+def mask_by_spans(tokens: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
+    """Long-form variant of J12 (token rows × a row's spans), for inspection."""
+    per_row = spans.groupBy(id_col).agg(F.collect_list(F.struct("span_start", "span_end")).alias("_spans"))
+    joined = tokens.join(per_row, id_col, "left")
+    one = F.struct(F.col("start"), F.col("end"))
+    tr = F.exists(
+        F.coalesce(F.col("_spans"), F.array().cast("array<struct<span_start:bigint,span_end:bigint>>")),
+        lambda sp: (one["end"] > sp["span_start"]) & (one["start"] < sp["span_end"]),
     )
-    return toks.withColumn("pos", (F.row_number().over(Window.partitionBy(id_col).orderBy("_piece")) - 1).cast("bigint")).drop("_piece")
+    return joined.withColumn("trainable", tr).drop("_spans")
 
 
 def rendered_spans(turns: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
@@ -165,6 +229,20 @@ def render_text(turns: DataFrame, template: ChatTemplate = CHATML) -> DataFrame:
     )
 
 
+def regex_span_array(text: Column, pattern: str) -> Column:
+    """P17 in row: ``array<struct<span_start, span_end>>`` of group 1 of every
+    match of a Python regex (DOTALL) — a small per-row helper in an Arrow
+    batch UDF (custom patterns may use look-ahead, which Java/RE2 differ on)."""
+    rx = re.compile(pattern, re.DOTALL)
+    span_t = T.ArrayType(T.StructType([T.StructField("span_start", T.LongType()), T.StructField("span_end", T.LongType())]))
+
+    @F.pandas_udf(span_t)
+    def _spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"span_start": m.start(1), "span_end": m.end(1)} for m in rx.finditer(t or "")] for t in texts])
+
+    return _spans(text)
+
+
 def regex_spans(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
     """P17 for free text and a custom pattern (X3): group 1 of every match.
 
@@ -184,21 +262,6 @@ def regex_spans(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> Da
     return docs.select(F.col(id_col), F.explode(_spans(F.col(text_col))).alias("_s")).select(id_col, "_s.*")
 
 
-def mask_by_spans(tokens: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    """A token is trainable if it overlaps a span.
-
-    Equi join on the row id (a row has few spans) plus the overlap test, then
-    an ``exists`` over the token's spans.
-    """
-    per_row = spans.groupBy(id_col).agg(F.collect_list(F.struct("span_start", "span_end")).alias("_spans"))
-    joined = tokens.join(per_row, id_col, "left")
-    overlap = F.exists(
-        F.coalesce(F.col("_spans"), F.array().cast("array<struct<span_start:bigint,span_end:bigint>>")),
-        lambda s: (F.col("end") > s["span_start"]) & (F.col("start") < s["span_end"]),
-    )
-    return joined.withColumn("trainable", overlap).drop("_spans")
-
-
 def prepare_rows_by_pattern(
     turns: DataFrame,
     pattern: str,
@@ -206,31 +269,23 @@ def prepare_rows_by_pattern(
     max_length: int = 8192,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
 ) -> DataFrame:
-    """P15 custom-pattern path: render → tokenize with offsets → regex spans →
-    overlap mask (J12) → rows, truncated to ``max_length`` (Q2: always).
-
-    Slower than :func:`prepare_rows` (offsets need a window per sample and
-    the spans a Python regex); use it when the template is not a
-    ``ChatTemplate`` table but only a pattern is known.  Tokens at or beyond
-    ``max_length`` are filtered before rows are collected.
-    """
+    """P15 custom-pattern path: render → tokens with offsets → regex spans →
+    overlap mask → ids, all in row after the render (one shuffle: the
+    conversation id); truncated to ``max_length`` (Q2: always)."""
     from draftsmith.functions.text import token_id
 
     text = render_text(turns, template)
-    toks = token_offsets(text, "sample_id", "text")
-    marked = mask_by_spans(toks, regex_spans(text, "sample_id", "text", pattern), "sample_id")
-    n_full = F.count(F.lit(1))
-    kept = marked.groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos") < max_length, F.struct("pos", token_id(F.col("token"), vocab_size).alias("id"), "trainable")))).alias("_t"),
-        n_full.alias("_n"),
-    )
-    return kept.select(
+    r = text.select(
+        "sample_id", token_array(F.col("text")).alias("_tok"), regex_span_array(F.col("text"), pattern).alias("_sp")
+    ).select("sample_id", "_tok", overlap_mask(F.col("_tok"), F.col("_sp")).alias("_m"))
+    n = F.size("_tok")
+    return r.select(
         "sample_id",
-        F.transform("_t", lambda x: x["id"]).alias("input_ids"),
-        F.transform("_t", lambda x: x["trainable"]).alias("loss_mask"),
-        F.least(F.col("_n"), F.lit(max_length)).cast("int").alias("seq_len"),
-        F.col("_n").cast("bigint").alias("n_tokens_full"),
-        (F.col("_n") > max_length).alias("truncated"),
+        F.slice(F.transform("_tok", lambda t: token_id(t["token"], vocab_size)), 1, max_length).alias("input_ids"),
+        F.slice("_m", 1, max_length).alias("loss_mask"),
+        F.least(n, F.lit(max_length)).cast("int").alias("seq_len"),
+        n.cast("bigint").alias("n_tokens_full"),
+        (n > max_length).alias("truncated"),
     )
 
 

@@ -45,16 +45,18 @@ def select_draft_tokens(spark: SparkSession, freq: DataFrame, draft_vocab_size:
     because at most ``k`` ids can be taken already.
     """
     k = int(draft_vocab_size)
-    top = freq.orderBy(F.col("freq").desc(), F.col("token_id").asc()).limit(k)
-    ranked = top.select("token_id", F.lit(0).alias("_prio"), F.col("freq").alias("_f"))
+    # Fill candidates: ids below k that have no frequency at all.  If there are
+    # at least k counted ids the fill is never reached; otherwise every counted
+    # id is selected and the fill supplies the smallest unused ids — the same
+    # selection as "top k, then fill", in one ordered pass.
+    counted_small = freq.select("token_id").filter(F.col("token_id") < k)  # at most k rows
     fill = (
         spark.range(k)
         .select(F.col("id").alias("token_id"))
-        .join(F.broadcast(top.select("token_id")), "token_id", "left_anti")
+        .join(F.broadcast(counted_small), "token_id", "left_anti")
         .select("token_id", F.lit(1).alias("_prio"), F.lit(None).cast("bigint").alias("_f"))
     )
-    # Top ids first, then unused ids ascending; the first k of this order
-    # are the selection.  Both inputs are bounded by k rows.
+    ranked = freq.select("token_id", F.lit(0).alias("_prio"), F.col("freq").cast("bigint").alias("_f"))
     return (
         ranked.unionByName(fill)
         .orderBy("_prio", F.col("_f").desc_nulls_last(), "token_id")

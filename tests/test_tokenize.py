@@ -8,6 +8,8 @@ from draftsmith.catalog.derived import turns
 from draftsmith.functions.text import CHATML, ChatTemplate, py_token_ids
 from draftsmith.operators.tokenize import (
     mask_by_spans,
+    mask_rows,
+    token_array,
     min_valid_tokens,
     prepare_rows,
     regex_spans,
@@ -25,6 +27,9 @@ def test_mask_by_construction_equals_interval_join(spark):
     toks = token_offsets(render_text(t), "sample_id", "text")
     marked = mask_by_spans(toks, rendered_spans(t), "sample_id").groupBy("sample_id").agg(
         F.sum(F.col("trainable").cast("int")).alias("n2"), F.count("*").alias("len2"))
+    rowwise = mask_rows(render_text(t).select("sample_id", token_array(F.col("text")).alias("tokens")), rendered_spans(t), "sample_id")
+    marked = marked.join(rowwise.select("sample_id", valid_tokens(F.col("mask")).alias("n3")), "sample_id")
+    assert marked.filter(F.col("n2") != F.col("n3")).count() == 0
     bad = rows.join(marked, "sample_id").filter((F.col("n") != F.col("n2")) | (F.col("len") != F.col("len2")))
     assert bad.count() == 0
 
@@ -73,3 +78,17 @@ def test_truncation(spark):
     df = spark.createDataFrame([(1, 0, "user", "q " * 50), (1, 1, "assistant", "a " * 50)], "sample_id long, turn long, role string, text string")
     r = prepare_rows(df, max_length=60).first()
     assert r.seq_len == 60 and len(r.input_ids) == 60 and len(r.loss_mask) == 60
+
+
+def test_piece_starts_match_python(spark):
+    import re as _re
+    texts = ["", "ab  cd!", "héllo wörld\n\tx", None, "a" * 50 + " b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(3)
+    got = {r.id: [(x.token, x.start, x.end) for x in r.tok] for r in df.select("id", token_array(F.col("t")).alias("tok")).collect()}
+    for i, t in enumerate(texts):
+        exp, pos = [], 0
+        for p in _re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]|[ \t\r\n]+", t or ""):
+            if not _re.fullmatch(r"[ \t\r\n]+", p):
+                exp.append((p, pos, pos + len(p)))
+            pos += len(p)
+        assert got[i] == exp, (i, got[i], exp)
