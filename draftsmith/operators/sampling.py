@@ -9,8 +9,11 @@ left-semi join on the trainable positions.
 
 One DataFrame step per depth (``num_depths`` ≤ 8) in a driver loop over
 *depths*, never over data.  Each step is a window per sequence (bounded by
-the sequence length) and one semi join; lineage is cut with
-``checkpoint()`` in the cluster's checkpoint folder every 4 depths.
+the sequence length) and one semi join.  The per-sample base and each
+depth's sample are written with ``checkpoint()`` to the cluster's
+checkpoint folder: depth ``d`` then reads depth ``d-1`` instead of
+re-running the whole chain (work linear, not quadratic, in the depth) and a
+lost executor never forces a recomputation from the source.
 """
 
 from __future__ import annotations
@@ -31,10 +34,16 @@ def cod_sample(
     filter_position_zero: bool = True,
     drop_negative_anchors: bool = True,
     max_anchors: int | None = None,
-    checkpoint_every: int = 4,
+    checkpoint_every: int = 1,
 ) -> DataFrame:
     """``rows(sample_id, input_ids, loss_mask)`` → ``(sample_id, depth, anchor)``."""
+    spark = rows.sparkSession
     seqs = rows.select("sample_id", F.size("input_ids").alias("seq_len"), "loss_mask")
+    if checkpoint_every:
+        # the compact per-sample base (one row per sequence) is written once;
+        # positions are derived from it narrowly at every depth
+        checkpoint_dir(spark)
+        seqs = seqs.checkpoint(eager=True)
     valid = seqs.select("sample_id", "seq_len", F.posexplode("loss_mask").alias("pos", "m")).filter("m").select(
         "sample_id", "seq_len", F.col("pos").cast("bigint").alias("pos")
     )
@@ -49,7 +58,6 @@ def cod_sample(
     ).filter(F.col("anchor").isNotNull())
     outs = [depth0]
     prev = seed_idx.select("sample_id", "seq_len", "pos")
-    spark = rows.sparkSession
     for d in range(1, num_depths):
         r = max(ratio**d, ratio_min)
         size = F.floor(F.greatest(F.col("n_seed") - d, F.lit(0)) * F.lit(float(r))).cast("bigint")
@@ -60,7 +68,6 @@ def cod_sample(
         )
         sampled = p.filter((F.col("_cnt") < F.col("_size")) | (F.col("_rn") <= F.col("_size"))).select("sample_id", "seq_len", "pos")
         if checkpoint_every and d % checkpoint_every == 0:
-            checkpoint_dir(spark)
             sampled = sampled.checkpoint(eager=True)
         anchors = sampled.select("sample_id", F.lit(d).alias("depth"), (F.col("pos") - d).alias("anchor"))
         if drop_negative_anchors:
