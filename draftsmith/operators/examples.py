@@ -147,6 +147,10 @@ def pack_slots(rows: DataFrame, batch_col: str, order_col: str, max_len: int) ->
     Documents are concatenated in ``order_col`` order; the document that
     crosses ``max_len`` is truncated and later ones are dropped; padding
     slots get ``document_id = -1``, token 0, mask false, position 0.
+
+    One window stage over the *documents* of a batch (one exchange on the
+    batch id), then a single explode: every document emits its kept token
+    slots and the batch's last document also emits the padding slots.
     """
     w = Window.partitionBy(batch_col).orderBy(order_col)
     docs = (
@@ -155,35 +159,32 @@ def pack_slots(rows: DataFrame, batch_col: str, order_col: str, max_len: int) ->
         .withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
         .filter(F.col("_start") < max_len)
         .withColumn("kept_len", F.least(F.col("_n"), F.lit(max_len) - F.col("_start")).cast("bigint"))
+        .withColumn("_used", F.sum("kept_len").over(Window.partitionBy(batch_col)))
     )
-    real = docs.select(
-        F.col(batch_col).alias("batch_id"),
-        "sample_id",
-        "document_id",
-        "_start",
-        F.posexplode(F.arrays_zip(F.slice("input_ids", 1, F.col("kept_len")).alias("token"), F.slice("loss_mask", 1, F.col("kept_len")).alias("mask"))).alias("position_id", "_t"),
-    ).select(
-        "batch_id",
-        (F.col("_start") + F.col("position_id")).cast("bigint").alias("slot"),
-        "sample_id",
-        "document_id",
-        F.col("_t.token").alias("token"),
-        F.col("_t.mask").alias("mask"),
-        F.col("position_id").cast("bigint").alias("position_id"),
+    slot_t = "struct<slot:bigint,document_id:bigint,token:bigint,mask:boolean,position_id:bigint,real:boolean>"
+    real = F.transform(
+        F.arrays_zip(F.slice("input_ids", 1, F.col("kept_len")).alias("t"), F.slice("loss_mask", 1, F.col("kept_len")).alias("m")),
+        lambda x, i: F.struct(
+            (F.col("_start") + i).cast("bigint").alias("slot"), F.col("document_id").alias("document_id"), x["t"].cast("bigint").alias("token"),
+            x["m"].alias("mask"), i.cast("bigint").alias("position_id"), F.lit(True).alias("real"),
+        ),
     )
-    used = docs.groupBy(F.col(batch_col).alias("batch_id")).agg(F.sum("kept_len").alias("_used"))
-    pads = used.filter(F.col("_used") < max_len).select(
-        "batch_id", F.explode(F.sequence(F.col("_used").cast("bigint"), F.lit(max_len - 1).cast("bigint"))).alias("slot")
-    ).select(
-        "batch_id",
-        "slot",
-        F.lit(None).cast("bigint").alias("sample_id"),
-        F.lit(-1).cast("bigint").alias("document_id"),
-        F.lit(0).cast("bigint").alias("token"),
-        F.lit(False).alias("mask"),
-        F.lit(0).cast("bigint").alias("position_id"),
+    is_last = (F.col("_start") + F.col("kept_len")) == F.col("_used")
+    pads = F.when(
+        is_last & (F.col("_used") < max_len),
+        F.transform(
+            F.sequence(F.col("_used"), F.lit(max_len - 1).cast("bigint")),
+            lambda s: F.struct(
+                s.alias("slot"), F.lit(-1).cast("bigint").alias("document_id"), F.lit(0).cast("bigint").alias("token"),
+                F.lit(False).alias("mask"), F.lit(0).cast("bigint").alias("position_id"), F.lit(False).alias("real"),
+            ),
+        ),
+    ).otherwise(F.array().cast(f"array<{slot_t}>"))
+    out = docs.select(F.col(batch_col).alias("batch_id"), "sample_id", F.explode(F.concat(real, pads)).alias("_s"))
+    return out.select(
+        "batch_id", "_s.slot", F.when(F.col("_s.real"), F.col("sample_id")).alias("sample_id"),
+        "_s.document_id", "_s.token", "_s.mask", "_s.position_id",
     )
-    return real.unionByName(pads)
 
 
 def batch_lengths(rows: DataFrame, batch_col: str, order_col: str, max_len: int) -> DataFrame:
