@@ -55,21 +55,8 @@ def tokenize_turns(
     )
 
 
-def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192) -> DataFrame:
-    """Concatenate turn tokens in turn order and truncate to ``max_length``.
-
-    Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
-    truncated, has_assistant`` (P19 quality columns included).
-    """
-    conv = Window.partitionBy("sample_id").orderBy("turn")
-    before = F.coalesce(F.sum(F.size("ids")).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(F.size("ids")).over(Window.partitionBy("sample_id"))
-    bounded = (
-        turn_tokens.withColumn("_start", before)
-        .withColumn("_total", total)
-        .withColumn("_asst", F.max((F.col("role") == "assistant").cast("int")).over(Window.partitionBy("sample_id")))
-        .filter(F.col("_start") < max_length)
-    )
+def _assemble(bounded: DataFrame, max_length: int) -> DataFrame:
+    """Collect the (bounded) turns of each conversation in order and truncate."""
     rows = bounded.groupBy("sample_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "ids", "mask"))).alias("_parts"),
         F.first("_total").alias("_total"),
@@ -88,6 +75,61 @@ def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192) -> DataFrame:
     )
 
 
+def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192) -> DataFrame:
+    """Concatenate turn tokens in turn order and truncate to ``max_length``
+    (fast path: the turns of a conversation share one task).
+
+    Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
+    truncated, has_assistant`` (P19 quality columns included).
+    """
+    conv = Window.partitionBy("sample_id").orderBy("turn")
+    whole = Window.partitionBy("sample_id")
+    before = F.coalesce(F.sum(F.size("ids")).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounded = (
+        turn_tokens.withColumn("_start", before)
+        .withColumn("_total", F.sum(F.size("ids")).over(whole))
+        .withColumn("_asst", F.max((F.col("role") == "assistant").cast("int")).over(whole))
+        .filter(F.col("_start") < max_length)
+    )
+    return _assemble(bounded, max_length)
+
+
+def assemble_rows_bucketed(turn_tokens: DataFrame, max_length: int = 8192, bucket_turns: int = 256) -> DataFrame:
+    """Skew-safe assembly for conversations with very many turns.
+
+    Turns are grouped in buckets of ``bucket_turns`` consecutive turn numbers.
+    Bucket token sums (a partial aggregation) give each bucket's start by a
+    running sum over the small bucket table; only buckets that start before
+    ``max_length`` are kept (a semi join), so the final per-conversation
+    window and collect see at most ``max_length`` tokens plus one bucket —
+    however many turns the conversation has.
+    """
+    b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint")).withColumn("_n", F.size("ids"))
+    sums = b.groupBy("sample_id", "_bucket").agg(
+        F.sum("_n").alias("_bn"), F.max((F.col("role") == "assistant").cast("int")).alias("_ba")
+    )
+    wb = Window.partitionBy("sample_id").orderBy("_bucket")
+    starts = (
+        sums.withColumn("_bstart", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_total", F.sum("_bn").over(Window.partitionBy("sample_id")))
+        .withColumn("_asst", F.max("_ba").over(Window.partitionBy("sample_id")))
+        .filter(F.col("_bstart") < max_length)
+        .select("sample_id", "_bucket", "_bstart", "_total", "_asst")
+    )
+    kept = b.join(starts, ["sample_id", "_bucket"])
+    conv = Window.partitionBy("sample_id").orderBy("turn")
+    before = F.coalesce(F.sum("_n").over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounded = kept.withColumn("_start", before).filter(F.col("_start") < max_length)
+    return _assemble(bounded, max_length)
+
+
+def hot_keys(df: DataFrame, key: str, threshold: int) -> DataFrame:
+    """Keys with more than ``threshold`` rows (a partial aggregation over the
+    key column only).  At most ``rows / threshold`` keys can qualify; the
+    join strategy against it is left to AQE (broadcast when it is small)."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > threshold).select(key)
+
+
 def valid_tokens(mask: Column) -> Column:
     return F.size(F.filter(mask, lambda m: m))
 
@@ -107,16 +149,28 @@ def prepare_rows(
     max_length: int = 8192,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
     minimum_valid_tokens: int | None = None,
+    hot_turns: int | None = 10000,
 ) -> DataFrame:
     """Normalised long-form turns → prepared rows (the Prep job's core).
 
-    The turns are hash-partitioned by ``sample_id`` *before* tokenising: this
-    is the exchange the per-conversation window and aggregate need anyway, it
-    moves raw text (smaller than id arrays), and the tokenizer then runs in
-    every task.  The window and the aggregate reuse that partitioning.
+    Conversations with more than ``hot_turns`` turns (found by a cheap
+    count over the id column) take the bucketed, skew-safe assembly; all
+    others the fast path, where the turns are hash-partitioned by
+    ``sample_id`` *before* tokenising — the exchange the per-conversation
+    window and aggregate need anyway, moving raw text (smaller than id
+    arrays), so the window and the aggregate reuse that partitioning.
+    ``hot_turns=None`` skips the split (one shuffle, no pre-pass).
     """
-    turns = turns.repartition("sample_id")
-    rows = assemble_rows(tokenize_turns(turns, template, vocab_size), max_length)
+    if hot_turns is None:
+        normal, hot = turns, None
+    else:
+        hk = hot_keys(turns.select("sample_id"), "sample_id", hot_turns)
+        normal = turns.join(hk, "sample_id", "left_anti")
+        hot = turns.join(hk, "sample_id", "left_semi")
+    rows = assemble_rows(tokenize_turns(normal.repartition("sample_id"), template, vocab_size), max_length)
+    if hot is not None:
+        bucketed = assemble_rows_bucketed(tokenize_turns(hot, template, vocab_size), max_length)
+        rows = rows.unionByName(bucketed)
     return min_valid_tokens(rows, minimum_valid_tokens)
 
 

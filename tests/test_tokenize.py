@@ -92,3 +92,21 @@ def test_piece_starts_match_python(spark):
                 exp.append((p, pos, pos + len(p)))
             pos += len(p)
         assert got[i] == exp, (i, got[i], exp)
+
+
+def test_bucketed_assembly_equals_fast_path(spark):
+    from draftsmith.operators.tokenize import assemble_rows, assemble_rows_bucketed, tokenize_turns
+
+    t = tokenize_turns(turns(spark, SF_SMALL))
+    cols = ["sample_id", "input_ids", "loss_mask", "seq_len", "n_tokens_full", "truncated", "has_assistant"]
+    for max_len, bucket in [(8192, 2), (300, 1), (64, 3)]:
+        fast = assemble_rows(t, max_len).select(*cols)
+        slow = assemble_rows_bucketed(t, max_len, bucket_turns=bucket).select(*cols)
+        assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+
+
+def test_hot_split_equals_plain(spark):
+    t = turns(spark, SF_SMALL)
+    a = prepare_rows(t, hot_turns=None)
+    b = prepare_rows(t, hot_turns=3)  # most conversations are "hot" here
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
