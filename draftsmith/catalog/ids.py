@@ -1,0 +1,48 @@
+"""Which SURVEY §2 operators each registered catalog query exercises."""
+
+QUERY_IDS = {
+    # prep
+    "normalize_conversations": "S7 P1 P2", "turn_dropout": "P3", "drop_empty_conversations": "P12",
+    "render_template": "P13", "tokenize_offsets": "P14", "loss_mask": "P17 P18 J12",
+    "prepare_rows": "P13 P14 P17 P18 P19 P22", "prepare_rows_regex": "P15 P16 P17 P18 X3",
+    "min_valid_tokens": "P20", "truncate_tokens": "P14 P19", "trainable_runs": "P23",
+    # vocab
+    "token_frequency": "A1", "combine_frequency": "A2", "draft_vocab_topk": "O5 W11",
+    "vocab_offsets": "O5 W11 K3", "target_to_draft": "O5 O6", "vocab_coverage": "J7",
+    "oov_prune_semi": "J7", "draft_target_lookup": "J6",
+    # shuffle / resume / regen
+    "shuffle_cap": "O1 O2 O3", "union_shuffle_cap": "O1 O2 O3 U1", "train_val_split": "P33",
+    "shuffled_split": "P34 O11", "rank_chunks": "O7 J2 U5", "resume_anti_join": "J1 J2 U5",
+    "existing_semi_count": "J3", "artefact_left_join_policy": "J4", "artefact_validation": "J5",
+    "extract_prompts": "P24", "regen_assemble": "P28 X6", "regen_error_split": "P29 K4",
+    "usage_totals": "P30", "run_summary": "A23", "sanitize_names": "P27",
+    # examples
+    "shift_examples": "P35 P39 W6", "mtp_targets": "P49", "offpolicy_shift": "P50",
+    "step_alignment": "P51", "collate_document_ids": "P43 W1 W9", "collate_lengths": "P43 W1",
+    "pad_to_length": "P42", "anchor_sampling": "O13", "anchor_blocks": "P44 P45 P46 J9",
+    "prev_token_in_block": "W5", "anchor_prefix_context": "J13", "chain_context_count": "J14",
+    "causal_pairs": "J15", "noise_columns": "P41 X5", "v1_layout": "P37 P38",
+    "target_alignment": "P47", "multi_depth_inputs": "P48",
+    # sampling / packing
+    "clip_or_drop_long": "O10", "pack_batches": "O8 O9 O11 W2 X9", "pack_summary": "A25",
+    "resume_skip_batches": "O12", "cod_sampling": "O14 U6 X9",
+    # quality
+    "softmax_overlap": "F1 A16", "loss_kl": "F1 F2", "loss_rkl": "F3", "loss_ce": "F4 F12",
+    "loss_tv": "F5", "loss_nla": "F6", "loss_lk_hybrid": "F7", "compound_loss": "A10 F8 F11 X8",
+    "masked_decayed_loss": "A9 A19 F9", "position_accuracy": "A8", "block_accuracy": "A13",
+    "conditional_accuracy": "A7 W4", "depth_accuracy": "A14 J9", "accept_length": "A16 A17 W3",
+    "confidence_calibration": "A18 F13 W3", "mtp_step_loss": "A20 F10", "acceptance_thresholds": "P53",
+    "greedy_acceptance": "P54", "step_metrics": "A15 P51",
+    # evaluation
+    "prometheus_counters": "S19 A5 F14", "counter_deltas": "W10", "acceptance_metrics": "A6 J8",
+    "acceptance_report": "A27", "regression_metrics": "A26", "gen_length_budget": "A3 A4 P52 K7",
+    "sweep_rows": "S12 J10 K6", "speedup_interpolated": "J11 U4", "curve_smoothing": "O15 O16 U2",
+    "subset_intersection": "U3 U4", "storage_estimate": "A24",
+    # training logs
+    "metric_ratios": "A11", "epoch_metrics": "A12", "best_epoch": "A22", "running_best": "W8",
+    "failure_streaks": "W7", "step_profile": "A21", "log_flatten": "S22",
+    # streaming
+    "stream_token_frequency": "T6", "stream_counter_deltas": "T7", "stream_failure_breaker": "T4",
+    "stream_dedup": "T9", "stream_window_metrics": "T8", "stream_regen": "T1 T5 P25",
+    "stream_backfill": "T2 K5 X7",
+}

@@ -118,7 +118,8 @@ LOSSES = {"kl": kl, "rkl": rkl, "ce": ce, "tv": tv, "nla": nla, "lk_hybrid": lk_
 
 
 def parse_loss_spec(spec) -> dict[str, float]:
-    """a loss name, or a JSON object / dict ``{name: weight}``.
+    """F11 + X8: a loss name, or a JSON object / dict ``{name: weight}`` over
+    the pluggable loss table ``LOSSES``.
 
     Unknown names, non-numeric weights and empty specs raise ``ValueError``.
     """

@@ -56,7 +56,7 @@ def generation_lengths(requests: DataFrame, subset: str = "subset", tokens: str
 
 
 def parse_exposition(lines: DataFrame, col: str = "value", source_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Exposition-format text lines → ``(engine, name, position, value)``.
+    """Exposition-format text lines → ``(engine, name, position, value)``.
 
     Accepts ``name value`` and ``name{labels} value`` lines; keeps names with
     a ``:spec_decode`` part; strips the ``_total`` *suffix* only (Q4);

@@ -30,7 +30,8 @@ def with_positions(rows: DataFrame) -> DataFrame:
 
 
 def shift_rows(rows: DataFrame, state_cols: tuple[str, ...] = (), verifier_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Token, mask, verifier state and position from ``t+1``; hidden state from ``t``.
+    """P39 + W6: token, mask, verifier state and position from ``t+1`` (the
+    next-token shift); hidden state from ``t``.
 
     ``lengths = max(n - 1, 0)``.  Arrays are sliced in row (no window).
     """
@@ -114,7 +115,7 @@ def step_alignment(rows: DataFrame, pred_col: str, num_steps: int = 3) -> DataFr
 
 
 def uniform_noise(vec: Column, seed: int, row_id: Column, std: float = 0.05) -> Column:
-    """``x + 2*(u - 0.5)*std`` with ``u`` a hash of ``(seed, id, i)`` (reproducible)."""
+    """``x + 2*(u - 0.5)*std`` with ``u`` a hash of ``(seed, id, i)`` (reproducible)."""
     return F.transform(
         vec,
         lambda x, i: x + (F.lit(2.0) * (seeded_key(seed, row_id, i) / F.lit(4294967296.0) - 0.5) * std),
@@ -320,3 +321,10 @@ def request_projection(df: DataFrame, conv_col: str = "conversations") -> DataFr
 
 # Per-sample preprocessing selectable by name (collate pre-step).
 PREPROCESS = {"shift": shift_rows, "shift_mtp": shift_rows_mtp, "none": lambda df: df}
+
+
+def preprocess(rows: DataFrame, name: str) -> DataFrame:
+    """Apply a named per-sample preprocessing step before collating."""
+    if name not in PREPROCESS:
+        raise ValueError(f"unknown preprocess {name!r}; choose from {sorted(PREPROCESS)}")
+    return PREPROCESS[name](rows)

@@ -46,7 +46,8 @@ def lpt_assign(lengths: np.ndarray, max_len: int, replicas: int) -> list[int] |
 
 
 def pack_sequence(lengths: np.ndarray, max_len: int, replicas: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Greedy maximal batches over ``lengths`` in order.
+    """O9 + W2: greedy maximal batches over ``lengths`` in order (the running
+    token count ``cumsum`` bounds the search).
 
     Returns ``([(position, batch_no, replica)], n_used)``; positions from
     ``n_used`` on are the leftovers (fewer than ``replicas``).
@@ -108,7 +109,7 @@ def pack_batches(
     num_shards: int = 1,
     truncate_long: bool = True,
 ) -> DataFrame:
-    """O8 + O9 + O11: batch plan ``(shard, batch_no, replica, sample_id, length)``.
+    """O8 + O9 + O11 (X9 grouped map): batch plan ``(shard, batch_no, replica, sample_id, length)``.
 
     ``lengths(sample_id, length)``.  Order inside a shard is the seeded
     permutation ``md5(seed+epoch : id)``.  Leftovers of every shard go to a

@@ -93,6 +93,14 @@ def split_cut(n_rows: int, ratio: float) -> tuple[int, int]:
     raise ValueError("split_ratio must be in range (-1.0, 1.0] excluding 0.0.")
 
 
+def seeded_split(df: DataFrame, seed: int, id_col: str, n_rows: int, ratio: float = 0.9) -> DataFrame:
+    """Shuffled split — the first ``int(n*ratio)`` rows of the seeded order
+    are ``train``, the rest ``val`` (the same cut value for both sides)."""
+    ranked = seeded_rank(df, seed, id_col, "_srank")
+    cut = int(n_rows * ratio)
+    return ranked.withColumn("split", F.when(F.col("_srank") < cut, "train").otherwise("val")).drop("_srank")
+
+
 def contiguous_split(ranked: DataFrame, n_rows: int, ratio: float, rank_col: str = "rank") -> DataFrame:
     lo, hi = split_cut(n_rows, ratio)
     return ranked.filter((F.col(rank_col) >= lo) & (F.col(rank_col) < hi))

@@ -104,7 +104,8 @@ def _walk(generator: Generator) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
 
 
 def regenerate(prompt_turns: DataFrame, generator: Generator, uuids: DataFrame | None = None) -> DataFrame:
-    """P28 + P29 + P30: one result row per conversation (ok or error).
+    """P28 + P29 + P30 (+ F16 latency rounded to 3 decimals): one result row
+    per conversation (ok or error).
 
     ``prompt_turns(sample_id, turn, role, text)`` come from
     :func:`draftsmith.operators.normalize.extract_prompt_turns`; filters and
@@ -170,6 +171,19 @@ def retrying(generator: Generator, max_retries: int = 3, backoff_base: float = 2
     return gen
 
 
+def read_regen_source(spark, name: str, data_root: str, split: str | None = None, subset: str | None = None, stream: bool = False):
+    """A regeneration source from the registry (prompt field, default split,
+    subset) as a batch or a streaming scan of its JSON folder."""
+    from draftsmith.sources.conversations import RAW_SCHEMA
+
+    cfg = REGEN_SOURCES[name]
+    parts = [data_root.rstrip("/"), cfg["id"], subset if subset is not None else cfg.get("subset"), split or cfg["default_split"]]
+    path = "/".join(p for p in parts if p)
+    reader = spark.readStream if stream else spark.read
+    df = reader.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").json(path)
+    return df, cfg["prompt_field"]
+
+
 def regen_todo(prompt_turns: DataFrame, seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """J1 + O4: drop conversations already in the output, then keep the first
     ``limit`` remaining conversations in id order — the limit counts *after*

@@ -36,7 +36,8 @@ def cod_sample(
     max_anchors: int | None = None,
     checkpoint_every: int = 1,
 ) -> DataFrame:
-    """``rows(sample_id, input_ids, loss_mask)`` → ``(sample_id, depth, anchor)``."""
+    """O14 (+ U6 semi join, X9): ``rows(sample_id, input_ids, loss_mask)`` →
+    ``(sample_id, depth, anchor)``."""
     spark = rows.sparkSession
     seqs = rows.select("sample_id", F.size("input_ids").alias("seq_len"), "loss_mask")
     if checkpoint_every:

@@ -56,7 +56,8 @@ def tokenize_turns(
 
 
 def _assemble(bounded: DataFrame, max_length: int) -> DataFrame:
-    """Collect the (bounded) turns of each conversation in order and truncate."""
+    """Collect the (bounded) turns of each conversation in order, truncate, and
+    project ``seq_len`` (P22: only the row columns are kept)."""
     rows = bounded.groupBy("sample_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "ids", "mask"))).alias("_parts"),
         F.first("_total").alias("_total"),

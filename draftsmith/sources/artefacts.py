@@ -36,6 +36,12 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREPARED_SCHEMA).parquet(path)
 
 
+def read_artefacts(spark: SparkSession, path: str) -> DataFrame:
+    """S9 (re-aimed): artefact payloads as Parquet array columns
+    ``(sample_id, token_ids, hidden_states)`` instead of one tensor file per row."""
+    return spark.read.schema(ARTEFACT_SCHEMA).parquet(path)
+
+
 def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     """``(sample_id, seq_len)`` only — the arrays are pruned from the scan."""
     return read_prepared(spark, path).select("sample_id", "seq_len")

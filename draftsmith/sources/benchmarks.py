@@ -58,7 +58,7 @@ BENCH_SCHEMA = T.StructType(
 
 
 def subset_from_path(path: Column) -> Column:
-    """``(gen_len|sweep|sweeps)_<subset>.json`` → subset, else the file stem."""
+    """``(gen_len|sweep|sweeps)_<subset>.json`` → subset, else the file stem."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
     m = F.regexp_extract(name, r"(?:gen_len|sweeps?)_(.+)\.json$", 1)
     return F.when(m != "", m).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))

@@ -189,7 +189,7 @@ def text_parts(parts: Column, content: Column) -> Column:
 
 
 def request_parts(parts: Column) -> Column:
-    """P10: parts for a chat request: text stays; ``path`` → ``file://`` URL part;
+    """P10 + F17: parts for a chat request: text stays; ``path`` → ``file://`` URL part;
     ``url`` stays a URL part; inline base64 / raw image objects and unknown
     types are errors (``raise_error`` at run time)."""
     def adapt(p):
@@ -227,6 +227,9 @@ def to_turns(df: DataFrame, id_col: str = "idx") -> DataFrame:
 
 @dataclass(frozen=True)
 class SourceSpec:
+    """S3 + X1: a named preset — dataset location, filter (a DataFrame →
+    DataFrame predicate step) and normaliser (a DataFrame transform)."""
+
     name: str
     dataset_id: str
     split: str
