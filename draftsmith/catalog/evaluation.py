@@ -23,6 +23,7 @@ from draftsmith.catalog import register
 from draftsmith.catalog.derived import prepared, sql_prepared_chain
 from draftsmith.operators.evaluation import (
     ACCEPTED_PER_POS,
+    acceptance_report,
     accumulate,
     acceptance_from_counters,
     attach_acceptance,
@@ -158,10 +159,10 @@ def acceptance_metrics(spark, sf):
 fin AS (SELECT engine, name, position, arg_max(value, scrape) AS value FROM scr GROUP BY ALL),
 {_sql_acceptance('fin')}
 SELECT metric, CAST(position AS INTEGER) AS position, round(value, 6) AS value FROM res WHERE position < 100""", G)
-def acceptance_report(spark, sf):
+def acceptance_report_q(spark, sf):
     """Totals, acceptance length and one line per position (first 100)."""
-    r = acceptance_from_counters(accumulate(_at_or_before(_scrapes(spark, sf))))
-    return r.filter(F.col("position") < 100).select("metric", F.col("position").cast("int"), F.round("value", 6).alias("value")).orderBy("metric", "position")
+    r = acceptance_report(accumulate(_at_or_before(_scrapes(spark, sf))), 100)
+    return r.select("metric", F.col("position").cast("int"), F.round("value", 6).alias("value"))
 
 
 @register("regression_metrics", f"""WITH {_SQL_EVENTS},

@@ -16,6 +16,10 @@ from draftsmith.catalog import register
 from draftsmith.functions.distributions import argmax, block_decay, ce, kl, lk_hybrid, nla, overlap, power_decay, rkl, step_weights, tv  # noqa: F401
 from draftsmith.operators.quality import (
     block_accuracy,
+    depth_accuracy,
+    gather_ahead,
+    mtp_step_loss,
+    step_metrics,
     block_metrics,
     chain_accuracy,
     compound_loss,
@@ -179,16 +183,11 @@ def conditional_accuracy(spark, sf):
 SELECT CAST(k.depth AS INTEGER) AS depth, CAST(sum(CAST(a.pred = b.tgt AS BIGINT)) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total
 FROM fx a CROSS JOIN (SELECT UNNEST(range({STEPS})) AS depth) k JOIN fx b ON b.vec_id = a.vec_id + k.depth
 WHERE b.mask GROUP BY k.depth""", G)
-def depth_accuracy(spark, sf):
+def depth_accuracy_q(spark, sf):
     """A14 with J9: the depth-``d`` prediction at ``p`` is scored against the
     target gathered at ``p + d`` (equi join), all depths, no decay."""
     ids = _ids(spark, sf)
-    a = ids.select("vec_id", "pred", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("depth"))
-    b = ids.select(F.col("vec_id").alias("_at"), "tgt", F.col("mask").alias("_m"))
-    j = a.join(b, a["vec_id"] + a["depth"] == b["_at"]).filter("_m")
-    return j.groupBy(F.col("depth").cast("int").alias("depth")).agg(
-        F.sum((F.col("pred") == F.col("tgt")).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total")
-    )
+    return depth_accuracy(ids.select(F.col("vec_id").alias("pos"), "pred"), ids.select(F.col("vec_id").alias("pos"), F.col("tgt").alias("target"), "mask"), STEPS)
 
 
 _SQL_BLOCKS = f"""bx AS (
@@ -250,22 +249,14 @@ j AS (
 SELECT CAST(step AS INTEGER) AS step, round(max(w), 6) AS weight, CAST(count(*) FILTER (WHERE mask) AS BIGINT) AS n_valid,
        round(max(w) * coalesce(sum(l) FILTER (WHERE mask), 0.0) / greatest(count(*) FILTER (WHERE mask), 1), 6) AS step_loss
 FROM (SELECT j.*, {_SQL_W.replace('k.step', 'j.step')} AS w FROM j) GROUP BY step""", G)
-def mtp_step_loss(spark, sf):
+def mtp_step_loss_q(spark, sf):
     """A20 + F10: ``w_k * sum ce / max(valid, 1)`` per step, ``w = beta^k / sum beta^j``."""
     s = _scored(spark, sf)
-    a = s.select("vec_id", "draft", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
-    b = s.select(F.col("vec_id").alias("_at"), "target", F.col("mask").alias("_m"))
-    j = a.join(b, a["vec_id"] + a["step"] == b["_at"]).withColumn("_l", ce(F.col("draft"), F.col("target")))
-    wmap = F.create_map(*[x for i, w in enumerate(_W) for x in (F.lit(i), F.lit(w))])
-    per = j.groupBy("step").agg(
-        F.count(F.when(F.col("_m"), 1)).alias("n_valid"),
-        F.coalesce(F.sum(F.when(F.col("_m"), F.col("_l"))), F.lit(0.0)).alias("_s"),
-    )
-    w = F.element_at(wmap, F.col("step"))
-    return per.select(
-        F.col("step").cast("int"), F.round(w, 6).alias("weight"), "n_valid",
-        F.round(w * F.col("_s") / F.greatest(F.col("n_valid"), F.lit(1)), 6).alias("step_loss"),
-    )
+    rows = s.select(F.col("vec_id").alias("pos"), "draft")
+    at = s.select(F.col("vec_id").alias("pos"), "target", "mask")
+    j = gather_ahead(rows, at, STEPS, key_col="step").withColumn("ce", ce(F.col("draft"), F.col("target")))
+    r = mtp_step_loss(j, _W)
+    return r.select(F.col("step").cast("int"), F.round("weight", 6).alias("weight"), "n_valid", F.round("step_loss", 6).alias("step_loss"))
 
 
 @register("acceptance_thresholds", f"""WITH {_SQL_SCORED},
@@ -319,22 +310,13 @@ acc AS (
 SELECT CAST(a.step AS INTEGER) AS step, round(l.loss, 6) AS loss, CAST(a.full_correct AS BIGINT) AS full_correct,
        CAST(a.full_total AS BIGINT) AS full_total, CAST(a.cond_total AS BIGINT) AS cond_total
 FROM acc a JOIN ls l USING (step)""", G)
-def step_metrics(spark, sf):
+def step_metrics_q(spark, sf):
     """A15 (+P51, J9): per step ``k``, the draft at ``p`` is scored against the
     target at ``p+k`` with the mask at ``p+k``: a KL loss with step decay
     ``0.8**k`` (A9 per batch, mean over batches) and the chained accuracy (A7)."""
-    s = _scored(spark, sf).withColumn("pred", argmax(F.slice("draft", 1, 4)))
-    a = s.select(F.col("vec_id").alias("pos"), "batch_id", F.col("mask").alias("base_mask"), "draft", "pred",
-                 F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
-    b = s.select(F.col("vec_id").alias("_at"), "target", "mask", argmax(F.slice("target", 1, 4)).alias("tgt"))
-    st = a.join(b, a["pos"] + a["step"] == b["_at"]).drop("_at")
-    m = F.col("mask").cast("double")
-    loss = (
-        st.groupBy("step", "batch_id")
-        .agg((F.sum(kl(F.col("draft"), F.col("target")) * m * F.pow(F.lit(0.8), F.col("step"))) / (F.sum(m) + 1e-5)).alias("_l"))
-        .groupBy("step").agg(F.avg("_l").alias("loss"))
-    )
-    acc = chain_accuracy(st.withColumnRenamed("tgt", "target_id").select("pos", "step", "pred", F.col("target_id").alias("target"), "mask", "base_mask"))
-    return acc.join(loss, "step").select(
-        F.col("step").cast("int"), F.round("loss", 6).alias("loss"), "full_correct", "full_total", "cond_total"
-    )
+    s = _scored(spark, sf)
+    rows = s.select(F.col("vec_id").alias("pos"), "batch_id", F.col("mask").alias("base_mask"), "draft", argmax(F.slice("draft", 1, 4)).alias("pred"))
+    at = s.select(F.col("vec_id").alias("pos"), "target", "mask", argmax(F.slice("target", 1, 4)).alias("tgt"))
+    st = gather_ahead(rows, at, STEPS, key_col="step").withColumn("loss_term", kl(F.col("draft"), F.col("target")))
+    r = step_metrics(st.drop("target").withColumnRenamed("tgt", "target"), 0.8)
+    return r.select(F.col("step").cast("int"), F.round("loss", 6).alias("loss"), "full_correct", "full_total", "cond_total")

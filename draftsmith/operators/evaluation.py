@@ -221,3 +221,10 @@ def storage_estimate(rows: DataFrame, layers: int, hidden: int, bytes_per_value:
 def next_pow2(x: float) -> int:
     """Plain-Python twin of the A4 budget (tests)."""
     return 2 ** math.ceil(math.log2(max(x, 1)))
+
+
+def acceptance_report(acc: DataFrame, max_positions: int = 100) -> DataFrame:
+    """Totals, acceptance length and one line per position (the first
+    ``max_positions``), as a long, ordered result ``(metric, position, value)``."""
+    r = acceptance_from_counters(acc)
+    return r.filter(F.col("position") < max_positions).orderBy("metric", "position")

@@ -202,3 +202,52 @@ def threshold_check(per_pos_rate: DataFrame, thresholds: DataFrame) -> DataFrame
         "pos", "threshold", F.coalesce("rate", F.lit(0.0)).alias("rate"),
         (F.coalesce("rate", F.lit(0.0)) >= F.col("threshold")).alias("passed"),
     )
+
+
+def gather_ahead(rows: DataFrame, at: DataFrame, offsets: int, pos: str = "pos", key_col: str = "offset") -> DataFrame:
+    """For every row and every offset ``k < offsets`` join the row at
+    ``pos + k`` of ``at`` (equi join on the shifted position; the offsets are
+    exploded from the row itself)."""
+    base = rows.withColumn(key_col, F.explode(F.sequence(F.lit(0), F.lit(offsets - 1))))
+    other = at.withColumnRenamed(pos, "_at")
+    return base.join(other, base[pos] + base[key_col] == other["_at"]).drop("_at")
+
+
+def depth_accuracy(pred: DataFrame, target: DataFrame, depths: int) -> DataFrame:
+    """Per depth ``d``, the prediction at ``pos`` against the target gathered
+    at ``pos + d`` (J9), over masked targets — all depths, no decay.
+
+    ``pred(pos, pred)``, ``target(pos, target, mask)`` → ``(depth, correct, total)``.
+    """
+    j = gather_ahead(pred, target, depths, key_col="depth").filter(F.col("mask"))
+    return j.groupBy(F.col("depth").cast("int").alias("depth")).agg(
+        F.sum((F.col("pred") == F.col("target")).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total")
+    )
+
+
+def step_metrics(steps: DataFrame, decay: float, loss_col: str = "loss_term") -> DataFrame:
+    """A15 (+P51, A7, A9): per step — the loss term masked-averaged per batch with
+    weight ``decay**step`` then averaged over batches, and the chained accuracy.
+
+    ``steps(pos, batch_id, step, pred, target, mask, base_mask, loss_term)``.
+    """
+    m = F.col("mask").cast("double")
+    loss = (
+        steps.groupBy("step", "batch_id")
+        .agg((F.sum(F.col(loss_col) * m * F.pow(F.lit(decay), F.col("step"))) / (F.sum(m) + 1e-5)).alias("_l"))
+        .groupBy("step").agg(F.avg("_l").alias("loss"))
+    )
+    acc = chain_accuracy(steps.select("pos", "step", "pred", "target", "mask", "base_mask"))
+    return acc.join(loss, "step")
+
+
+def mtp_step_loss(steps: DataFrame, weights: list[float], ce_col: str = "ce") -> DataFrame:
+    """A20 (+F10): per step ``k``: ``w_k * sum(ce over valid) / max(valid, 1)``;
+    the total loss is the sum over steps.  ``steps(step, mask, ce)``."""
+    wmap = F.create_map(*[x for i, w in enumerate(weights) for x in (F.lit(i), F.lit(float(w)))])
+    per = steps.groupBy("step").agg(
+        F.count(F.when(F.col("mask"), 1)).alias("n_valid"),
+        F.coalesce(F.sum(F.when(F.col("mask"), F.col(ce_col))), F.lit(0.0)).alias("_s"),
+    )
+    w = F.element_at(wmap, F.col("step"))
+    return per.select("step", w.alias("weight"), "n_valid", (w * F.col("_s") / F.greatest(F.col("n_valid"), F.lit(1))).alias("step_loss"))
