@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import prepared, sql_prepared_chain
 from draftsmith.catalog.evaluation import _SQL_EVENTS, _scrapes
+from draftsmith.functions.time import event_time
 from draftsmith.operators.regen import hash_reply_generator
 from draftsmith.streaming.jobs import (
     backfill_stream,
@@ -90,7 +91,7 @@ FROM events e JOIN ev USING (event_id)""", G)
 def stream_dedup(spark, sf):
     e = table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
     recs = e.select(
-        "event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        "event_id", "user_id", "event_type", event_time(F.col("ts")).alias("ts"),
         F.floor((F.unix_timestamp("ts") - 1704067200) / 86400).cast("int").alias("day"),
     )
     base = scratch(spark, "dedup")
@@ -103,17 +104,17 @@ def stream_dedup(spark, sf):
 
 @register("stream_window_metrics", """WITH r AS (SELECT date_trunc('day', ts) AS window_start, event_type AS name, value, ts FROM events),
 wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
-SELECT window_start, name, round(sum(value), 4) AS value, CAST(count(*) AS BIGINT) AS n
+SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, name, round(sum(value), 4) AS value, CAST(count(*) AS BIGINT) AS n
 FROM r, wm WHERE window_start + INTERVAL 1 DAY <= wm.wm GROUP BY window_start, name""", G)
 def stream_window_metrics(spark, sf):
     e = table(spark, sf, "events", "ts", "event_type", "value")
-    recs = e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("name"), "value")
+    recs = e.select(event_time(F.col("ts")).alias("ts"), F.col("event_type").alias("name"), "value")
     base = scratch(spark, "windows")
     recs.coalesce(1).write.parquet(f"{base}/in")
     src = file_stream(spark, f"{base}/in", recs.schema)
     run_available(windowed_metrics_stream(src, f"{base}/out", f"{base}/ck"))
     out = spark.read.parquet(f"{base}/out")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "name", F.round("value", 4).alias("value"), "n")
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "name", F.round("value", 4).alias("value"), "n")
 
 
 @register("stream_regen", """WITH pt AS (

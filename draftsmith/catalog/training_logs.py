@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
+from draftsmith.functions.time import epoch_seconds
 from draftsmith.operators.training_logs import (
     best_epoch,
     epoch_metrics,
@@ -152,7 +153,7 @@ SELECT CAST(step AS BIGINT) AS step, round((fe - st) * 1000, 3) AS fetch_ms, rou
 FROM p""", G)
 def step_profile_q(spark, sf):
     e = table(spark, sf, "events", "event_id", "ts", "value")
-    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    secs = epoch_seconds(F.col("ts"))
     m = e.groupBy(F.floor(F.col("event_id") / 5).cast("bigint").alias("step")).agg(
         F.sort_array(F.collect_list(secs)).alias("_m"), F.count(F.lit(1)).alias("_n"),
         F.sum(F.round(F.col("value") * 10)).cast("bigint").alias("num_tokens"),

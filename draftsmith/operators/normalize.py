@@ -9,7 +9,7 @@ shuffle is on that id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import seeded_key
@@ -89,19 +89,22 @@ def normalize_turns(
     if not turn_dropout:
         return out.filter(F.col("role").isNotNull())
 
-    conv = Window.partitionBy("sample_id")
-    out = (
-        out.withColumn("_raw_idx", F.row_number().over(conv.orderBy("turn")) - 1)
-        .withColumn("_n_raw", F.count(F.lit(1)).over(conv))
-        .withColumn("_keep_n", F.pmod(seeded_key(seed, "sample_id"), F.col("_n_raw")) + 1)
+    # Aggregates + joins on the conversation id (no window over a whole
+    # conversation): partial aggregation and AQE's skew-join splitting keep a
+    # conversation with a huge number of turns off a single task.  The raw
+    # index of a turn is its ``turn`` number (0-based, as in the long form).
+    n_raw = out.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n_raw")).withColumn(
+        "_keep_n", F.pmod(seeded_key(seed, "sample_id"), F.col("_n_raw")) + 1
+    )
+    j = out.join(n_raw, "sample_id")
+    cut = (
+        j.filter((F.col("role") == "assistant") & (F.col("turn") >= F.col("_keep_n") - 1))
+        .groupBy("sample_id").agg(F.min("turn").alias("_cut"))
     )
-    stop = F.min(
-        F.when((F.col("role") == "assistant") & (F.col("_raw_idx") >= F.col("_keep_n") - 1), F.col("_raw_idx"))
-    ).over(conv)
     return (
-        out.withColumn("_cut", stop)
-        .filter(F.col("role").isNotNull() & (F.col("_cut").isNull() | (F.col("_raw_idx") <= F.col("_cut"))))
-        .drop("_raw_idx", "_n_raw", "_keep_n", "_cut")
+        j.join(cut, "sample_id", "left")
+        .filter(F.col("role").isNotNull() & (F.col("_cut").isNull() | (F.col("turn") <= F.col("_cut"))))
+        .drop("_n_raw", "_keep_n", "_cut")
     )
 
 
@@ -109,11 +112,11 @@ def drop_empty_conversations(turns: DataFrame) -> DataFrame:
     """P12 on long form: conversations with no kept turn simply have no rows.
 
     Conversations whose kept turns all have empty text are dropped as well.
-    A window flag over the conversation (one scan, one shuffle on the id);
-    the turn rows themselves are never collected.
+    A distinct id list (partial aggregation) and a left-semi join — AQE
+    splits a skewed conversation in the join; turn rows are never collected.
     """
-    has_content = F.max((F.length("text") > 0).cast("int")).over(Window.partitionBy("sample_id"))
-    return turns.withColumn("_has", has_content).filter(F.col("_has") == 1).drop("_has")
+    has_content = turns.filter(F.length("text") > 0).select("sample_id").distinct()
+    return turns.join(has_content, "sample_id", "left_semi")
 
 
 def conversations_to_long(df: DataFrame, id_col: str, conv_col: str = "conversations") -> DataFrame:
@@ -156,11 +159,10 @@ def extract_prompt_turns(turns: DataFrame, prompts: DataFrame | None = None, pro
     kept = turns.select(
         F.col("sample_id"), F.col("turn"), role.alias("role"), content.alias("text")
     ).filter(F.col("role").isNotNull() & F.col("text").isNotNull())
-    has_user = F.max((F.col("role") == "user").cast("int")).over(Window.partitionBy("sample_id"))
-    good = kept.withColumn("_u", has_user).filter(F.col("_u") == 1).drop("_u")
+    with_user = kept.filter(F.col("role") == "user").select("sample_id").distinct()
+    good = kept.join(with_user, "sample_id", "left_semi")
     if prompts is None:
         return good
-    with_user = good.select("sample_id").distinct()
     fallback = (
         prompts.join(with_user, "sample_id", "left_anti")
         .filter(F.col(prompt_col).isNotNull() & (F.col(prompt_col) != ""))

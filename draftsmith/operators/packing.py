@@ -7,9 +7,10 @@ exact algorithm in an ``applyInPandas`` group, and the few leftovers of all
 shards (fewer than ``replicas`` each) are packed in one residual group.
 ``num_shards=1`` gives the reference's batches for the same order.
 
-Pick ``num_shards`` so a shard's ``(id, len)`` rows fit a task comfortably
-(e.g. ``ceil(n / 2e6)``); the residual group holds at most
-``num_shards * (replicas - 1)`` rows.
+By default the shard count is ``ceil(n / rows_per_shard)`` (one count), so
+no group holds more than ``rows_per_shard`` ``(id, len)`` rows (16 bytes
+each); the residual group holds at most ``num_shards * (replicas - 1)``
+rows.
 """
 
 from __future__ import annotations
@@ -106,8 +107,9 @@ def pack_batches(
     replicas: int,
     seed: int = 0,
     epoch: int = 0,
-    num_shards: int = 1,
+    num_shards: int | None = None,
     truncate_long: bool = True,
+    rows_per_shard: int = 1_000_000,
 ) -> DataFrame:
     """O8 + O9 + O11 (X9 grouped map): batch plan ``(shard, batch_no, replica, sample_id, length)``.
 
@@ -117,6 +119,9 @@ def pack_batches(
     dropped (as at the end of the reference's single sequence).
     """
     base = clip_or_drop(lengths.select("sample_id", F.col("length").cast("bigint")), max_len, truncate_long)
+    if num_shards is None:
+        # one scalar action: enough shards that no group exceeds rows_per_shard
+        num_shards = max(1, -(-base.count() // rows_per_shard))
     keyed = base.withColumn("_order", seeded_key(seed + epoch, "sample_id")).withColumn(
         "_shard", F.pmod(F.col("_order"), F.lit(num_shards)).cast("int") if num_shards > 1 else F.lit(0)
     )
