@@ -174,25 +174,41 @@ def regen_stream(
     """T1 + T5: incremental regeneration.
 
     Each micro-batch: language filter (P25) → prompt extraction (P24) →
-    anti-join with ids already in the output (J1 — resume is idempotent even
-    with a new checkpoint) → generator (X6) → one write partitioned by
-    status (K4).  Filters run before the Python generator.
+    anti-join with the ids already done (J1) → generator (X6) → one write
+    partitioned by status (K4).  Filters run before the Python generator.
+
+    Resume is idempotent even with a fresh checkpoint: successful ids are
+    appended to an ids-only Parquet ledger (``<out>/_done``) in the same
+    batch, and the anti-join reads just that column — never the JSON output.
     """
     from draftsmith.operators.normalize import conversations_to_long, extract_prompt_turns
     from draftsmith.operators.regen import regenerate
 
+    ledger = f"{out.rstrip('/')}/_done"
+    # one run per checkpoint: a recovered query (same checkpoint) overwrites
+    # its own retried batch; a new checkpoint writes next to earlier runs
+    import hashlib
+
+    run = hashlib.md5(ckpt.encode("utf-8")).hexdigest()[:12]
+
     def sink(bdf: DataFrame, batch_id: int) -> None:
         spark = bdf.sparkSession
         b = bdf if language is None else bdf.filter(F.col("language") == language)
         turns = conversations_to_long(b, id_col).withColumnRenamed(id_col, "sample_id")
         prompts = extract_prompt_turns(turns)
         try:
-            seen = spark.read.json(out).select("sample_id").distinct()
-            prompts = prompts.join(seen, "sample_id", "left_anti")
-        except Exception:  # noqa: BLE001 - no output yet
+            prompts = prompts.join(spark.read.parquet(ledger).select("sample_id"), "sample_id", "left_anti")
+        except Exception:  # noqa: BLE001 - empty ledger
             pass
-        res = regenerate(prompts, generator)
-        res.write.mode("append").partitionBy("status").json(out)
+        # the generator runs once: results go to this batch's own folder
+        # (overwritten if the batch is retried), the ledger is read back from it
+        part = f"{out.rstrip('/')}/run={run}/batch={batch_id}"
+        regenerate(prompts, generator).write.mode("overwrite").partitionBy("status").json(part)
+        try:
+            done = spark.read.json(f"{part}/status=ok").select("sample_id")
+        except Exception:  # noqa: BLE001 - no success in this batch
+            return
+        done.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={batch_id}")
 
     return conversations.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
 
