@@ -55,6 +55,7 @@ def close(a, b):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--plain", action="store_true", help="default-config session; compare via collect()")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
 
@@ -65,7 +66,13 @@ def main():
 
     reg = load_all()
     names = args.names or sorted(reg)
-    spark = local_session(8, 8)
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8, 8)
     con = duckdb.connect()
     for t in TABLES:
         p = f"{args.sf}/{t}.parquet"
@@ -78,7 +85,13 @@ def main():
         t0 = time.time()
         try:
             sdf = e.fn(spark, args.sf)
-            spdf = sdf.toPandas()
+            if args.plain:
+                import pandas as pd
+
+                rows = sdf.collect()
+                spdf = pd.DataFrame([r.asDict() for r in rows], columns=sdf.columns)
+            else:
+                spdf = sdf.toPandas()
         except Exception as ex:  # noqa: BLE001
             print(f"[SPARK-ERR] {n}: {str(ex)[:800]}")
             bad.append(n)
