@@ -144,6 +144,21 @@ def min_valid_tokens(rows: DataFrame, n: int | None) -> DataFrame:
     return rows.filter(valid_tokens(F.col("loss_mask")) >= n)
 
 
+_MAX_TURNS: dict = {}
+
+
+def _max_turns(turns: DataFrame) -> int | None:
+    """Largest number of turns of one conversation — a scalar action over the
+    id column, memoised per application and input plan (a stale value can only
+    cost speed, never correctness: both assembly paths give the same rows)."""
+    key = (turns.sparkSession.sparkContext.applicationId, turns.semanticHash())
+    if key not in _MAX_TURNS:
+        if len(_MAX_TURNS) > 256:
+            _MAX_TURNS.clear()
+        _MAX_TURNS[key] = turns.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return _MAX_TURNS[key]
+
+
 def prepare_rows(
     turns: DataFrame,
     template: ChatTemplate = CHATML,
@@ -154,20 +169,24 @@ def prepare_rows(
 ) -> DataFrame:
     """Normalised long-form turns → prepared rows (the Prep job's core).
 
-    Conversations with more than ``hot_turns`` turns (found by a cheap
-    count over the id column) take the bucketed, skew-safe assembly; all
-    others the fast path, where the turns are hash-partitioned by
+    Conversations with more than ``hot_turns`` turns take the bucketed,
+    skew-safe assembly (one scalar action over the id column decides whether
+    any exists, so the common plan carries no split); all others the fast
+    path, where the turns are hash-partitioned by
     ``sample_id`` *before* tokenising — the exchange the per-conversation
     window and aggregate need anyway, moving raw text (smaller than id
     arrays), so the window and the aggregate reuse that partitioning.
     ``hot_turns=None`` skips the split (one shuffle, no pre-pass).
     """
-    if hot_turns is None:
-        normal, hot = turns, None
-    else:
-        hk = hot_keys(turns.select("sample_id"), "sample_id", hot_turns)
-        normal = turns.join(hk, "sample_id", "left_anti")
-        hot = turns.join(hk, "sample_id", "left_semi")
+    normal, hot = turns, None
+    if hot_turns is not None:
+        # one scalar action over the id column (partial aggregation): the split
+        # plan is only built when some conversation is actually hot
+        most = _max_turns(turns)
+        if most is not None and most > hot_turns:
+            hk = hot_keys(turns.select("sample_id"), "sample_id", hot_turns)
+            normal = turns.join(hk, "sample_id", "left_anti")
+            hot = turns.join(hk, "sample_id", "left_semi")
     rows = assemble_rows(tokenize_turns(normal.repartition("sample_id"), template, vocab_size), max_length)
     if hot is not None:
         bucketed = assemble_rows_bucketed(tokenize_turns(hot, template, vocab_size), max_length)
