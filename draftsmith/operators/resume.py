@@ -98,3 +98,19 @@ def artefact_index(paths: DataFrame, path_col: str = "path", prefix: str = "hs_"
     pat = "^" + prefix.replace(".", r"\.") + r"([0-9]+)" + suffix.replace(".", r"\.") + "$"
     idx = F.regexp_extract(name, pat, 1)
     return paths.select(F.when(idx != "", idx.cast("bigint")).alias("sample_id")).filter(F.col("sample_id").isNotNull()).distinct()
+
+
+def artefact_generator(fn, schema: str = "sample_id bigint, token_ids array<bigint>, hidden_states array<array<float>>"):
+    """Wrap a user callable ``fn(pandas.DataFrame(sample_id, input_ids)) ->
+    pandas.DataFrame(schema)`` (e.g. a client of a serving endpoint) as a
+    ``DataFrame -> DataFrame`` generator for :func:`draftsmith.plans.backfill.backfill`.
+
+    It runs per Arrow batch in ``mapInPandas``; keep ``fn`` pure per row so a
+    retried task produces the same artefacts (the write commits once).
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield fn(pdf)
+
+    return lambda rows: rows.select("sample_id", "input_ids").mapInPandas(run, schema)

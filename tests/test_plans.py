@@ -68,3 +68,21 @@ def test_evaluate_files(spark, tmp_path):
     assert rows[0].acceptance_at_pos_0 == 12 / 20
     sp = speedup(spark, [f"B={p}"], [f"T={q}"]).collect()
     assert len(sp) == 200 and min(r.speedup for r in sp) > 1.5
+
+
+def test_backfill_with_pandas_generator(spark):
+    import pandas as pd
+
+    from draftsmith.operators.resume import artefact_generator
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "sample_id": pdf["sample_id"],
+            "token_ids": pdf["input_ids"],
+            "hidden_states": [[[float(t)] for t in ids] for ids in pdf["input_ids"]],
+        })
+
+    prepared = spark.createDataFrame([(i, [i, i + 1], [True, True], 2) for i in range(6)], "sample_id long, input_ids array<long>, loss_mask array<boolean>, seq_len int")
+    existing = spark.createDataFrame([(1,)], "sample_id long")
+    out = backfill(spark, prepared, existing, artefact_generator(states)).collect()
+    assert sorted(r.sample_id for r in out) == [0, 2, 3, 4, 5] and all(r.ok for r in out)
