@@ -19,7 +19,7 @@ def main() -> None:
         m = re.match(r"\|\s*([SKPJAWOUFTX]\d+)\s*\|\s*((?:[^|]|\\\|)*)\|", line)
         if m:
             ids.append(m.group(1))
-            d = m.group(2).strip().replace("`", "").replace("vllm:", "<engine>:")
+            d = re.sub(r"\b\w+:spec_decode", "<engine>:spec_decode", m.group(2).strip().replace("`", ""))
             desc[m.group(1)] = d[:90].replace("|", "/")
     lib = {i: [] for i in ids}
     cat = {i: [] for i in ids}
