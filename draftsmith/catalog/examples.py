@@ -13,6 +13,7 @@ from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, VOCAB, bool_digest, ids_digest, prepared, sql_bool_digest, sql_ids_digest, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.operators.examples import (
+    collate_rows,
     anchor_blocks,
     anchor_context,
     batch_lengths,
@@ -51,6 +52,20 @@ def _slots(spark, sf):
     return pack_slots(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
 
 
+def _batch_rows(spark, sf):
+    from draftsmith.operators.examples import anchors_in_row, collate_rows
+
+    b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
+    return b.withColumn("anchors", anchors_in_row(F.col("batch_id"), F.col("loss_mask"), N_ANCHORS, BLOCK, MAX_SLOTS, SEED))
+
+
+def _blocks(spark, sf):
+    from draftsmith.operators.examples import blocks_in_row
+
+    b = _batch_rows(spark, sf)
+    return b.select("batch_id", F.explode(blocks_in_row(F.col("anchors"), F.col("input_ids"), F.col("loss_mask"), BLOCK, MASK_ID)).alias("b")).select("batch_id", "b.*")
+
+
 def _anchors(spark, sf, slots=None):
     slots = slots if slots is not None else _slots(spark, sf)
     return sample_anchors(slots, N_ANCHORS, BLOCK, MAX_SLOTS, SEED)
@@ -155,14 +170,14 @@ SELECT batch_id, CAST(count(DISTINCT document_id) FILTER (WHERE document_id >= 0
        md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY slot)) AS token_digest
 FROM slots GROUP BY batch_id""", G)
 def collate_document_ids(spark, sf):
-    s = _slots(spark, sf)
-    agg = s.groupBy("batch_id").agg(
-        F.countDistinct(F.when(F.col("document_id") >= 0, F.col("document_id"))).alias("n_docs"),
-        F.sum((F.col("document_id") < 0).cast("bigint")).alias("n_pad"),
-        F.sort_array(F.collect_list(F.struct("slot", "document_id", "position_id", "token"))).alias("_s"),
+    b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
+    j = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return b.select(
+        "batch_id",
+        F.size("lengths").cast("bigint").alias("n_docs"),
+        F.size(F.filter("document_ids", lambda d: d < 0)).cast("bigint").alias("n_pad"),
+        j(F.col("document_ids")).alias("docids_digest"), j(F.col("position_ids")).alias("pos_digest"), j(F.col("input_ids")).alias("token_digest"),
     )
-    j = lambda f: F.md5(F.array_join(F.transform("_s", lambda x: x[f].cast("string")), ","))
-    return agg.select("batch_id", "n_docs", "n_pad", j("document_id").alias("docids_digest"), j("position_id").alias("pos_digest"), j("token").alias("token_digest"))
 
 
 @register("collate_lengths", f"""WITH {sql_prepared_chain()},
@@ -191,8 +206,8 @@ def pad_to_length(spark, sf):
 {_SQL_ANCHORS}
 SELECT batch_id, anchor_no, anchor, CAST(anchor_valid AS INTEGER) AS anchor_valid FROM anchors""", G)
 def anchor_sampling(spark, sf):
-    a = _anchors(spark, sf)
-    return a.select("batch_id", "anchor_no", "anchor", F.col("anchor_valid").cast("int"))
+    a = _batch_rows(spark, sf).select("batch_id", F.explode("anchors").alias("a"))
+    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), "a.anchor", F.col("a.anchor_valid").cast("int").alias("anchor_valid"))
 
 
 _SQL_BLOCKS = f"""blocks AS (
@@ -211,9 +226,8 @@ SELECT batch_id, anchor_no, j, CAST(CASE WHEN j = 0 THEN token ELSE {MASK_ID} EN
        CAST(coalesce(mask, false) AND anchor_valid AND j > 0 AS INTEGER) AS block_mask, token AS target
 FROM gathered""", G)
 def anchor_blocks_q(spark, sf):
-    slots = _slots(spark, sf)
-    b = anchor_blocks(_anchors(spark, sf, slots), slots, BLOCK, MASK_ID)
-    return b.select("batch_id", "anchor_no", "j", "block_input", F.col("block_mask").cast("int"), "target")
+    b = _blocks(spark, sf)
+    return b.select("batch_id", F.col("anchor_no").cast("int"), F.col("j").cast("int"), "block_input", F.col("block_mask").cast("int"), "target")
 
 
 @register("prev_token_in_block", f"""WITH {sql_prepared_chain()},
@@ -223,9 +237,8 @@ def anchor_blocks_q(spark, sf):
 SELECT batch_id, anchor_no, j, coalesce(lag(token) OVER (PARTITION BY batch_id, anchor_no ORDER BY j), token) AS prev_token
 FROM gathered""", G)
 def prev_token_in_block_q(spark, sf):
-    slots = _slots(spark, sf)
-    b = prev_token_in_block(anchor_blocks(_anchors(spark, sf, slots), slots, BLOCK, MASK_ID))
-    return b.select("batch_id", "anchor_no", "j", "prev_token")
+    b = _blocks(spark, sf)
+    return b.select("batch_id", F.col("anchor_no").cast("int"), F.col("j").cast("int"), "prev_token")
 
 
 @register("anchor_prefix_context", f"""WITH {sql_prepared_chain()},
@@ -238,8 +251,12 @@ FROM adoc a LEFT JOIN slots s ON s.batch_id = a.batch_id AND s.document_id = a.d
      AND s.slot < a.anchor AND s.slot >= a.anchor - {CTX_WINDOW}
 GROUP BY a.batch_id, a.anchor_no, a.anchor""", G)
 def anchor_prefix_context(spark, sf):
-    slots = _slots(spark, sf)
-    return anchor_context(_anchors(spark, sf, slots), slots, CTX_WINDOW)
+    """J13 (re-aimed): same-document slots before the anchor within the window =
+    ``min(position_id[anchor], W)`` — read from the batch row, no pairs."""
+    b = _batch_rows(spark, sf)
+    a = b.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
+    ctx = F.least(F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")), F.lit(CTX_WINDOW))
+    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), "a.anchor", ctx.cast("bigint").alias("n_context"))
 
 
 @register("chain_context_count", f"""WITH {sql_prepared_chain()},
@@ -252,9 +269,12 @@ SELECT d.batch_id, d.anchor_no, d.depth, CAST(count(s.slot) + d.depth AS BIGINT)
 FROM d LEFT JOIN slots s ON s.batch_id = d.batch_id AND s.document_id = d.document_id AND s.slot <= d.anchor
 GROUP BY d.batch_id, d.anchor_no, d.depth""", G)
 def chain_context_count(spark, sf):
-    slots = _slots(spark, sf)
-    c = chain_context(_anchors(spark, sf, slots), slots, DEPTHS)
-    return c.select("batch_id", "anchor_no", F.col("depth").cast("int"), "n_visible")
+    """J14 (re-aimed): depth-0 tokens of the same document up to the anchor + depth."""
+    b = _batch_rows(spark, sf)
+    a = b.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
+    a = a.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTHS - 1))))
+    n = F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")) + 1 + F.col("depth")
+    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), F.col("depth").cast("int"), n.cast("bigint").alias("n_visible"))
 
 
 @register("causal_pairs", f"""WITH {sql_prepared_chain()},
@@ -263,7 +283,13 @@ SELECT a.batch_id, CAST(count(*) AS BIGINT) AS n_pairs
 FROM slots a JOIN slots b ON a.batch_id = b.batch_id AND a.document_id = b.document_id AND b.slot <= a.slot
 WHERE a.document_id >= 0 GROUP BY a.batch_id""", G)
 def causal_pairs(spark, sf):
-    return causal_pair_counts(_slots(spark, sf))
+    """J15 (count form): each real slot sees ``position_id + 1`` same-document slots."""
+    b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
+    pairs = F.aggregate(
+        F.arrays_zip("position_ids", "document_ids"), F.lit(0).cast("bigint"),
+        lambda acc, x: acc + F.when(x["document_ids"] >= 0, x["position_ids"] + 1).otherwise(0),
+    )
+    return b.select("batch_id", pairs.alias("n_pairs"))
 
 
 @register("noise_columns", f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 2.0 *
@@ -293,15 +319,14 @@ SELECT batch_id, md5(string_agg(CAST(coalesce(aligned, -1) AS VARCHAR), ',' ORDE
        CAST(count(aligned) AS BIGINT) AS n_aligned
 FROM al GROUP BY batch_id""", G)
 def target_alignment(spark, sf):
-    """Verifier outputs rolled right by one slot (equi self-join on slot-1)."""
-    from draftsmith.operators.examples import align_targets
-
-    a = align_targets(_slots(spark, sf), "token")
-    agg = a.groupBy("batch_id").agg(
-        F.sort_array(F.collect_list(F.struct("slot", F.coalesce("aligned", F.lit(-1)).alias("v")))).alias("_s"),
-        F.count("aligned").alias("n_aligned"),
+    """Verifier outputs rolled right by one slot (in row: ``concat([null], x[0:-1])``)."""
+    b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
+    aligned = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("input_ids", 1, MAX_SLOTS - 1))
+    return b.select(
+        "batch_id",
+        F.md5(F.array_join(F.transform(aligned, lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ",")).alias("aligned_digest"),
+        F.size(F.filter(aligned, lambda x: x.isNotNull())).cast("bigint").alias("n_aligned"),
     )
-    return agg.select("batch_id", F.md5(F.array_join(F.transform("_s", lambda x: x["v"].cast("string")), ",")).alias("aligned_digest"), "n_aligned")
 
 
 @register("multi_depth_inputs", None, G)

@@ -328,3 +328,106 @@ def preprocess(rows: DataFrame, name: str) -> DataFrame:
     if name not in PREPROCESS:
         raise ValueError(f"unknown preprocess {name!r}; choose from {sorted(PREPROCESS)}")
     return PREPROCESS[name](rows)
+
+
+# ------------------------------------------------------------ batch-row layout
+#
+# A packed batch is bounded by ``max_len``, so it can be one row holding the
+# collated arrays — the shape a trainer consumes.  Anchors, blocks, gathers
+# (J9) and context counts are then array expressions inside that row: one
+# shuffle (documents grouped by batch), no slot-level joins.
+
+
+def collate_rows(rows: DataFrame, batch_col: str, order_col: str, max_len: int) -> DataFrame:
+    """P43 + W1 + W9 + P42 as one row per batch:
+    ``(batch_id, input_ids, loss_mask, position_ids, document_ids, lengths)``,
+    each array padded to ``max_len`` (token 0, mask false, position 0,
+    document -1); the document crossing ``max_len`` is truncated, later ones dropped."""
+    w = Window.partitionBy(batch_col).orderBy(order_col)
+    docs = (
+        rows.withColumn("_n", F.size("input_ids"))
+        .withColumn("_doc", (F.row_number().over(w) - 1).cast("bigint"))
+        .withColumn("_start", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+        .filter(F.col("_start") < max_len)
+        .withColumn("_kept", F.least(F.col("_n"), F.lit(max_len) - F.col("_start")).cast("int"))
+    )
+    per = docs.groupBy(F.col(batch_col).alias("batch_id")).agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "_doc", "_kept",
+                    F.slice("input_ids", 1, F.col("_kept")).alias("ids"),
+                    F.slice("loss_mask", 1, F.col("_kept")).alias("m"),
+                )
+            )
+        ).alias("_d")
+    )
+    used = F.aggregate("_d", F.lit(0), lambda a, d: a + d["_kept"])
+    pad = F.lit(max_len) - used
+
+    def padded(arr, fill, dtype):
+        return F.concat(arr, F.array_repeat(F.lit(fill).cast(dtype), pad))
+
+    return per.select(
+        "batch_id",
+        padded(F.flatten(F.transform("_d", lambda d: d["ids"])), 0, "bigint").alias("input_ids"),
+        padded(F.flatten(F.transform("_d", lambda d: d["m"])), False, "boolean").alias("loss_mask"),
+        padded(F.flatten(F.transform("_d", lambda d: F.sequence(F.lit(0).cast("bigint"), (d["_kept"] - 1).cast("bigint")))), 0, "bigint").alias("position_ids"),
+        padded(F.flatten(F.transform("_d", lambda d: F.array_repeat(d["_doc"], d["_kept"]))), -1, "bigint").alias("document_ids"),
+        F.transform("_d", lambda d: d["_kept"].cast("bigint")).alias("lengths"),
+    )
+
+
+def anchors_in_row(batch_id: Column, mask: Column, num_anchors: int, block_size: int, max_len: int, seed: int) -> Column:
+    """O13 in row: up to ``n`` trainable slots below ``max_len - block`` in hash
+    order of ``(seed, batch, slot)``; missing anchors are ``(0, false)``.
+    Returns ``array<struct<anchor_no, anchor, anchor_valid>>`` of length ``n``."""
+    if block_size <= 0:
+        raise ValueError(f"Expected block size > 0, got {block_size}")
+    from draftsmith.functions.distributions import let
+
+    # Arrays used inside lambdas are bound once per row first: a column
+    # reference inside a lambda would otherwise be replaced by the expression
+    # that produced it and re-evaluated for every element.
+    def pick(m):
+        cand = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(max_len - block_size - 1).cast("bigint")), lambda i: F.element_at(m, (i + 1).cast("int")))
+        keyed = F.array_sort(F.transform(cand, lambda i: F.struct(seeded_key(seed, batch_id, i).alias("k"), i.alias("slot"))))
+        return let(
+            F.slice(keyed, 1, num_anchors),
+            lambda chosen: F.transform(
+                F.sequence(F.lit(0), F.lit(num_anchors - 1)),
+                lambda j: F.struct(
+                    j.alias("anchor_no"),
+                    F.when(j < F.size(chosen), F.element_at(chosen, j + 1)["slot"]).otherwise(F.lit(0).cast("bigint")).alias("anchor"),
+                    (j < F.size(chosen)).alias("anchor_valid"),
+                ),
+            ),
+        )
+
+    return let(mask, pick)
+
+
+def blocks_in_row(anchors: Column, input_ids: Column, mask: Column, block_size: int, mask_id: int) -> Column:
+    """P44 + P45 + P46 + J9 + W5 in row: per anchor and offset ``j``, the
+    gathered token at ``anchor + j`` (``element_at``, no join), the masked-block
+    input, the aligned block mask and the previous token inside the block."""
+    from draftsmith.functions.distributions import let
+
+    def build(ids, m):
+        def block(a):
+            tok = lambda j: F.element_at(ids, (a["anchor"] + j + 1).cast("int"))
+            return F.transform(
+                F.sequence(F.lit(0), F.lit(block_size - 1)),
+                lambda j: F.struct(
+                    a["anchor_no"].alias("anchor_no"), a["anchor"].alias("anchor"), j.alias("j"),
+                    F.when(j == 0, tok(j)).otherwise(F.lit(mask_id).cast("bigint")).alias("block_input"),
+                    (F.coalesce(F.element_at(m, (a["anchor"] + j + 1).cast("int")), F.lit(False)) & a["anchor_valid"] & (j > 0)).alias("block_mask"),
+                    tok(j).alias("target"),
+                    F.when(j == 0, tok(j)).otherwise(tok(j - 1)).alias("prev_token"),
+                ),
+            )
+
+        return F.flatten(F.transform(anchors, block))
+
+    # bind the batch arrays once per row (see anchors_in_row)
+    return let(input_ids, lambda ids: let(mask, lambda m: build(ids, m)))
