@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from draftsmith.operators.examples import anchor_blocks, batch_lengths, causal_pair_counts, mtp_step_targets, pack_slots, shift_rows
+from draftsmith.operators.examples import anchor_blocks, batch_lengths, causal_pair_counts, mtp_step_targets, pack_slots, shift_rows  # noqa: F401
 from draftsmith.operators.packing import lpt_assign, pack_batches, pack_sequence, pack_summary
 
 
@@ -115,3 +115,35 @@ def test_pack_invariants(spark):
 def test_lpt_tie_order():
     assert lpt_assign(np.array([5, 5, 5]), 10, 2) == [0, 1, 0]  # items 2,1,0 in turn; ties -> lowest replica
     assert lpt_assign(np.array([11]), 10, 2) is None
+
+
+def test_collate_rows_fixtures(spark):
+    from draftsmith.operators.examples import collate_rows
+
+    r = collate_rows(_rows(spark, [2, 6]), "batch", "ord", 10).first()
+    assert r.document_ids == [0, 0, 1, 1, 1, 1, 1, 1, -1, -1]
+    assert r.position_ids == [0, 1, 0, 1, 2, 3, 4, 5, 0, 0] and r.lengths == [2, 6]
+    assert r.input_ids[:3] == [0, 1, 100] and r.input_ids[-2:] == [0, 0] and r.loss_mask[-1] is False
+    r2 = collate_rows(_rows(spark, [5, 7]), "batch", "ord", 11).first()
+    assert r2.document_ids == [0] * 5 + [1] * 6 and r2.lengths == [5, 6]
+
+
+def test_row_and_slot_layouts_agree(spark):
+    from draftsmith.operators.examples import anchors_in_row, blocks_in_row, collate_rows
+
+    rows = spark.createDataFrame(
+        [(i, i // 3, i, list(range(1000 * i, 1000 * i + 7 + i)), [bool((i + k) % 3) for k in range(7 + i)]) for i in range(9)],
+        "sample_id long, batch long, ord long, input_ids array<long>, loss_mask array<boolean>",
+    )
+    L, n, B = 32, 4, 3
+    slots = pack_slots(rows, "batch", "ord", L)
+    from draftsmith.operators.examples import sample_anchors
+
+    a_slot = {(r.batch_id, r.anchor_no): (r.anchor, r.anchor_valid) for r in sample_anchors(slots, n, B, L, 5).collect()}
+    br = collate_rows(rows, "batch", "ord", L).withColumn("anchors", anchors_in_row(F.col("batch_id"), F.col("loss_mask"), n, B, L, 5))
+    a_row = {(r.batch_id, a.anchor_no): (a.anchor, a.anchor_valid) for r in br.collect() for a in r.anchors}
+    assert a_slot == a_row
+    b_slot = {(r.batch_id, r.anchor_no, r.j): (r.block_input, r.block_mask, r.target) for r in anchor_blocks(sample_anchors(slots, n, B, L, 5), slots, B, 999).collect()}
+    blocks = br.select("batch_id", F.explode(blocks_in_row(F.col("anchors"), F.col("input_ids"), F.col("loss_mask"), B, 999)).alias("b"))
+    b_row = {(r.batch_id, r.b.anchor_no, r.b.j): (r.b.block_input, r.b.block_mask, r.b.target) for r in blocks.collect()}
+    assert b_slot == b_row
