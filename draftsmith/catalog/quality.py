@@ -28,6 +28,7 @@ from draftsmith.operators.quality import (
     position_accuracy,
     threshold_check,
 )
+from draftsmith.session import broadcast_bounded
 from draftsmith.tables import table
 
 G = "quality"
@@ -270,7 +271,7 @@ def acceptance_thresholds(spark, sf):
     per = position_accuracy(spark, _ids(spark, sf), BLOCK, "slot", "pred", "tgt")
     rate = per.select("pos", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0).alias("rate"))
     th = spark.createDataFrame(THRESHOLDS, "pos bigint, threshold double")
-    r = threshold_check(rate, F.broadcast(th))
+    r = threshold_check(rate, broadcast_bounded(th, len(THRESHOLDS), "thresholds"))
     return r.select("pos", "threshold", F.round("rate", 6).alias("rate"), F.col("passed").cast("int").alias("passed"))
 
 

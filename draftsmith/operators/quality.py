@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from draftsmith.functions.distributions import LOSSES, argmax, bce_with_logits, overlap, sigmoid
+from draftsmith.session import broadcast_bounded
 
 
 def masked_decayed_mean(
@@ -92,7 +93,7 @@ def position_accuracy(
         F.sum((F.col(pred) == F.col(target)).cast("bigint")).alias("correct"), F.count(F.lit(1)).alias("total")
     )
     return (
-        F.broadcast(spark.range(num_pos).select(F.col("id").alias("pos")))
+        broadcast_bounded(spark.range(num_pos).select(F.col("id").alias("pos")), num_pos, "position table")
         .join(agg, "pos", "left")
         .select("pos", F.coalesce("correct", F.lit(0)).cast("bigint").alias("correct"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
     )

@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import seeded_hex
+from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded
 
 
-def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_col: str = "rank", max_buckets: int = 1 << 16) -> DataFrame:
     """0-based rank of every row in ``order_cols`` order.
 
     ``bucket`` must be an integer that never decreases along the order
-    (e.g. a prefix of the sort key); the number of distinct buckets is the
-    size of the only single-task step, so keep it bounded (≤ ~1e5).
+    (e.g. a prefix of the sort key) and take at most ``max_buckets`` values:
+    that is the size of the only single-task step and of the broadcast.
+    Rows are expected to have distinct order keys (ids are unique); a key
+    repeated across a large share of the rows would make its bucket hot.
     """
     b = df.withColumn("_bucket", bucket)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -32,7 +35,7 @@ def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_co
     )
     w = Window.partitionBy("_bucket").orderBy(*order_cols)
     return (
-        b.join(F.broadcast(offsets), "_bucket")
+        b.join(broadcast_bounded(offsets, max_buckets, "rank bucket offsets") if max_buckets <= 1 << 16 else offsets, "_bucket")
         .withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
         .drop("_bucket", "_off")
     )
@@ -43,7 +46,7 @@ def seeded_rank(df: DataFrame, seed: int | Column, id_col: str, rank_col: str =
     key = seeded_hex(seed, id_col)
     keyed = df.withColumn("_key", key)
     bucket = F.conv(F.substring("_key", 1, digits), 16, 10).cast("int")
-    return global_rank(keyed, [F.col("_key"), F.col(id_col)], bucket, rank_col).drop("_key")
+    return global_rank(keyed, [F.col("_key"), F.col(id_col)], bucket, rank_col, max_buckets=16**digits).drop("_key")
 
 
 def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank", bucket_width: int = 65536) -> DataFrame:
@@ -52,7 +55,8 @@ def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank", bucket_width: in
     Buckets are fixed-width id ranges; dense integer ids give equal buckets.
     """
     bucket = F.floor(F.col(id_col) / F.lit(bucket_width)).cast("bigint")
-    return global_rank(df, [F.col(id_col)], bucket, rank_col)
+    # the bucket count depends on the id range: let AQE pick the join (no hint)
+    return global_rank(df, [F.col(id_col)], bucket, rank_col, max_buckets=MAX_BROADCAST_ROWS)
 
 
 def shuffle_cap(df: DataFrame, seed: int, id_col: str, n: int | None) -> DataFrame:

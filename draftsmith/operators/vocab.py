@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded
+
 
 def token_frequency(rows: DataFrame) -> DataFrame:
     """A1: ``(token_id, freq)`` over trainable tokens of prepared rows."""
@@ -53,7 +55,7 @@ def select_draft_tokens(spark: SparkSession, freq: DataFrame, draft_vocab_size:
     fill = (
         spark.range(k)
         .select(F.col("id").alias("token_id"))
-        .join(F.broadcast(counted_small), "token_id", "left_anti")
+        .join(broadcast_bounded(counted_small, k, "ids below k"), "token_id", "left_anti")
         .select("token_id", F.lit(1).alias("_prio"), F.lit(None).cast("bigint").alias("_f"))
     )
     ranked = freq.select("token_id", F.lit(0).alias("_prio"), F.col("freq").cast("bigint").alias("_f"))
@@ -79,7 +81,7 @@ def vocab_maps(selected: DataFrame, target_vocab_size: int, spark: SparkSession)
     t2d = (
         spark.range(target_vocab_size)
         .select(F.col("id").alias("target_id"))
-        .join(F.broadcast(selected.select(F.col("token_id").alias("target_id"), F.lit(True).alias("in_draft"))), "target_id", "left")
+        .join(broadcast_bounded(selected.select(F.col("token_id").alias("target_id"), F.lit(True).alias("in_draft")), target_vocab_size, "draft selection"), "target_id", "left")
         .select("target_id", F.coalesce("in_draft", F.lit(False)).alias("in_draft"))
     )
     return d2t, t2d
@@ -99,11 +101,11 @@ def validate_vocab_maps(d2t: DataFrame, t2d: DataFrame, draft_vocab_size: int, t
 
 def draft_to_target(draft_ids: DataFrame, d2t: DataFrame, draft_col: str = "draft_id") -> DataFrame:
     """``target = draft + offset`` by a broadcast join on the bounded map."""
-    m = F.broadcast(d2t.select(F.col("draft_id").alias(draft_col), "offset"))
+    m = broadcast_bounded(d2t.select(F.col("draft_id").alias(draft_col), "offset"), MAX_BROADCAST_ROWS, "d2t map")
     return draft_ids.join(m, draft_col, "left").withColumn("target_id", F.col(draft_col) + F.col("offset")).drop("offset")
 
 
 def prune_to_draft(df: DataFrame, t2d: DataFrame, token_col: str = "token_id") -> DataFrame:
     """Keep rows whose token is in the draft vocabulary (broadcast semi join)."""
-    sel = F.broadcast(t2d.filter("in_draft").select(F.col("target_id").alias(token_col)))
+    sel = broadcast_bounded(t2d.filter("in_draft").select(F.col("target_id").alias(token_col)), MAX_BROADCAST_ROWS, "draft vocabulary")
     return df.join(sel, token_col, "left_semi")

@@ -71,3 +71,20 @@ def spread(df, *keys: str):
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+# Largest row bound accepted for an explicit broadcast (a model constant such
+# as a vocabulary, never a data-dependent size).
+MAX_BROADCAST_ROWS = 1 << 22
+
+
+def broadcast_bounded(df, bound: int, what: str):
+    """``F.broadcast(df)`` for a table whose row count is bounded by ``bound``
+    *by construction* (a parameter, not a measured size).  Larger bounds are
+    refused: such a side must be joined by shuffle (AQE still broadcasts it
+    at run time when it turns out small)."""
+    from pyspark.sql import functions as F
+
+    if bound > MAX_BROADCAST_ROWS:
+        raise ValueError(f"{what}: bound {bound} rows exceeds the broadcast limit {MAX_BROADCAST_ROWS}; use a shuffle join")
+    return F.broadcast(df)
