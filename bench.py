@@ -3,15 +3,19 @@
 Runs each headline query at ``$BENCH_SF_DIR`` (default ``/root/testdata/sf0.1``)
 on ``local[$BENCH_CPUS]``: one warm-up run, then ``$BENCH_REPS`` timed runs
 (median reported).  Every run executes the full plan into Spark's ``noop``
-sink (nothing is collected to the driver).  Prints ONE JSON line.
+sink (nothing is collected to the driver).  Input records and shuffle bytes
+per run are read back from Spark's event log (written to a fresh scratch
+folder; each query's jobs carry its name as job group).  Prints ONE JSON line.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -53,6 +57,8 @@ def main() -> None:
     from draftsmith.catalog import load_all
     from draftsmith.session import local_session
 
+    event_dir = tempfile.mkdtemp(prefix="draftsmith-eventlog-")
+    os.environ["DRAFTSMITH_EVENT_LOG"] = f"file://{event_dir}"
     spark = local_session(cpus, max(8, 2 * cpus), app="draftsmith-bench")
     reg = load_all()
     names = only or HEADLINE
@@ -60,7 +66,9 @@ def main() -> None:
     rows: dict[str, int] = {}
     for name in names:
         fn = reg[name].fn
+        spark.sparkContext.setJobGroup(f"warm:{name}", name)
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+        spark.sparkContext.setJobGroup(f"run:{name}", name)
         samples = []
         for _ in range(reps):
             t0 = time.perf_counter()
@@ -85,8 +93,37 @@ def main() -> None:
         "prep_conversations_per_sec": round(n_conv / prep, 1) if prep else None,
         "n_conversations": n_conv,
     }
-    print(json.dumps(out))
     spark.stop()
+    io = _io_from_event_log(event_dir, reps)
+    out["input_rows"] = {q: io[q][0] for q in times if q in io}
+    out["shuffle_bytes"] = {q: io[q][1] for q in times if q in io}
+    print(json.dumps(out))
+
+
+def _io_from_event_log(event_dir: str, reps: int) -> dict:
+    """Per query: (input records, shuffle bytes written) per timed run."""
+    stage_group: dict[int, str] = {}
+    totals: dict[str, list[int]] = {}
+    for path in sorted(glob.glob(os.path.join(event_dir, "**", "*"), recursive=True)):
+        if os.path.isdir(path):
+            continue
+        with open(path) as f:
+            for line in f:
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id", "")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(ev.get("Stage ID"), "")
+                    if not group.startswith("run:"):
+                        continue
+                    m = ev.get("Task Metrics") or {}
+                    t = totals.setdefault(group[4:], [0, 0])
+                    t[0] += (m.get("Input Metrics") or {}).get("Records Read", 0)
+                    t[1] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+    return {q: (v[0] // max(reps, 1), v[1] // max(reps, 1)) for q, v in totals.items()}
 
 
 if __name__ == "__main__":

@@ -26,6 +26,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
+    if os.environ.get("DRAFTSMITH_EVENT_LOG"):  # a scratch folder for stage/task metrics (bench)
+        builder = (
+            builder.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", os.environ["DRAFTSMITH_EVENT_LOG"])
+            .config("spark.eventLog.compress", "false")
+        )
     builder = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("DRAFTSMITH_DRIVER_MEMORY", "16g"))
