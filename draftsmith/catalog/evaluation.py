@@ -186,9 +186,9 @@ def gen_length_budget(spark, sf):
     return g.select("subset", pretty_subset(F.col("subset")).alias("pretty"), "count", "median", "min", "max", "max_tokens")
 
 
-def _sweep(ev):
+def _sweep(ev, keys=("subset", "event_type")):
     strategy = F.when(F.col("event_type") == "error", "throughput").otherwise("constant")
-    rows = ev.groupBy("subset", "event_type").agg(
+    rows = ev.groupBy(*keys).agg(
         (F.count(F.lit(1)) / 60.0).alias("rps_median"),
         (F.median("value") / 10.0).alias("latency_median_s"),
         F.median("value").alias("itl_median_ms"),
@@ -246,10 +246,12 @@ def sweep_rows(spark, sf):
 
 
 def _curves(spark, sf):
-    ev = _events(spark, sf)
-    base = _sweep(ev.filter(F.col("run") == "base")).select("subset", F.col("rps_median").alias("x"), F.col("latency_median_s").alias("y"))
-    spec = _sweep(ev.filter(F.col("run") == "spec")).select("subset", F.col("rps_median").alias("x"), F.col("latency_median_s").alias("y"))
-    return base, spec
+    """Both runs' curves from ONE grouped pass over ``events``; the two runs are
+    filters on that aggregate (identical sub-plans share one exchange)."""
+    both = _sweep(_events(spark, sf), ("run", "subset", "event_type")).select(
+        "run", "subset", F.col("rps_median").alias("x"), F.col("latency_median_s").alias("y")
+    )
+    return both.filter(F.col("run") == "base").drop("run"), both.filter(F.col("run") == "spec").drop("run")
 
 
 _SQL_CURVES = f"""{_SQL_SWEEP.replace('sweep AS', 'sb AS').replace('SRC', "(SELECT * FROM ev WHERE run = 'base')")},

@@ -153,43 +153,68 @@ def smooth(points: DataFrame, keys: tuple[str, ...], window: int = 1) -> DataFra
 
 
 def interpolate_speedup(base: DataFrame, target: DataFrame, increasing: bool, n_grid: int = 200, eps: float = 1e-12) -> DataFrame:
-    """Per common subset, speed-up on an ``n_grid`` x grid over the overlap.
+    """J11 (+U4): per subset present in both runs, speed-up on an ``n_grid`` x
+    grid over the overlap of their x ranges; subsets without overlap are skipped.
 
-    ``base``/``target``: ``(subset, x, y)`` curves.  Subsets whose x ranges
-    do not overlap are skipped.  Each grid x takes the previous and next
-    known point of each curve by ``last/first(ignorenulls)`` over the union
-    ordered by x — no theta join — and interpolates linearly.  ``increasing``
-    metrics (latency) give ``base / target``, others ``target / base``.
+    One pass over the union of both curves, no theta join and no second
+    read of either input:
+
+    1. windows per (subset, run) give each run's x range, a window per subset
+       the overlap and the number of runs present;
+    2. one designated point row per subset also emits the grid points (one
+       ``explode`` of ``[point] ++ grid``);
+    3. windows per (subset, run) ordered by x fill each grid point's previous
+       and next known point (``last/first(ignorenulls)``) → linear interpolation;
+    4. a group-by (subset, grid index) pairs the two runs.
+
+    ``increasing`` metrics (latency) give ``base / target``, others ``target / base``.
     """
-    rng = lambda d, n: d.groupBy("subset").agg(F.min("x").alias(f"{n}_lo"), F.max("x").alias(f"{n}_hi"))
-    ov = rng(base, "b").join(rng(target, "t"), "subset")  # inner: subsets in both runs (U4)
-    ov = ov.select("subset", F.greatest("b_lo", "t_lo").alias("lo"), F.least("b_hi", "t_hi").alias("hi")).filter(F.col("lo") < F.col("hi"))
-    grid = ov.select(
-        "subset", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"), "lo", "hi"
-    ).select("subset", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / F.lit(n_grid - 1)).alias("x"))
-
-    def interp(curve: DataFrame, run: str) -> DataFrame:
-        pts = curve.join(ov.select("subset"), "subset", "left_semi").select(
-            "subset", F.lit(None).cast("int").alias("i"), "x", F.col("y").cast("double").alias("y"), F.lit(0).alias("_k")
-        )
-        g = grid.select("subset", "i", "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("_k"))
-        u = pts.unionByName(g)
-        before = Window.partitionBy("subset").orderBy("x", "_k").rowsBetween(Window.unboundedPreceding, 0)
-        after = Window.partitionBy("subset").orderBy("x", "_k").rowsBetween(0, Window.unboundedFollowing)
-        px = F.when(F.col("_k") == 0, F.col("x"))
-        s = u.select(
-            "subset", "i", "x", "_k",
-            F.last(px, True).over(before).alias("x0"), F.last("y", True).over(before).alias("y0"),
-            F.first(px, True).over(after).alias("x1"), F.first("y", True).over(after).alias("y1"),
-        ).filter(F.col("_k") == 1)
-        y = (
-            F.when(F.col("x0").isNull(), F.col("y1"))
-            .when(F.col("x1").isNull() | (F.col("x1") == F.col("x0")), F.col("y0"))
-            .otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-        )
-        return s.select("subset", "i", "x", y.alias(f"y_{run}"))
-
-    j = interp(base, "base").join(interp(target, "target").drop("x"), ["subset", "i"])
+    pts = base.select("subset", "x", F.col("y").cast("double").alias("y"), F.lit("base").alias("run")).unionByName(
+        target.select("subset", "x", F.col("y").cast("double").alias("y"), F.lit("target").alias("run"))
+    )
+    sr = Window.partitionBy("subset", "run")
+    s_ = Window.partitionBy("subset")
+    ranged = (
+        pts.withColumn("_lo_r", F.min("x").over(sr)).withColumn("_hi_r", F.max("x").over(sr))
+        .withColumn("_lo", F.max("_lo_r").over(s_)).withColumn("_hi", F.min("_hi_r").over(s_))
+        .withColumn("_runs", F.size(F.collect_set("run").over(s_)))
+        .withColumn("_first", F.row_number().over(s_.orderBy("run", "x", "y")) == 1)
+        .filter((F.col("_runs") == 2) & (F.col("_lo") < F.col("_hi")))
+    )
+    grid_x = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / F.lit(n_grid - 1)
+    item_t = "struct<run:string,i:int,x:double,y:double,k:int>"
+    point = F.array(F.struct(F.col("run"), F.lit(None).cast("int").alias("i"), F.col("x").cast("double").alias("x"), F.col("y"), F.lit(0).alias("k")))
+    grid = F.when(
+        F.col("_first"),
+        F.flatten(
+            F.transform(
+                F.array(F.lit("base"), F.lit("target")),
+                lambda r: F.transform(
+                    F.sequence(F.lit(0), F.lit(n_grid - 1)),
+                    lambda i: F.struct(r.alias("run"), i.alias("i"), grid_x(i).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("k")),
+                ),
+            )
+        ),
+    ).otherwise(F.array().cast(f"array<{item_t}>"))
+    u = ranged.select("subset", F.explode(F.concat(point, grid)).alias("_e")).select("subset", "_e.*")
+    before = Window.partitionBy("subset", "run").orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("subset", "run").orderBy("x", "k").rowsBetween(0, Window.unboundedFollowing)
+    px = F.when(F.col("k") == 0, F.col("x"))
+    filled = u.select(
+        "subset", "run", "i", "x", "k",
+        F.last(px, True).over(before).alias("x0"), F.last("y", True).over(before).alias("y0"),
+        F.first(px, True).over(after).alias("x1"), F.first("y", True).over(after).alias("y1"),
+    ).filter(F.col("k") == 1)
+    y = (
+        F.when(F.col("x0").isNull(), F.col("y1"))
+        .when(F.col("x1").isNull() | (F.col("x1") == F.col("x0")), F.col("y0"))
+        .otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    )
+    j = filled.withColumn("_y", y).groupBy("subset", "i").agg(
+        F.first("x").alias("x"),
+        F.max(F.when(F.col("run") == "base", F.col("_y"))).alias("y_base"),
+        F.max(F.when(F.col("run") == "target", F.col("_y"))).alias("y_target"),
+    )
     ratio = (
         F.col("y_base") / F.greatest(F.col("y_target"), F.lit(eps))
         if increasing

@@ -121,38 +121,38 @@ def failure_streaks(
     Returns every attempt with ``streak`` and ``abort``.
     """
     b = attempts.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint"))
+    # the join below would add these not-null filters to one branch only; stating
+    # them here keeps both uses of the partitioned pass identical (one exchange)
+    b = b.filter(F.col(key).isNotNull() & F.col("_bucket").isNotNull())
     fail = (~F.col(ok)).cast("int")
-    last_ok = F.max(F.when(F.col(ok), F.col(order)))
-    summary = b.groupBy(key, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
-        last_ok.alias("_last_ok"),
-        F.sum(fail).alias("_fails"),
+    part = Window.partitionBy(key, "_bucket")
+    run = part.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # one pass over the attempts, partitioned by (key, bucket): local islands
+    # and streaks, plus what the bucket summary needs (no second scan)
+    local = b.withColumn("_island", F.sum(F.col(ok).cast("int")).over(run))
+    local = (
+        local.withColumn("_st", F.sum(fail).over(Window.partitionBy(key, "_bucket", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_last_isl", F.max("_island").over(part))
     )
-    # trailing failures after the last success of the bucket
-    trail = b.join(summary.select(key, "_bucket", "_last_ok"), [key, "_bucket"]).groupBy(key, "_bucket").agg(
-        F.sum(F.when(F.col("_last_ok").isNull() | (F.col(order) > F.col("_last_ok")), 1).otherwise(0)).alias("_trail")
+    # per bucket: rows, whether a success occurred, failures after its last success
+    summary = local.groupBy(key, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.col(ok).cast("int")).alias("_has_ok"),
+        F.sum(F.when((F.col("_island") == F.col("_last_isl")) & ~F.col(ok), 1).otherwise(0)).alias("_trail"),
     )
-    s = summary.join(trail, [key, "_bucket"])
+    # carry-in = failures in a row at the end of all earlier buckets (small table)
     wb = Window.partitionBy(key).orderBy("_bucket")
-    has_ok = F.col("_last_ok").isNotNull().cast("int")
-    # island = number of buckets with a success strictly before this one
-    s = s.withColumn("_isl", F.coalesce(F.sum(has_ok).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # carry = trailing failures of the last success bucket before + all rows of the failure-only buckets after it
-    wi = Window.partitionBy(key, "_isl").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_prev_trail", F.last(F.when(F.col("_last_ok").isNotNull(), F.col("_trail")), True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("_since", F.coalesce(F.sum("_n").over(wi), F.lit(0)))
-    s = s.withColumn(
-        "_carry",
-        F.when(F.col("_isl") == 0, F.col("_since")).otherwise(F.coalesce("_prev_trail", F.lit(0)) + F.col("_since")),
-    ).select(key, "_bucket", "_carry")
-    w = Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumn("_island", F.sum(F.col(ok).cast("int")).over(w)).withColumn("_st", F.sum(fail).over(
-        Window.partitionBy(key, "_bucket", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ))
-    out = local.join(s, [key, "_bucket"]).withColumn(
+    s = summary.withColumn("_isl", F.coalesce(F.sum("_has_ok").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    s = s.withColumn("_prev_trail", F.last(F.when(F.col("_has_ok") == 1, F.col("_trail")), True).over(wb.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("_since", F.coalesce(F.sum("_n").over(Window.partitionBy(key, "_isl").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    carry = s.select(
+        key, "_bucket",
+        F.when(F.col("_isl") == 0, F.col("_since")).otherwise(F.coalesce("_prev_trail", F.lit(0)) + F.col("_since")).alias("_carry"),
+    )
+    out = local.join(carry, [key, "_bucket"]).withColumn(
         "streak", (F.col("_st") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).cast("bigint")
     )
-    return out.withColumn("abort", F.col("streak") >= threshold).drop("_bucket", "_island", "_st", "_carry")
+    return out.withColumn("abort", F.col("streak") >= threshold).drop("_bucket", "_island", "_st", "_last_isl", "_carry")
 
 
 def step_profile(marks: DataFrame, tokens: str = "num_tokens") -> DataFrame:
