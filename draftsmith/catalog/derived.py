@@ -34,6 +34,12 @@ def prepared(spark: SparkSession, sf: str, max_length: int = MAX_LEN, min_valid:
     return prepare_rows(turns(spark, sf), CHATML, max_length, VOCAB, min_valid)
 
 
+def prepared_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The ids of the prepared rows — conversations with a kept turn — from the
+    turn table alone (ranking or splitting ids must not re-run the tokenizer)."""
+    return turns(spark, sf).select("sample_id").distinct()
+
+
 def doc_rows(spark: SparkSession, sf: str, max_length: int = MAX_LEN) -> DataFrame:
     """Documents as single-turn assistant conversations (every token trainable)."""
     docs = table(spark, sf, "documents", "doc_id", "text").select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
-from draftsmith.catalog.derived import SEED, VOCAB, bool_digest, ids_digest, prepared, sql_bool_digest, sql_ids_digest, sql_prepared_chain
+from draftsmith.catalog.derived import SEED, VOCAB, bool_digest, ids_digest, prepared, prepared_ids, sql_bool_digest, sql_ids_digest, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.operators.examples import (
     collate_rows,
@@ -44,7 +44,10 @@ DEPTHS = 3
 
 
 def _batched(spark, sf):
-    r = seeded_rank(prepared(spark, sf), SEED, "sample_id", "rk")
+    """Prepared rows with their seeded rank; the rank is computed on the id
+    table and joined (rows are already partitioned by id)."""
+    ranks = seeded_rank(prepared_ids(spark, sf), SEED, "sample_id", "rk")
+    r = prepared(spark, sf).join(ranks, "sample_id")
     return r.withColumn("batch_id", F.floor(F.col("rk") / BATCH).cast("bigint"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
-from draftsmith.catalog.derived import SEED, prepared, sql_prepared_chain
+from draftsmith.catalog.derived import SEED, prepared, prepared_ids, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.functions.text import TOKEN_PATTERN, sanitize_name
 from draftsmith.operators.normalize import extract_prompt_turns
@@ -64,7 +64,7 @@ r AS (SELECT sample_id, CAST(row_number() OVER (ORDER BY sample_id) - 1 AS BIGIN
 n AS (SELECT count(*) AS n FROM prepared)
 SELECT sample_id, idx, CASE WHEN idx < CAST(floor(n * {SPLIT}) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM r, n""", G)
 def train_val_split(spark, sf):
-    rows = prepared(spark, sf).select("sample_id")
+    rows = prepared_ids(spark, sf)
     n = rows.count()
     ranked = id_rank(rows, "sample_id", "idx")
     lo, hi = split_cut(n, SPLIT)
@@ -76,7 +76,7 @@ r AS (SELECT sample_id, CAST(row_number() OVER (ORDER BY {_sql_key('sample_id')}
 n AS (SELECT count(*) AS n FROM prepared)
 SELECT sample_id, shuffle_rank, CASE WHEN shuffle_rank < CAST(floor(n * 0.9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM r, n""", G)
 def shuffled_split(spark, sf):
-    rows = prepared(spark, sf).select("sample_id")
+    rows = prepared_ids(spark, sf)
     n = rows.count()
     cut = int(n * 0.9)
     r = seeded_rank(rows, SEED, "sample_id", "shuffle_rank")
@@ -84,7 +84,7 @@ def shuffled_split(spark, sf):
 
 
 def _existing(spark, sf):
-    rows = prepared(spark, sf)
+    rows = prepared_ids(spark, sf)
     return rows.join(table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("sample_id")).distinct(), "sample_id", "left_semi")
 
 
@@ -106,7 +106,7 @@ chunks AS (
 {_sql_chunks(WORLD)}
 SELECT sample_id, idx, owner FROM chunks WHERE sample_id NOT IN (SELECT sample_id FROM existing)""", G)
 def rank_chunks(spark, sf):
-    ids = prepared(spark, sf).select("sample_id")
+    ids = prepared_ids(spark, sf)
     return backfill_plan(ids, _existing(spark, sf), WORLD).select("sample_id", "idx", "owner")
 
 
@@ -123,7 +123,7 @@ def resume_anti_join(spark, sf):
 SELECT owner, CAST(count(e.sample_id) AS BIGINT) AS n_existing, CAST(count(*) AS BIGINT) AS n_total
 FROM chunks c LEFT JOIN existing e USING (sample_id) GROUP BY owner""", G)
 def existing_semi_count(spark, sf):
-    chunks = assign_chunks(prepared(spark, sf).select("sample_id"), WORLD)
+    chunks = assign_chunks(prepared_ids(spark, sf), WORLD)
     return existing_per_chunk(chunks, _existing(spark, sf))
 
 
@@ -132,7 +132,7 @@ def existing_semi_count(spark, sf):
 SELECT p.sample_id, CASE WHEN e.sample_id IS NULL THEN 'generate' ELSE 'present' END AS status
 FROM prepared p LEFT JOIN existing e USING (sample_id)""", G)
 def artefact_left_join_policy(spark, sf):
-    rows = prepared(spark, sf).select("sample_id")
+    rows = prepared_ids(spark, sf)
     return attach_artefacts(rows, _existing(spark, sf).select("sample_id"), "generate").select("sample_id", "status")
 
 
