@@ -46,38 +46,53 @@ def lpt_assign(lengths: np.ndarray, max_len: int, replicas: int) -> list[int] |
     return out
 
 
+def _next_batch(lengths: np.ndarray, csum: np.ndarray, start: int, used_before: int, max_len: int, replicas: int) -> tuple[int, list[int]]:
+    """Size and replica assignment of the batch that starts at ``start``.
+
+    The candidate sizes are ``1 .. cap`` where ``cap`` items still fit the
+    total budget ``replicas * max_len``.  The largest LPT-feasible size is
+    found by bisection, which only runs while more than ``replicas`` sizes
+    remain possible (with fewer, a batch of one item is taken — Q14).
+    """
+
+    def assign(m: int) -> list[int] | None:
+        return lpt_assign(lengths[start : start + m], max_len, replicas)
+
+    cap = int(np.searchsorted(csum[start:], used_before + max_len * replicas, "right"))
+    good, bad = 1, cap + 1  # invariant: ``good`` accepted (or the fallback), ``bad`` rejected/out of range
+    last = None
+    while bad - good > 1 and bad > replicas:
+        probe = (good + bad) // 2
+        last = assign(probe)
+        if last is None:
+            bad = probe
+        else:
+            good = probe
+    if last is None or len(last) != good:
+        last = assign(good)
+    if last is None:  # one item longer than max_len — clip or drop first (O10)
+        last = [0] * good
+    return good, last
+
+
 def pack_sequence(lengths: np.ndarray, max_len: int, replicas: int) -> tuple[list[tuple[int, int, int]], int]:
     """O9 + W2: greedy maximal batches over ``lengths`` in order (the running
-    token count ``cumsum`` bounds the search).
+    token count ``cumsum`` bounds each search).
 
     Returns ``([(position, batch_no, replica)], n_used)``; positions from
     ``n_used`` on are the leftovers (fewer than ``replicas``).
     """
-    n = len(lengths)
-    csum = np.cumsum(lengths) if n else np.array([], dtype=np.int64)
-    ind, so_far, batch_no = 0, 0, 0
-    assigned: list[tuple[int, int, int]] = []
-    while n - ind >= replicas:
-        left = 1
-        right = 1 + int(np.searchsorted(csum[ind:], so_far + max_len * replicas, "right"))
-        best = None
-        while right - left > 1 and right > replicas:
-            mid = (left + right) // 2
-            best = lpt_assign(lengths[ind : ind + mid], max_len, replicas)
-            if best is None:
-                right = mid
-            else:
-                left = mid
-        if best is None or len(best) != left:
-            best = lpt_assign(lengths[ind : ind + left], max_len, replicas)
-        if best is None:  # a single item longer than max_len (clip/drop first, O10)
-            best = [0] * left
-        for k, r in enumerate(best):
-            assigned.append((ind + k, batch_no, r))
-        ind += left
-        so_far = int(csum[ind - 1])
+    total = len(lengths)
+    csum = np.cumsum(lengths) if total else np.array([], dtype=np.int64)
+    out: list[tuple[int, int, int]] = []
+    pos, batch_no = 0, 0
+    while total - pos >= replicas:
+        used_before = int(csum[pos - 1]) if pos else 0
+        size, replica_of = _next_batch(lengths, csum, pos, used_before, max_len, replicas)
+        out.extend((pos + k, batch_no, r) for k, r in enumerate(replica_of))
+        pos += size
         batch_no += 1
-    return assigned, ind
+    return out, pos
 
 
 def _packer(max_len: int, replicas: int, keep_leftovers: bool):
