@@ -226,7 +226,8 @@ def token_array(text: Column) -> Column:
     """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE_PATTERN), 0)
     z = F.arrays_zip(pieces.alias("token"), piece_starts(pieces).alias("start"))
-    toks = F.filter(z, lambda x: ~x["token"].rlike(r"^[ \t\r\n]+$"))
+    # a piece is a space run iff its first character is a space (pieces tile the text)
+    toks = F.filter(z, lambda x: ~F.substring(x["token"], 1, 1).isin(" ", "\t", "\r", "\n"))
     return F.transform(
         toks,
         lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).cast("bigint").alias("end")),
