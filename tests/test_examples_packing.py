@@ -147,3 +147,16 @@ def test_row_and_slot_layouts_agree(spark):
     blocks = br.select("batch_id", F.explode(blocks_in_row(F.col("anchors"), F.col("input_ids"), F.col("loss_mask"), B, 999)).alias("b"))
     b_row = {(r.batch_id, r.b.anchor_no, r.b.j): (r.b.block_input, r.b.block_mask, r.b.target) for r in blocks.collect()}
     assert b_slot == b_row
+
+
+def test_resume_skips_batches_without_payload(spark):
+    """Resuming inside an epoch is a filter on the stored plan (ids and
+    lengths only) — the first n batches of every shard are skipped."""
+    from draftsmith.operators.packing import skip_batches
+
+    lens = spark.createDataFrame([(i, 10 + (i * 7) % 50) for i in range(60)], "sample_id long, length long")
+    plan = pack_batches(lens, 100, 2, seed=1, num_shards=1)
+    rest = skip_batches(plan, 3)
+    assert set(plan.columns) == {"shard", "batch_no", "replica", "sample_id", "length"}
+    assert rest.agg(F.min("batch_no")).first()[0] == 3
+    assert rest.count() == plan.filter("batch_no >= 3").count()

@@ -122,3 +122,15 @@ def test_loss_spec():
     for bad in ("", "nope", '{"kl": "x"}', "{}"):
         with pytest.raises(ValueError):
             parse_loss_spec(bad)
+
+
+def test_position_counts_sum_to_totals(spark):
+    from draftsmith.operators.quality import block_accuracy
+
+    rows = [(i % 4, i % 3, (i * 5) % 3, (i % 5) != 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "slot int, pred long, target long, mask boolean")
+    per = position_accuracy(spark, df, 4, "slot")
+    tot = block_accuracy(per).first()
+    sub = per.filter("pos > 0").agg(F.sum("correct").alias("c"), F.sum("total").alias("t")).first()
+    assert (tot.full_correct, tot.full_total) == (sub.c, sub.t)
+    assert per.agg(F.sum("total")).first()[0] == sum(1 for r in rows if r[3])

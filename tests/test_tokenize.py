@@ -110,3 +110,50 @@ def test_hot_split_equals_plain(spark):
     a = prepare_rows(t, hot_turns=None)
     b = prepare_rows(t, hot_turns=3)  # most conversations are "hot" here
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+TEMPLATE_FAMILIES = {
+    "chatml": CHATML,
+    "header": ChatTemplate(name="header", roles={
+        "system": ("<|start_header_id|>system<|end_header_id|>\n\n", "<|eot_id|>"),
+        "user": ("<|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|>"),
+        "assistant": ("<|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>"),
+    }),
+    "bracket": ChatTemplate(name="bracket", roles={
+        "system": ("[SYS] ", " [/SYS]\n"),
+        "user": ("[INST] ", " [/INST]"),
+        "assistant": ("[ANS] ", " [/ANS]"),
+    }),
+    "role_tag": ChatTemplate(name="role_tag", roles={
+        "system": ("<system>\n", "\n</system>\n"),
+        "user": ("<user>\n", "\n</user>\n"),
+        "assistant": ("<assistant>\n", "\n</assistant>\n"),
+    }),
+}
+
+
+def test_mask_methods_agree_across_template_families(spark):
+    """For every template family, the mask known by construction
+    equals the mask found by the template's assistant pattern (regex path)."""
+    from draftsmith.operators.tokenize import prepare_rows_by_pattern
+
+    t = turns(spark, SF_SMALL)
+    cols = ["sample_id", "input_ids", "loss_mask", "seq_len"]
+    for name, tmpl in TEMPLATE_FAMILIES.items():
+        a = prepare_rows(t, template=tmpl, hot_turns=None).select(*cols)
+        b = prepare_rows_by_pattern(t, tmpl.assistant_pattern(), tmpl).select(*cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_regex_path_needs_distinctive_markers(spark):
+    """A template whose assistant marker is not distinctive (a lone space) makes
+    the regex path ambiguous — it matches inside user text — while the
+    construction path, which never searches the text, stays exact."""
+    from draftsmith.operators.tokenize import prepare_rows_by_pattern
+
+    tmpl = ChatTemplate(name="weak", roles={"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>")})
+    df = spark.createDataFrame([(1, 0, "user", "two words"), (1, 1, "assistant", "ok")], "sample_id long, turn long, role string, text string")
+    exact = prepare_rows(df, template=tmpl, hot_turns=None).first()
+    guessed = prepare_rows_by_pattern(df, tmpl.assistant_pattern(), tmpl).first()
+    assert sum(exact.loss_mask) == 1  # only "ok"
+    assert sum(guessed.loss_mask) > 1  # the regex also swallowed user text
