@@ -13,17 +13,10 @@ from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, VOCAB, bool_digest, ids_digest, prepared, prepared_ids, sql_bool_digest, sql_ids_digest, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.operators.examples import (
-    collate_rows,
-    anchor_blocks,
-    anchor_context,
     batch_lengths,
-    causal_pair_counts,
-    chain_context,
+    collate_rows,
     mtp_step_targets,
     offpolicy_targets,
-    pack_slots,
-    prev_token_in_block,
-    sample_anchors,
     shift_rows,
     slice_pad,
     split_layers,
@@ -51,10 +44,6 @@ def _batched(spark, sf):
     return r.withColumn("batch_id", F.floor(F.col("rk") / BATCH).cast("bigint"))
 
 
-def _slots(spark, sf):
-    return pack_slots(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
-
-
 def _batch_rows(spark, sf):
     from draftsmith.operators.examples import anchors_in_row, collate_rows
 
@@ -69,11 +58,6 @@ def _blocks(spark, sf):
     return b.select("batch_id", F.explode(blocks_in_row(F.col("anchors"), F.col("input_ids"), F.col("loss_mask"), BLOCK, MASK_ID)).alias("b")).select("batch_id", "b.*")
 
 
-def _anchors(spark, sf, slots=None):
-    slots = slots if slots is not None else _slots(spark, sf)
-    return sample_anchors(slots, N_ANCHORS, BLOCK, MAX_SLOTS, SEED)
-
-
 _SQL_BATCHED = f"""ranked AS (
   SELECT p.*, CAST(row_number() OVER (ORDER BY md5('{SEED}' || ':' || CAST(sample_id AS VARCHAR)), sample_id) - 1 AS BIGINT) AS rk
   FROM prepared p

@@ -219,9 +219,6 @@ def piece_starts(pieces):
     return pa.ListArray.from_arrays(off, starts)
 
 
-TOKEN_STRUCT = "array<struct<token:string,start:bigint,end:bigint>>"
-
-
 def token_array(text: Column) -> Column:
     """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE_PATTERN), 0)
@@ -414,8 +411,3 @@ def arrow_tokenizer(encode, vocab_size: int | None = None):
         return pd.DataFrame({"ids": ids, "error": errs})
 
     return _tok
-
-
-def py_regex_token_count(text: str) -> int:
-    """Plain-Python check helper used by tests (not on any Spark path)."""
-    return len(re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]", text))

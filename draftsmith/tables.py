@@ -8,16 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLE_COLUMNS = {
-    "conversations": ["conv_id", "turn", "role", "text"],
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "embeddings": ["vec_id", "embedding", "label"],
-    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
-    "benchmark": ["item_id", "text"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "pages": ["page_id", "url", "html"],
-}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
