@@ -24,8 +24,9 @@ def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_co
     ``bucket`` must be an integer that never decreases along the order
     (e.g. a prefix of the sort key) and take at most ``max_buckets`` values:
     that is the size of the only single-task step and of the broadcast.
-    Rows are expected to have distinct order keys (ids are unique); a key
-    repeated across a large share of the rows would make its bucket hot.
+    Rows are expected to have distinct order keys (ids are unique); when keys
+    may repeat, use :func:`global_rank_with_ties`, which stays balanced even
+    if one key holds a large share of the rows.
     """
     b = df.withColumn("_bucket", bucket)
     sizes = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -41,11 +42,17 @@ def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_co
     )
 
 
-def seeded_rank(df: DataFrame, seed: int | Column, id_col: str, rank_col: str = "rank", digits: int = 3) -> DataFrame:
-    """Rank in the seeded shuffle order ``(md5(seed:id), id)``."""
+def seeded_rank(df: DataFrame, seed: int | Column, id_col: str, rank_col: str = "rank", digits: int = 3, unique_ids: bool = True) -> DataFrame:
+    """Rank in the seeded shuffle order ``(md5(seed:id), id)``.
+
+    With ``unique_ids=False`` repeated ids are allowed — even one id holding a
+    large share of the rows (:func:`global_rank_with_ties`).
+    """
     key = seeded_hex(seed, id_col)
     keyed = df.withColumn("_key", key)
     bucket = F.conv(F.substring("_key", 1, digits), 16, 10).cast("int")
+    if not unique_ids:
+        return global_rank_with_ties(keyed, ["_key", id_col], bucket, rank_col, max_buckets=16**digits).drop("_key")
     return global_rank(keyed, [F.col("_key"), F.col(id_col)], bucket, rank_col, max_buckets=16**digits).drop("_key")
 
 
@@ -59,12 +66,12 @@ def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank", bucket_width: in
     return global_rank(df, [F.col(id_col)], bucket, rank_col, max_buckets=MAX_BROADCAST_ROWS)
 
 
-def shuffle_cap(df: DataFrame, seed: int, id_col: str, n: int | None) -> DataFrame:
+def shuffle_cap(df: DataFrame, seed: int, id_col: str, n: int | None, unique_ids: bool = True) -> DataFrame:
     """O1 + O2/O3: keep the first ``n`` rows of the seeded order (all if None).
 
     A filter on the distributed rank — no single-partition ``limit``.
     """
-    ranked = seeded_rank(df, seed, id_col, "_srank")
+    ranked = seeded_rank(df, seed, id_col, "_srank", unique_ids=unique_ids)
     if n is not None:
         ranked = ranked.filter(F.col("_srank") < n)
     return ranked.drop("_srank")
@@ -120,3 +127,56 @@ def chunk_of(idx: Column, target: int, world_size: int) -> Column:
     big = r * (c + 1)
     owner = F.when(idx < big, F.floor(idx / (c + 1))).otherwise(F.lit(r) + F.floor((idx - big) / F.lit(max(c, 1))))
     return F.when((idx >= 0) & (idx < target), owner.cast("int"))
+
+
+def weighted_key_starts(keys: DataFrame, key_cols: list[str], weight: str, bucket: Column, max_buckets: int = 1 << 16) -> DataFrame:
+    """For unique keys with a weight (row count), the rank of the first row of
+    each key in key order: bucket totals → prefix sums in one small task →
+    running sum of weights inside each bucket."""
+    b = keys.withColumn("_bucket", bucket)
+    sizes = b.groupBy("_bucket").agg(F.sum(weight).alias("_n"))
+    offsets = sizes.select(
+        "_bucket",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+    )
+    off = broadcast_bounded(offsets, max_buckets, "rank bucket offsets") if max_buckets <= 1 << 16 else offsets
+    w = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        b.join(off, "_bucket")
+        .withColumn("_key_start", (F.col("_off") + F.coalesce(F.sum(weight).over(w), F.lit(0))).cast("bigint"))
+        .drop("_bucket", "_off")
+    )
+
+
+def global_rank_with_ties(
+    df: DataFrame, key_cols: list[str], bucket: Column, rank_col: str = "rank", rows_per_group: int = 1_000_000, max_buckets: int = 1 << 16
+) -> DataFrame:
+    """Exact 0-based rank in ``key_cols`` order when keys may repeat — even one
+    key holding a large share of all rows.
+
+    1. rows per key (partial aggregation: a hot key is one row per task);
+    2. the start rank of each key, from the ranks of the *distinct* keys
+       weighted by their counts (unique keys → uniform buckets);
+    3. inside a key, rows are spread over ``ceil(count / rows_per_group)``
+       salt groups by a row hash; group sizes → offsets; ``row_number``
+       runs per (key, salt), so no window holds more than about
+       ``rows_per_group`` rows.
+
+    Rows with equal keys are ordered by the row hash (fully identical rows are
+    interchangeable).  ``bucket`` must be monotone in the key order.
+    """
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    starts = weighted_key_starts(counts.withColumn("_b", bucket), key_cols, "_cnt", F.col("_b"), max_buckets).drop("_b")
+    starts = starts.withColumn("_groups", F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(rows_per_group))).cast("bigint"))
+    rows = df.withColumn("_h", row_hash).join(starts.select(*key_cols, "_key_start", "_groups"), key_cols)
+    rows = rows.withColumn("_salt", F.pmod(F.col("_h"), F.col("_groups")))
+    salt_sizes = rows.groupBy(*key_cols, "_salt").agg(F.count(F.lit(1)).alias("_sn"))
+    ws = Window.partitionBy(*key_cols).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    salt_off = salt_sizes.withColumn("_soff", F.coalesce(F.sum("_sn").over(ws), F.lit(0))).drop("_sn")
+    wr = Window.partitionBy(*key_cols, "_salt").orderBy("_h", *[F.col(c) for c in df.columns])
+    return (
+        rows.join(salt_off, [*key_cols, "_salt"])
+        .withColumn(rank_col, (F.col("_key_start") + F.col("_soff") + F.row_number().over(wr) - 1).cast("bigint"))
+        .drop("_h", "_key_start", "_groups", "_salt", "_soff")
+    )

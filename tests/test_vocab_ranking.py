@@ -87,3 +87,31 @@ def test_id_rank_dense(spark):
     df = spark.createDataFrame([(5,), (100000,), (7,), (70000,)], "sample_id long")
     r = {x.sample_id: x.rank for x in id_rank(df, "sample_id", bucket_width=1000).collect()}
     assert r == {5: 0, 7: 1, 70000: 2, 100000: 3}
+
+
+def test_rank_with_a_hot_duplicated_key(spark):
+    from draftsmith.operators.ranking import global_rank_with_ties
+
+    # one key holds 40% of the rows
+    rows = [(7, i) for i in range(400)] + [(k, i) for k in range(100) if k != 7 for i in range(6)]
+    df = spark.createDataFrame(rows, "k long, payload long")
+    r = global_rank_with_ties(df, ["k"], F.floor(F.col("k") / 10), "rk", rows_per_group=50).collect()
+    ranks = sorted(x.rk for x in r)
+    assert ranks == list(range(len(rows)))  # a permutation of 0..n-1
+    by_key = {}
+    for x in r:
+        by_key.setdefault(x.k, []).append(x.rk)
+    keys = sorted(by_key)
+    for a, b in zip(keys, keys[1:]):
+        assert max(by_key[a]) < min(by_key[b])  # key order respected
+
+
+def test_seeded_rank_duplicates_mode(spark):
+    df = spark.createDataFrame([(1,)] * 30 + [(i,) for i in range(2, 12)], "sample_id long")
+    r = seeded_rank(df, 3, "sample_id", "rk", unique_ids=False).collect()
+    assert sorted(x.rk for x in r) == list(range(40))
+    u = seeded_rank(df.distinct(), 3, "sample_id", "rk").orderBy("rk").collect()
+    d = {}
+    for x in r:
+        d.setdefault(x.sample_id, []).append(x.rk)
+    assert [x.sample_id for x in u] == sorted(d, key=lambda k: min(d[k]))  # same id order as the unique ranking
