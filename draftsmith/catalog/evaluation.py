@@ -2,8 +2,8 @@
 
 Stand-ins derived from ``events`` (documented, repeated in every oracle):
 
-* subset / engine = ``'sub' || user_id % 4``; run = ``base`` for even
-  ``event_id``, ``spec`` for odd (two interleaved runs);
+* subset / engine = ``'sub' || user_id % 4``; run = ``base`` for the first
+  15 days of events, ``spec`` for the rest (two runs);
 * counters: ``view`` → drafts, ``click`` → draft tokens, ``purchase`` →
   accepted tokens, ``signup`` → accepted tokens per position
   (``event_id % 3``), ``error`` → a non-spec counter; a scrape per day holds
@@ -42,6 +42,7 @@ from draftsmith.tables import table
 G = "evaluation"
 EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z, start of the events table
 BASE_DAY = 14
+RUN_SPLIT_DAY = 15  # first half of the month = baseline run, second half = speculative run
 NS = "srv"
 COUNTER_OF = {"view": "num_drafts", "click": "num_draft_tokens", "purchase": "num_accepted_tokens", "signup": "num_accepted_tokens_per_pos"}
 RATE_OF = {"view": 1, "click": 2, "purchase": 4, "signup": 8}
@@ -53,7 +54,7 @@ def _events(spark, sf):
         "event_id", "event_type", "value",
         F.concat(F.lit("sub"), F.pmod(F.col("user_id"), F.lit(4)).cast("string")).alias("subset"),
         F.floor((F.unix_timestamp("ts") - EPOCH0) / 86400).cast("int").alias("day"),
-        F.when(F.pmod(F.col("event_id"), F.lit(2)) == 0, "base").otherwise("spec").alias("run"),
+        F.when(F.floor((F.unix_timestamp("ts") - EPOCH0) / 86400) < RUN_SPLIT_DAY, "base").otherwise("spec").alias("run"),
     )
 
 
@@ -90,7 +91,7 @@ def _at_or_before(scrapes, day=None):
 _SQL_EVENTS = f"""ev AS (
   SELECT event_id, event_type, value, 'sub' || CAST(user_id % 4 AS VARCHAR) AS subset,
          CAST(floor((epoch(ts) - {EPOCH0}) / 86400) AS INTEGER) AS day,
-         CASE WHEN event_id % 2 = 0 THEN 'base' ELSE 'spec' END AS run
+         CASE WHEN floor((epoch(ts) - {EPOCH0}) / 86400) < {RUN_SPLIT_DAY} THEN 'base' ELSE 'spec' END AS run
   FROM events
 ),
 cnt AS (
@@ -267,10 +268,10 @@ def _sql_interp(curve: str, run: str) -> str:
 ),
 s_{run} AS (
   SELECT subset, i, x, k,
-    last_value(CASE WHEN k = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0,
-    last_value(y IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0,
-    first_value(CASE WHEN k = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1,
-    first_value(y IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y1
+    last_value(CASE WHEN k = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k, y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x0,
+    last_value(y IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k, y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y0,
+    first_value(CASE WHEN k = 0 THEN x END IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k, y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1,
+    first_value(y IGNORE NULLS) OVER (PARTITION BY subset ORDER BY x, k, y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y1
   FROM u_{run}
 ),
 i_{run} AS (
@@ -301,7 +302,7 @@ def speedup_interpolated(spark, sf):
 @register("curve_smoothing", f"""WITH {_SQL_EVENTS},
 {_SQL_CURVES},
 pts AS (SELECT 'base' AS label, * FROM cb UNION ALL SELECT 'spec', * FROM cs)
-SELECT label, subset, round(x, 6) AS x, round(avg(y) OVER (PARTITION BY label, subset ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS y
+SELECT label, subset, round(x, 6) AS x, round(avg(y) OVER (PARTITION BY label, subset ORDER BY x, y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS y
 FROM pts""", G)
 def curve_smoothing(spark, sf):
     base, spec = _curves(spark, sf)

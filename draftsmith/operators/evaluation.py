@@ -148,7 +148,7 @@ def scrape_deltas(scrapes: DataFrame) -> DataFrame:
 def smooth(points: DataFrame, keys: tuple[str, ...], window: int = 1) -> DataFrame:
     """O16 (re-aimed): centred moving average of ``y`` over ``x`` order, ``window``
     points each side, per curve; O15: curves are ordered by ``x``."""
-    w = Window.partitionBy(*keys).orderBy("x").rowsBetween(-window, window)
+    w = Window.partitionBy(*keys).orderBy("x", "y").rowsBetween(-window, window)  # (x, y): a total order even with tied x
     return points.select(*keys, "x", F.avg("y").over(w).alias("y"))
 
 
@@ -197,8 +197,8 @@ def interpolate_speedup(base: DataFrame, target: DataFrame, increasing: bool, n_
         ),
     ).otherwise(F.array().cast(f"array<{item_t}>"))
     u = ranged.select("subset", F.explode(F.concat(point, grid)).alias("_e")).select("subset", "_e.*")
-    before = Window.partitionBy("subset", "run").orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("subset", "run").orderBy("x", "k").rowsBetween(0, Window.unboundedFollowing)
+    before = Window.partitionBy("subset", "run").orderBy("x", "k", "y").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("subset", "run").orderBy("x", "k", "y").rowsBetween(0, Window.unboundedFollowing)
     px = F.when(F.col("k") == 0, F.col("x"))
     filled = u.select(
         "subset", "run", "i", "x", "k",
