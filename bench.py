@@ -77,10 +77,23 @@ def main() -> None:
         times[name] = round(statistics.median(samples), 3)
         print(f"[bench] {name}: {times[name]}s", file=sys.stderr)
 
-    # end-to-end prep throughput (conversations/s), the reference's yardstick
+    # end-to-end Prep job (raw turns → prepared rows written as Parquet), the
+    # reference's "preprocess N samples" yardstick: conversations per second
+    from draftsmith.plans.prepare import prepare_turns, write_prepared
+    from draftsmith.tables import table
+
     n_conv = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
     rows["conversations"] = n_conv
-    prep = times.get("prepare_rows")
+    raw = lambda: table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    spark.sparkContext.setJobGroup("prep-e2e", "prep-e2e")
+    write_prepared(prepare_turns(raw()), tempfile.mkdtemp(prefix="draftsmith-prep-") + "/rows", overwrite=True)  # warm-up
+    e2e = []
+    for _ in range(reps):
+        out_dir = tempfile.mkdtemp(prefix="draftsmith-prep-") + "/rows"
+        t0 = time.perf_counter()
+        write_prepared(prepare_turns(raw()), out_dir, overwrite=True)
+        e2e.append(time.perf_counter() - t0)
+    prep = statistics.median(e2e)
     total = round(sum(times.values()), 3)
     out = {
         "metric": "headline_total_seconds",
@@ -90,6 +103,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": cpus,
         "reps": reps,
+        "prep_e2e_sec": round(prep, 3),
         "prep_conversations_per_sec": round(n_conv / prep, 1) if prep else None,
         "n_conversations": n_conv,
     }
