@@ -140,3 +140,32 @@ def sanitize_name(col: Column) -> Column:
     unsafe = r'[/\\:*?"<>| ]'
     replaced = F.regexp_replace(col, unsafe, "_")
     return F.regexp_replace(replaced, r"^[._]+|[._]+$", "")
+
+
+class HFTokenizer:
+    """A ``tokenizers`` tokenizer usable inside Spark tasks.
+
+    It carries the tokenizer's JSON (so it pickles by value) and builds the
+    tokenizer lazily, once per Python worker; ``encode_batch`` is what
+    :func:`draftsmith.operators.tokenize.tokenize_turns` calls per Arrow batch.
+    """
+
+    def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
+        self.tokenizer_json = tokenizer_json
+        self.add_special_tokens = add_special_tokens
+        self._tok = None
+
+    @classmethod
+    def from_file(cls, path: str, **kw) -> "HFTokenizer":
+        with open(path, encoding="utf-8") as f:
+            return cls(f.read(), **kw)
+
+    def __getstate__(self):
+        return {"tokenizer_json": self.tokenizer_json, "add_special_tokens": self.add_special_tokens, "_tok": None}
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        if self._tok is None:
+            from tokenizers import Tokenizer
+
+            self._tok = Tokenizer.from_str(self.tokenizer_json)
+        return [e.ids for e in self._tok.encode_batch(list(texts), add_special_tokens=self.add_special_tokens)]

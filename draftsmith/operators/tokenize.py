@@ -24,23 +24,46 @@ from pyspark.sql import types as T
 from draftsmith.functions.text import CHATML, DEFAULT_VOCAB_SIZE, PIECE_PATTERN, ChatTemplate, token_ids
 
 
+def _marker_ids(tokenizer, texts: dict[str, str]) -> dict[str, list[int]]:
+    """Template markers encoded once on the driver (a handful of constant strings)."""
+    names = list(texts)
+    enc = tokenizer.encode_batch([texts[n] for n in names]) if names else []
+    return {n: [int(i) for i in ids] for n, ids in zip(names, enc)}
+
+
 def tokenize_turns(
     turns: DataFrame,
     template: ChatTemplate = CHATML,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
+    tokenizer=None,
 ) -> DataFrame:
     """Per turn: ``ids = prefix ++ text ++ suffix`` and the matching mask.
 
     Only assistant content is trainable (P17/P18: the assistant span is
     group 1 of the template pattern, markers excluded).
+
+    ``tokenizer`` (X2): any picklable object with ``encode_batch(list[str])
+    -> list[list[int]]`` (e.g. a ``tokenizers.Tokenizer`` wrapper).  Turn
+    texts then go through one Arrow batch UDF; the markers are encoded on
+    the driver.  A turn that fails to encode sets ``_err`` and its
+    conversation is dropped at assembly (P21).  Default: the JVM regex
+    tokenizer with the hashing vocabulary.
     """
     role = F.col("role")
     is_asst = role == "assistant"
-    pre = template.prefix_ids(role, vocab_size)
-    suf = template.suffix_ids(role, vocab_size)
-    body = token_ids(F.col("text"), vocab_size)
+    if tokenizer is None:
+        pre = template.prefix_ids(role, vocab_size)
+        suf = template.suffix_ids(role, vocab_size)
+        body, err = token_ids(F.col("text"), vocab_size), F.lit(None).cast("string")
+    else:
+        from draftsmith.functions.text import _lookup_ids
+
+        pre = _lookup_ids(role, _marker_ids(tokenizer, {r: p for r, (p, _) in template.roles.items() if p}))
+        suf = _lookup_ids(role, _marker_ids(tokenizer, {r: s for r, (_, s) in template.roles.items() if s}))
+        enc = arrow_tokenizer(tokenizer.encode_batch)(F.col("text"))
+        body, err = F.coalesce(enc["ids"], F.array().cast("array<bigint>")), enc["error"]
     return (
-        turns.select("sample_id", "turn", "role", pre.alias("_pre"), body.alias("_body"), suf.alias("_suf"))
+        turns.select("sample_id", "turn", "role", pre.alias("_pre"), body.alias("_body"), suf.alias("_suf"), err.alias("_err"))
         .select(
             "sample_id",
             "turn",
@@ -51,6 +74,7 @@ def tokenize_turns(
                 F.array_repeat(is_asst, F.size("_body")),
                 F.array_repeat(F.lit(False), F.size("_suf")),
             ).alias("mask"),
+            "_err",
         )
     )
 
@@ -58,11 +82,13 @@ def tokenize_turns(
 def _assemble(bounded: DataFrame, max_length: int) -> DataFrame:
     """Collect the (bounded) turns of each conversation in order, truncate, and
     project ``seq_len`` (P22: only the row columns are kept)."""
+    failed = F.max("_failed_any") if "_failed_any" in bounded.columns else F.lit(False)
     rows = bounded.groupBy("sample_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "ids", "mask"))).alias("_parts"),
         F.first("_total").alias("_total"),
         F.first("_asst").alias("_asst"),
-    )
+        failed.alias("_failed"),
+    ).filter(~F.col("_failed"))
     ids = F.slice(F.flatten(F.transform("_parts", lambda p: p["ids"])), 1, max_length)
     mask = F.slice(F.flatten(F.transform("_parts", lambda p: p["mask"])), 1, max_length)
     return rows.select(
@@ -90,6 +116,8 @@ def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192) -> DataFrame:
         turn_tokens.withColumn("_start", before)
         .withColumn("_total", F.sum(F.size("ids")).over(whole))
         .withColumn("_asst", F.max((F.col("role") == "assistant").cast("int")).over(whole))
+        # a turn that failed to encode fails the conversation, wherever it is
+        .withColumn("_failed_any", F.max(F.col("_err").isNotNull()).over(whole) if "_err" in turn_tokens.columns else F.lit(False))
         .filter(F.col("_start") < max_length)
     )
     return _assemble(bounded, max_length)
@@ -106,16 +134,18 @@ def assemble_rows_bucketed(turn_tokens: DataFrame, max_length: int = 8192, bucke
     however many turns the conversation has.
     """
     b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint")).withColumn("_n", F.size("ids"))
+    err = F.col("_err").isNotNull() if "_err" in turn_tokens.columns else F.lit(False)
     sums = b.groupBy("sample_id", "_bucket").agg(
-        F.sum("_n").alias("_bn"), F.max((F.col("role") == "assistant").cast("int")).alias("_ba")
+        F.sum("_n").alias("_bn"), F.max((F.col("role") == "assistant").cast("int")).alias("_ba"), F.max(err).alias("_be")
     )
     wb = Window.partitionBy("sample_id").orderBy("_bucket")
     starts = (
         sums.withColumn("_bstart", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy("sample_id")))
         .withColumn("_asst", F.max("_ba").over(Window.partitionBy("sample_id")))
+        .withColumn("_failed_any", F.max("_be").over(Window.partitionBy("sample_id")))
         .filter(F.col("_bstart") < max_length)
-        .select("sample_id", "_bucket", "_bstart", "_total", "_asst")
+        .select("sample_id", "_bucket", "_bstart", "_total", "_asst", "_failed_any")
     )
     kept = b.join(starts, ["sample_id", "_bucket"])
     conv = Window.partitionBy("sample_id").orderBy("turn")
@@ -166,6 +196,7 @@ def prepare_rows(
     vocab_size: int = DEFAULT_VOCAB_SIZE,
     minimum_valid_tokens: int | None = None,
     hot_turns: int | None = 10000,
+    tokenizer=None,
 ) -> DataFrame:
     """Normalised long-form turns → prepared rows (the Prep job's core).
 
@@ -187,9 +218,9 @@ def prepare_rows(
             hk = hot_keys(turns.select("sample_id"), "sample_id", hot_turns)
             normal = turns.join(hk, "sample_id", "left_anti")
             hot = turns.join(hk, "sample_id", "left_semi")
-    rows = assemble_rows(tokenize_turns(normal.repartition("sample_id"), template, vocab_size), max_length)
+    rows = assemble_rows(tokenize_turns(normal.repartition("sample_id"), template, vocab_size, tokenizer), max_length)
     if hot is not None:
-        bucketed = assemble_rows_bucketed(tokenize_turns(hot, template, vocab_size), max_length)
+        bucketed = assemble_rows_bucketed(tokenize_turns(hot, template, vocab_size, tokenizer), max_length)
         rows = rows.unionByName(bucketed)
     return min_valid_tokens(rows, minimum_valid_tokens)
 

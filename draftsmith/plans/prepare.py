@@ -29,6 +29,7 @@ def prepare_turns(
     max_samples: int | None = None,
     id_col: str = "conv_id",
     assistant_pattern: str | None = None,
+    tokenizer=None,
 ) -> DataFrame:
     """Long-form raw turns → prepared rows.
 
@@ -37,7 +38,9 @@ def prepare_turns(
 
     Mask method (P15), resolved once on the driver: a custom
     ``assistant_pattern`` (X3) uses the regex path; otherwise the template
-    table gives the spans by construction.
+    table gives the spans by construction.  ``tokenizer`` plugs a model
+    tokenizer (e.g. :class:`draftsmith.functions.text.HFTokenizer`) into the
+    construction path; the default is the JVM regex tokenizer.
     """
     norm = normalize_turns(turns, id_col=id_col, turn_dropout=turn_dropout, seed=seed)
     if max_samples is not None:
@@ -48,7 +51,7 @@ def prepare_turns(
 
         rows = min_valid_tokens(prepare_rows_by_pattern(norm, assistant_pattern, template, max_length, vocab_size), minimum_valid_tokens)
     else:
-        rows = prepare_rows(norm, template, max_length, vocab_size, minimum_valid_tokens)
+        rows = prepare_rows(norm, template, max_length, vocab_size, minimum_valid_tokens, tokenizer=tokenizer)
     if max_samples is not None:
         rows = shuffle_cap(rows, seed, "sample_id", max_samples)
     return rows

@@ -157,3 +157,39 @@ def test_regex_path_needs_distinctive_markers(spark):
     guessed = prepare_rows_by_pattern(df, tmpl.assistant_pattern(), tmpl).first()
     assert sum(exact.loss_mask) == 1  # only "ok"
     assert sum(guessed.loss_mask) > 1  # the regex also swallowed user text
+
+
+def _word_tokenizer_json():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["<unk>", "<|im_start|>", "<|im_end|>", "user", "assistant", "system", "hello", "world", "ok", "here"]
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="<unk>"))
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    t.add_special_tokens(["<|im_start|>", "<|im_end|>"])
+    return t.to_str()
+
+
+def test_model_tokenizer_in_prep(spark):
+    """X2 + P21: a real ``tokenizers`` model in the prep path; a conversation
+    whose turn fails to encode is skipped, the others are kept."""
+    from draftsmith.functions.text import HFTokenizer
+
+    class Failing(HFTokenizer):  # defined here: pickled by value for the workers
+        def encode_batch(self, texts):
+            if any("BOOM" in t for t in texts):
+                raise ValueError("cannot encode")
+            return super().encode_batch(texts)
+
+    df = spark.createDataFrame(
+        [(1, 0, "user", "hello world"), (1, 1, "assistant", "ok ok"), (2, 0, "user", "hello"), (2, 1, "assistant", "BOOM here")],
+        "sample_id long, turn long, role string, text string",
+    )
+    tok = Failing(_word_tokenizer_json())
+    rows = {r.sample_id: r for r in prepare_rows(df, tokenizer=tok, hot_turns=None).collect()}
+    assert set(rows) == {1}
+    r = rows[1]
+    assert [i for i, m in zip(r.input_ids, r.loss_mask) if m] == tok.encode_batch(["ok ok"])[0]
+    assert r.input_ids[0] == 1  # <|im_start|> marker encoded as the special token
+    assert {x.sample_id for x in prepare_rows(df, tokenizer=tok, hot_turns=1).collect()} == {1}
+    plain = HFTokenizer(_word_tokenizer_json())
+    assert prepare_rows(df, tokenizer=plain, hot_turns=None).count() == 2
