@@ -62,8 +62,10 @@ def tokenize_turns(
         suf = _lookup_ids(role, _marker_ids(tokenizer, {r: s for r, (_, s) in template.roles.items() if s}))
         enc = arrow_tokenizer(tokenizer.encode_batch)(F.col("text"))
         body, err = F.coalesce(enc["ids"], F.array().cast("array<bigint>")), enc["error"]
+    # the error column only exists with a model tokenizer (the JVM path cannot fail per row)
+    extra = [err.alias("_err")] if tokenizer is not None else []
     return (
-        turns.select("sample_id", "turn", "role", pre.alias("_pre"), body.alias("_body"), suf.alias("_suf"), err.alias("_err"))
+        turns.select("sample_id", "turn", "role", pre.alias("_pre"), body.alias("_body"), suf.alias("_suf"), *extra)
         .select(
             "sample_id",
             "turn",
@@ -74,7 +76,7 @@ def tokenize_turns(
                 F.array_repeat(is_asst, F.size("_body")),
                 F.array_repeat(F.lit(False), F.size("_suf")),
             ).alias("mask"),
-            "_err",
+            *(["_err"] if tokenizer is not None else []),
         )
     )
 
