@@ -252,16 +252,44 @@ def piece_starts(pieces):
     return pa.ListArray.from_arrays(off, starts)
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def _token_table(pieces):
+    """Pieces → ``[(token, start, end)]`` of the non-space pieces, per Arrow
+    batch with vectorised compute: prefix sums of piece lengths re-based per
+    row, space runs dropped (a piece is a space run iff its first character
+    is a space — pieces tile the text), list offsets rebuilt from counts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pieces.combine_chunks()
+    n = len(pieces)
+    off = pc.subtract(pieces.offsets, pieces.offsets[0])
+    flat = pc.list_flatten(pieces)
+    struct_t = pa.struct([("token", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    if len(flat) == 0:
+        return pa.ListArray.from_arrays(off, pa.array([], struct_t))
+    ln = pc.utf8_length(flat).cast(pa.int64())
+    excl = pc.subtract(pc.cumulative_sum(ln), ln)
+    first = off.slice(0, n)
+    sizes = pc.subtract(off.slice(1, n), first)
+    parents = pc.list_parent_indices(pieces)
+    starts = pc.subtract(excl, pc.take(pc.take(excl, pc.if_else(pc.greater(sizes, 0), first, 0)), parents))
+    # exactly the tokenizer's space class (other Unicode spaces are tokens)
+    keep = pc.invert(pc.is_in(pc.utf8_slice_codeunits(flat, 0, 1), value_set=pa.array([" ", "\t", "\r", "\n"])))
+    toks, st, ln_k = pc.filter(flat, keep), pc.filter(starts, keep), pc.filter(ln, keep)
+    counts = np.bincount(pc.filter(parents, keep).to_numpy(zero_copy_only=False), minlength=n)
+    new_off = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    values = pa.StructArray.from_arrays([toks, st, pc.add(st, ln_k)], fields=list(struct_t))
+    return pa.ListArray.from_arrays(new_off, values)
+
+
 def token_array(text: Column) -> Column:
-    """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens."""
+    """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens
+    (pieces extracted in the JVM, offsets and filtering in one Arrow batch UDF)."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE_PATTERN), 0)
-    z = F.arrays_zip(pieces.alias("token"), piece_starts(pieces).alias("start"))
-    # a piece is a space run iff its first character is a space (pieces tile the text)
-    toks = F.filter(z, lambda x: ~F.substring(x["token"], 1, 1).isin(" ", "\t", "\r", "\n"))
-    return F.transform(
-        toks,
-        lambda x: F.struct(x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).cast("bigint").alias("end")),
-    )
+    return _token_table(pieces)
 
 
 def token_offsets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_truncation(spark):
 
 def test_piece_starts_match_python(spark):
     import re as _re
-    texts = ["", "ab  cd!", "héllo wörld\n\tx", None, "a" * 50 + " b"]
+    texts = ["", "ab  cd!", "héllo wörld\n\tx", None, "a" * 50 + " b", "nb\u00a0sp \u3000 v\x0bt \u2003x"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").repartition(3)
     got = {r.id: [(x.token, x.start, x.end) for x in r.tok] for r in df.select("id", token_array(F.col("t")).alias("tok")).collect()}
     for i, t in enumerate(texts):
