@@ -321,9 +321,9 @@ def multi_depth_inputs_q(spark, sf):
     """P48 over COD-sampled anchors: real tokens at depth 0, the mask id deeper
     (rows-only here; the COD step itself has an oracle, ``cod_sampling``)."""
     from draftsmith.operators.examples import multi_depth_inputs
-    from draftsmith.operators.sampling import cod_sample
+    from draftsmith.operators.sampling import cod_sample_rows
 
     rows = prepared(spark, sf)
-    s = cod_sample(rows, 4, 0.7, 0.2, seed=SEED)
+    s = cod_sample_rows(rows, 4, 0.7, 0.2, seed=SEED)
     m = multi_depth_inputs(s, rows, MASK_ID)
     return m.groupBy("sample_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("input_token").alias("token_sum"))

@@ -8,7 +8,7 @@ from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, prepared, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.operators.packing import clip_or_drop, pack_batches, pack_summary, skip_batches
-from draftsmith.operators.sampling import cod_sample
+from draftsmith.operators.sampling import cod_sample_rows
 
 G = "sampling"
 PACK_LEN = 2048
@@ -89,7 +89,7 @@ FROM allx GROUP BY sample_id, depth"""
 
 @register("cod_sampling", _sql_cod(), G)
 def cod_sampling(spark, sf):
-    s = cod_sample(prepared(spark, sf), COD_DEPTHS, COD_RATIO, COD_MIN, seed=SEED)
+    s = cod_sample_rows(prepared(spark, sf), COD_DEPTHS, COD_RATIO, COD_MIN, seed=SEED)
     return s.groupBy("sample_id", F.col("depth").cast("int").alias("depth")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("anchor").cast("bigint").alias("sum_anchor"),

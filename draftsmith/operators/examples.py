@@ -209,6 +209,8 @@ def sample_anchors(slots: DataFrame, num_anchors: int, block_size: int, max_len:
     """
     if block_size <= 0:
         raise ValueError(f"Expected block size > 0, got {block_size}")
+    if num_anchors <= 0:
+        raise ValueError(f"Expected at least one anchor, got {num_anchors}")
     cand = slots.filter(F.col("mask") & (F.col("slot") < max_len - block_size))
     w = Window.partitionBy("batch_id").orderBy(seeded_key(seed, "batch_id", "slot"), "slot")
     chosen = cand.withColumn("anchor_no", F.row_number().over(w) - 1).filter(F.col("anchor_no") < num_anchors)
@@ -372,7 +374,7 @@ def collate_rows(rows: DataFrame, batch_col: str, order_col: str, max_len: int)
         "batch_id",
         padded(F.flatten(F.transform("_d", lambda d: d["ids"])), 0, "bigint").alias("input_ids"),
         padded(F.flatten(F.transform("_d", lambda d: d["m"])), False, "boolean").alias("loss_mask"),
-        padded(F.flatten(F.transform("_d", lambda d: F.sequence(F.lit(0).cast("bigint"), (d["_kept"] - 1).cast("bigint")))), 0, "bigint").alias("position_ids"),
+        padded(F.flatten(F.transform("_d", lambda d: F.when(d["_kept"] > 0, F.sequence(F.lit(0).cast("bigint"), (d["_kept"] - 1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))), 0, "bigint").alias("position_ids"),
         padded(F.flatten(F.transform("_d", lambda d: F.array_repeat(d["_doc"], d["_kept"]))), -1, "bigint").alias("document_ids"),
         F.transform("_d", lambda d: d["_kept"].cast("bigint")).alias("lengths"),
     )
@@ -384,13 +386,17 @@ def anchors_in_row(batch_id: Column, mask: Column, num_anchors: int, block_size:
     Returns ``array<struct<anchor_no, anchor, anchor_valid>>`` of length ``n``."""
     if block_size <= 0:
         raise ValueError(f"Expected block size > 0, got {block_size}")
+    if num_anchors <= 0:
+        raise ValueError(f"Expected at least one anchor, got {num_anchors}")
     from draftsmith.functions.distributions import let
 
+    last_start = max_len - block_size - 1  # a negative bound means no candidate (never a count-down range)
     # Arrays used inside lambdas are bound once per row first: a column
     # reference inside a lambda would otherwise be replaced by the expression
     # that produced it and re-evaluated for every element.
     def pick(m):
-        cand = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(max_len - block_size - 1).cast("bigint")), lambda i: F.element_at(m, (i + 1).cast("int")))
+        span = F.sequence(F.lit(0).cast("bigint"), F.lit(last_start).cast("bigint")) if last_start >= 0 else F.array().cast("array<bigint>")
+        cand = F.filter(span, lambda i: F.element_at(m, (i + 1).cast("int")))
         keyed = F.array_sort(F.transform(cand, lambda i: F.struct(seeded_key(seed, batch_id, i).alias("k"), i.alias("slot"))))
         return let(
             F.slice(keyed, 1, num_anchors),

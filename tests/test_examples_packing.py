@@ -160,3 +160,31 @@ def test_resume_skips_batches_without_payload(spark):
     assert set(plan.columns) == {"shard", "batch_no", "replica", "sample_id", "length"}
     assert rest.agg(F.min("batch_no")).first()[0] == 3
     assert rest.count() == plan.filter("batch_no >= 3").count()
+
+
+def test_cod_in_row_equals_join_based(spark):
+    from draftsmith.operators.sampling import cod_sample, cod_sample_rows
+
+    rows = spark.createDataFrame(
+        [(i, list(range(20 + 3 * i)), [bool((i * k) % 4) for k in range(20 + 3 * i)]) for i in range(12)]
+        + [(99, [], [])],
+        "sample_id long, input_ids array<long>, loss_mask array<boolean>",
+    )
+    for depths in (2, 5):
+        a = cod_sample(rows, depths, 0.7, 0.2, seed=3).select("sample_id", "depth", "anchor")
+        b = cod_sample_rows(rows, depths, 0.7, 0.2, seed=3).select("sample_id", "depth", "anchor")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_empty_documents_and_tiny_batches(spark):
+    from draftsmith.operators.examples import anchors_in_row, collate_rows
+
+    rows = spark.createDataFrame(
+        [(0, 0, 0, [1, 2], [True, True]), (1, 0, 1, [], []), (2, 0, 2, [3], [True])],
+        "sample_id long, batch long, ord long, input_ids array<long>, loss_mask array<boolean>",
+    )
+    r = collate_rows(rows, "batch", "ord", 5).first()
+    assert r.document_ids == [0, 0, 2, -1, -1] and r.position_ids == [0, 1, 0, 0, 0] and r.lengths == [2, 0, 1]
+    assert len(r.input_ids) == len(r.loss_mask) == len(r.position_ids) == 5
+    a = collate_rows(rows, "batch", "ord", 3).withColumn("a", anchors_in_row(F.col("batch_id"), F.col("loss_mask"), 2, 4, 3, 0)).first().a
+    assert [x.anchor_valid for x in a] == [False, False]  # max_len <= block: no candidate, never a count-down range
