@@ -15,6 +15,9 @@ from pyspark.sql import SparkSession
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # local runs: small shuffles feed CPU-heavy in-row work (token arrays, COD,
+    # anchors); keep post-shuffle partitions small enough to use every core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": os.environ.get("DRAFTSMITH_TZ", "UTC"),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
