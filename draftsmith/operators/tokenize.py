@@ -395,6 +395,38 @@ def regex_spans(docs: DataFrame, id_col: str, text_col: str, pattern: str) -> Da
     return docs.select(F.col(id_col), F.explode(_spans(F.col(text_col))).alias("_s")).select(id_col, "_s.*")
 
 
+def bound_turns(turns: DataFrame, template: ChatTemplate = CHATML, max_length: int = 8192, vocab_size: int = DEFAULT_VOCAB_SIZE, bucket_turns: int = 256) -> DataFrame:
+    """Only the turns that start before ``max_length`` tokens, plus ``_total``
+    (all tokens of the conversation) — skew-safe.
+
+    Template markers start and end on non-alphanumerics, so per-turn token
+    counts are exact without rendering.  Counts are summed per bucket of
+    ``bucket_turns`` turns (partial aggregation), bucket starts come from a
+    small window, and only the buckets starting before ``max_length`` are
+    examined turn by turn — a conversation of any size keeps at most
+    ``max_length`` tokens plus one bucket of turns.
+    """
+    n = tokenize_turns(turns.select("sample_id", "turn", "role", "text"), template, vocab_size).select(
+        "sample_id", "turn", F.size("ids").alias("_n"), F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint").alias("_bucket")
+    )
+    sums = n.groupBy("sample_id", "_bucket").agg(F.sum("_n").alias("_bn"))
+    wb = Window.partitionBy("sample_id").orderBy("_bucket")
+    starts = (
+        sums.withColumn("_bstart", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_total", F.sum("_bn").over(Window.partitionBy("sample_id")))
+        .filter(F.col("_bstart") < max_length)
+        .select("sample_id", "_bucket", "_bstart", "_total")
+    )
+    w = Window.partitionBy("sample_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    keep = (
+        n.join(starts, ["sample_id", "_bucket"])
+        .withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        .filter(F.col("_start") < max_length)
+        .select("sample_id", "turn", "_total")
+    )
+    return turns.join(keep, ["sample_id", "turn"])
+
+
 def prepare_rows_by_pattern(
     turns: DataFrame,
     pattern: str,
@@ -407,18 +439,19 @@ def prepare_rows_by_pattern(
     conversation id); truncated to ``max_length`` (Q2: always)."""
     from draftsmith.functions.text import token_id
 
-    text = render_text(turns, template)
+    # only turns that start before max_length are rendered (bounded per row)
+    kept = bound_turns(turns, template, max_length, vocab_size)
+    text = render_text(kept, template).join(kept.groupBy("sample_id").agg(F.first("_total").alias("_total")), "sample_id")
     r = text.select(
-        "sample_id", token_array(F.col("text")).alias("_tok"), regex_span_array(F.col("text"), pattern).alias("_sp")
-    ).select("sample_id", "_tok", overlap_mask(F.col("_tok"), F.col("_sp")).alias("_m"))
-    n = F.size("_tok")
+        "sample_id", "_total", token_array(F.col("text")).alias("_tok"), regex_span_array(F.col("text"), pattern).alias("_sp")
+    ).select("sample_id", "_total", "_tok", overlap_mask(F.col("_tok"), F.col("_sp")).alias("_m"))
     return r.select(
         "sample_id",
         F.slice(F.transform("_tok", lambda t: token_id(t["token"], vocab_size)), 1, max_length).alias("input_ids"),
         F.slice("_m", 1, max_length).alias("loss_mask"),
-        F.least(n, F.lit(max_length)).cast("int").alias("seq_len"),
-        n.cast("bigint").alias("n_tokens_full"),
-        (n > max_length).alias("truncated"),
+        F.least(F.col("_total"), F.lit(max_length)).cast("int").alias("seq_len"),
+        F.col("_total").cast("bigint").alias("n_tokens_full"),
+        (F.col("_total") > max_length).alias("truncated"),
     )
 
 

@@ -193,3 +193,18 @@ def test_model_tokenizer_in_prep(spark):
     assert {x.sample_id for x in prepare_rows(df, tokenizer=tok, hot_turns=1).collect()} == {1}
     plain = HFTokenizer(_word_tokenizer_json())
     assert prepare_rows(df, tokenizer=plain, hot_turns=None).count() == 2
+
+
+def test_regex_path_is_bounded_and_exact(spark):
+    """The regex path renders only turns that start before max_length, and still
+    equals the construction path (including the full-length/truncated columns)."""
+    from draftsmith.operators.tokenize import bound_turns, prepare_rows_by_pattern
+
+    t = turns(spark, SF_SMALL)
+    cols = ["sample_id", "input_ids", "loss_mask", "seq_len", "n_tokens_full", "truncated"]
+    for L in (64, 700, 8192):
+        a = prepare_rows(t, max_length=L, hot_turns=None).select(*cols)
+        b = prepare_rows_by_pattern(t, CHATML.assistant_pattern(), CHATML, max_length=L).select(*cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, L
+    kept = bound_turns(t, CHATML, 64, bucket_turns=2)
+    assert kept.count() < t.count()
