@@ -316,14 +316,23 @@ def target_alignment(spark, sf):
     )
 
 
-@register("multi_depth_inputs", None, G)
+def _sql_multi_depth() -> str:
+    from draftsmith.catalog.sampling import _sql_cod
+
+    return _sql_cod(f"""SELECT a.sample_id, CAST(a.depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN a.depth = 0 THEN p.input_ids[a.anchor + a.depth + 1] ELSE {MASK_ID} END) AS BIGINT) AS token_sum
+FROM allx a JOIN prepared p ON p.sample_id = a.sample_id GROUP BY a.sample_id, a.depth""")
+
+
+@register("multi_depth_inputs", _sql_multi_depth(), G)
 def multi_depth_inputs_q(spark, sf):
-    """P48 over COD-sampled anchors: real tokens at depth 0, the mask id deeper
-    (rows-only here; the COD step itself has an oracle, ``cod_sampling``)."""
+    """P48 over COD-sampled anchors: real tokens at depth 0, the mask id deeper."""
     from draftsmith.operators.examples import multi_depth_inputs
     from draftsmith.operators.sampling import cod_sample_rows
 
     rows = prepared(spark, sf)
     s = cod_sample_rows(rows, 4, 0.7, 0.2, seed=SEED)
     m = multi_depth_inputs(s, rows, MASK_ID)
-    return m.groupBy("sample_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.sum("input_token").alias("token_sum"))
+    return m.groupBy("sample_id", F.col("depth").cast("int").alias("depth")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("input_token").cast("bigint").alias("token_sum")
+    )

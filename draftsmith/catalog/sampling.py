@@ -49,7 +49,7 @@ def resume_skip_batches(spark, sf):
     return skip_batches(pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, epoch=1), 3)
 
 
-def _sql_cod() -> str:
+def _sql_cod(select: str | None = None) -> str:
     parts = [
         sql_prepared_chain(),
         """valid AS (
@@ -80,11 +80,12 @@ def _sql_cod() -> str:
         outs.append(f"SELECT sample_id, {d} AS depth, pos - {d} AS anchor FROM samp{d} WHERE pos - {d} >= 0")
     body = ",\n".join(parts)
     union = "\nUNION ALL\n".join(outs)
-    return f"""WITH {body},
-allx AS ({union})
-SELECT sample_id, CAST(depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n, CAST(sum(anchor) AS BIGINT) AS sum_anchor,
+    final = select or """SELECT sample_id, CAST(depth AS INTEGER) AS depth, CAST(count(*) AS BIGINT) AS n, CAST(sum(anchor) AS BIGINT) AS sum_anchor,
        CAST(min(anchor) AS BIGINT) AS min_anchor, CAST(max(anchor) AS BIGINT) AS max_anchor
 FROM allx GROUP BY sample_id, depth"""
+    return f"""WITH {body},
+allx AS ({union})
+{final}"""
 
 
 @register("cod_sampling", _sql_cod(), G)

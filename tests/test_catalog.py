@@ -37,7 +37,7 @@ def _rows(pdf):
 
 def test_contract():
     assert set(ORACLES) <= set(QUERIES)
-    assert len(QUERIES) >= 90
+    assert len(QUERIES) >= 100 and len(ORACLES) >= 97
 
 
 def test_entry(spark):
