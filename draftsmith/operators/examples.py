@@ -208,9 +208,9 @@ def sample_anchors(slots: DataFrame, num_anchors: int, block_size: int, max_len:
     are ``(0, false)`` like the reference's padded output.
     """
     if block_size <= 0:
-        raise ValueError(f"Expected block size > 0, got {block_size}")
+        raise ValueError(f"block_size must be positive (got {block_size})")
     if num_anchors <= 0:
-        raise ValueError(f"Expected at least one anchor, got {num_anchors}")
+        raise ValueError(f"num_anchors must be positive (got {num_anchors})")
     cand = slots.filter(F.col("mask") & (F.col("slot") < max_len - block_size))
     w = Window.partitionBy("batch_id").orderBy(seeded_key(seed, "batch_id", "slot"), "slot")
     chosen = cand.withColumn("anchor_no", F.row_number().over(w) - 1).filter(F.col("anchor_no") < num_anchors)
@@ -385,9 +385,9 @@ def anchors_in_row(batch_id: Column, mask: Column, num_anchors: int, block_size:
     order of ``(seed, batch, slot)``; missing anchors are ``(0, false)``.
     Returns ``array<struct<anchor_no, anchor, anchor_valid>>`` of length ``n``."""
     if block_size <= 0:
-        raise ValueError(f"Expected block size > 0, got {block_size}")
+        raise ValueError(f"block_size must be positive (got {block_size})")
     if num_anchors <= 0:
-        raise ValueError(f"Expected at least one anchor, got {num_anchors}")
+        raise ValueError(f"num_anchors must be positive (got {num_anchors})")
     from draftsmith.functions.distributions import let
 
     last_start = max_len - block_size - 1  # a negative bound means no candidate (never a count-down range)

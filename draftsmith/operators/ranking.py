@@ -101,7 +101,7 @@ def split_cut(n_rows: int, ratio: float) -> tuple[int, int]:
         return 0, int(n_rows * ratio)
     if -1 < ratio < 0:
         return int(n_rows * (1.0 + ratio)), n_rows
-    raise ValueError("split_ratio must be in range (-1.0, 1.0] excluding 0.0.")
+    raise ValueError(f"ratio {ratio} outside the accepted values: 0 < |ratio| < 1, or exactly 1")
 
 
 def seeded_split(df: DataFrame, seed: int, id_col: str, n_rows: int, ratio: float = 0.9) -> DataFrame:

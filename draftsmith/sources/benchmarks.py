@@ -77,7 +77,7 @@ def read_sweeps(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     raw = _read_bench(spark, paths)
     empty = raw.filter(F.coalesce(F.size("benchmarks"), F.lit(0)) <= 0).select("_path").limit(1).collect()
     if empty:
-        raise ValueError(f"No benchmarks found in {empty[0][0]}")
+        raise ValueError(f"{empty[0][0]}: the result file has an empty benchmark list")
     b = raw.select(subset_from_path(F.col("_path")).alias("subset"), F.explode("benchmarks").alias("b"))
     strategy = F.coalesce(F.col("b.config.strategy.type_"), F.lit("unknown"))
     cols = [F.col("subset"), strategy.alias("strategy"), F.col("b.config.strategy.rate").alias("target_rate")]
@@ -126,7 +126,7 @@ def read_curves(spark: SparkSession, path: str, metric: str) -> DataFrame:
         return read_curve_csv(spark, path, metric)
     if path.endswith(".json"):
         return read_curve_json(spark, path, metric)
-    raise ValueError(f"Unsupported file type: {path} (expected .csv or .json)")
+    raise ValueError(f"{path}: curves are read from .csv or .json result files only")
 
 
 def read_labelled(spark: SparkSession, sources: list[str], metric: str) -> DataFrame:
@@ -134,7 +134,7 @@ def read_labelled(spark: SparkSession, sources: list[str], metric: str) -> DataF
     frames = []
     for arg in sources:
         if "=" not in arg:
-            raise ValueError(f"Invalid source format: '{arg}'. Expected 'LABEL=PATH'.")
+            raise ValueError(f"{arg!r}: a source is given as LABEL=PATH")
         label, path = (x.strip() for x in arg.split("=", 1))
         frames.append(read_curves(spark, path, metric).withColumn("label", F.lit(label)))
     out = frames[0]
