@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import seeded_key
 
-PLAN_SCHEMA = "shard int, batch_no int, replica int, sample_id bigint, length bigint"
+# ``item``: position in the shard's seeded order (LPT visits a batch by length desc, item desc)
+PLAN_SCHEMA = "shard int, batch_no int, replica int, sample_id bigint, length bigint, item bigint"
 
 
 def lpt_assign(lengths: np.ndarray, max_len: int, replicas: int) -> list[int] | None:
@@ -101,10 +102,10 @@ def _packer(max_len: int, replicas: int, keep_leftovers: bool):
         lengths = pdf["length"].to_numpy(dtype=np.int64)
         assigned, used = pack_sequence(lengths, max_len, replicas)
         shard = int(pdf["_shard"].iloc[0]) if len(pdf) else 0
-        rows = [(shard, b, r, int(pdf["sample_id"].iat[p]), int(lengths[p])) for p, b, r in assigned]
+        rows = [(shard, b, r, int(pdf["sample_id"].iat[p]), int(lengths[p]), p) for p, b, r in assigned]
         if keep_leftovers:
-            rows += [(shard, -1, -1, int(pdf["sample_id"].iat[p]), int(lengths[p])) for p in range(used, len(pdf))]
-        return pd.DataFrame(rows, columns=["shard", "batch_no", "replica", "sample_id", "length"])
+            rows += [(shard, -1, -1, int(pdf["sample_id"].iat[p]), int(lengths[p]), p) for p in range(used, len(pdf))]
+        return pd.DataFrame(rows, columns=["shard", "batch_no", "replica", "sample_id", "length", "item"])
 
     return run
 

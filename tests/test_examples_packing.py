@@ -157,7 +157,7 @@ def test_resume_skips_batches_without_payload(spark):
     lens = spark.createDataFrame([(i, 10 + (i * 7) % 50) for i in range(60)], "sample_id long, length long")
     plan = pack_batches(lens, 100, 2, seed=1, num_shards=1)
     rest = skip_batches(plan, 3)
-    assert set(plan.columns) == {"shard", "batch_no", "replica", "sample_id", "length"}
+    assert set(plan.columns) == {"shard", "batch_no", "replica", "sample_id", "length", "item"}
     assert rest.agg(F.min("batch_no")).first()[0] == 3
     assert rest.count() == plan.filter("batch_no >= 3").count()
 

@@ -86,3 +86,22 @@ def test_backfill_with_pandas_generator(spark):
     existing = spark.createDataFrame([(1,)], "sample_id long")
     out = backfill(spark, prepared, existing, artefact_generator(states)).collect()
     assert sorted(r.sample_id for r in out) == [0, 2, 3, 4, 5] and all(r.ok for r in out)
+
+
+def test_build_training_batches(spark):
+    from draftsmith.plans.examples import build_training_batches
+
+    rows = spark.createDataFrame(
+        [(i, list(range(100 * i, 100 * i + 5 + (i * 7) % 30)), [bool(k % 3) for k in range(5 + (i * 7) % 30)]) for i in range(40)],
+        "sample_id long, input_ids array<long>, loss_mask array<boolean>",
+    )
+    b = build_training_batches(rows, 64, 2, seed=1, step="shift", anchors=(4, 3, 999)).collect()
+    assert b and all(len(r.input_ids) == 64 and len(r.document_ids) == 64 and sum(r.lengths) <= 64 for r in b)
+    # every sample appears at most once across all bins, and the shift removed one token per sample
+    used = sum(sum(r.lengths) for r in b)
+    assert used <= sum(4 + (i * 7) % 30 for i in range(40))
+    assert all(len(r.anchors) == 4 and len(r.blocks) == 12 for r in b)
+    # sampler (LPT) order inside a bin: non-increasing lengths; only the last document may be truncated
+    assert all(r.lengths[:-1] == sorted(r.lengths[:-1], reverse=True) for r in b)
+    resumed = build_training_batches(rows, 64, 2, seed=1, resume_batches=2)
+    assert resumed.agg(F.min("batch_no")).first()[0] == 2
