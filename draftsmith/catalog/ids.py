@@ -25,7 +25,7 @@ QUERY_IDS = {
     "target_alignment": "P47", "multi_depth_inputs": "P48",
     # sampling / packing
     "clip_or_drop_long": "O10", "pack_batches": "O8 O9 O11 W2 X9", "pack_summary": "A25",
-    "resume_skip_batches": "O12", "cod_sampling": "O14 U6 X9",
+    "resume_skip_batches": "O12", "cod_sampling": "O14 U6 X9", "training_batches": "P43 O8 O9 X4 O13",
     # quality
     "softmax_overlap": "F1 A16", "loss_kl": "F1 F2", "loss_rkl": "F3", "loss_ce": "F4 F12",
     "loss_tv": "F5", "loss_nla": "F6", "loss_lk_hybrid": "F7", "compound_loss": "A10 F8 F11 X8",

@@ -97,3 +97,19 @@ def cod_sampling(spark, sf):
         F.min("anchor").cast("bigint").alias("min_anchor"),
         F.max("anchor").cast("bigint").alias("max_anchor"),
     )
+
+
+@register("training_batches", None, G)
+def training_batches(spark, sf):
+    """Examples plan end to end on the prepared conversations: LPT plan →
+    shift (X4) → collated batch rows with anchors and blocks.  Rows-only (the
+    packer is sequential); the invariants are in the tests."""
+    from draftsmith.plans.examples import build_training_batches
+
+    b = build_training_batches(prepared(spark, sf), PACK_LEN, REPLICAS, seed=SEED, step="shift", num_shards=2, anchors=(4, 3, 131072))
+    return b.select(
+        "shard", "batch_no", "replica",
+        F.size("lengths").cast("bigint").alias("n_docs"),
+        F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("used_tokens"),
+        F.size(F.filter("anchors", lambda a: a["anchor_valid"])).cast("bigint").alias("n_anchors"),
+    )
