@@ -73,6 +73,8 @@ def main():
         spark.sparkContext.setLogLevel("ERROR")
     else:
         spark = local_session(8, 8)
+    if os.environ.get("ORACLE_ANSI"):  # e.g. ORACLE_ANSI=false to check a non-ANSI session
+        spark.conf.set("spark.sql.ansi.enabled", os.environ["ORACLE_ANSI"])
     con = duckdb.connect()
     for t in TABLES:
         p = f"{args.sf}/{t}.parquet"
