@@ -123,6 +123,11 @@ def _turn(role: str | Column, content: Column) -> Column:
     )
 
 
+def turn_struct(role, content: Column) -> Column:
+    """A turn in the source schema's struct type (other fields null)."""
+    return _turn(role, content)
+
+
 def normalize_messages(df: DataFrame) -> DataFrame:
     """``messages`` → ``conversations`` (when present)."""
     return df.withColumn("conversations", F.coalesce(F.col("messages"), F.col("conversations")))
