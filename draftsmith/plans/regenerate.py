@@ -29,7 +29,9 @@ def regenerate_dataset(
     the prompt field, ``language``).  Returns the result rows; writes them to
     ``out`` (``status=ok`` / ``status=error`` folders) when given."""
     src = language_filter(raw, language)
-    src = src.withColumn("conversations", F.coalesce(F.when(F.size("messages") > 0, F.col("messages")), F.col("conversations")))
+    if "messages" in src.columns and src.schema["messages"].dataType == src.schema["conversations"].dataType:
+        # ``messages`` wins when present and non-empty (P24), as in the reference
+        src = src.withColumn("conversations", F.coalesce(F.when(F.size("messages") > 0, F.col("messages")), F.col("conversations")))
     turns = to_turns(src.select("idx", "conversations"), "idx").withColumnRenamed("idx", "sample_id")
     prompts = src.select(F.col("idx").alias("sample_id"), F.col(prompt_field).alias("prompt"))
     todo = extract_prompt_turns(turns, prompts)
