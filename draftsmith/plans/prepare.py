@@ -62,9 +62,23 @@ def write_prepared(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.select("sample_id", "input_ids", "loss_mask", "seq_len").write.mode("overwrite" if overwrite else "ignore").parquet(path)
 
 
-def write_frequencies(freq: DataFrame, path: str) -> None:
-    """K2: written only when absent (``mode('ignore')``)."""
-    freq.write.mode("ignore").parquet(path)
+def dataset_version(df: DataFrame) -> str:
+    """A version key of a file-backed dataset: hash of its sorted input file list
+    (metadata only — no data is read)."""
+    import hashlib
+
+    return hashlib.md5("\n".join(sorted(df.inputFiles())).encode("utf-8")).hexdigest()[:16]
+
+
+def write_frequencies(freq: DataFrame, path: str, version: str | None = None) -> None:
+    """K2: written only when absent (``mode('ignore')``).
+
+    Q9: with ``version`` (e.g. :func:`dataset_version` of the prepared rows)
+    the table lives under ``version=<v>``, so new data never reuses a stale
+    frequency table while a rerun on the same data is still skipped.
+    """
+    target = path if version is None else f"{path.rstrip('/')}/version={version}"
+    freq.write.mode("ignore").parquet(target)
 
 
 def write_vocab_maps(d2t: DataFrame, t2d: DataFrame, path: str) -> None:

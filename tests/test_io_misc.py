@@ -114,3 +114,23 @@ def test_arrow_tokenizer_isolates_failures(spark):
     df = spark.createDataFrame([("a bb ccc",), ("boom",), ("dddd",)], "text string")
     r = df.select(arrow_tokenizer(encode)(F.col("text")).alias("t")).collect()
     assert r[0].t.ids == [1, 2, 3] and r[1].t.ids is None and "bad text" in r[1].t.error and r[2].t.ids == [4]
+
+
+def test_frequencies_keyed_by_dataset_version(spark, tmp_path):
+    from draftsmith.operators.vocab import token_frequency
+    from draftsmith.plans.prepare import dataset_version
+
+    def rows(ids, name):
+        p = str(tmp_path / name)
+        spark.createDataFrame([(1, ids, [True] * len(ids), len(ids))], "sample_id long, input_ids array<long>, loss_mask array<boolean>, seq_len int").write.parquet(p)
+        return spark.read.parquet(p)
+
+    a, b = rows([1, 1, 2], "a"), rows([3], "b")
+    va, vb = dataset_version(a), dataset_version(b)
+    assert va != vb and va == dataset_version(spark.read.parquet(str(tmp_path / "a")))
+    out = str(tmp_path / "freq")
+    write_frequencies(token_frequency(a), out, va)
+    write_frequencies(token_frequency(b), out, vb)  # new data: its own table, not the stale one
+    write_frequencies(token_frequency(b).withColumn("freq", F.lit(99)), out, vb)  # same data: kept
+    got = {(r.version, r.token_id): r.freq for r in spark.read.parquet(out).collect()}
+    assert got == {(va, 1): 2, (va, 2): 1, (vb, 3): 1}
