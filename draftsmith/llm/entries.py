@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftsmith.llm.lines import MIN_WORDS, dedup_lines
 from draftsmith.llm.quality import quality_scores
+from draftsmith.llm.simhash import hex_fingerprint, simhash_components
 from draftsmith.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,36 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return s.select("doc_id", *[F.col(f"m.{c}").alias(c) for c in measures], "base_failed", "kept", "p_good")
+
+
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@register(f"""WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+t AS (SELECT doc_id, pos, raw, trim(raw, {_WS}) AS line, len(regexp_extract_all(raw, '[^\\x20\\x09-\\x0D]+')) AS w FROM l),
+n AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM t WHERE w > 0),
+win AS (
+  SELECT doc_id, pos AS s, max(pos) OVER f AS e, sum(w) OVER f AS words, list(line) OVER f AS k
+  FROM n WINDOW f AS (PARTITION BY doc_id ORDER BY after - w RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER b, pos, sum(w) OVER b, list(line) OVER b
+  FROM n WINDOW b AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+first AS (SELECT k, min({{'d': doc_id, 's': s, 'e': e}}) AS f FROM win WHERE words >= {MIN_WORDS} GROUP BY k),
+cut AS (SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS pos FROM win JOIN first USING (k)
+        WHERE words >= {MIN_WORDS} AND (doc_id > f.d OR s > f.e)),
+kept AS (SELECT t.doc_id, string_agg(raw, chr(10) ORDER BY t.pos) FILTER (WHERE cut.pos IS NULL) AS text,
+                count(cut.pos) AS cut_lines
+         FROM t LEFT JOIN cut ON cut.doc_id = t.doc_id AND cut.pos = t.pos GROUP BY t.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       CAST(coalesce(cut_lines, 0) AS BIGINT) AS cut_lines
+FROM documents d LEFT JOIN kept USING (doc_id)""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register()
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
