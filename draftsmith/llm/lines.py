@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if min_words < 1:
         raise ValueError("min_words must be positive")
     checkpoint_dir(docs.sparkSession)
-    win = windows(line_hashes(docs, id_col, text_col), min_words)
+    win = windows(line_hashes(docs, id_col, text_col), min_words).checkpoint()  # hashes and positions; read for first places and for matches
     found = cuts(later_windows(win))
     # ids of found are null-safe through the key, which covers the id
     keyed = docs.withColumn("__ld_k", _doc_key(id_col, text_col))
