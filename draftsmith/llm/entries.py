@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from draftsmith.llm.bpe import encode_documents, ids_digest, tokenizer_file
+from draftsmith.llm.knn import knn_join
 from draftsmith.llm.lines import MIN_WORDS, dedup_lines
+from draftsmith.llm.mixing import SEED as MIX_SEED
+from draftsmith.llm.mixing import mix_sources
 from draftsmith.llm.quality import quality_scores
 from draftsmith.llm.simhash import hex_fingerprint, simhash_components
+from draftsmith.llm.surrogates import replace_entities
+from draftsmith.llm.token_counts import token_counts
+from draftsmith.llm.wrapper import extract_main_text
 from draftsmith.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +72,68 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@register()
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+    return x.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        ids_digest(F.col("token_ids")).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+@register(f"""WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+s AS (SELECT sum(sqrt(CAST(n AS DOUBLE))) AS sw, CAST(sum(n) AS DOUBLE) AS sn FROM n),
+r AS (SELECT source, sn * sqrt(CAST(n AS DOUBLE)) / sw / n AS rate FROM n, s),
+cdf AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+l AS (SELECT source, list(c) AS cs FROM cdf GROUP BY source),
+d AS (
+  SELECT d.*, l.cs, (CAST(CAST('0x' || substr(md5('{MIX_SEED}:' || doc_id), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+  FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source),
+x AS (SELECT * EXCLUDE (cs, u), unnest(generate_series(1, len(list_filter(cs, lambda c: c <= u)))) AS copy FROM d)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
+       CAST('0x' || substr(md5('{MIX_SEED}:' || doc_id || ':' || copy), 1, 13) AS BIGINT) AS shuffle_key
+FROM x""")
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@register("""WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""")
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return knn_join(data.where(F.col("vec_id") % 20 == 0), data, k=20, scale=64)
+
+
+@register()
+def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return x.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "has_template")
+
+
+@register()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
