@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,8 +43,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 _WORDS = regex.compile(PATTERN)
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")  # no word spans such a place
 _CHUNK = 1 << 21
-_MEMO = 400_000
+_MEMO = 500_000
 _MEMO_LEN = 48
+_PAIRS = 400_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -70,6 +72,12 @@ class TrieEncoder:
         self.rank: dict[tuple[bytes, bytes], int] = {}
         for k, (a, b) in enumerate(pairs):
             self.rank.setdefault((raw(a), raw(b)), k)
+        self.split: dict[bytes, tuple[int, tuple[bytes, bytes]]] = {}  # last merge of a token
+        for pair, k in self.rank.items():
+            self.split.setdefault(pair[0] + pair[1], (k, pair))
+        if len(self.split) != len(self.rank):
+            raise ValueError("each token must come from one merge")
+        self.edges: tuple[dict, dict] = ({}, {})
         self.longest = max(map(len, self.id_of))
         self.special = {}
         for t in d.get("added_tokens", []):
@@ -81,7 +89,7 @@ class TrieEncoder:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids of a word as 32-bit integers
 
     def merged(self, word: bytes) -> list[bytes]:
         """Plain merging, smallest rank first (used for single tokens and pairs)."""
@@ -103,23 +111,52 @@ class TrieEncoder:
         return parts
 
     def _alone(self, t: int) -> bool:
+        """Whether a token's text encodes to the token itself."""
         ok = self.alone.get(t)
         if ok is None:
             ok = self.alone[t] = len(self.merged(self.bytes_of[t])) == 1
         return ok
 
+    def _edge(self, t: int, side: int) -> list[tuple[bytes, float]]:
+        """Pieces that are at an edge of the token (0: left, 1: right) while it
+        is merged, largest first, each with the rank of the merge that ends it."""
+        got = self.edges[side].get(t)
+        if got is None:
+            piece, ends = self.bytes_of[t], float("inf")
+            got = [(piece, ends)]
+            while piece in self.split:
+                ends, pair = self.split[piece]
+                piece = pair[side]
+                got.append((piece, ends))
+            self.edges[side][t] = got
+        return got
+
     def _fits(self, p: int, t: int) -> bool:
+        """Whether ``p + t`` encodes to the pair ``(p, t)``: no merge joins a
+        piece at the right edge of ``p`` to one at the left edge of ``t`` before
+        both are merged away from the border (of equal ranks the left goes first)."""
         ok = self.fits.get((p, t))
         if ok is None:
-            a, b = self.bytes_of[p], self.bytes_of[t]
-            if len(self.fits) > 4 * _MEMO:
+            if len(self.fits) > _PAIRS:
                 self.fits.clear()
-            ok = self.fits[p, t] = self.merged(a + b) == [a, b]
+            ok = self._alone(p) and self._alone(t)
+            if ok:
+                rank = self.rank
+                right = self._edge(t, 0)
+                for x, x_ends in self._edge(p, 1):
+                    for y, y_ends in right:
+                        r = rank.get((x, y))
+                        if r is not None and r < x_ends and r <= y_ends:
+                            ok = False
+                            break
+                    if not ok:
+                        break
+            self.fits[p, t] = ok
         return ok
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Ids of each of the ``words``, which are sorted and distinct."""
-        id_of, longest = self.id_of, self.longest
+    def encode_words(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids (32-bit integers) of each of the ``words``, which are sorted and distinct."""
+        id_of, longest, known = self.id_of.get, self.longest, self.fits.get
         last: list[int] = [-1]  # last token of the current path's prefix of this length
         back: list[int] = [0]  # length of the prefix before that token
         prev = b""
@@ -129,8 +166,16 @@ class TrieEncoder:
             del last[depth + 1 :], back[depth + 1 :]
             for end in range(depth + 1, len(w) + 1):
                 for start in range(max(0, end - longest), end):
-                    t = id_of.get(w[start:end])
-                    if t is not None and (self._fits(last[start], t) if start else self._alone(t)):
+                    t = id_of(w[start:end])
+                    if t is None:
+                        continue
+                    if start:
+                        ok = known((last[start], t))
+                        if ok is None:
+                            ok = self._fits(last[start], t)
+                    else:
+                        ok = self._alone(t)
+                    if ok:
                         last.append(t)
                         back.append(start)
                         break
@@ -140,9 +185,10 @@ class TrieEncoder:
             while at:
                 ids.append(last[at])
                 at = back[at]
-            yield tuple(reversed(ids))
+            ids.reverse()
+            yield array("i", ids).tobytes()
 
-    def _learn(self, lists: list[list[str]]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, lists: list[list[str]]) -> dict[str, bytes]:
         """The word table with all words of ``lists``."""
         if len(self.memo) > _MEMO:
             self.memo.clear()
@@ -184,12 +230,8 @@ class TrieEncoder:
         table = self._learn([x for _, xs in group for x in xs if isinstance(x, list)])
         for k, xs in group:
             for x in xs:
-                if not isinstance(x, list):
-                    out[k].append(1 if count_only else np.array([x], dtype=np.int32))
-                elif count_only:
-                    out[k].append(sum(map(len, map(table.__getitem__, x))))
-                else:
-                    out[k].append(np.fromiter(chain.from_iterable(map(table.__getitem__, x)), dtype=np.int32))
+                ids = b"".join(map(table.__getitem__, x)) if isinstance(x, list) else array("i", [x]).tobytes()
+                out[k].append(len(ids) // 4 if count_only else ids)
 
     def encode_batch(self, texts: list[str | None], *, count_only: bool = False) -> list:
         """Per text its ids (int32 array), or their number."""
@@ -207,7 +249,7 @@ class TrieEncoder:
         self._group(group, out, count_only)
         if count_only:
             return [sum(x) for x in out]
-        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, dtype=np.int32) for x in out]
+        return [np.frombuffer(x[0] if len(x) == 1 else b"".join(x), dtype=np.int32) for x in out]
 
     def decode(self, ids) -> str:
         """Text of ``ids``, special tokens included; broken UTF-8 as U+FFFD."""

@@ -17,6 +17,8 @@ from draftsmith.llm.quality import quality_scores
 from draftsmith.llm.simhash import hex_fingerprint, simhash_components
 from draftsmith.llm.surrogates import replace_entities
 from draftsmith.llm.token_counts import token_counts
+from draftsmith.llm.toxicity import score as toxicity_score
+from draftsmith.llm.toxicity import train as toxicity_train
 from draftsmith.llm.wrapper import extract_main_text
 from draftsmith.tables import table
 
@@ -109,6 +111,13 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register()
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity_train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity_score(docs, model)
+
+
 @register()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))

@@ -25,7 +25,8 @@ all rows hold does not make a large task.
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; rows with a null id
 are not candidates or queries; repeated data rows are candidates each, repeated
-query rows are one query; fewer than ``k`` candidates give as many rows; an
+query rows are one query; fewer than ``k`` candidates give as many rows; a
+quantised vector whose squared length does not fit a long raises an error; an
 empty table gives an empty result.
 """
 

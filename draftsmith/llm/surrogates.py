@@ -38,7 +38,7 @@ NEUTRAL = ("Dr", "Prof", "Mx")
 
 _ANY = "[\\p{L}\\p{N}]"
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")\\.?"
-_NAME = "\\p{Lu}[\\p{L}\\p{M}'’-]*+[\\p{L}]"
+_NAME = "\\p{Lu}(?:['’-]?[\\p{L}\\p{M}])++"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": f"(?<![\\p{{L}}\\p{{N}}._+-]){_ANY}[\\p{{L}}\\p{{N}}._+-]*+@{_ANY}++(?:-++{_ANY}++)*+(?:\\.{_ANY}++(?:-++{_ANY}++)*+)++",
@@ -51,7 +51,7 @@ PATTERNS = {
         "|(?<![\\p{L}\\p{N}.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
     ),
     "ssn": "(?<![\\p{L}\\p{N}.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|[.-][0-9])",
-    "card": f"(?<![\\p{{L}}\\p{{N}}.+-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}})(?!{_ANY}|[ -][0-9]{{4}})",
+    "card": f"(?<![\\p{{L}}\\p{{N}}.+-])(?:[0-9]{{13,19}}(?!{_ANY})|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}(?!{_ANY}|[ -][0-9]{{4}}))",
     "secret": f"(?<!{_ANY})(?=[A-Za-z_-]{{0,200}}[0-9])(?=[0-9_-]{{0,200}}[A-Za-z])[A-Za-z0-9][A-Za-z0-9_-]{{30,}}+(?!{_ANY})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -140,15 +140,17 @@ def _card(unit: Column, h: Column) -> Column:
 def _name(unit: Column, h: Column, what: Column, attempt: int) -> Column:
     """Consonant-vowel syllables in the script of the unit; given names end by gender."""
     pools = {"\\p{IsCyrillic}": ("бвгдзклмнпрстф", "аеиоу", "а", "нрслк"), "\\p{IsGreek}": ("βγδζκλμνπρστφχ", "αεηιοω", "α", "ςνρ"), "": ("bdfgklmnprstvz", "aeiou", "a", "nrslk")}
-    out = None
+    words = {}
     for script, (cons, vows, female, male) in pools.items():
-        syllable = lambda i, c=cons, v=vows: F.concat(_pick(c, _byte(h, i * 2)), _pick(v, _byte(h, i * 2 + 1)))
+
+        def syllable(i: Column) -> Column:
+            return F.concat(_pick(cons, _byte(h, i * 2)), _pick(vows, _byte(h, i * 2 + 1)))  # noqa: B023  used at once
+
         n = F.pmod(_byte(h, F.lit(62)), F.lit(2)) + (2 + attempt)
         stem = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), syllable), "")
         end = F.when(what == "given_f", F.concat(_pick(cons, _byte(h, F.lit(60))), F.lit(female))).when(what.isin("given_m", "surname"), _pick(male, _byte(h, F.lit(61)))).otherwise("")
-        word = F.concat(stem, end)
-        out = word if script == "" and out is None else (F.when(unit.rlike(script), word) if out is None else (out.when(unit.rlike(script), word) if script else out.otherwise(word)))
-    return out
+        words[script] = F.concat(stem, end)
+    return F.when(unit.rlike("\\p{IsCyrillic}"), words["\\p{IsCyrillic}"]).when(unit.rlike("\\p{IsGreek}"), words["\\p{IsGreek}"]).otherwise(words[""])
 
 
 def _draw(attempt: int, key: str) -> Column:
@@ -168,6 +170,7 @@ def _draw(attempt: int, key: str) -> Column:
             .when(what == "card", _card(unit, h))
             .when(what == "iban", _same_shape(unit, h, F.lit(2)))
             .when((what == "secret") & unit.rlike("^[0-9a-f]{1,640}$"), hexes)
+            .when((what == "secret") & unit.rlike("^[0-9A-F]{1,640}$"), F.upper(hexes))
             .when(what.isin("secret", "ssn"), _same_shape(unit, h, F.lit(0)))
             .otherwise(_name(unit, h, what, attempt))
         )
@@ -206,7 +209,8 @@ def _render(e: Column, what: Column, got: Column) -> Column:
     nth = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
     chars = F.filter(F.split(e, ""), lambda c: c != "")
     spread = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(got[0], nth(i), F.lit(1))).otherwise(c)), "")
-    return F.when(what == "person", person).when(what.isin("email", "ip"), got[0]).otherwise(spread)
+    loud = (what == "email") & (F.upper(e) == e)
+    return F.when(what == "person", person).when(loud, F.upper(got[0])).when(what.isin("email", "ip"), got[0]).otherwise(spread)
 
 
 def replace_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:

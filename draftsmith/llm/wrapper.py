@@ -280,9 +280,27 @@ def _below(n: Node, top: Node) -> bool:
     return n is not None
 
 
+def _labels(root: Node) -> frozenset[str]:
+    out, stack = set(), [root]
+    while stack:
+        n = stack.pop()
+        out.add(n.label)
+        stack.extend(n.blocks)
+    return frozenset(out)
+
+
+def alike(trees: list[Node]) -> list[Node]:
+    """The largest set of trees that share most of their labels with one of
+    them (error pages and other page types drop out), fewest blocks first."""
+    sets = [_labels(t) for t in trees]
+    near = [[j for j, y in enumerate(sets) if 2 * len(x & y) >= len(x | y)] for x in sets]
+    group = max(near, key=len, default=[])
+    return sorted((trees[j] for j in group), key=lambda t: len(list(block_texts(t))))
+
+
 def induce(pages: list[str]) -> Template | None:
-    """Template of distinct pages of one host (None for fewer than two)."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
+    """Template of distinct pages of one host (None for fewer than two alike)."""
+    trees = alike([parse(p) for p in dict.fromkeys(pages) if p.strip()])
     if len(trees) < 2:
         return None
     base = trees[0]
