@@ -15,8 +15,8 @@ depth-first order of the trie without holding its nodes.
 
 On Spark: one narrow Arrow pass over the texts, nothing is shuffled.  The
 vocabulary file is read by the driver (its path is a parameter) and broadcast;
-its size is that of the vocabulary.  A task holds the words of ``_CHUNK``
-characters and a word table of at most ``_MEMO`` words.
+its size is that of the vocabulary.  A task holds ``_ROWS`` texts, the words of
+``_CHUNK`` characters and a word table of about ``_MEMO`` words.
 
 Defined results: a null text is encoded as an empty one (no ids); strings of
 special tokens in a text become those tokens, as the tokenizers library does by
@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 _WORDS = regex.compile(PATTERN)
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")  # no word spans such a place
 _CHUNK = 1 << 21
-_MEMO = 500_000
+_MEMO = 700_000
 _MEMO_LEN = 48
 _PAIRS = 400_000
+_ROWS = 256  # rows encoded at a time
 
 
 def byte_chars() -> dict[str, int]:
@@ -90,6 +92,7 @@ class TrieEncoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}  # ids of a word as 32-bit integers
+        self.passing: list[str] = []
 
     def merged(self, word: bytes) -> list[bytes]:
         """Plain merging, smallest rank first (used for single tokens and pairs)."""
@@ -189,20 +192,19 @@ class TrieEncoder:
             yield array("i", ids).tobytes()
 
     def _learn(self, lists: list[list[str]]) -> dict[str, bytes]:
-        """The word table with all words of ``lists``."""
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        table = self.memo
-        new = set(chain.from_iterable(lists)) - table.keys()
-        if any(len(w) > _MEMO_LEN for w in new):
-            table = dict(table)  # long words are not kept beyond this call
+        """The word table with all words of ``lists``; words that are long, or
+        new when the table is full, leave it with the next call."""
+        for w in self.passing:
+            del self.memo[w]
+        self.passing = []
+        new = set(chain.from_iterable(lists)) - self.memo.keys()
         if new:
             pairs = sorted((w.encode("utf-8", "surrogatepass"), w) for w in new)
             for (_, w), ids in zip(pairs, self.encode_words([b for b, _ in pairs])):
-                table[w] = ids
-                if table is not self.memo and len(w) <= _MEMO_LEN:
-                    self.memo[w] = ids
-        return table
+                if len(w) > _MEMO_LEN or len(self.memo) >= _MEMO:
+                    self.passing.append(w)
+                self.memo[w] = ids
+        return self.memo
 
     def _pieces(self, text: str) -> Iterator[str]:
         """``text`` cut where no word can span, in parts of about ``_CHUNK``."""
@@ -281,29 +283,36 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((hash(spec), spec))
 
 
-_ROUND = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Arrow batches in parts of ``_ROWS`` rows, with the texts of column ``at``."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(k, _ROWS)
+            yield part, part.column(at).to_pylist()
 
 
-def round_trip(text: Column, vocab) -> Column:
-    """Struct of the text's ``ids`` and of the text ``decoded`` from them."""
+def _with_columns(docs: DataFrame, text_col: str, added: list[T.StructField], work) -> DataFrame:
+    """``docs`` with ``added`` columns, which ``work(encoder, texts)`` gives as
+    Arrow arrays; the other columns pass through as they are."""
+    names = [f.name for f in added]
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    at = kept.columns.index(text_col)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept.schema.fields] + added)
 
-    @F.pandas_udf(_ROUND)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        enc = _encoder(vocab)
-        ids = enc.encode_batch(texts.tolist())
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": [enc.decode(x.tolist()) for x in ids]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*part.columns, *work(texts)], names=[*part.schema.names, *names])
 
-    return run(F.coalesce(text, F.lit("")))
+    return kept.mapInArrow(run, schema)
 
 
-def encoded_length(text: Column, vocab) -> Column:
-    """Number of tokens of a text."""
+def encoded_lengths(docs: DataFrame, vocab, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``length``, the number of tokens of the text (null: 0)."""
 
-    @F.pandas_udf(T.LongType())
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(_encoder(vocab).encode_batch(texts.tolist(), count_only=True), dtype="int64")
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(_encoder(vocab).encode_batch(texts, count_only=True), pa.int64())]
 
-    return run(F.coalesce(text, F.lit("")))
+    return _with_columns(docs, text_col, [T.StructField("length", T.LongType())], work)
 
 
 def decode(ids: Column, vocab) -> Column:
@@ -320,9 +329,15 @@ def decode(ids: Column, vocab) -> Column:
 def encode_documents(docs: DataFrame, vocab_path: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids array<int>`` and ``decoded`` (the ids' text)."""
     vocab = vocabulary(docs.sparkSession, vocab_path)
-    names = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    out = docs.select(*[F.col(f"`{c}`") for c in names], round_trip(F.col(text_col), vocab).alias("__bpe"))
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col("__bpe.ids").alias("token_ids"), F.col("__bpe.decoded").alias("decoded"))
+
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        enc = _encoder(vocab)
+        ids = enc.encode_batch(texts)
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([enc.decode(x.tolist()) for x in ids], pa.string())]
+
+    return _with_columns(docs, text_col, [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())], work)
 
 
 def ids_digest(ids: Column) -> Column:

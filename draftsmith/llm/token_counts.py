@@ -21,15 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftsmith.llm.bpe import encoded_length, vocabulary
+from draftsmith.llm import bpe
 
 _RANGE = 1024
 
 
 def encoded_lengths(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, length)`` of every row."""
-    vocab = vocabulary(docs.sparkSession, vocab_path)
-    return docs.select(F.col(id_col), encoded_length(F.col(text_col), vocab).alias("length"))
+    vocab = bpe.vocabulary(docs.sparkSession, vocab_path)
+    return bpe.encoded_lengths(docs.select(id_col, text_col), vocab, text_col=text_col).select(id_col, "length")
 
 
 def length_histogram(lengths: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
