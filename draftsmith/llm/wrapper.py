@@ -28,6 +28,7 @@ table stays empty; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -69,6 +70,10 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"
 _NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+# Fixed value: those of them that also name boilerplate on an article element.
+NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comment|comments|reply|replies|related|recommended)(?:$|[\s_-])", re.I)
+
+
 class Node:
     """``items`` are texts and nodes in page order."""
 
@@ -81,7 +86,9 @@ class Node:
 
     @property
     def dropped(self) -> bool:
-        if self.tag in DROPPED or self.named and self.tag not in ARTICLE and self.tag not in ("body", "html") and NAMED.search(self.named):
+        if self.tag in DROPPED:
+            return True
+        if self.named and self.tag not in ("body", "html") and (NAMED_ARTICLE if self.tag in ARTICLE else NAMED).search(self.named):
             return True
         return self.tag == "header" and not self.inside_article()
 
@@ -216,11 +223,12 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
 
 
 class Template:
-    """Node of a host's template: label, constant text flag, content flag, children."""
+    """Node of a host's template: label, digest of its constant text (or None),
+    content flag, children."""
 
     __slots__ = ("constant", "content", "items", "label", "tag")
 
-    def __init__(self, label: str, constant: bool, content: bool, items: list[Template]):
+    def __init__(self, label: str, constant: str | None, content: bool, items: list[Template]):
         self.label, self.constant, self.content, self.items = label, constant, content, items
         self.tag = label.split(" ", 1)[0]
 
@@ -271,7 +279,11 @@ def _content_root(root: Node, constant: set[int]) -> Node:
     at = leaves[0][0]
     while weight[id(at)] < weight[id(root)]:
         at = at.parent
-    return at if at.blocks or at.parent is None else at
+    return at
+
+
+def _digest(n: Node) -> str:
+    return hashlib.md5(own_text(n)[0].encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def _below(n: Node, top: Node) -> bool:
@@ -321,7 +333,7 @@ def induce(pages: list[str]) -> Template | None:
 
     def build(n: Node) -> Template:
         inside = [build(x) for x in n.blocks if id(x) in shared]
-        return Template(n.label, id(n) in constant, n is top, inside)
+        return Template(n.label, _digest(n) if id(n) in constant else None, n is top, inside)
 
     return build(base)
 
@@ -334,7 +346,7 @@ def main_text(page: str | None, template: Template | None) -> str:
     top = None
     if template is not None:
         for a, t in match(root, template)[1]:
-            if t.constant:
+            if t.constant is not None and t.constant == _digest(a):
                 constant.add(id(a))
             if t.content:
                 top = a
