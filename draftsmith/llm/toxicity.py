@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     got = rows.mapInPandas(run, "id long, y boolean, k array<int>, v array<float>").orderBy("id", F.xxhash64("k", "v")).limit(max_train).toPandas()
     if got.empty:
         return OrdinalModel(np.array([6.0]), {}, bits)
-    x = [dict(zip(k.tolist(), np.asarray(v, dtype=np.float64).tolist())) for k, v in zip(got["k"], got["v"])]
+    x = [dict(zip(np.asarray(k).tolist(), np.asarray(v, dtype=np.float64).tolist())) for k, v in zip(got["k"], got["v"])]
     toxic = got["y"].to_numpy(dtype=bool)
     once = distinct_texts(x)
     x, toxic = [x[i] for i in once], toxic[once]
