@@ -55,7 +55,7 @@ PATTERNS = {
     "secret": f"(?<!{_ANY})(?=[A-Za-z_-]{{0,200}}[0-9])(?=[0-9_-]{{0,200}}[A-Za-z])[A-Za-z0-9][A-Za-z0-9_-]{{30,}}+(?!{_ANY})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_CHEAP = "[@0-9]|" + "|".join(sorted(set(x[:2] for x in MALE + FEMALE + NEUTRAL)))  # no entity without one of these
+_CHEAP = f"[@0-9]|(?<![\\p{{L}}\\p{{N}}]){_TITLE} \\p{{Lu}}"  # no entity without one of these
 KEY = "draftsmith-surrogates-1"
 _ROUNDS = 12
 
