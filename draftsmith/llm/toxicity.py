@@ -11,9 +11,10 @@ significant log odds over the sample), split at equal shares.  Only such words
 are features, so the length of a document does not weigh.
 
 On Spark: at most ``max_train`` labelled documents (half of each kind, the
-smallest by hash of their id; a stated bound) are turned into sparse features by the tasks and
-fitted on the driver; scoring is one narrow Arrow pass over all documents with
-the model broadcast (non-zero weights only, at most ``2**bits``).
+smallest by hash of their id; a stated bound) are turned into sparse features,
+near-copies among them are dropped and telling words found by joins and
+aggregates; the driver gets those words' counts and fits; scoring is one narrow
+Arrow pass over all documents with the model broadcast (non-zero weights only).
 
 Defined results: a null or empty text has no features and gets the grade
 probabilities of the thresholds alone; null labels take no part; repeated rows
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from draftsmith.session import checkpoint_dir
+
 MAX_TRAIN = 12000
 BITS = 24
 GRADES = 3
@@ -70,52 +73,36 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def distinct_texts(x: list[dict[int, float]], bands: int = 4, rare: int = 30) -> list[int]:
-    """Positions of the documents that are no near-copy of an earlier one: two
-    count as copies when, in one of ``bands`` bands, two minimum hashes of their
-    rare words (in 2 to ``rare`` documents) agree.  Else the words of a copied
-    text would pass for telling."""
-    df = Counter(k for row in x for k in row)
-    odd = np.random.default_rng(7).integers(1 << 62, size=(2 * bands, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    keep, seen = [], set()
-    for i, row in enumerate(x):
-        few = np.array([k for k in row if 2 <= df[k] <= rare], dtype=np.uint64)
-        if len(few):
-            least = (odd * few).min(axis=1).tolist()
-            sig = [(n, least[2 * n], least[2 * n + 1]) for n in range(bands)]
-        else:
-            sig = [(-1, tuple(sorted(row)))]
-        if not any(z in seen for z in sig):
-            keep.append(i)
-        seen.update(sig)
-    return keep
-
-
-def telling_buckets(x: list[dict[int, float]], toxic: np.ndarray, *, odds: float = 2.5, gain: float = 16.0) -> dict[int, float]:
-    """Buckets whose presence tells toxic documents: log odds over ``odds`` and a
-    likelihood ratio (G) over ``gain``, which takes several toxic documents."""
-    pos, neg = int(toxic.sum()), int((~toxic).sum())
-    if not pos or not neg:
-        return {}
-    a, b = Counter(), Counter()
-    for row, t in zip(x, toxic):
-        (a if t else b).update(row.keys())
-    out, base = {}, pos / (pos + neg)
-    for k, i in a.items():
-        j = b[k]
-        lo = np.log((i + 0.5) / (pos - i + 0.5)) - np.log((j + 0.5) / (neg - j + 0.5))
-        g = 2 * sum(n * np.log(n / (i + j) / q) for n, q in ((i, base), (j, 1 - base)) if n)
-        if lo > odds and g >= gain:
-            out[k] = float(lo)
-    return out
-
-
-def severity(x: list[dict[int, float]], toxic: np.ndarray, grades: int, telling: dict[int, float]) -> np.ndarray:
-    """Grades of the training documents: 0 if not toxic, else 1..grades by how
-    much they hold of the words that tell toxic documents."""
-    if not toxic.any():
-        return np.zeros(len(x), dtype=np.int64)
-    held = np.array([sum(v for k, v in row.items() if k in telling) for row in x])
+def distinct_rows(feats: DataFrame, *, bands: int = 4, rare: int = 30) -> DataFrame:
+    """``feats(row, y, k, v)`` without near-copies of an earlier row: two rows
+    count as copies when all their features agree or when, in one of ``bands``
+    bands, two minimum hashes of their rare words (in 2 to ``rare`` rows) do.
+    Else the words of a copied text would pass for telling."""
+    terms = feats.select("row", F.explode("k").alias("k"))
+    few = terms.groupBy("k").count().where(F.col("count").between(2, rare)).select("k")
+    least = [F.min(F.xxhash64(F.lit(i), "k")).alias(f"h{i}") for i in range(2 * bands)]
+    signed = terms.join(few, "k").groupBy("row").agg(*least)
+    keys = F.array(*[F.xxhash64(F.lit(b), f"h{2 * b}", f"h{2 * b + 1}") for b in range(bands)])
+    marks = signed.select("row", F.explode(keys).alias("key")).unionAll(feats.select("row", F.xxhash64(F.lit(-1), "k", "v")))
+    first = marks.groupBy("key").agg(F.min("row").alias("first"))
+    copies = marks.join(first, "key").where("row > first").select("row").distinct()
+    return feats.join(copies, "row", "left_anti")
+
+
+def telling_buckets(rows: DataFrame, pos: int, neg: int, *, odds: float = 2.5, gain: float = 16.0) -> DataFrame:
+    """``(k)``: buckets whose presence tells toxic rows: log odds over ``odds`` and
+    a likelihood ratio (G) over ``gain``, which takes several toxic rows."""
+    n = rows.select("y", F.explode("k").alias("k")).groupBy("k").agg(F.count(F.when(F.col("y"), 1)).alias("i"), F.count(F.when(~F.col("y"), 1)).alias("j"))
+    i, j, base = F.col("i"), F.col("j"), pos / max(1, pos + neg)
+    lo = F.ln((i + 0.5) / (pos - i + 0.5)) - F.ln((j + 0.5) / (neg - j + 0.5))
+    part = lambda m, q: F.when(m > 0, m * F.ln(m / (i + j) / q)).otherwise(0.0)
+    return n.where((i > 0) & (lo > odds) & (2 * (part(i, base) + part(j, 1 - base)) >= gain)).select("k")
+
+
+def severity(x: list[dict[int, float]], toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grades of the training rows: 0 if not toxic, else 1..grades by how much
+    they hold of telling words (the features of ``x``)."""
+    held = np.array([sum(row.values()) for row in x])
     cuts = np.quantile(held[toxic], [i / grades for i in range(1, grades)])
     return np.where(toxic, 1 + np.searchsorted(np.unique(cuts), held, side="left"), 0)
 
@@ -181,18 +168,29 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             got = [features(t, bits) for t in p["__text"]]
             yield pd.DataFrame({"id": p["__id"], "y": p["__y"], "k": [list(f) for f in got], "v": [list(f.values()) for f in got]})
 
-    got = rows.mapInPandas(run, "id long, y boolean, k array<int>, v array<float>").orderBy("id", F.xxhash64("k", "v")).limit(max_train).toPandas()
-    if got.empty:
+    checkpoint_dir(docs.sparkSession)
+    feats = rows.mapInPandas(run, "id long, y boolean, k array<int>, v array<float>")
+    one = F.min_by(F.struct("k", "v"), F.xxhash64("k", "v"))  # of rows that share an id, one
+    feats = feats.groupBy("id", "y").agg(one.alias("f")).select("id", "y", "f.*")
+    feats = feats.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    kept = distinct_rows(feats).checkpoint()
+    n = {r["y"]: r["count"] for r in kept.groupBy("y").count().collect()}  # two rows
+    pos, neg = n.get(True, 0), n.get(False, 0)
+    if not pos or not neg:
         return OrdinalModel(np.array([6.0]), {}, bits)
-    x = [dict(zip(np.asarray(k).tolist(), np.asarray(v, dtype=np.float64).tolist())) for k, v in zip(got["k"], got["v"])]
-    toxic = got["y"].to_numpy(dtype=bool)
-    once = distinct_texts(x)
-    x, toxic = [x[i] for i in once], toxic[once]
-    telling = telling_buckets(x, toxic)
-    grade = severity(x, toxic, grades, telling)
+    telling = telling_buckets(kept, pos, neg)
+    parts = kept.select("row", "y", F.explode(F.arrays_zip("k", "v")).alias("f")).select("row", "y", "f.*").join(telling, "k")
+    x: dict[int, dict[int, float]] = {}
+    y: dict[int, bool] = {}
+    for r in parts.collect():  # telling words of at most max_train rows
+        x.setdefault(r["row"], {})[r["k"]] = r["v"]
+        y[r["row"]] = r["y"]
+    rows_x = list(x.values())
+    toxic = np.array(list(y.values()) + [True] * (pos - sum(y.values())) + [False] * (neg - len(y) + sum(y.values())), dtype=bool)
+    rows_x += [{}] * (len(toxic) - len(rows_x))
     # both kinds weigh alike, so a grade is called where it is likelier than not on even odds
-    weight = np.array([1.0 / max(1, int((toxic == t).sum())) for t in toxic])
-    return fit([{k: v for k, v in r.items() if k in telling} for r in x], grade, weight, bits=bits)
+    weight = np.where(toxic, 1.0 / pos, 1.0 / neg)
+    return fit(rows_x, severity(rows_x, toxic, grades), weight, bits=bits)
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
