@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftsmith.llm import bpe
+from draftsmith.session import checkpoint_dir
 
-_RANGE = 1024
+_RANGE = 256
 
 
 def encoded_lengths(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,5 +90,7 @@ def length_quantiles(sums: DataFrame, quantiles: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Suffix sums of the length histogram, a row per distinct length."""
-    return suffix_sums(length_histogram(encoded_lengths(docs, vocab_path, id_col=id_col, text_col=text_col), id_col=id_col))
+    """Suffix sums of the length histogram, a row per distinct length.  The
+    histogram is written to the checkpoint folder, as it is read twice."""
+    checkpoint_dir(docs.sparkSession)
+    return suffix_sums(length_histogram(encoded_lengths(docs, vocab_path, id_col=id_col, text_col=text_col), id_col=id_col).checkpoint())
