@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, prepared, sql_prepared_chain
-from draftsmith.functions.hashing import sql_md5_int
-from draftsmith.operators.packing import clip_or_drop, pack_batches, pack_summary, skip_batches
+from draftsmith.functions.hashing import sql_md5_int, sql_seeded_key
+from draftsmith.operators.packing import LEVELS, clip_or_drop, pack_batches, pack_summary, skip_batches
 from draftsmith.operators.sampling import cod_sample_rows
 
 G = "sampling"
 PACK_LEN = 2048
 REPLICAS = 2
+PACK_SHARDS = 4  # the tables are small; the default is for large ones
 COD_DEPTHS = 4
 COD_RATIO = 0.7
 COD_MIN = 0.2
@@ -31,22 +32,48 @@ def clip_or_drop_long(spark, sf):
     return clipped.join(lens.select("sample_id", (F.col("length") > PACK_LEN).cast("int").alias("is_long")), "sample_id")
 
 
-@register("pack_batches", None, G)
+def _sql_plan(seed: int) -> str:
+    """CTEs up to ``plan(batch_no, replica, sample_id, length, item)``."""
+    over = "PARTITION BY shard ORDER BY key, sample_id"
+    parts = [f"""k0 AS (SELECT sample_id, CAST(least(seq_len, {PACK_LEN}) AS BIGINT) AS length, {sql_seeded_key(seed, 'sample_id')} AS key FROM prepared),
+b0 AS (SELECT *, key % {PACK_SHARDS} AS shard, CAST(NULL AS INTEGER) AS level, CAST(NULL AS BIGINT) AS cut FROM k0)"""]
+    for k in range(LEVELS):
+        parts.append(f"""e{k} AS (SELECT *, sum(CASE WHEN level IS NULL THEN length ELSE 0 END) OVER ({over} ROWS UNBOUNDED PRECEDING) AS en FROM b{k}),
+f{k} AS (SELECT *, (en - length) // {PACK_LEN} AS mark, level IS NULL AND greatest(en - 1, en - length) // {PACK_LEN} = (en - length) // {PACK_LEN} AS inside FROM e{k}),
+b{k + 1} AS (SELECT sample_id, length, key, shard, CASE WHEN inside THEN {k} ELSE level END AS level, CASE WHEN inside THEN mark ELSE cut END AS cut FROM f{k})""")
+    parts.append(f"""own AS (SELECT sample_id, length, shard, coalesce(level, {LEVELS}) AS level,
+  CASE WHEN level IS NULL THEN sum(CASE WHEN level IS NULL THEN 1 ELSE 0 END) OVER ({over} ROWS UNBOUNDED PRECEDING) - 1 ELSE cut END AS cut,
+  row_number() OVER ({over}) - 1 AS item FROM b{LEVELS}),
+dense AS (SELECT *, dense_rank() OVER (ORDER BY shard, level, cut) - 1 AS bin FROM own),
+plan AS (SELECT CAST(bin // {REPLICAS} AS BIGINT) AS batch_no, CAST(bin % {REPLICAS} AS INTEGER) AS replica, sample_id, length, CAST(item AS BIGINT) AS item
+  FROM dense WHERE bin < (SELECT (max(bin) + 1) // {REPLICAS} * {REPLICAS} FROM dense))""")
+    return ",\n".join(parts)
+
+
+@register("pack_batches", f"""WITH {sql_prepared_chain()},
+{_sql_plan(SEED)}
+SELECT * FROM plan""", G)
 def pack_batches_q(spark, sf):
-    """Sequential greedy packing per shard: rows-only check here; invariants
-    and an independent plain-Python packer live in the tests."""
-    return pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, num_shards=2)
+    return pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, shards=PACK_SHARDS)
 
 
-@register("pack_summary", None, G)
+@register("pack_summary", f"""WITH {sql_prepared_chain()},
+{_sql_plan(SEED)},
+p AS (SELECT CAST(count(*) AS BIGINT) AS n_packed, CAST(sum(length) AS BIGINT) AS used_tokens, CAST(max(batch_no) + 1 AS BIGINT) AS n_batches FROM plan),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_samples, CAST(count(*) FILTER (WHERE seq_len > {PACK_LEN}) AS BIGINT) AS n_long FROM prepared)
+SELECT n_samples, n_packed, n_samples - n_packed AS n_dropped, n_long, n_batches, used_tokens,
+       n_batches * {REPLICAS * PACK_LEN} AS capacity, CAST(used_tokens AS DOUBLE) / (n_batches * {REPLICAS * PACK_LEN}) AS fill_ratio
+FROM p, s""", G)
 def pack_summary_q(spark, sf):
     lens = _lengths(spark, sf)
-    return pack_summary(pack_batches(lens, PACK_LEN, REPLICAS, seed=SEED, num_shards=2), lens, PACK_LEN, REPLICAS)
+    return pack_summary(pack_batches(lens, PACK_LEN, REPLICAS, seed=SEED, shards=PACK_SHARDS), lens, PACK_LEN, REPLICAS)
 
 
-@register("resume_skip_batches", None, G)
+@register("resume_skip_batches", f"""WITH {sql_prepared_chain()},
+{_sql_plan(SEED + 1)}
+SELECT * FROM plan WHERE batch_no >= 3""", G)
 def resume_skip_batches(spark, sf):
-    return skip_batches(pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, epoch=1), 3)
+    return skip_batches(pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, epoch=1, shards=PACK_SHARDS), 3)
 
 
 def _sql_cod(select: str | None = None) -> str:
@@ -99,16 +126,23 @@ def cod_sampling(spark, sf):
     )
 
 
-@register("training_batches", None, G)
+@register("training_batches", f"""WITH {sql_prepared_chain()},
+{_sql_plan(SEED)},
+d AS (SELECT batch_no, replica, item, loss_mask, greatest(len(input_ids) - 1, 0) AS n FROM plan JOIN prepared USING (sample_id)),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY batch_no, replica ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM d),
+k AS (SELECT *, least(n, {PACK_LEN} - st) AS kept FROM o WHERE st < {PACK_LEN}),
+c AS (SELECT *, len(list_filter(range(CAST(kept AS BIGINT)), lambda j: loss_mask[j + 2] AND st + j <= {PACK_LEN - 4})) AS open FROM k)
+SELECT batch_no, replica, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(kept) AS BIGINT) AS used_tokens,
+       CAST(least(sum(open), 4) AS BIGINT) AS n_anchors
+FROM c GROUP BY batch_no, replica""", G)
 def training_batches(spark, sf):
-    """Examples plan end to end on the prepared conversations: LPT plan →
-    shift (X4) → collated batch rows with anchors and blocks.  Rows-only (the
-    packer is sequential); the invariants are in the tests."""
+    """Examples plan end to end on the prepared conversations: packing plan →
+    shift (X4) → collated batch rows with anchors and blocks."""
     from draftsmith.plans.examples import build_training_batches
 
-    b = build_training_batches(prepared(spark, sf), PACK_LEN, REPLICAS, seed=SEED, step="shift", num_shards=2, anchors=(4, 3, 131072))
+    b = build_training_batches(prepared(spark, sf), PACK_LEN, REPLICAS, seed=SEED, step="shift", shards=PACK_SHARDS, anchors=(4, 3, 131072))
     return b.select(
-        "shard", "batch_no", "replica",
+        "batch_no", "replica",
         F.size("lengths").cast("bigint").alias("n_docs"),
         F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("used_tokens"),
         F.size(F.filter("anchors", lambda a: a["anchor_valid"])).cast("bigint").alias("n_anchors"),

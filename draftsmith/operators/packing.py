@@ -1,113 +1,28 @@
-"""Token-budget batch packing.
-
-The reference packs the whole shuffled dataset with one sequential loop
-(binary search over LPT feasibility).  Here the ``(id, len)`` table — never
-the payload — is split into ``num_shards`` hash shards; each shard runs the
-exact algorithm in an ``applyInPandas`` group, and the few leftovers of all
-shards (fewer than ``replicas`` each) are packed in one residual group.
-``num_shards=1`` gives the reference's batches for the same order.
-
-By default the shard count is ``ceil(n / rows_per_shard)`` (one count), so
-no group holds more than ``rows_per_shard`` ``(id, len)`` rows (16 bytes
-each); the residual group holds at most ``num_shards * (replicas - 1)``
-rows.
+"""Token-budget batch packing by running sums.
+
+The ``(id, length)`` table — never the payload — is dealt into ``SHARDS`` hash
+shards (a fixed number, the same for every input size) and put in seeded order
+inside each.  The running token sum cuts a shard into stretches of ``max_len``
+tokens: a sample that lies inside one stretch is placed in that bin.  Samples
+that cross a cut go through the same step again among themselves, ``LEVELS``
+times; those that cross every time get a bin each.  No bin exceeds ``max_len``
+and every sample is placed.  ``replicas`` consecutive bins make a batch with a
+global number.
+
+All steps are windows over one shard in one order (one exchange, one sort), and
+prefix sums over a table of at most ``SHARDS * (LEVELS + 1)`` rows.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import seeded_key
+from draftsmith.session import broadcast_bounded
 
-# ``item``: position in the shard's seeded order (LPT visits a batch by length desc, item desc)
-PLAN_SCHEMA = "shard int, batch_no int, replica int, sample_id bigint, length bigint, item bigint"
-
-
-def lpt_assign(lengths: np.ndarray, max_len: int, replicas: int) -> list[int] | None:
-    """Replica of every item, or None when the items do not fit.
-
-    Items go in order of (length desc, position desc) to the least-full
-    replica (ties → lowest replica).  The order is made explicit because a
-    non-stable sort leaves ties unspecified.
-    """
-    order = np.argsort(lengths, kind="stable")[::-1]
-    heap = [(0, r) for r in range(replicas)]
-    out = [0] * len(lengths)
-    for i in order:
-        fill, r = heap[0]
-        if fill + int(lengths[i]) > max_len:
-            return None
-        out[i] = r
-        heapq.heapreplace(heap, (fill + int(lengths[i]), r))
-    return out
-
-
-def _next_batch(lengths: np.ndarray, csum: np.ndarray, start: int, used_before: int, max_len: int, replicas: int) -> tuple[int, list[int]]:
-    """Size and replica assignment of the batch that starts at ``start``.
-
-    The candidate sizes are ``1 .. cap`` where ``cap`` items still fit the
-    total budget ``replicas * max_len``.  The largest LPT-feasible size is
-    found by bisection, which only runs while more than ``replicas`` sizes
-    remain possible (with fewer, a batch of one item is taken — Q14).
-    """
-
-    def assign(m: int) -> list[int] | None:
-        return lpt_assign(lengths[start : start + m], max_len, replicas)
-
-    cap = int(np.searchsorted(csum[start:], used_before + max_len * replicas, "right"))
-    good, bad = 1, cap + 1  # invariant: ``good`` accepted (or the fallback), ``bad`` rejected/out of range
-    last = None
-    while bad - good > 1 and bad > replicas:
-        probe = (good + bad) // 2
-        last = assign(probe)
-        if last is None:
-            bad = probe
-        else:
-            good = probe
-    if last is None or len(last) != good:
-        last = assign(good)
-    if last is None:  # one item longer than max_len — clip or drop first (O10)
-        last = [0] * good
-    return good, last
-
-
-def pack_sequence(lengths: np.ndarray, max_len: int, replicas: int) -> tuple[list[tuple[int, int, int]], int]:
-    """O9 + W2: greedy maximal batches over ``lengths`` in order (the running
-    token count ``cumsum`` bounds each search).
-
-    Returns ``([(position, batch_no, replica)], n_used)``; positions from
-    ``n_used`` on are the leftovers (fewer than ``replicas``).
-    """
-    total = len(lengths)
-    csum = np.cumsum(lengths) if total else np.array([], dtype=np.int64)
-    out: list[tuple[int, int, int]] = []
-    pos, batch_no = 0, 0
-    while total - pos >= replicas:
-        used_before = int(csum[pos - 1]) if pos else 0
-        size, replica_of = _next_batch(lengths, csum, pos, used_before, max_len, replicas)
-        out.extend((pos + k, batch_no, r) for k, r in enumerate(replica_of))
-        pos += size
-        batch_no += 1
-    return out, pos
-
-
-def _packer(max_len: int, replicas: int, keep_leftovers: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "sample_id"], kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy(dtype=np.int64)
-        assigned, used = pack_sequence(lengths, max_len, replicas)
-        shard = int(pdf["_shard"].iloc[0]) if len(pdf) else 0
-        rows = [(shard, b, r, int(pdf["sample_id"].iat[p]), int(lengths[p]), p) for p, b, r in assigned]
-        if keep_leftovers:
-            rows += [(shard, -1, -1, int(pdf["sample_id"].iat[p]), int(lengths[p]), p) for p in range(used, len(pdf))]
-        return pd.DataFrame(rows, columns=["shard", "batch_no", "replica", "sample_id", "length", "item"])
-
-    return run
+SHARDS = 64
+LEVELS = 3
 
 
 def clip_or_drop(lengths: DataFrame, max_len: int, truncate_long: bool = True, len_col: str = "length") -> DataFrame:
@@ -117,47 +32,60 @@ def clip_or_drop(lengths: DataFrame, max_len: int, truncate_long: bool = True, l
     return lengths.filter(F.col(len_col) <= max_len)
 
 
+def assign_bins(lengths: DataFrame, max_len: int, seed: int = 0, shards: int = SHARDS, levels: int = LEVELS) -> DataFrame:
+    """``lengths(sample_id, length)`` with ``shard, level, cut, item``: samples of
+    equal ``(shard, level, cut)`` share a bin, in ``item`` order."""
+    key = seeded_key(seed, "sample_id")
+    x = lengths.withColumn("_key", key).withColumn("shard", F.pmod("_key", F.lit(shards)).cast("int"))
+    order = Window.partitionBy("shard").orderBy("_key", "sample_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("level", F.lit(None).cast("int")).withColumn("cut", F.lit(None).cast("bigint"))
+    for k in range(levels):
+        end = F.sum(F.when(F.col("level").isNull(), F.col("length")).otherwise(0)).over(upto)
+        x = x.withColumn("_end", end).withColumn("_at", F.floor((F.col("_end") - F.col("length")) / max_len))
+        inside = F.col("level").isNull() & (F.floor(F.greatest(F.col("_end") - 1, F.col("_end") - F.col("length")) / max_len) == F.col("_at"))
+        x = x.withColumn("cut", F.when(inside, F.col("_at")).otherwise(F.col("cut"))).withColumn("level", F.when(inside, k).otherwise(F.col("level")))
+    alone = F.sum(F.when(F.col("level").isNull(), 1).otherwise(0)).over(upto) - 1
+    x = x.withColumn("cut", F.when(F.col("level").isNull(), alone).otherwise(F.col("cut")))
+    x = x.withColumn("level", F.coalesce("level", F.lit(levels))).withColumn("item", F.row_number().over(order) - 1)
+    return x.select("sample_id", "length", "shard", "level", "cut", F.col("item").cast("bigint").alias("item"))
+
+
 def pack_batches(
     lengths: DataFrame,
     max_len: int,
     replicas: int,
     seed: int = 0,
     epoch: int = 0,
-    num_shards: int | None = None,
     truncate_long: bool = True,
-    rows_per_shard: int = 1_000_000,
+    drop_last: bool = True,
+    shards: int = SHARDS,
+    levels: int = LEVELS,
 ) -> DataFrame:
-    """O8 + O9 + O11 (X9 grouped map): batch plan ``(shard, batch_no, replica, sample_id, length)``.
+    """O8 + O9 + O11: batch plan ``(batch_no, replica, sample_id, length, item)``.
 
-    ``lengths(sample_id, length)``.  Order inside a shard is the seeded
-    permutation ``md5(seed+epoch : id)``.  Leftovers of every shard go to a
-    residual shard ``-1``; what cannot fill ``replicas`` bins there is
-    dropped (as at the end of the reference's single sequence).
+    The order is the seeded permutation of ``seed + epoch``.  ``drop_last``
+    leaves out the last batch when fewer than ``replicas`` bins are left for it.
     """
     base = clip_or_drop(lengths.select("sample_id", F.col("length").cast("bigint")), max_len, truncate_long)
-    if num_shards is None:
-        # one scalar action: enough shards that no group exceeds rows_per_shard
-        num_shards = max(1, -(-base.count() // rows_per_shard))
-    keyed = base.withColumn("_order", seeded_key(seed + epoch, "sample_id")).withColumn(
-        "_shard", F.pmod(F.col("_order"), F.lit(num_shards)).cast("int") if num_shards > 1 else F.lit(0)
-    )
-    out_schema = PLAN_SCHEMA
-    first = keyed.groupBy("_shard").applyInPandas(_packer(max_len, replicas, True), out_schema)
-    if num_shards == 1:
-        return first.filter(F.col("batch_no") >= 0)
-    done = first.filter(F.col("batch_no") >= 0)
-    rest = (
-        first.filter(F.col("batch_no") < 0)
-        .select("sample_id", "length")
-        .withColumn("_order", seeded_key(seed + epoch, "sample_id"))
-        .withColumn("_shard", F.lit(-1))
-    )
-    residual = rest.groupBy("_shard").applyInPandas(_packer(max_len, replicas, False), out_schema)
-    return done.unionByName(residual)
+    x = assign_bins(base, max_len, seed + epoch, shards, levels)
+    x = x.withColumn("_in", F.dense_rank().over(Window.partitionBy("shard").orderBy("level", "cut")) - 1)
+    bins = x.groupBy("shard").agg((F.max("_in") + 1).alias("_n"))  # one row per shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = bins.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(all_).alias("_all"))
+    x = x.join(broadcast_bounded(first, shards, "bins before a shard"), "shard").withColumn("_bin", F.col("_off") + F.col("_in"))
+    if drop_last:
+        x = x.filter(F.col("_bin") < F.floor(F.col("_all") / replicas) * replicas)
+    return x.select(
+        F.floor(F.col("_bin") / replicas).cast("bigint").alias("batch_no"),
+        F.pmod(F.col("_bin"), F.lit(replicas)).cast("int").alias("replica"),
+        "sample_id", "length", "item",
+    )
 
 
 def skip_batches(plan: DataFrame, n: int) -> DataFrame:
-    """Resume inside an epoch — the first ``n`` batches of every shard are skipped."""
+    """Resume inside an epoch — the first ``n`` batches are skipped."""
     return plan.filter(F.col("batch_no") >= n)
 
 
@@ -167,13 +95,13 @@ def pack_summary(plan: DataFrame, lengths: DataFrame, max_len: int, replicas: in
 
     One aggregation over the union of the plan and the source lengths.
     """
-    u = plan.select(F.lit(True).alias("_plan"), "length", F.struct("shard", "batch_no").alias("_b")).unionByName(
-        lengths.select(F.lit(False).alias("_plan"), F.col("length").cast("bigint"), F.lit(None).cast("struct<shard:int,batch_no:int>").alias("_b"))
+    u = plan.select(F.lit(True).alias("_plan"), "length", F.col("batch_no").alias("_b")).unionByName(
+        lengths.select(F.lit(False).alias("_plan"), F.col("length").cast("bigint"), F.lit(None).cast("bigint").alias("_b"))
     )
     agg = u.agg(
         F.count(F.when(F.col("_plan"), 1)).alias("n_packed"),
         F.coalesce(F.sum(F.when(F.col("_plan"), F.col("length"))), F.lit(0)).cast("bigint").alias("used_tokens"),
-        F.countDistinct(F.when(F.col("_plan"), F.col("_b"))).alias("n_batches"),
+        (F.coalesce(F.max("_b"), F.lit(-1)) - F.coalesce(F.min("_b"), F.lit(0)) + 1).alias("n_batches"),
         F.count(F.when(~F.col("_plan"), 1)).alias("n_samples"),
         F.count(F.when(~F.col("_plan") & (F.col("length") > max_len), 1)).alias("n_long"),
     )

@@ -86,7 +86,7 @@ def cod_sample(
 
 
 def cod_in_row(sample_id: Column, mask: Column, num_depths: int = 8, ratio: float = 0.7, ratio_min: float = 0.2, seed: int = 0,
-               filter_position_zero: bool = True, drop_negative_anchors: bool = True) -> Column:
+               filter_position_zero: bool = True, drop_negative_anchors: bool = True, max_anchors: int | None = None) -> Column:
     """O14 for one sequence as array expressions: ``array<struct<depth, anchor>>``.
 
     Depth 0 is every position; depth ``d`` keeps ``int(max(0, S-d) * max(r**d,
@@ -134,14 +134,17 @@ def cod_in_row(sample_id: Column, mask: Column, num_depths: int = 8, ratio: floa
             return let(pick(prev), after)
 
         valid = F.filter(positions(m), lambda i: F.element_at(m, (i + 1).cast("int")))
+        if max_anchors is not None:  # a hash-ordered choice of the seeds, back in order
+            keyed = F.array_sort(F.transform(valid, lambda q: F.struct(seeded_key(seed, sample_id, F.lit("anchor"), q).alias("k"), q.alias("q"))))
+            valid = F.array_sort(F.transform(F.slice(keyed, 1, max_anchors), lambda x: x["q"]))
         depth0 = F.transform(positions(m), lambda i: F.struct(F.lit(0).alias("depth"), i.alias("anchor")))
         return F.concat(depth0, let(valid, lambda v: chain(1, v, F.size(v))))
 
     return let(mask, body)
 
 
-def cod_sample_rows(rows: DataFrame, num_depths: int = 8, ratio: float = 0.7, ratio_min: float = 0.2, seed: int = 0) -> DataFrame:
+def cod_sample_rows(rows: DataFrame, num_depths: int = 8, ratio: float = 0.7, ratio_min: float = 0.2, seed: int = 0, max_anchors: int | None = None) -> DataFrame:
     """O14 on prepared rows, in row: ``(sample_id, depth, anchor)`` — narrow, no shuffle."""
     return rows.select(
-        "sample_id", F.explode(cod_in_row(F.col("sample_id"), F.col("loss_mask"), num_depths, ratio, ratio_min, seed)).alias("_c")
+        "sample_id", F.explode(cod_in_row(F.col("sample_id"), F.col("loss_mask"), num_depths, ratio, ratio_min, seed, max_anchors=max_anchors)).alias("_c")
     ).select("sample_id", "_c.depth", "_c.anchor")
