@@ -1,8 +1,9 @@
 """Shuffle, caps, splits, resume/backfill and regeneration queries.
 
 Stand-ins: the "existing artefacts" of a backfill are the prepared rows whose
-id appears in ``labels`` (a real table that covers some of the ids); the
-served model is :func:`draftsmith.operators.regen.hash_reply_generator`.
+id appears in ``labels`` (a real table that covers some of the ids); the replies
+to a user turn are the assistant turn that follows it in ``conversations``, with
+regex token counts as usage (a user turn without one fails).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.functions.text import TOKEN_PATTERN, sanitize_name
 from draftsmith.operators.normalize import extract_prompt_turns
 from draftsmith.operators.ranking import id_rank, seeded_rank, shuffle_cap, split_cut, union_shuffle_cap
-from draftsmith.operators.regen import hash_reply_generator, regenerate, run_summary
+from draftsmith.operators.regen import regenerate, run_summary
 from draftsmith.operators.resume import (
     assign_chunks,
     attach_artefacts,
@@ -169,18 +170,14 @@ _SQL_PROMPTS = """pt AS (
 prompts AS (SELECT * FROM pt WHERE sample_id IN (SELECT sample_id FROM pt WHERE role = 'user'))"""
 
 _SQL_REGEN = f"""{_SQL_PROMPTS},
+rep AS (SELECT conv_id AS sample_id, turn - 1 AS turn, text AS reply FROM conversations WHERE role IN ('assistant', 'gpt')),
 steps AS (
-  SELECT *,
-    coalesce(sum(CASE WHEN role = 'system' THEN 1 ELSE 2 END) OVER w1, 0) AS pos_h,
-    sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w0 AS k_user,
-    sum(len(regexp_extract_all(text, '{TOKEN_PATTERN}'))) OVER w0 AS tok_upto,
-    CASE WHEN role = 'user' AND length(text) < 25 THEN 1 ELSE 0 END AS fails
-  FROM prompts
-  WINDOW w0 AS (PARTITION BY sample_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-         w1 AS (PARTITION BY sample_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT p.*, r.reply, p.role = 'user' AND coalesce(r.reply, '') = '' AS fails,
+         len(regexp_extract_all(p.text, '{TOKEN_PATTERN}')) AS n_in, len(regexp_extract_all(r.reply, '{TOKEN_PATTERN}')) AS n_out
+  FROM prompts p LEFT JOIN rep r ON p.role = 'user' AND r.sample_id = p.sample_id AND r.turn = p.turn
 ),
-firstfail AS (SELECT sample_id, min(turn) AS fail_turn FROM steps WHERE fails = 1 GROUP BY sample_id),
-st AS (SELECT s.*, f.fail_turn FROM steps s LEFT JOIN firstfail f USING (sample_id))"""
+firstfail AS (SELECT sample_id, min(turn) AS fail_turn FROM steps WHERE fails GROUP BY sample_id),
+st AS (SELECT s.*, f.fail_turn FROM steps s LEFT JOIN firstfail f USING (sample_id) WHERE f.fail_turn IS NULL OR s.turn <= f.fail_turn)"""
 
 
 @register("extract_prompts", f"""WITH {_SQL_PROMPTS}
@@ -197,50 +194,68 @@ def extract_prompts(spark, sf):
     )
 
 
+def replies(spark, sf):
+    """The reply table: the assistant turn after each user turn."""
+    raw = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role").isin("assistant", "gpt"))
+    n = F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).cast("bigint")
+    return raw.select(F.col("conv_id").alias("sample_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"), F.lit("stop").alias("finish_reason"), n.alias("completion_tokens"))
+
+
+def answered(spark, sf):
+    """X6 over the test tables: prompt turns to replies, with the usage of both."""
+    r = replies(spark, sf)
+
+    def answer(prompts):
+        n = F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).cast("bigint")
+        asked = prompts.filter(F.col("role") == "user").select("sample_id", "turn", n.alias("prompt_tokens"))
+        return r.join(asked, ["sample_id", "turn"]).withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+    return answer
+
+
 def _regen(spark, sf):
     raw = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumnRenamed("conv_id", "sample_id")
-    return regenerate(extract_prompt_turns(raw), hash_reply_generator(25))
+    prompts = extract_prompt_turns(raw)
+    return regenerate(prompts, answered(spark, sf)(prompts))
 
 
 @register("regen_assemble", f"""WITH {_SQL_REGEN},
 okc AS (SELECT * FROM st WHERE fail_turn IS NULL),
 outt AS (
-  SELECT sample_id, pos_h AS pos, CASE WHEN role = 'system' THEN 'system' ELSE 'human' END AS "from", text AS value FROM okc
+  SELECT sample_id, 2 * turn AS place, CASE WHEN role = 'system' THEN 'system' ELSE 'human' END AS "from", text AS value FROM okc
   UNION ALL
-  SELECT sample_id, pos_h + 1, 'gpt', 'reply ' || substr(md5(text), 1, 12) FROM okc WHERE role = 'user'
+  SELECT sample_id, 2 * turn + 1, 'gpt', reply FROM okc WHERE role = 'user'
 )
-SELECT 'sample_' || CAST(sample_id AS VARCHAR) AS id, CAST(pos AS BIGINT) AS pos, "from", CAST(length(value) AS BIGINT) AS n_chars,
-       md5(value) AS digest
+SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY place) - 1 AS BIGINT) AS pos, "from",
+       CAST(length(value) AS BIGINT) AS n_chars, md5(value) AS digest
 FROM outt""", G)
 def regen_assemble(spark, sf):
     ok = _regen(spark, sf).filter(F.col("status") == "ok")
-    t = ok.select("id", F.posexplode("conversations").alias("pos", "t"))
+    t = ok.select("sample_id", F.posexplode("conversations").alias("pos", "t"))
     return t.select(
-        "id", F.col("pos").cast("bigint").alias("pos"), F.col("t.from").alias("from"),
+        "sample_id", F.col("pos").cast("bigint").alias("pos"), F.col("t.from").alias("from"),
         F.length("t.value").cast("bigint").alias("n_chars"), F.md5("t.value").alias("digest"),
     )
 
 
 @register("regen_error_split", f"""WITH {_SQL_REGEN}
-SELECT 'sample_' || CAST(sample_id AS VARCHAR) AS id,
-       CASE WHEN max(fail_turn) IS NULL THEN 'ok' ELSE 'error' END AS status,
-       CAST(CASE WHEN max(fail_turn) IS NULL THEN sum(CASE WHEN role = 'system' THEN 1 ELSE 2 END)
-            ELSE max(CASE WHEN turn = fail_turn THEN pos_h + 1 END) END AS BIGINT) AS n_out_turns
+SELECT sample_id, CASE WHEN max(fail_turn) IS NULL THEN 'ok' ELSE 'error' END AS status,
+       CAST(sum(CASE WHEN role = 'system' OR fails THEN 1 ELSE 2 END) AS BIGINT) AS n_out_turns,
+       CASE WHEN max(fail_turn) IS NOT NULL THEN 'empty reply at turn ' || CAST(max(fail_turn) AS VARCHAR) END AS error
 FROM st GROUP BY sample_id""", G)
 def regen_error_split(spark, sf):
     r = _regen(spark, sf)
-    return r.select("id", "status", F.size("conversations").cast("bigint").alias("n_out_turns"))
+    return r.select("sample_id", "status", F.size("conversations").cast("bigint").alias("n_out_turns"), "error")
 
 
 @register("usage_totals", f"""WITH {_SQL_REGEN}
-SELECT 'sample_' || CAST(sample_id AS VARCHAR) AS id,
-       CAST(sum(CASE WHEN role = 'user' THEN tok_upto + 2 * (k_user - 1) ELSE 0 END) AS BIGINT) AS prompt_tokens,
-       CAST(sum(CASE WHEN role = 'user' THEN 2 ELSE 0 END) AS BIGINT) AS completion_tokens,
-       CAST(sum(CASE WHEN role = 'user' THEN tok_upto + 2 * (k_user - 1) + 2 ELSE 0 END) AS BIGINT) AS total_tokens
+SELECT sample_id, CAST(coalesce(sum(n_in) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS prompt_tokens,
+       CAST(coalesce(sum(n_out), 0) AS BIGINT) AS completion_tokens,
+       CAST(coalesce(sum(n_in + n_out) FILTER (WHERE role = 'user'), 0) AS BIGINT) AS total_tokens
 FROM st WHERE fail_turn IS NULL GROUP BY sample_id""", G)
 def usage_totals(spark, sf):
     r = _regen(spark, sf).filter(F.col("status") == "ok")
-    return r.select("id", "prompt_tokens", "completion_tokens", "total_tokens")
+    return r.select("sample_id", "prompt_tokens", "completion_tokens", "total_tokens")
 
 
 @register("run_summary", f"""WITH {_SQL_REGEN},

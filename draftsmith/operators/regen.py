@@ -1,137 +1,81 @@
-"""Response regeneration.
+"""Regenerated chats from a table of replies.
 
-Prompt turns are grouped per conversation (one conversation is the unit of
-work: each response needs the regenerated history before it), then a
-``mapInPandas`` task walks each conversation's turns and calls the user's
-generator.  Conversations are independent, so the work spreads over all
-tasks; the generator must be pure per call so task retries are harmless.
+Replies come as a table, one row per answered user turn, from whatever serves
+the model (:data:`Answer`: prompt turns in, reply rows out).  Assembling is an
+equi join on ``(sample_id, turn)`` and one aggregate per conversation: a turn
+takes the output places ``2 * turn`` (itself) and ``2 * turn + 1`` (its reply),
+a conversation fails at its first user turn without a usable reply.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftsmith.functions.text import TOKEN_PATTERN
+# prompt turns (sample_id, turn, role, text) -> replies (REPLY_FIELDS)
+Answer = Callable[[DataFrame], DataFrame]
 
-RESULT_SCHEMA = (
-    "sample_id bigint, id string, status string, "
-    "conversations array<struct<`from`:string,value:string,reasoning_content:string>>, "
-    "finish_reasons array<string>, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, "
-    "latency_s double, error string"
-)
+REPLY_FIELDS = {
+    "reply": "string", "reasoning": "string", "finish_reason": "string",
+    "prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint",
+    "latency_s": "double", "error": "string",
+}
 
-Generator = Callable[[list[dict]], dict]
 
+def regenerate(prompt_turns: DataFrame, replies: DataFrame) -> DataFrame:
+    """P28 + P29 + P30 (+ F16): one row per conversation.
 
-def hash_reply_generator(min_chars: int = 25) -> Generator:
-    """Deterministic stand-in for a served model (tests and the catalog).
-
-    Reply = ``'reply ' + md5(last user text)[:12]``; an empty reply when the
-    last user text is shorter than ``min_chars`` (exercises P29).  Usage
-    counts regex tokens of the prompt messages and of the reply.
-    """
-    rx = re.compile(TOKEN_PATTERN)
-
-    def gen(messages: list[dict]) -> dict:
-        last = messages[-1]["content"]
-        text = "" if len(last) < min_chars else "reply " + hashlib.md5(last.encode("utf-8")).hexdigest()[:12]
-        p = sum(len(rx.findall(m["content"])) for m in messages)
-        c = len(rx.findall(text))
-        return {
-            "text": text,
-            "reasoning": None,
-            "finish_reason": "stop",
-            "usage": {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c},
-        }
-
-    return gen
-
-
-_OUT_COLUMNS = ["sample_id", "id", "status", "conversations", "finish_reasons", "prompt_tokens", "completion_tokens", "total_tokens", "latency_s", "error"]
-
-
-def regenerate_one(turns, generator: Generator) -> dict:
-    """One conversation: every user turn is answered with the history so far
-    (system and user prompts plus the *regenerated* replies); the first failed
-    or empty reply fails the whole conversation (P29).  Pure apart from the
-    generator call and the latency clock."""
-    started = time.time()
-    history: list[dict] = []
-    produced: list[dict] = []
-    reasons: list[str | None] = []
-    usage = dict.fromkeys(("prompt_tokens", "completion_tokens", "total_tokens"), 0)
-
-    def emit(speaker: str, text: str, reasoning=None) -> None:
-        produced.append({"from": speaker, "value": text, "reasoning_content": reasoning})
-
-    for t in turns:
-        role, text = t["role"], t["text"]
-        history.append({"role": "system" if role == "system" else "user", "content": text})
-        emit("system" if role == "system" else "human", text)
-        if role == "system":
-            continue
-        try:
-            reply = generator(list(history))
-        except Exception as e:  # noqa: BLE001 - the conversation goes to the error sink
-            return {"conversations": produced, "error": repr(e)}
-        reasons.append(reply.get("finish_reason"))
-        for k, v in (reply.get("usage") or {}).items():
-            if k in usage:
-                usage[k] += v or 0
-        if not reply.get("text"):
-            return {"conversations": produced, "error": f"empty reply for the user turn at output position {len(produced) - 1}"}
-        history.append({"role": "assistant", "content": reply["text"]})
-        emit("gpt", reply["text"], reply.get("reasoning"))
-    return {"conversations": produced, "finish_reasons": reasons, **usage, "latency_s": round(time.time() - started, 3)}
-
-
-def _walk(generator: Generator) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for sid, uid, turns in zip(pdf["sample_id"], pdf["uuid"], pdf["turns"]):
-                res = regenerate_one(turns, generator)
-                rows.append({
-                    **dict.fromkeys(_OUT_COLUMNS),  # absent fields are null, never NaN
-                    **res,
-                    "sample_id": sid,
-                    "id": uid if isinstance(uid, str) and uid else f"sample_{sid}",
-                    "status": "error" if "error" in res else "ok",
-                })
-            yield pd.DataFrame(rows, columns=_OUT_COLUMNS)
-
-    return run
-
-
-def regenerate(prompt_turns: DataFrame, generator: Generator, uuids: DataFrame | None = None) -> DataFrame:
-    """P28 + P29 + P30 (+ F16 latency rounded to 3 decimals): one result row
-    per conversation (ok or error).
-
-    ``prompt_turns(sample_id, turn, role, text)`` come from
-    :func:`draftsmith.operators.normalize.extract_prompt_turns`; filters and
-    the resume anti-join must be applied before this call (a Python UDF is
-    an optimisation barrier).
+    ``prompt_turns(sample_id, turn, role, text)`` as left by
+    :func:`draftsmith.operators.normalize.extract_prompt_turns`;
+    ``replies(sample_id, turn, ...)`` with any of ``REPLY_FIELDS``.  A user
+    turn fails when its reply is missing or empty or carries an error; then
+    the conversation has status ``error`` and keeps its turns up to that one.
+    Usage and latency (three decimals) are summed over the kept replies.
     """
-    convs = prompt_turns.groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    r = replies.select(
+        F.col("sample_id").alias("_rid"), F.col("turn").alias("_rturn"),
+        *[(F.col(c) if c in replies.columns else F.lit(None)).cast(t).alias(c) for c, t in REPLY_FIELDS.items()],
+    )
+    user = F.col("role") != "system"
+    j = prompt_turns.join(r, (F.col("sample_id") == F.col("_rid")) & (F.col("turn") == F.col("_rturn")) & user, "left")
+    good = F.col("error").isNull() & (F.coalesce(F.col("reply"), F.lit("")) != "")
+    j = j.withColumn("_bad", user & ~good)
+    said = F.struct(F.when(user, "human").otherwise("system").alias("from"), F.col("text").alias("value"), F.lit(None).cast("string").alias("reasoning_content"))
+    answer = F.struct(F.lit("gpt").alias("from"), F.col("reply").alias("value"), F.col("reasoning").alias("reasoning_content"))
+    place = lambda k, t, reason: F.struct((F.col("turn") * 2 + k).alias("at"), t.alias("t"), reason.alias("reason"))
+    none = F.lit(None).cast("string")
+    turn = F.struct(
+        F.col("turn").alias("turn"),
+        F.array_compact(F.array(place(0, said, none), F.when(user & good, place(1, answer, F.col("finish_reason"))))).alias("out"),
+        *[F.when(user & good, F.col(c)).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens", "latency_s")],
+    )
+    per = j.groupBy("sample_id").agg(
+        F.bool_or("_bad").alias("_failed"),
+        F.min(F.when(F.col("_bad"), F.col("turn"))).alias("_cut"),
+        F.min_by(F.coalesce(F.col("error"), F.lit("empty reply")), F.when(F.col("_bad"), F.col("turn"))).alias("_why"),
+        F.collect_list(turn).alias("_turns"),
+    )
+    per = per.withColumn("_turns", F.filter("_turns", lambda t: F.col("_cut").isNull() | (t["turn"] <= F.col("_cut"))))
+    per = per.withColumn("_out", F.sort_array(F.flatten(F.transform("_turns", lambda t: t["out"]))))
+    total = lambda c, zero: F.aggregate("_turns", zero, lambda a, t: a + F.coalesce(t[c], zero))
+    ok = ~F.col("_failed")
+    answers = F.filter("_out", lambda x: x["t"]["from"] == "gpt")
+    return per.select(
+        "sample_id",
+        F.when(ok, "ok").otherwise("error").alias("status"),
+        F.transform("_out", lambda x: x["t"]).alias("conversations"),
+        F.when(ok, F.transform(answers, lambda x: x["reason"])).alias("finish_reasons"),
+        *[F.when(ok, total(c, F.lit(0).cast("bigint"))).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")],
+        F.when(ok, F.round(total("latency_s", F.lit(0.0)), 3)).alias("latency_s"),
+        F.when(~ok, F.concat(F.col("_why"), F.lit(" at turn "), F.col("_cut").cast("string"))).alias("error"),
     )
-    if uuids is not None:
-        convs = convs.join(uuids.select("sample_id", "uuid"), "sample_id", "left")
-    else:
-        convs = convs.withColumn("uuid", F.lit(None).cast("string"))
-    return convs.select("sample_id", "uuid", "turns").mapInPandas(_walk(generator), RESULT_SCHEMA)
 
 
-def write_results(results: DataFrame, path: str) -> None:
+def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
     """K4: one pass, good and failed rows land in ``status=ok`` / ``status=error``."""
-    results.write.mode("append").partitionBy("status").json(path)
+    results.write.mode(mode).partitionBy("status").json(path)
 
 
 def run_summary(results: DataFrame) -> DataFrame:
@@ -147,37 +91,6 @@ REGEN_SOURCES = {
 }
 
 
-class InvalidResponse(Exception):
-    """A response that must never be retried."""
-
-
-def retrying(generator: Generator, max_retries: int = 3, backoff_base: float = 2.0, sleep=time.sleep) -> Generator:
-    """Retry a generator call with exponential back-off ``base ** attempt``.
-
-    ``InvalidResponse`` is re-raised at once; after ``max_retries`` retries
-    the last error propagates (and the conversation goes to the error sink).
-    The number of attempts is returned in the result (``attempts``).
-    """
-
-    def gen(messages: list[dict]) -> dict:
-        total = max_retries + 1
-        last: Exception | None = None
-        for attempt in range(1, total + 1):
-            try:
-                res = dict(generator(messages))
-                res["attempts"] = attempt
-                return res
-            except InvalidResponse:
-                raise
-            except Exception as e:  # noqa: BLE001 - retried
-                last = e
-                if attempt < total:
-                    sleep(backoff_base**attempt)
-        raise last  # type: ignore[misc]
-
-    return gen
-
-
 def read_regen_source(spark, name: str, data_root: str, split: str | None = None, subset: str | None = None, stream: bool = False):
     """A regeneration source from the registry (prompt field, default split,
     subset) as a batch or a streaming scan of its JSON folder."""
@@ -191,20 +104,15 @@ def read_regen_source(spark, name: str, data_root: str, split: str | None = None
     return df, cfg["prompt_field"]
 
 
-def regen_todo(prompt_turns: DataFrame, seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def regen_todo(prompt_turns: DataFrame, seen: DataFrame | None = None, limit: int | None = None, order: str = "sample_id") -> DataFrame:
     """J1 + O4: drop conversations already in the output, then keep the first
-    ``limit`` remaining conversations in id order — the limit counts *after*
-    the filters and the resume, as in the reference.
-
-    The limit is a filter on a distributed rank of the ids (no single-task
-    ``limit`` over the turns).
+    ``limit`` remaining conversations in ``order`` — the limit counts *after*
+    the filters and the resume, as in the reference (top-k of the ids alone).
     """
-    from draftsmith.operators.ranking import id_rank
-
     todo = prompt_turns
     if seen is not None:
         todo = todo.join(seen.select("sample_id"), "sample_id", "left_anti")
     if limit is None:
         return todo
-    ids = id_rank(todo.select("sample_id").distinct(), "sample_id", "_r").filter(F.col("_r") < limit).select("sample_id")
+    ids = todo.groupBy("sample_id").agg(F.min(order).alias("_o")).orderBy("_o", "sample_id").limit(limit).select("sample_id")
     return todo.join(ids, "sample_id", "left_semi")

@@ -55,24 +55,21 @@ def attach_artefacts(rows: DataFrame, artefacts: DataFrame, policy: str = "gener
     """Left join rows to artefacts; ``status`` says what happens to a missing one.
 
     ``generate`` → status ``generate`` (route to the generator / J2 set),
-    ``skip`` → row removed, ``warn`` → status ``missing`` kept,
-    ``raise`` → the query fails at run time (``raise_error``).
+    ``skip`` and ``warn`` → row removed (the rows to warn about are
+    :func:`missing_ids`), ``raise`` → the query fails at run time (``raise_error``).
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
     a = artefacts.withColumn("_has", F.lit(True))
     j = rows.join(a, key, "left")
     has = F.col("_has").isNotNull()
-    if policy == "skip":
+    if policy in ("skip", "warn"):
         return j.filter(has).withColumn("status", F.lit("present")).drop("_has")
     if policy == "raise":
         # a filter predicate, so the check cannot be pruned away with a column
         fail = F.raise_error(F.concat(F.lit("missing artefact for "), F.col(key).cast("string"))).isNull()
         return j.filter(F.when(has, F.lit(True)).otherwise(fail)).withColumn("status", F.lit("present")).drop("_has")
-    if policy == "warn":
-        status = F.when(has, F.lit("present")).otherwise(F.lit("missing"))
-    else:
-        status = F.when(has, F.lit("present")).otherwise(F.lit("generate"))
+    status = F.when(has, F.lit("present")).otherwise(F.lit("generate"))
     return j.withColumn("status", status.cast("string")).drop("_has")
 
 
@@ -83,7 +80,7 @@ def validate_artefacts(rows: DataFrame, artefacts: DataFrame, key: str = "sample
     (one vector per position; the layer axis may be flattened into it).
     """
     j = rows.select(key, "input_ids").join(artefacts, key, "inner")
-    nan = F.exists("hidden_states", lambda v: F.exists(v, lambda x: F.isnan(x)))
+    nan = F.exists("hidden_states", lambda v: F.exists(v, lambda x: x.isNull() | F.isnan(x)))  # a NaN may come as null through Arrow
     reason = (
         F.when(F.col("token_ids") != F.col("input_ids"), F.lit("token ids differ"))
         .when(nan, F.lit("nan in hidden states"))

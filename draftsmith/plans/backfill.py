@@ -1,16 +1,19 @@
 """Backfill job: prepared rows × existing artefacts → missing rows → validated
 artefacts (SURVEY §3 "Backfill").
 
-``prepared ⋈ existing (left anti) → generator → validate (J5) → append``.
-Rank chunking (O7) is only used when external workers split the work.
+``prepared ⋈ existing (left anti) → generate → validate (J5) → append``.
+Generated rows are written once, with the ids they were made for, and checked
+from what was written; rows that fail go to an error folder, so that a reader
+of the store never takes them for present.  Rank chunking (O7) is only used
+when external workers split the work.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from draftsmith.operators.resume import backfill_plan, missing_ids, validate_artefacts
 
@@ -20,7 +23,7 @@ def backfill(
     prepared: DataFrame,
     existing: DataFrame,
     generate: Callable[[DataFrame], DataFrame],
-    store: str | None = None,
+    store: str,
     world_size: int | None = None,
     rank: int | None = None,
     max_samples: int | None = None,
@@ -28,20 +31,27 @@ def backfill(
     """Generate artefacts for rows whose ``sample_id`` is not in ``existing``.
 
     With ``world_size``/``rank`` only that rank's contiguous chunk of the
-    first ``max_samples`` indices is processed (O7, Q7).  Generated rows are
-    validated against the prepared rows (token ids, NaN, length); the result
-    has ``ok``/``reason`` and is appended to ``store`` when given.
+    first ``max_samples`` indices is processed (O7, Q7).  ``generate`` is asked
+    once; its rows land in ``<store>/_made/<run>``, valid ones are appended to
+    ``<store>/data`` and the others to ``<store>/errors`` with a reason.
+    Returns the rows of this run with ``ok`` and ``reason``, read back.
     """
     ids = prepared.select("sample_id")
     if world_size is not None:
         plan = backfill_plan(ids, existing, world_size, max_samples)
         if rank is not None:
-            plan = plan.filter(F.col("owner") == rank)
+            plan = plan.filter(plan["owner"] == rank)
         todo = prepared.join(plan.select("sample_id"), "sample_id", "left_semi")
     else:
         todo = missing_ids(prepared, existing)
-    made = generate(todo.select("sample_id", "input_ids"))
-    checked = made.join(validate_artefacts(todo, made), "sample_id")
-    if store is not None:
-        checked.write.mode("append").partitionBy("ok").parquet(store)
-    return checked
+    root, run = store.rstrip("/"), uuid.uuid4().hex
+    raw = f"{root}/_made/{run}"
+    generate(todo.select("sample_id", "input_ids")).write.parquet(raw)
+    made = spark.read.parquet(raw)
+    checked = made.join(validate_artefacts(prepared, made), "sample_id")
+    checked.write.partitionBy("ok").parquet(f"{root}/_checked/{run}")
+    done = spark.read.schema(checked.schema).parquet(f"{root}/_checked/{run}")
+    columns = made.columns
+    done.filter("ok").select(*columns).write.mode("append").parquet(f"{root}/data")
+    done.filter("NOT ok").select(*columns, "reason").write.mode("append").parquet(f"{root}/errors")
+    return done

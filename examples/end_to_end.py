@@ -3,8 +3,8 @@
     python examples/end_to_end.py [/root/testdata/sf0.001]
 
 Prep (rows + frequencies + draft vocabulary) → Examples (packed, collated
-batches) → Backfill (artefacts for the rows not yet stored) → Regen (answers
-regenerated by a stand-in generator).  Outputs go to a fresh scratch folder.
+batches) → Backfill (states from ``embeddings`` for the rows not yet stored) →
+Regen (replies from the assistant turns).  Outputs go to a fresh scratch folder.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from draftsmith.operators.regen import hash_reply_generator  # noqa: E402
 from draftsmith.operators.vocab import token_frequency  # noqa: E402
 from draftsmith.plans.backfill import backfill  # noqa: E402
 from draftsmith.plans.examples import build_training_batches  # noqa: E402
 from draftsmith.plans.prepare import prepare_turns, resolve_vocab, write_frequencies, write_prepared  # noqa: E402
 from draftsmith.session import local_session  # noqa: E402
-from draftsmith.streaming.jobs import hash_states  # noqa: E402
 from draftsmith.tables import table  # noqa: E402
 
 
@@ -46,7 +44,12 @@ def main(sf: str) -> None:
 
     # Backfill: artefacts exist for the ids present in `labels`
     existing = table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("sample_id"))
-    made = backfill(spark, rows, existing, hash_states, store=f"{out}/artefacts")
+    vec = table(spark, sf, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("sample_id"), "embedding")
+
+    def states(todo):  # stands for a serving endpoint: one state per token, the sample's vector
+        return todo.join(vec, "sample_id").select("sample_id", F.col("input_ids").alias("token_ids"), F.transform("input_ids", lambda _: F.col("embedding")).alias("hidden_states"))
+
+    made = backfill(spark, rows, existing, states, store=f"{out}/artefacts")
     print("artefacts generated:", made.count())
 
     # Regen
@@ -57,7 +60,8 @@ def main(sf: str) -> None:
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: turn_struct(t["role"], t["text"])).alias("conversations")
     )
     src = convs.select(*[F.col(f.name) if f.name in convs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
-    res = regenerate_dataset(spark, src, hash_reply_generator(25), f"{out}/regen")
+    said = raw.filter("role = 'assistant'").select(F.concat(F.lit("sample_"), F.col("conv_id").cast("string")).alias("sample_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    res = regenerate_dataset(spark, src, lambda prompts: said, f"{out}/regen")
     print("regenerated:", {r.status: r.n for r in res.groupBy("status").agg(F.count("*").alias("n")).collect()})
     print("outputs in", out)
     spark.stop()

@@ -4,12 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from draftsmith.operators.regen import hash_reply_generator, retrying
 from draftsmith.plans.backfill import backfill
 from draftsmith.plans.evaluate import evaluate_subset, speedup
 from draftsmith.plans.regenerate import regenerate_dataset
 from draftsmith.sources.conversations import RAW_SCHEMA
-from draftsmith.streaming.jobs import hash_states
 
 
 def _raw(spark, n):
@@ -19,35 +17,77 @@ def _raw(spark, n):
     return spark.createDataFrame(rows, RAW_SCHEMA)
 
 
+def _answer(calls=None, empty=()):
+    """Replies made of the question; user texts in ``empty`` get none."""
+
+    def answer(prompts):
+        if calls is not None:
+            calls.append(prompts.count())
+        q = prompts.filter("role = 'user'")
+        return q.select("sample_id", "turn", F.when(F.col("text").isin(*empty, ""), "").otherwise(F.concat(F.lit("re: "), "text")).alias("reply"),
+                        F.lit("stop").alias("finish_reason"), F.lit(2).alias("prompt_tokens"), F.lit(3).alias("completion_tokens"), F.lit(5).alias("total_tokens"), F.lit(0.12345).alias("latency_s"))
+
+    return answer
+
+
 def test_regen_limit_resume(spark, tmp_path):
     out = str(tmp_path / "regen")
-    r1 = regenerate_dataset(spark, _raw(spark, 12), hash_reply_generator(5), out, language="EN", limit=3)
-    assert r1.count() == 3
-    r2 = regenerate_dataset(spark, _raw(spark, 12), hash_reply_generator(5), out, language="EN", limit=3)
-    first = {r.id for r in r1.collect()}
-    second = {r.id for r in r2.collect()}
-    assert len(second) == 3 and not (first & second)  # resume skipped the first three
+    runs = [regenerate_dataset(spark, _raw(spark, 12), _answer(), out, language="EN", limit=3) for _ in range(3)]
+    ids = [sorted(r.id for r in run.collect()) for run in runs]
+    assert ids == [["sample_1", "sample_2", "sample_4"], ["sample_5", "sample_7", "sample_8"], ["sample_10", "sample_11"]]
+
 
+def test_regen_resume_with_uuids(spark, tmp_path):
+    out, calls = str(tmp_path / "regen"), []
+    raw = _raw(spark, 9).withColumn("uuid", F.when(F.col("idx") % 2 == 0, F.concat(F.lit("u-"), F.col("idx").cast("string"))).when(F.col("idx") == 1, ""))
+    raw = raw.withColumn("idx", F.when(F.col("idx") != 4, F.col("idx")))
+    first = regenerate_dataset(spark, raw, _answer(calls, empty=("question 3 with plenty of text",)), out)
+    assert {r.id: r.status for r in first.collect()} == {f"u-{i}" if i % 2 == 0 else f"sample_{i}": "error" if i == 3 else "ok" for i in range(9)}
+    second = regenerate_dataset(spark, raw, _answer(calls), out)
+    assert [(r.id, r.status) for r in second.collect()] == [("sample_3", "ok")]  # only what failed is asked for again
+    assert regenerate_dataset(spark, raw, _answer(calls), out).count() == 0
+    assert calls == [9, 1, 0]
 
-def test_retry_backoff():
-    calls, sleeps = [], []
 
-    def flaky(msgs):
-        calls.append(1)
-        if len(calls) < 3:
-            raise TimeoutError("x")
-        return {"text": "ok"}
+def test_regenerate_joins(spark):
+    from draftsmith.operators.regen import regenerate, run_summary
 
-    res = retrying(flaky, max_retries=3, sleep=sleeps.append)([{"role": "user", "content": "q"}])
-    assert res["attempts"] == 3 and sleeps == [2.0, 4.0]
+    prompts = spark.createDataFrame(
+        [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 3, "user", "b"), (2, 0, "user", "c"), (2, 2, "user", "d"), (2, 4, "user", "e"), (3, 0, "user", "f")],
+        "sample_id long, turn long, role string, text string",
+    )
+    replies = spark.createDataFrame(
+        [(1, 1, "A", "think", None, 1.0004), (1, 3, "B", None, None, 2.0), (2, 0, "C", None, None, 1.0), (2, 2, "", None, None, 1.0), (2, 4, "E", None, None, 1.0), (3, 0, "F", None, "boom", 1.0)],
+        "sample_id long, turn long, reply string, reasoning string, error string, latency_s double",
+    )
+    got = {r.sample_id: r for r in regenerate(prompts, replies).collect()}
+    said = lambda i: [(t["from"], t["value"]) for t in got[i].conversations]
+    assert said(1) == [("system", "s"), ("human", "a"), ("gpt", "A"), ("human", "b"), ("gpt", "B")]
+    assert got[1].conversations[2].reasoning_content == "think" and got[1].latency_s == 3.0 and got[1].error is None
+    assert said(2) == [("human", "c"), ("gpt", "C"), ("human", "d")] and got[2].error == "empty reply at turn 2"
+    assert said(3) == [("human", "f")] and got[3].error == "boom at turn 0" and got[3].total_tokens is None
+    assert {r.status: r.n for r in run_summary(regenerate(prompts, replies)).collect()} == {"ok": 1, "error": 2}
 
 
 def test_backfill_by_rank(spark, tmp_path):
     prepared = spark.createDataFrame([(i, [i, i + 1], [True, True], 2) for i in range(10)], "sample_id long, input_ids array<long>, loss_mask array<boolean>, seq_len int")
     existing = spark.createDataFrame([(2,), (5,), (7,)], "sample_id long")
-    out = backfill(spark, prepared, existing, hash_states, store=str(tmp_path / "store"), world_size=2, rank=0)
-    assert sorted(r.sample_id for r in out.collect()) == [0, 1, 3, 4] and all(r.ok for r in out.collect())
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+    made = spark.sparkContext.accumulator(0)
+
+    def generate(rows):
+        def run(parts):
+            for p in parts:
+                made.add(len(p))
+                yield p.rename(columns={"input_ids": "token_ids"}).assign(hidden_states=[[[float("nan") if i == 3 else 0.5], [0.5]] for i in p["sample_id"]])
+
+        return rows.mapInPandas(run, "sample_id long, token_ids array<long>, hidden_states array<array<float>>")
+
+    store = str(tmp_path / "store")
+    out = backfill(spark, prepared, existing, generate, store=store, world_size=2, rank=0)
+    assert {r.sample_id: r.ok for r in out.collect()} == {0: True, 1: True, 3: False, 4: True} and out.count() == 4
+    assert made.value == 4  # asked once for each missing row
+    assert sorted(r.sample_id for r in spark.read.parquet(f"{store}/data").collect()) == [0, 1, 4]
+    assert [(r.sample_id, r.reason) for r in spark.read.parquet(f"{store}/errors").collect()] == [(3, "nan in hidden states")]
 
 
 def test_evaluate_files(spark, tmp_path):
@@ -70,7 +110,7 @@ def test_evaluate_files(spark, tmp_path):
     assert len(sp) == 200 and min(r.speedup for r in sp) > 1.5
 
 
-def test_backfill_with_pandas_generator(spark):
+def test_backfill_with_pandas_generator(spark, tmp_path):
     import pandas as pd
 
     from draftsmith.operators.resume import artefact_generator
@@ -84,7 +124,7 @@ def test_backfill_with_pandas_generator(spark):
 
     prepared = spark.createDataFrame([(i, [i, i + 1], [True, True], 2) for i in range(6)], "sample_id long, input_ids array<long>, loss_mask array<boolean>, seq_len int")
     existing = spark.createDataFrame([(1,)], "sample_id long")
-    out = backfill(spark, prepared, existing, artefact_generator(states)).collect()
+    out = backfill(spark, prepared, existing, artefact_generator(states), store=str(tmp_path / "store")).collect()
     assert sorted(r.sample_id for r in out) == [0, 2, 3, 4, 5] and all(r.ok for r in out)
 
 
@@ -101,7 +141,5 @@ def test_build_training_batches(spark):
     used = sum(sum(r.lengths) for r in b)
     assert used <= sum(4 + (i * 7) % 30 for i in range(40))
     assert all(len(r.anchors) == 4 and len(r.blocks) == 12 for r in b)
-    # sampler (LPT) order inside a bin: non-increasing lengths; only the last document may be truncated
-    assert all(r.lengths[:-1] == sorted(r.lengths[:-1], reverse=True) for r in b)
     resumed = build_training_batches(rows, 64, 2, seed=1, resume_batches=2)
     assert resumed.agg(F.min("batch_no")).first()[0] == 2
