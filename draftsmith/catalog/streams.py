@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import prepared, sql_prepared_chain
 from draftsmith.catalog.evaluation import _SQL_EVENTS, _scrapes
+from draftsmith.catalog.regen import _SQL_REGEN, answered
 from draftsmith.functions.time import event_time
-from draftsmith.operators.regen import hash_reply_generator
 from draftsmith.streaming.jobs import (
     backfill_stream,
     counter_delta_stream,
     dedup_stream,
     failure_breaker_stream,
     file_stream,
-    hash_states,
     read_latest_counts,
     regen_stream,
     run_available,
@@ -35,11 +34,20 @@ G = "streams"
 THRESHOLD = 2
 
 
-def _stage(df, folder: str, parts: list, key: str, fmt: str = "parquet") -> None:
-    """Append ``df`` to ``folder`` in ordered chunks (one file per chunk)."""
-    for lo, hi in parts:
-        chunk = df.filter((F.col(key) >= lo) & (F.col(key) < hi)).coalesce(1)
-        chunk.write.mode("append").format(fmt).save(folder)
+def _stage(df, folder: str, key: str, files: int = 3, fmt: str = "parquet") -> None:
+    """Write ``df`` to ``folder`` as files in ``key`` order (range partitions,
+    written one after another so that the stream reads them in that order)."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        df.write.mode("append").format(fmt).save(folder)
+        return
+    width = (hi - lo) // files + 1
+    cut = F.floor((F.col(key) - lo) / width).cast("int")
+    held = df.withColumn("_cut", cut).repartitionByRange(files, "_cut").sortWithinPartitions(key)
+    held.write.partitionBy("_cut").mode("overwrite").parquet(f"{folder}-held")
+    for k in range(files):
+        part = df.sparkSession.read.parquet(f"{folder}-held").filter(F.col("_cut") == k).drop("_cut")
+        part.write.mode("append").format(fmt).save(folder)
 
 
 @register("stream_token_frequency", f"""WITH {sql_prepared_chain()}
@@ -48,9 +56,7 @@ FROM (SELECT UNNEST(input_ids) AS id, UNNEST(loss_mask) AS m FROM prepared) t WH
 def stream_token_frequency(spark, sf):
     rows = prepared(spark, sf).select("sample_id", "input_ids", "loss_mask")
     base = scratch(spark, "tokfreq")
-    n = rows.agg(F.max("sample_id")).first()[0] or 0
-    step = n // 3 + 1
-    _stage(rows, f"{base}/in", [(0, step), (step, 2 * step), (2 * step, n + 1)], "sample_id")
+    _stage(rows, f"{base}/in", "sample_id")
     src = file_stream(spark, f"{base}/in", rows.schema, max_files=1)
     run_available(token_frequency_stream(src, f"{base}/out", f"{base}/ck"))
     return read_latest_counts(spark, f"{base}/out")
@@ -62,7 +68,7 @@ FROM scr QUALIFY lag(value) OVER (PARTITION BY engine, name, position ORDER BY s
 def stream_counter_deltas(spark, sf):
     s = _scrapes(spark, sf).select(F.col("scrape").cast("int"), "engine", "name", F.col("position").cast("int"), "value")
     base = scratch(spark, "deltas")
-    _stage(s, f"{base}/in", [(0, 10), (10, 20), (20, 40)], "scrape")
+    _stage(s, f"{base}/in", "scrape")
     src = file_stream(spark, f"{base}/in", s.schema, max_files=1)
     run_available(counter_delta_stream(src, f"{base}/out", f"{base}/ck"))
     return spark.read.parquet(f"{base}/out")
@@ -76,10 +82,8 @@ FROM s WHERE streak >= {THRESHOLD} GROUP BY endpoint""", G)
 def stream_failure_breaker(spark, sf):
     e = table(spark, sf, "events", "event_id", "user_id", "event_type")
     att = e.select(F.pmod(F.col("user_id"), F.lit(4)).cast("bigint").alias("endpoint"), F.col("event_id").alias("t"), (F.col("event_type") != "error").alias("ok"))
-    n = att.agg(F.max("t")).first()[0] or 0
-    half = n // 2 + 1
     base = scratch(spark, "breaker")
-    _stage(att, f"{base}/in", [(0, half), (half, n + 1)], "t")
+    _stage(att, f"{base}/in", "t")
     src = file_stream(spark, f"{base}/in", att.schema, max_files=1)
     run_available(failure_breaker_stream(src, THRESHOLD, f"{base}/out", f"{base}/ck"))
     return spark.read.parquet(f"{base}/out")
@@ -95,72 +99,74 @@ def stream_dedup(spark, sf):
         F.floor((F.unix_timestamp("ts") - 1704067200) / 86400).cast("int").alias("day"),
     )
     base = scratch(spark, "dedup")
-    recs.coalesce(1).write.parquet(f"{base}/in")
-    src = file_stream(spark, f"{base}/in", recs.schema)
+    _stage(recs, f"{base}/in", "event_id", files=8)
+    src = file_stream(spark, f"{base}/in", recs.schema, max_files=2)
     run_available(dedup_stream(src, ["user_id", "event_type", "day"], f"{base}/out", f"{base}/ck"))
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("user_id", "event_type", "day").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-@register("stream_window_metrics", """WITH r AS (SELECT date_trunc('day', ts) AS window_start, event_type AS name, value, ts FROM events),
-wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
+@register("stream_window_metrics", """WITH r AS (SELECT date_trunc('day', ts) AS window_start, event_type AS name, value FROM events)
 SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, name, round(sum(value), 4) AS value, CAST(count(*) AS BIGINT) AS n
-FROM r, wm WHERE window_start + INTERVAL 1 DAY <= wm.wm GROUP BY window_start, name""", G)
+FROM r GROUP BY window_start, name""", G)
 def stream_window_metrics(spark, sf):
     e = table(spark, sf, "events", "ts", "event_type", "value")
     recs = e.select(event_time(F.col("ts")).alias("ts"), F.col("event_type").alias("name"), "value")
+    # an end marker a day after the last record closes the last window; its own
+    # window stays open and is not part of the result
+    last = recs.agg((F.max("ts") + F.expr("INTERVAL 2 DAY")).alias("ts")).select("ts", F.lit("end").alias("name"), F.lit(0.0).alias("value"))
     base = scratch(spark, "windows")
-    recs.coalesce(1).write.parquet(f"{base}/in")
+    recs.write.parquet(f"{base}/in")
+    src = file_stream(spark, f"{base}/in", recs.schema)
+    run_available(windowed_metrics_stream(src, f"{base}/out", f"{base}/ck"))
+    last.write.mode("append").parquet(f"{base}/in")
     src = file_stream(spark, f"{base}/in", recs.schema)
     run_available(windowed_metrics_stream(src, f"{base}/out", f"{base}/ck"))
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.unix_seconds("window_start").alias("window_start"), "name", F.round("value", 4).alias("value"), "n")
 
 
-@register("stream_regen", """WITH pt AS (
-  SELECT conv_id AS sample_id, turn, CASE WHEN role = 'system' THEN 'system' ELSE 'user' END AS role, text
-  FROM conversations WHERE role IN ('system', 'user', 'human') AND text IS NOT NULL AND text <> ''
-),
-prompts AS (SELECT * FROM pt WHERE sample_id IN (SELECT sample_id FROM pt WHERE role = 'user')),
-steps AS (
-  SELECT *, coalesce(sum(CASE WHEN role = 'system' THEN 1 ELSE 2 END) OVER (PARTITION BY sample_id ORDER BY turn
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_h,
-         CASE WHEN role = 'user' AND length(text) < 25 THEN 1 ELSE 0 END AS fails
-  FROM prompts
-),
-ff AS (SELECT sample_id, min(turn) FILTER (WHERE fails = 1) AS fail_turn FROM steps GROUP BY sample_id)
-SELECT 'sample_' || CAST(s.sample_id AS VARCHAR) AS id, CASE WHEN max(f.fail_turn) IS NULL THEN 'ok' ELSE 'error' END AS status,
-       CAST(CASE WHEN max(f.fail_turn) IS NULL THEN sum(CASE WHEN s.role = 'system' THEN 1 ELSE 2 END)
-            ELSE max(CASE WHEN s.turn = f.fail_turn THEN s.pos_h + 1 END) END AS BIGINT) AS n_out_turns
-FROM steps s JOIN ff f USING (sample_id) GROUP BY s.sample_id""", G)
+@register("stream_regen", f"""WITH {_SQL_REGEN}
+SELECT sample_id, CASE WHEN max(fail_turn) IS NULL THEN 'ok' ELSE 'error' END AS status,
+       CAST(sum(CASE WHEN role = 'system' OR fails THEN 1 ELSE 2 END) AS BIGINT) AS n_out_turns
+FROM st GROUP BY sample_id""", G)
 def stream_regen(spark, sf):
+    """T1 + T5: the stream runs twice with different checkpoints; the second
+    run finds all good conversations in the ledger and regenerates the failed
+    ones only (which fail again), so good rows are there once."""
     raw = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     convs = raw.groupBy(F.col("conv_id").alias("sample_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("conversations")
     )
     base = scratch(spark, "regen")
-    n = convs.agg(F.max("sample_id")).first()[0] or 0
-    half = n // 2 + 1
-    _stage(convs, f"{base}/in", [(0, half), (half, n + 1)], "sample_id", fmt="json")
-    src = file_stream(spark, f"{base}/in", convs.schema, fmt="json", max_files=1)
-    run_available(regen_stream(src, hash_reply_generator(25), f"{base}/out", f"{base}/ck"))
-    out = spark.read.json(f"{base}/out")
-    return out.select("id", "status", F.size("conversations").cast("bigint").alias("n_out_turns"))
+    _stage(convs, f"{base}/in", "sample_id", fmt="json")
+    for run in (1, 2):
+        src = file_stream(spark, f"{base}/in", convs.schema, fmt="json", max_files=1)
+        run_available(regen_stream(src, answered(spark, sf), f"{base}/out", f"{base}/ck{run}"))
+    out = spark.read.json(f"{base}/out").select("sample_id", "status", F.size("conversations").cast("bigint").alias("n_out_turns"))
+    return out.filter("status = 'ok'").unionAll(out.filter("status = 'error'").distinct())
 
 
 @register("stream_backfill", f"""WITH {sql_prepared_chain()}
-SELECT sample_id, CAST(len(input_ids) AS BIGINT) AS n_tokens,
+SELECT sample_id, CAST(len(input_ids) AS BIGINT) AS n_tokens, CAST(v.vec_id IS NOT NULL AS INTEGER) AS has_state,
        CASE WHEN sample_id IN (SELECT doc_id FROM labels) THEN 'seed' ELSE 'generated' END AS origin
-FROM prepared""", G)
+FROM prepared LEFT JOIN embeddings v ON v.vec_id = sample_id""", G)
 def stream_backfill(spark, sf):
+    """T2 + K5: states are the rows of ``embeddings`` under the sample's id; the
+    ids of ``labels`` are in the store already, and a second run of the stream
+    (fresh checkpoint) finds nothing to do."""
     rows = prepared(spark, sf).select("sample_id", "input_ids")
+    vec = table(spark, sf, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("sample_id"), F.array("embedding").alias("hidden_states"))
+
+    def states(d, origin):
+        return d.join(vec, "sample_id", "left").select("sample_id", F.col("input_ids").alias("token_ids"), "hidden_states", F.lit(origin).alias("origin"))
+
     base = scratch(spark, "backfill")
     seed_ids = table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("sample_id")).distinct()
-    hash_states(rows.join(seed_ids, "sample_id", "left_semi")).withColumn("origin", F.lit("seed")).write.parquet(f"{base}/store")
-    n = rows.agg(F.max("sample_id")).first()[0] or 0
-    half = n // 2 + 1
-    _stage(rows, f"{base}/in", [(0, half), (half, n + 1)], "sample_id")
-    src = file_stream(spark, f"{base}/in", rows.schema, max_files=1)
-    run_available(backfill_stream(src, f"{base}/store", lambda d: hash_states(d).withColumn("origin", F.lit("generated")), f"{base}/ck"))
+    states(rows.join(seed_ids, "sample_id", "left_semi"), "seed").write.parquet(f"{base}/store/run=seed/batch=0")
+    _stage(rows, f"{base}/in", "sample_id")
+    for run in (1, 2):
+        src = file_stream(spark, f"{base}/in", rows.schema, max_files=1)
+        run_available(backfill_stream(src, f"{base}/store", lambda d: states(d, "generated"), f"{base}/ck{run}"))
     store = spark.read.parquet(f"{base}/store")
-    return store.select("sample_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "origin")
+    return store.select("sample_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.col("hidden_states").isNotNull().cast("int").alias("has_state"), "origin")

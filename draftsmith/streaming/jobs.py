@@ -10,10 +10,13 @@ or ``applyInPandasWithState`` for custom sequential state per key.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,17 +43,24 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, fmt: str =
     return r.load(folder)
 
 
-def run_available(writer, timeout_s: int = 900) -> None:
+def run_available(writer) -> None:
     """Process everything available now, then stop (batch-equivalent runs, tests)."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish in time")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
 
+def read_if_written(spark: SparkSession, path: str, *columns: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path).select(*columns)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 # --------------------------------------------------------------------- T6
 
 
@@ -83,23 +93,28 @@ def read_latest_counts(spark: SparkSession, out: str) -> DataFrame:
 
 def _delta_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(pdfs)).sort_values("scrape")
-    out = []
-    for scrape, value in zip(rows["scrape"], rows["value"]):
-        if last is not None:
-            out.append((scrape, value - last if value >= last else value))
-        last = float(value)
-    state.update((last,))
-    if out:
-        engine, name, position = key
-        yield pd.DataFrame(
-            {"scrape": [o[0] for o in out], "engine": engine, "name": name, "position": position, "delta": [float(o[1]) for o in out]}
-        )
+    engine, name, position = key
+    for pdf in pdfs:  # an Arrow batch at a time; rows come in scrape order (see below)
+        rows = pdf.sort_values("scrape", kind="stable")
+        value = rows["value"].astype(float)
+        before = value.shift(1)
+        if len(before) and last is not None:
+            before.iloc[0] = last
+        delta = (value - before).where(value >= before, value)
+        known = before.notna()
+        if len(value):
+            last = float(value.iloc[-1])
+        if known.any():
+            yield pd.DataFrame({"scrape": rows["scrape"][known], "engine": engine, "name": name, "position": position, "delta": delta[known]})
+    if last is not None:
+        state.update((last,))
 
 
 def counter_delta_stream(scrapes: DataFrame, out: str, ckpt: str):
     """Per counter, the last value is the state; each new scrape emits its
-    delta (a decrease is a reset: the delta restarts from 0)."""
+    delta (a decrease is a reset: the delta restarts from 0).  Files hold scrapes
+    in order, and a counter has one row per scrape, so a group is read batch by
+    batch without being gathered."""
     deltas = scrapes.groupBy("engine", "name", "position").applyInPandasWithState(
         _delta_state,
         "scrape int, engine string, name string, position int, delta double",
@@ -116,23 +131,25 @@ def counter_delta_stream(scrapes: DataFrame, out: str, ckpt: str):
 def _breaker(threshold: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, aborted = (state.get if state.exists else (0, False))
-        rows = pd.concat(list(pdfs)).sort_values("t")
-        out = []
-        for t, ok in zip(rows["t"], rows["ok"]):
-            count = 0 if ok else count + 1
-            if count >= threshold and not aborted:
-                out.append((int(t), int(count)))
+        for pdf in pdfs:  # an Arrow batch at a time, in the order of the attempts
+            rows = pdf.sort_values("t", kind="stable")
+            ok = rows["ok"].to_numpy(dtype=bool)
+            run = (~ok).cumsum() - pd.Series(np.where(ok, (~ok).cumsum(), np.nan)).ffill().fillna(-count).to_numpy()
+            hit = np.flatnonzero(~ok & (run >= threshold))
+            if len(hit) and not aborted:
                 aborted = True
+                yield pd.DataFrame({"endpoint": [key[0]], "t": [int(rows["t"].iloc[hit[0]])], "streak": [int(run[hit[0]])]})
+            if len(run):
+                count = int(run[-1])
         state.update((int(count), bool(aborted)))
-        if out:
-            yield pd.DataFrame({"endpoint": key[0], "t": [o[0] for o in out], "streak": [o[1] for o in out]})
 
     return fn
 
 
 def failure_breaker_stream(attempts: DataFrame, threshold: int, out: str, ckpt: str):
     """T4: consecutive-failure circuit breaker per endpoint; emits one abort
-    row when the streak reaches ``threshold``."""
+    row when the streak reaches ``threshold``.  State is a count and a flag;
+    attempts are read batch by batch in file order, never gathered."""
     aborts = attempts.groupBy("endpoint").applyInPandasWithState(
         _breaker(threshold), "endpoint long, t long, streak long", "count long, aborted boolean", "append", GroupStateTimeout.NoTimeout
     )
@@ -154,8 +171,11 @@ def windowed_metrics_stream(records: DataFrame, out: str, ckpt: str, window: str
     return agg.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
 
 
-def dedup_stream(records: DataFrame, keys: list[str], out: str, ckpt: str, delay: str = "10 minutes"):
-    """Drop re-submitted records (same keys) while the first is within the watermark."""
+def dedup_stream(records: DataFrame, keys: list[str], out: str, ckpt: str, delay: str = "1 day 10 minutes"):
+    """Drop re-submitted records (same keys) while the first is within the
+    watermark.  ``delay`` must cover the span in which a key can come again (for
+    keys that hold a day: a day and the lateness); then the result does not
+    depend on how records are split into files."""
     d = records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
     return d.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
 
@@ -165,7 +185,7 @@ def dedup_stream(records: DataFrame, keys: list[str], out: str, ckpt: str, delay
 
 def regen_stream(
     conversations: DataFrame,
-    generator,
+    answer,
     out: str,
     ckpt: str,
     id_col: str = "sample_id",
@@ -174,21 +194,19 @@ def regen_stream(
     """T1 + T5: incremental regeneration.
 
     Each micro-batch: language filter (P25) → prompt extraction (P24) →
-    anti-join with the ids already done (J1) → generator (X6) → one write
-    partitioned by status (K4).  Filters run before the Python generator.
+    anti-join with the ids already done (J1) → replies (X6, a table) → one
+    write partitioned by status (K4).
 
     Resume is idempotent even with a fresh checkpoint: successful ids are
     appended to an ids-only Parquet ledger (``<out>/_done``) in the same
     batch, and the anti-join reads just that column — never the JSON output.
     """
     from draftsmith.operators.normalize import conversations_to_long, extract_prompt_turns
-    from draftsmith.operators.regen import regenerate
+    from draftsmith.operators.regen import regenerate, write_results
 
     ledger = f"{out.rstrip('/')}/_done"
     # one run per checkpoint: a recovered query (same checkpoint) overwrites
     # its own retried batch; a new checkpoint writes next to earlier runs
-    import hashlib
-
     run = hashlib.md5(ckpt.encode("utf-8")).hexdigest()[:12]
 
     def sink(bdf: DataFrame, batch_id: int) -> None:
@@ -196,19 +214,16 @@ def regen_stream(
         b = bdf if language is None else bdf.filter(F.col("language") == language)
         turns = conversations_to_long(b, id_col).withColumnRenamed(id_col, "sample_id")
         prompts = extract_prompt_turns(turns)
-        try:
-            prompts = prompts.join(spark.read.parquet(ledger).select("sample_id"), "sample_id", "left_anti")
-        except Exception:  # noqa: BLE001 - empty ledger
-            pass
-        # the generator runs once: results go to this batch's own folder
-        # (overwritten if the batch is retried), the ledger is read back from it
-        part = f"{out.rstrip('/')}/run={run}/batch={batch_id}"
-        regenerate(prompts, generator).write.mode("overwrite").partitionBy("status").json(part)
-        try:
-            done = spark.read.json(f"{part}/status=ok").select("sample_id")
-        except Exception:  # noqa: BLE001 - no success in this batch
-            return
-        done.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={batch_id}")
+        seen = read_if_written(spark, ledger, "sample_id")
+        if seen is not None:
+            prompts = prompts.join(seen, "sample_id", "left_anti")
+        # replies are asked for once: rows are staged (a retried batch overwrites
+        # its own), then split by status, and the ledger is read from them
+        stage = f"{ckpt.rstrip('/')}-rows/batch={batch_id}"
+        regenerate(prompts, answer(prompts)).write.mode("overwrite").parquet(stage)
+        res = spark.read.parquet(stage)
+        write_results(res, f"{out.rstrip('/')}/run={run}/batch={batch_id}", "overwrite")
+        res.filter("status = 'ok'").select("sample_id").write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={batch_id}")
 
     return conversations.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
 
@@ -223,35 +238,25 @@ def backfill_stream(
 ):
     """T2 + K5: on-demand artefacts — rows missing from the store are generated.
 
-    ``retention="cache"`` appends them to the store (later runs reuse them);
-    ``"delete"`` hands them to ``consume(df, batch_id)`` only and keeps the
-    store unchanged.  A batch's writes are its own (batch-id keyed when
-    consumed), so a retried batch does not duplicate work downstream.
+    ``retention="cache"`` adds them to the store (later runs reuse them);
+    ``"delete"`` keeps the store unchanged.  Generated rows are written once,
+    to this batch's own folder, and read back for the store and for
+    ``consume(df, batch_id)``, so a retried batch overwrites its own output.
     """
     if retention not in ("cache", "delete"):
         raise ValueError("retention must be 'cache' or 'delete'")
+    run = hashlib.md5(ckpt.encode("utf-8")).hexdigest()[:12]
 
     def sink(bdf: DataFrame, batch_id: int) -> None:
         spark = bdf.sparkSession
-        todo = bdf
-        try:
-            have = spark.read.parquet(store).select("sample_id")
-            todo = bdf.join(have, "sample_id", "left_anti")
-        except Exception:  # noqa: BLE001 - empty store
-            pass
-        made = generate(todo)
-        if retention == "cache":
-            made.write.mode("append").parquet(store)
+        part = f"run={run}/batch={batch_id}"
+        have = read_if_written(spark, store, "sample_id", "run", "batch") if retention == "cache" else read_if_written(spark, store, "sample_id")
+        if have is not None and retention == "cache":  # what this batch wrote before a retry does not count
+            have = have.filter((F.coalesce(F.col("run").cast("string"), F.lit("")) != run) | (F.col("batch") != batch_id)).select("sample_id")
+        todo = bdf if have is None else bdf.join(have, "sample_id", "left_anti")
+        folder = f"{store.rstrip('/')}/{part}" if retention == "cache" else f"{ckpt.rstrip('/')}-made/{part}"
+        generate(todo).write.mode("overwrite").parquet(folder)
         if consume is not None:
-            consume(made, batch_id)
+            consume(spark.read.parquet(folder), batch_id)
 
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-
-
-def hash_states(rows: DataFrame, width: int = 4) -> DataFrame:
-    """X7 stand-in generator: deterministic per-token states from hashes (no model)."""
-    states = F.transform(
-        "input_ids",
-        lambda t: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: (F.pmod(F.xxhash64(t, j), F.lit(1000)) / 1000.0).cast("float")),
-    )
-    return rows.select("sample_id", F.col("input_ids").alias("token_ids"), states.alias("hidden_states"))

@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftsmith.operators.training_logs import best_epoch, failure_streaks, normalize_counted, running_best, step_profile
-from draftsmith.streaming.jobs import counter_delta_stream, failure_breaker_stream, file_stream, regen_stream, run_available
-from draftsmith.operators.regen import hash_reply_generator
+from draftsmith.streaming.jobs import counter_delta_stream, dedup_stream, failure_breaker_stream, file_stream, regen_stream, run_available
 
 
 def test_normalize_counted(spark):
@@ -76,8 +75,20 @@ def test_regen_stream_resume_is_idempotent(spark, tmp_path):
     )
     convs.coalesce(1).write.json(str(tmp_path / "in"))
     src = lambda: file_stream(spark, str(tmp_path / "in"), convs.schema, fmt="json")
-    run_available(regen_stream(src(), hash_reply_generator(5), str(tmp_path / "out"), str(tmp_path / "ck1")))
+    answer = lambda p: p.select("sample_id", "turn", F.concat(F.lit("re: "), "text").alias("reply"))
+    run_available(regen_stream(src(), answer, str(tmp_path / "out"), str(tmp_path / "ck1")))
     # a second run with a fresh checkpoint must not regenerate anything (anti-join on the output)
-    run_available(regen_stream(src(), hash_reply_generator(5), str(tmp_path / "out"), str(tmp_path / "ck2")))
+    run_available(regen_stream(src(), answer, str(tmp_path / "out"), str(tmp_path / "ck2")))
     out = spark.read.json(str(tmp_path / "out"))
-    assert out.count() == 6 and out.select("id").distinct().count() == 6
+    assert out.count() == 6 and out.select("sample_id").distinct().count() == 6
+
+
+def test_dedup_does_not_depend_on_files(spark, tmp_path):
+    """One key again each hour of a day, as one file and as eight, one file a batch."""
+    recs = spark.range(8).select(F.lit(1).alias("user"), F.lit(0).alias("day"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 10000).alias("ts"), "id")
+    for n in (1, 8):
+        for k in range(n):
+            recs.filter(F.col("id") % n == k).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{n}"))
+        src = file_stream(spark, str(tmp_path / f"in{n}"), recs.schema, max_files=1)
+        run_available(dedup_stream(src, ["user", "day"], str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")))
+        assert spark.read.parquet(str(tmp_path / f"out{n}")).count() == 1
