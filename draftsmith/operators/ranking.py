@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import seeded_hex
-from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded
 
 
 def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_col: str = "rank", max_buckets: int = 1 << 16) -> DataFrame:
@@ -23,7 +22,7 @@ def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_co
 
     ``bucket`` must be an integer that never decreases along the order
     (e.g. a prefix of the sort key) and take at most ``max_buckets`` values:
-    that is the size of the only single-task step and of the broadcast.
+    that is the size of the only single-task step (the join is left to AQE).
     Rows are expected to have distinct order keys (ids are unique); when keys
     may repeat, use :func:`global_rank_with_ties`, which stays balanced even
     if one key holds a large share of the rows.
@@ -36,7 +35,7 @@ def global_rank(df: DataFrame, order_cols: list[Column], bucket: Column, rank_co
     )
     w = Window.partitionBy("_bucket").orderBy(*order_cols)
     return (
-        b.join(broadcast_bounded(offsets, max_buckets, "rank bucket offsets") if max_buckets <= 1 << 16 else offsets, "_bucket")
+        b.join(offsets, "_bucket")
         .withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
         .drop("_bucket", "_off")
     )
@@ -56,14 +55,19 @@ def seeded_rank(df: DataFrame, seed: int | Column, id_col: str, rank_col: str =
     return global_rank(keyed, [F.col("_key"), F.col(id_col)], bucket, rank_col, max_buckets=16**digits).drop("_key")
 
 
-def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank", bucket_width: int = 65536) -> DataFrame:
+ID_BUCKETS = 1 << 14
+
+
+def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank") -> DataFrame:
     """Rank in ascending ``id_col`` order (stable dataset index order).
 
-    Buckets are fixed-width id ranges; dense integer ids give equal buckets.
+    The id range (two scalars) is cut into ``ID_BUCKETS`` equal parts, so the
+    table of bucket sizes is bounded however sparse the ids are.
     """
-    bucket = F.floor(F.col(id_col) / F.lit(bucket_width)).cast("bigint")
-    # the bucket count depends on the id range: let AQE pick the join (no hint)
-    return global_rank(df, [F.col(id_col)], bucket, rank_col, max_buckets=MAX_BROADCAST_ROWS)
+    lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
+    width = 1 if lo is None else (hi - lo) // ID_BUCKETS + 1
+    bucket = F.floor((F.col(id_col) - F.lit(lo or 0)) / F.lit(width)).cast("bigint")
+    return global_rank(df, [F.col(id_col)], bucket, rank_col, max_buckets=ID_BUCKETS)
 
 
 def shuffle_cap(df: DataFrame, seed: int, id_col: str, n: int | None, unique_ids: bool = True) -> DataFrame:
@@ -139,10 +143,9 @@ def weighted_key_starts(keys: DataFrame, key_cols: list[str], weight: str, bucke
         "_bucket",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
     )
-    off = broadcast_bounded(offsets, max_buckets, "rank bucket offsets") if max_buckets <= 1 << 16 else offsets
     w = Window.partitionBy("_bucket").orderBy(*[F.col(c) for c in key_cols]).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        b.join(off, "_bucket")
+        b.join(offsets, "_bucket")
         .withColumn("_key_start", (F.col("_off") + F.coalesce(F.sum(weight).over(w), F.lit(0))).cast("bigint"))
         .drop("_bucket", "_off")
     )

@@ -104,63 +104,42 @@ def _assemble(bounded: DataFrame, max_length: int) -> DataFrame:
     )
 
 
-def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192) -> DataFrame:
-    """Concatenate turn tokens in turn order and truncate to ``max_length``
-    (fast path: the turns of a conversation share one task).
+BUCKET_TURNS = 256
 
-    Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
-    truncated, has_assistant`` (P19 quality columns included).
-    """
-    conv = Window.partitionBy("sample_id").orderBy("turn")
-    whole = Window.partitionBy("sample_id")
-    before = F.coalesce(F.sum(F.size("ids")).over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bounded = (
-        turn_tokens.withColumn("_start", before)
-        .withColumn("_total", F.sum(F.size("ids")).over(whole))
-        .withColumn("_asst", F.max((F.col("role") == "assistant").cast("int")).over(whole))
-        # a turn that failed to encode fails the conversation, wherever it is
-        .withColumn("_failed_any", F.max(F.col("_err").isNotNull()).over(whole) if "_err" in turn_tokens.columns else F.lit(False))
-        .filter(F.col("_start") < max_length)
-    )
-    return _assemble(bounded, max_length)
 
+def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
+    """Concatenate turn tokens in turn order and truncate to ``max_length``.
 
-def assemble_rows_bucketed(turn_tokens: DataFrame, max_length: int = 8192, bucket_turns: int = 256) -> DataFrame:
-    """Skew-safe assembly for conversations with very many turns.
+    One plan for conversations of any size: turns are dealt by conversation and
+    bucket of ``bucket_turns`` consecutive turn numbers.  Bucket token sums give
+    each bucket's start by a running sum over the small bucket table, a running
+    sum inside the bucket gives each turn's start, and only turns that start
+    before ``max_length`` meet in the task of their conversation, which so holds
+    ``max_length`` tokens and one turn, however long the conversation is.
 
-    Turns are grouped in buckets of ``bucket_turns`` consecutive turn numbers.
-    Bucket token sums (a partial aggregation) give each bucket's start by a
-    running sum over the small bucket table; only buckets that start before
-    ``max_length`` are kept (a semi join), so the final per-conversation
-    window and collect see at most ``max_length`` tokens plus one bucket —
-    however many turns the conversation has.
+    Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
+    truncated, has_assistant`` (P19 quality columns included).
     """
     b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint")).withColumn("_n", F.size("ids"))
+    b = b.repartition("sample_id", "_bucket")  # both uses below share this exchange
+    # a turn that failed to encode fails the conversation, wherever it is
     err = F.col("_err").isNotNull() if "_err" in turn_tokens.columns else F.lit(False)
     sums = b.groupBy("sample_id", "_bucket").agg(
         F.sum("_n").alias("_bn"), F.max((F.col("role") == "assistant").cast("int")).alias("_ba"), F.max(err).alias("_be")
     )
-    wb = Window.partitionBy("sample_id").orderBy("_bucket")
-    starts = (
-        sums.withColumn("_bstart", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(Window.partitionBy("sample_id")))
-        .withColumn("_asst", F.max("_ba").over(Window.partitionBy("sample_id")))
-        .withColumn("_failed_any", F.max("_be").over(Window.partitionBy("sample_id")))
-        .filter(F.col("_bstart") < max_length)
-        .select("sample_id", "_bucket", "_bstart", "_total", "_asst", "_failed_any")
+    whole = Window.partitionBy("sample_id")
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        F.col("sample_id").alias("_sid"), F.col("_bucket").alias("_sb"),
+        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_bstart"),
+        F.sum("_bn").over(whole).alias("_total"),
+        F.max("_ba").over(whole).alias("_asst"),
+        F.max("_be").over(whole).alias("_failed_any"),
     )
-    kept = b.join(starts, ["sample_id", "_bucket"])
-    conv = Window.partitionBy("sample_id").orderBy("turn")
-    before = F.coalesce(F.sum("_n").over(conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bounded = kept.withColumn("_start", before).filter(F.col("_start") < max_length)
-    return _assemble(bounded, max_length)
-
-
-def hot_keys(df: DataFrame, key: str, threshold: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows (a partial aggregation over the
-    key column only).  At most ``rows / threshold`` keys can qualify; the
-    join strategy against it is left to AQE (broadcast when it is small)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > threshold).select(key)
+    kept = b.join(starts, F.col("sample_id").eqNullSafe(F.col("_sid")) & (F.col("_bucket") == F.col("_sb"))).filter(F.col("_bstart") < max_length)
+    inside = Window.partitionBy("sample_id", "_bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_bstart") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return _assemble(kept.withColumn("_start", start).filter(F.col("_start") < max_length), max_length)
 
 
 def valid_tokens(mask: Column) -> Column:
@@ -176,55 +155,17 @@ def min_valid_tokens(rows: DataFrame, n: int | None) -> DataFrame:
     return rows.filter(valid_tokens(F.col("loss_mask")) >= n)
 
 
-_MAX_TURNS: dict = {}
-
-
-def _max_turns(turns: DataFrame) -> int | None:
-    """Largest number of turns of one conversation — a scalar action over the
-    id column, memoised per application and input plan (a stale value can only
-    cost speed, never correctness: both assembly paths give the same rows)."""
-    key = (turns.sparkSession.sparkContext.applicationId, turns.semanticHash())
-    if key not in _MAX_TURNS:
-        if len(_MAX_TURNS) > 256:
-            _MAX_TURNS.clear()
-        _MAX_TURNS[key] = turns.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return _MAX_TURNS[key]
-
-
 def prepare_rows(
     turns: DataFrame,
     template: ChatTemplate = CHATML,
     max_length: int = 8192,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
     minimum_valid_tokens: int | None = None,
-    hot_turns: int | None = 10000,
     tokenizer=None,
 ) -> DataFrame:
-    """Normalised long-form turns → prepared rows (the Prep job's core).
-
-    Conversations with more than ``hot_turns`` turns take the bucketed,
-    skew-safe assembly (one scalar action over the id column decides whether
-    any exists, so the common plan carries no split); all others the fast
-    path, where the turns are hash-partitioned by
-    ``sample_id`` *before* tokenising — the exchange the per-conversation
-    window and aggregate need anyway, moving raw text (smaller than id
-    arrays), so the window and the aggregate reuse that partitioning.
-    ``hot_turns=None`` skips the split (one shuffle, no pre-pass).
-    """
-    normal, hot = turns, None
-    if hot_turns is not None:
-        # one scalar action over the id column (partial aggregation): the split
-        # plan is only built when some conversation is actually hot
-        most = _max_turns(turns)
-        if most is not None and most > hot_turns:
-            hk = hot_keys(turns.select("sample_id"), "sample_id", hot_turns)
-            normal = turns.join(hk, "sample_id", "left_anti")
-            hot = turns.join(hk, "sample_id", "left_semi")
-    rows = assemble_rows(tokenize_turns(normal.repartition("sample_id"), template, vocab_size, tokenizer), max_length)
-    if hot is not None:
-        bucketed = assemble_rows_bucketed(tokenize_turns(hot, template, vocab_size, tokenizer), max_length)
-        rows = rows.unionByName(bucketed)
-    return min_valid_tokens(rows, minimum_valid_tokens)
+    """Normalised long-form turns → prepared rows (the Prep job's core): one
+    scan, tokens per turn (narrow), :func:`assemble_rows`."""
+    return min_valid_tokens(assemble_rows(tokenize_turns(turns, template, vocab_size, tokenizer), max_length), minimum_valid_tokens)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -298,9 +239,7 @@ def token_offsets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Narrow: tokens and offsets are computed in row (:func:`token_array`) and
     exploded last; no exchange.
     """
-    from draftsmith.session import spread
-
-    return spread(docs.select(id_col, text_col)).select(F.col(id_col), F.posexplode(token_array(F.col(text_col))).alias("pos", "_t")).select(
+    return docs.select(id_col, text_col).select(F.col(id_col), F.posexplode(token_array(F.col(text_col))).alias("pos", "_t")).select(
         id_col, F.col("pos").cast("bigint").alias("pos"), "_t.token", "_t.start", "_t.end"
     )
 

@@ -7,6 +7,9 @@ cap is asked for) and the token id (frequencies).
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ from draftsmith.tables import table
 
 
 def prepare_turns(
-    turns: DataFrame,
+    turns: DataFrame | list[DataFrame],
     template: ChatTemplate = CHATML,
     max_length: int = 8192,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
@@ -33,8 +36,10 @@ def prepare_turns(
 ) -> DataFrame:
     """Long-form raw turns → prepared rows.
 
-    ``max_samples`` applies the early cap (``3*n`` conversations in seeded
-    order, before the tokenizer, O2) and the final cap (``n`` rows, O3).
+    ``turns`` may be a list of sources (ids distinct across them).
+    ``max_samples`` applies the early cap (``3*n`` raw conversations of each
+    source in seeded order, before the tokenizer, O2) and the final cap (``n``
+    rows of all, O3).
 
     Mask method (P15), resolved once on the driver: a custom
     ``assistant_pattern`` (X3) uses the regex path; otherwise the template
@@ -42,18 +47,18 @@ def prepare_turns(
     tokenizer (e.g. :class:`draftsmith.functions.text.HFTokenizer`) into the
     construction path; the default is the JVM regex tokenizer.
     """
-    norm = normalize_turns(turns, id_col=id_col, turn_dropout=turn_dropout, seed=seed)
-    if max_samples is not None:
-        ids = shuffle_cap(norm.select("sample_id").distinct(), seed, "sample_id", 3 * max_samples)
-        norm = norm.join(ids, "sample_id", "left_semi")
+    sources = turns if isinstance(turns, list) else [turns]
+    if max_samples is not None:  # O2: raw conversations of each source
+        sources = [t.join(shuffle_cap(t.select(id_col).distinct(), seed, id_col, 3 * max_samples), id_col, "left_semi") for t in sources]
+    norm = normalize_turns(reduce(DataFrame.unionByName, sources), id_col=id_col, turn_dropout=turn_dropout, seed=seed)
     if assistant_pattern is not None:
         from draftsmith.operators.tokenize import min_valid_tokens, prepare_rows_by_pattern
 
         rows = min_valid_tokens(prepare_rows_by_pattern(norm, assistant_pattern, template, max_length, vocab_size), minimum_valid_tokens)
     else:
         rows = prepare_rows(norm, template, max_length, vocab_size, minimum_valid_tokens, tokenizer=tokenizer)
-    if max_samples is not None:
-        rows = shuffle_cap(rows, seed, "sample_id", max_samples)
+    if max_samples is not None:  # O3: the ids are ranked, the rows only filtered
+        rows = rows.join(shuffle_cap(rows.select("sample_id"), seed, "sample_id", max_samples), "sample_id", "left_semi")
     return rows
 
 
@@ -102,8 +107,9 @@ def resolve_vocab(
     if cache_dir:
         try:
             return spark.read.parquet(f"{cache_dir}/d2t"), spark.read.parquet(f"{cache_dir}/t2d")
-        except Exception:  # noqa: BLE001 - absent cache falls through
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # an absent cache falls through
+                raise
     if freq is not None and draft_vocab_size:
         sel = select_draft_tokens(spark, freq, draft_vocab_size)
         maps = vocab_maps(sel, target_vocab_size, spark)

@@ -66,22 +66,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
-def spread(df, *keys: str):
-    """Spread an under-partitioned input over the cluster's cores.
-
-    A large input already has many partitions (one per file split) and is
-    returned unchanged — no shuffle is added at scale.  A small input read
-    from a single split would run its per-row work in one task; it is
-    repartitioned (by ``keys`` when given, so a following aggregation or
-    window on them needs no further exchange).
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys) if keys else df.repartition(cores)
-
-
 # Largest row bound accepted for an explicit broadcast (a model constant such
 # as a vocabulary, never a data-dependent size).
 MAX_BROADCAST_ROWS = 1 << 22

@@ -1,8 +1,8 @@
-"""Session helpers: bounded broadcasts, spreading small inputs, the checkpoint folder."""
+"""Session helpers: bounded broadcasts, the checkpoint folder."""
 
 import pytest
 
-from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded, checkpoint_dir, spread
+from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded, checkpoint_dir
 
 
 def test_broadcast_bound_is_enforced(spark):
@@ -12,14 +12,6 @@ def test_broadcast_bound_is_enforced(spark):
         broadcast_bounded(df, MAX_BROADCAST_ROWS + 1, "too big")
 
 
-def test_spread_only_touches_small_inputs(spark):
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == cores
-    many = spark.range(1000).repartition(cores * 2)
-    assert spread(many).rdd.getNumPartitions() == cores * 2  # unchanged: no shuffle added
-
-
 def test_checkpoint_dir_is_reused(spark):
     first = checkpoint_dir(spark)
     assert first and checkpoint_dir(spark) == first

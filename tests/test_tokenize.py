@@ -94,22 +94,28 @@ def test_piece_starts_match_python(spark):
         assert got[i] == exp, (i, got[i], exp)
 
 
-def test_bucketed_assembly_equals_fast_path(spark):
-    from draftsmith.operators.tokenize import assemble_rows, assemble_rows_bucketed, tokenize_turns
+def test_assembly_does_not_depend_on_buckets(spark):
+    from draftsmith.operators.tokenize import assemble_rows, tokenize_turns
 
     t = tokenize_turns(turns(spark, SF_SMALL))
     cols = ["sample_id", "input_ids", "loss_mask", "seq_len", "n_tokens_full", "truncated", "has_assistant"]
-    for max_len, bucket in [(8192, 2), (300, 1), (64, 3)]:
-        fast = assemble_rows(t, max_len).select(*cols)
-        slow = assemble_rows_bucketed(t, max_len, bucket_turns=bucket).select(*cols)
-        assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+    for max_len in (8192, 300, 64):
+        one = assemble_rows(t, max_len).select(*cols)  # no conversation has more turns than a bucket
+        for bucket in (1, 2, 3):
+            many = assemble_rows(t, max_len, bucket_turns=bucket).select(*cols)
+            assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
 
 
-def test_hot_split_equals_plain(spark):
-    t = turns(spark, SF_SMALL)
-    a = prepare_rows(t, hot_turns=None)
-    b = prepare_rows(t, hot_turns=3)  # most conversations are "hot" here
-    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+def test_one_conversation_with_a_third_of_all_bytes(spark):
+    """A hot conversation of many long turns: its row is cut by tokens, and only
+    the turns that start before the limit reach the collect."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "word " * 400) for i in range(1500)]
+    rows += [(2 + i // 2, i % 2, "user" if i % 2 == 0 else "assistant", "word " * 400) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sample_id long, turn long, role string, text string").repartition(8)
+    out = {r.sample_id: (r.seq_len, r.n_tokens_full, r.truncated) for r in prepare_rows(df, max_length=1000).select("sample_id", "seq_len", "n_tokens_full", "truncated").collect()}
+    assert len(out) == 1501 and out[1][0] == 1000 and out[1][2]
+    per_turn = out[2][1] // 2
+    assert out[1][1] == 1500 * per_turn
 
 
 TEMPLATE_FAMILIES = {
@@ -140,7 +146,7 @@ def test_mask_methods_agree_across_template_families(spark):
     t = turns(spark, SF_SMALL)
     cols = ["sample_id", "input_ids", "loss_mask", "seq_len"]
     for name, tmpl in TEMPLATE_FAMILIES.items():
-        a = prepare_rows(t, template=tmpl, hot_turns=None).select(*cols)
+        a = prepare_rows(t, template=tmpl).select(*cols)
         b = prepare_rows_by_pattern(t, tmpl.assistant_pattern(), tmpl).select(*cols)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
 
@@ -153,7 +159,7 @@ def test_regex_path_needs_distinctive_markers(spark):
 
     tmpl = ChatTemplate(name="weak", roles={"user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>")})
     df = spark.createDataFrame([(1, 0, "user", "two words"), (1, 1, "assistant", "ok")], "sample_id long, turn long, role string, text string")
-    exact = prepare_rows(df, template=tmpl, hot_turns=None).first()
+    exact = prepare_rows(df, template=tmpl).first()
     guessed = prepare_rows_by_pattern(df, tmpl.assistant_pattern(), tmpl).first()
     assert sum(exact.loss_mask) == 1  # only "ok"
     assert sum(guessed.loss_mask) > 1  # the regex also swallowed user text
@@ -185,14 +191,13 @@ def test_model_tokenizer_in_prep(spark):
         "sample_id long, turn long, role string, text string",
     )
     tok = Failing(_word_tokenizer_json())
-    rows = {r.sample_id: r for r in prepare_rows(df, tokenizer=tok, hot_turns=None).collect()}
+    rows = {r.sample_id: r for r in prepare_rows(df, tokenizer=tok).collect()}
     assert set(rows) == {1}
     r = rows[1]
     assert [i for i, m in zip(r.input_ids, r.loss_mask) if m] == tok.encode_batch(["ok ok"])[0]
     assert r.input_ids[0] == 1  # <|im_start|> marker encoded as the special token
-    assert {x.sample_id for x in prepare_rows(df, tokenizer=tok, hot_turns=1).collect()} == {1}
     plain = HFTokenizer(_word_tokenizer_json())
-    assert prepare_rows(df, tokenizer=plain, hot_turns=None).count() == 2
+    assert prepare_rows(df, tokenizer=plain).count() == 2
 
 
 def test_regex_path_is_bounded_and_exact(spark):
@@ -203,7 +208,7 @@ def test_regex_path_is_bounded_and_exact(spark):
     t = turns(spark, SF_SMALL)
     cols = ["sample_id", "input_ids", "loss_mask", "seq_len", "n_tokens_full", "truncated"]
     for L in (64, 700, 8192):
-        a = prepare_rows(t, max_length=L, hot_turns=None).select(*cols)
+        a = prepare_rows(t, max_length=L).select(*cols)
         b = prepare_rows_by_pattern(t, CHATML.assistant_pattern(), CHATML, max_length=L).select(*cols)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, L
     kept = bound_turns(t, CHATML, 64, bucket_turns=2)

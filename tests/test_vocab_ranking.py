@@ -85,8 +85,11 @@ def test_chunks_cover_without_overlap(spark):
 
 def test_id_rank_dense(spark):
     df = spark.createDataFrame([(5,), (100000,), (7,), (70000,)], "sample_id long")
-    r = {x.sample_id: x.rank for x in id_rank(df, "sample_id", bucket_width=1000).collect()}
+    r = {x.sample_id: x.rank for x in id_rank(df, "sample_id").collect()}
     assert r == {5: 0, 7: 1, 70000: 2, 100000: 3}
+    sparse = spark.createDataFrame([(-(1 << 61),), (3,), ((1 << 61) + 9,), ((1 << 61) + 10,)], "sample_id long")
+    assert sorted((x.rank, x.sample_id) for x in id_rank(sparse, "sample_id").collect()) == [(0, -(1 << 61)), (1, 3), (2, (1 << 61) + 9), (3, (1 << 61) + 10)]
+    assert id_rank(df.limit(0), "sample_id").count() == 0
 
 
 def test_rank_with_a_hot_duplicated_key(spark):
