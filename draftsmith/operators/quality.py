@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draftsmith.functions.distributions import LOSSES, argmax, bce_with_logits, overlap, sigmoid
+from draftsmith.functions.distributions import LOSSES, argmax, bce_with_logits, overlap, parse_loss_spec, sigmoid
 from draftsmith.session import broadcast_bounded
 
 
@@ -31,7 +31,7 @@ def masked_decayed_mean(
 
 def compound_loss(
     df: DataFrame,
-    spec: dict[str, float],
+    spec: dict[str, float] | str,
     draft: str = "draft",
     target: str = "target",
     mask: str = "mask",
@@ -40,10 +40,12 @@ def compound_loss(
     eps: float = 1e-5,
 ) -> DataFrame:
     """A10: ``loss = sum_k w_k * term_k`` with each term an A9 mean; one row.
+    ``spec`` as for :func:`parse_loss_spec` (F11).
 
     Per-term columns ``{name}_loss`` are reported only when there are
     several terms.  All terms come from one pass (one column per term).
     """
+    spec = parse_loss_spec(spec)
     m = F.col(mask).cast("double")
     w = weight if weight is not None else F.lit(1.0)
     terms = {name: LOSSES[name](F.col(draft), F.col(target)) for name in spec}
@@ -170,14 +172,16 @@ def block_metrics(
         F.sum((F.col("_f.sum_pa") + 1.0) * valid).alias("s_len"), F.sum(valid).alias("n_valid_blocks"),
         F.sum("_f.bias").alias("s_bias"), F.sum("_f.n").alias("n_draft"),
     )
-    one = F.lit(1.0)
+    def per(total: str, count: str) -> Column:  # each batch counts at least one, as the reference clamps per batch
+        return F.sum(total) / F.greatest(F.sum(F.greatest(F.col(count), F.lit(1.0))), F.lit(1.0))
+
     out = per_batch.agg(
-        (F.sum("s_am") / F.greatest(F.sum("s_m"), one)).alias("accept_rate"),
-        (F.sum("s_len") / F.greatest(F.sum("n_valid_blocks"), one)).alias("accept_len"),
+        per("s_am", "s_m").alias("accept_rate"),
+        per("s_len", "n_valid_blocks").alias("accept_len"),
         F.avg("b_bce").alias("confidence_loss"),
-        (F.sum("s_abs") / F.greatest(F.sum("s_m"), one)).alias("abs_error"),
-        (F.sum("s_c") / F.greatest(F.sum("s_m"), one)).alias("pred_mean"),
-        (F.sum("s_bias") / F.greatest(F.sum("n_draft"), one)).alias("cumprod_bias"),
+        per("s_abs", "s_m").alias("abs_error"),
+        per("s_c", "s_m").alias("pred_mean"),
+        per("s_bias", "n_draft").alias("cumprod_bias"),
     )
     if not conf:
         out = out.select("accept_rate", "accept_len")
