@@ -2,19 +2,19 @@
 
 QUERY_IDS = {
     # prep
-    "normalize_conversations": "S7 P1 P2", "turn_dropout": "P3", "drop_empty_conversations": "P12",
+    "normalize_conversations": "P1 P2", "turn_dropout": "P3", "drop_empty_conversations": "P12",
     "render_template": "P13", "tokenize_offsets": "P14", "loss_mask": "P17 P18 J12",
     "prepare_rows": "P13 P14 P17 P18 P19 P22", "prepare_rows_regex": "P15 P16 P17 P18 X3",
     "min_valid_tokens": "P20", "truncate_tokens": "P14 P19", "trainable_runs": "P23",
     # vocab
     "token_frequency": "A1", "combine_frequency": "A2", "draft_vocab_topk": "O5 W11",
-    "vocab_offsets": "O5 W11 K3", "target_to_draft": "O5 O6", "vocab_coverage": "J7",
+    "vocab_offsets": "O5 W11", "target_to_draft": "O5", "vocab_coverage": "J7",
     "oov_prune_semi": "J7", "draft_target_lookup": "J6",
     # shuffle / resume / regen
     "shuffle_cap": "O1 O2 O3", "union_shuffle_cap": "O1 O2 O3 U1", "train_val_split": "P33",
     "shuffled_split": "P34 O11", "rank_chunks": "O7 J2 U5", "resume_anti_join": "J1 J2 U5",
     "existing_semi_count": "J3", "artefact_left_join_policy": "J4", "artefact_validation": "J5",
-    "extract_prompts": "P24", "regen_assemble": "P28 X6", "regen_error_split": "P29 K4",
+    "extract_prompts": "P24", "regen_assemble": "P28 X6", "regen_error_split": "P29",
     "usage_totals": "P30", "run_summary": "A23", "sanitize_names": "P27",
     # examples
     "shift_examples": "P35 P39 W6", "mtp_targets": "P49", "offpolicy_shift": "P50",
@@ -35,14 +35,21 @@ QUERY_IDS = {
     "greedy_acceptance": "P54", "step_metrics": "A15 P51",
     # evaluation
     "prometheus_counters": "S19 A5 F14", "counter_deltas": "W10", "acceptance_metrics": "A6 J8",
-    "acceptance_report": "A27", "regression_metrics": "A26", "gen_length_budget": "A3 A4 P52 K7",
-    "sweep_rows": "S12 J10 K6", "speedup_interpolated": "J11 U4", "curve_smoothing": "O15 O16 U2",
+    "acceptance_report": "A27", "regression_metrics": "A26", "gen_length_budget": "A3 A4 P52",
+    "sweep_rows": "J10", "speedup_interpolated": "J11 U4", "curve_smoothing": "O15",
     "subset_intersection": "U3 U4", "storage_estimate": "A24",
     # training logs
     "metric_ratios": "A11", "epoch_metrics": "A12", "best_epoch": "A22", "running_best": "W8",
     "failure_streaks": "W7", "step_profile": "A21", "log_flatten": "S22",
     # streaming
     "stream_token_frequency": "T6", "stream_counter_deltas": "T7", "stream_failure_breaker": "T4",
-    "stream_dedup": "T9", "stream_window_metrics": "T8", "stream_regen": "T1 T5 P25",
+    "stream_dedup": "T9", "stream_window_metrics": "T8", "stream_regen": "T1 T5 K4 X6",
     "stream_backfill": "T2 K5 X7",
+    # files
+    "raw_chats_without_ids": "S1 S2 S5 X10", "preset_sources": "S3 S4 S5 P4 P5 P6 X1",
+    "image_chat_parts": "P7 P8 P9 P10 F17 P31 P32", "tools_parsed": "P11 F15", "prepared_store": "S7 S24 K1",
+    "vocab_store": "K2 K3 S21 O6", "artefact_store": "S8 S9 P36", "sample_length_lookup": "S10 S11",
+    "sweep_files": "S12 S18 K6", "generation_length_files": "S13 K7", "curve_files": "S14 S15 S16 S17 U2",
+    "exposition_files": "S19", "seen_output_ids": "S20", "training_log_files": "S22", "val_metric_files": "S23",
+    "regen_source_files": "S6",
 }

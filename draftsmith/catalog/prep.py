@@ -60,9 +60,8 @@ def turn_dropout(spark, sf):
     )
 
 
-@register("drop_empty_conversations", f"""WITH {sql_norm()},
-f AS (SELECT *, max(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id) AS has FROM norm)
-SELECT sample_id, CAST(count(*) AS BIGINT) AS n_turns FROM f WHERE has = 1 GROUP BY sample_id""", G)
+@register("drop_empty_conversations", f"""WITH {sql_norm()}
+SELECT sample_id, CAST(count(*) AS BIGINT) AS n_turns FROM norm GROUP BY sample_id""", G)
 def drop_empty(spark, sf):
     return drop_empty_conversations(turns(spark, sf)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_turns"))
 

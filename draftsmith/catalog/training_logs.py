@@ -145,9 +145,10 @@ def failure_streaks_q(spark, sf):
          CAST(sum(round(value * 10)) AS BIGINT) AS num_tokens
   FROM events GROUP BY event_id // 5
 ),
-p AS (SELECT step, num_tokens, marks[1] AS st, marks[2] AS fe, marks[3] AS fw, marks[4] AS bw, marks[5] AS op FROM m WHERE n = 5)
-SELECT CAST(step AS BIGINT) AS step, round((fe - st) * 1000, 3) AS fetch_ms, round((fw - fe) * 1000, 3) AS fwd_ms,
-       round((bw - fw) * 1000, 3) AS bwd_ms, round((op - bw) * 1000, 3) AS opt_ms, round((op - st) * 1000, 3) AS step_ms,
+p AS (SELECT step, num_tokens, CASE WHEN n = 5 THEN marks[1] END AS st, CASE WHEN n = 5 THEN marks[2] ELSE marks[1] END AS fe,
+  CASE WHEN n = 5 THEN marks[3] ELSE marks[2] END AS fw, CASE WHEN n = 5 THEN marks[4] ELSE marks[3] END AS bw, CASE WHEN n = 5 THEN marks[5] ELSE marks[4] END AS op FROM m)
+SELECT CAST(step AS BIGINT) AS step, round(coalesce((fe - st) * 1000, 0.0), 3) AS fetch_ms, round((fw - fe) * 1000, 3) AS fwd_ms,
+       round((bw - fw) * 1000, 3) AS bwd_ms, round((op - bw) * 1000, 3) AS opt_ms, round(coalesce((op - st) * 1000, 0.0), 3) AS step_ms,
        round(CASE WHEN (op - st) * 1000 > 0 THEN num_tokens / ((op - st) * 1000 / 1000) ELSE 0.0 END, 3) AS tokens_per_s,
        round(CASE WHEN (op - st) * 1000 > 0 THEN (fe - st) * 1000 / ((op - st) * 1000) ELSE 0.0 END, 6) AS fetch_frac
 FROM p""", G)
@@ -157,8 +158,10 @@ def step_profile_q(spark, sf):
     m = e.groupBy(F.floor(F.col("event_id") / 5).cast("bigint").alias("step")).agg(
         F.sort_array(F.collect_list(secs)).alias("_m"), F.count(F.lit(1)).alias("_n"),
         F.sum(F.round(F.col("value") * 10)).cast("bigint").alias("num_tokens"),
-    ).filter(F.col("_n") == 5)
-    marks = m.select("step", "num_tokens", *[F.element_at("_m", i + 1).alias(n) for i, n in enumerate(["start", "fetch", "fwd", "bwd", "opt"])])
+    )
+    # a step with fewer events has no start mark (and, below four, lacks later ones)
+    full = F.col("_n") == 5
+    marks = m.select("step", "num_tokens", *[F.when(full, F.get("_m", F.lit(i))).otherwise(F.get("_m", F.lit(i - 1))).alias(n) for i, n in enumerate(["start", "fetch", "fwd", "bwd", "opt"])])
     p = step_profile(marks)
     r3 = lambda c, d=3: F.round(c, d).alias(c)
     return p.select("step", r3("fetch_ms"), r3("fwd_ms"), r3("bwd_ms"), r3("opt_ms"), r3("step_ms"), r3("tokens_per_s"), r3("fetch_frac", 6))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,18 @@ def pretty_subset(col: Column) -> Column:
 def generation_lengths(requests: DataFrame, subset: str = "subset", tokens: str = "output_tokens") -> DataFrame:
     """A3 + A4: per subset ``count, median, min, max, max_tokens``.
 
-    ``max_tokens = 2 ** ceil(log2(max(median, 1)))``; the median is exact
-    (``median`` = interpolated 50th percentile, like ``statistics.median``).
+    ``max_tokens = 2 ** ceil(log2(max(median, 1)))``.  The median is exact
+    (interpolated 50th percentile, like ``statistics.median``) from the counts
+    of the distinct values: rows are counted map-side, and a window holds the
+    distinct lengths of a subset, not its requests.
     """
-    agg = requests.groupBy(subset).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.median(F.col(tokens).cast("double")).alias("median"),
+    n = requests.filter(F.col(tokens).isNotNull()).groupBy(subset, tokens).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(subset).orderBy(tokens).rowsBetween(Window.unboundedPreceding, 0))
+    n = n.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(subset)))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(tokens))).cast("double")  # noqa: E731  value at 0-based place k
+    agg = n.groupBy(subset).agg(
+        F.sum("_n").alias("count"),
+        ((at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2).alias("median"),
         F.min(tokens).alias("min"),
         F.max(tokens).alias("max"),
     )
@@ -58,24 +66,24 @@ def generation_lengths(requests: DataFrame, subset: str = "subset", tokens: str
 def parse_exposition(lines: DataFrame, col: str = "value", source_cols: tuple[str, ...] = ()) -> DataFrame:
     """Exposition-format text lines → ``(engine, name, position, value)``.
 
-    Accepts ``name value`` and ``name{labels} value`` lines; keeps names with
-    a ``:spec_decode`` part; strips the ``_total`` *suffix* only (Q4);
+    Accepts ``name value`` and ``name{labels} value`` lines, with a timestamp or
+    not, and NaN or infinite values; keeps names with a ``:spec_decode`` part; strips the ``_total`` *suffix* only (Q4);
     ``position`` comes from a ``position="N"`` label of per-position
     counters, -1 for scalar counters.  Comments and other lines are dropped.
     """
+    # the text format: name, optional {label="value", ...} with \\-escapes in the
+    # quotes, blanks, a number (or NaN, +Inf, -Inf), an optional timestamp
+    quoted = '"(?:[^"\\\\]|\\\\.)*"'
+    label = f"[A-Za-z_][A-Za-z0-9_]*[ \\t]*=[ \\t]*{quoted}"
+    grammar = f"^([A-Za-z_:][A-Za-z0-9_:]*)[ \\t]*(?:\\{{((?:[ \\t]*{label}[ \\t]*,?)*)[ \\t]*\\}})?[ \\t]*(\\S+)(?:[ \\t]+-?[0-9]+)?$"
     line = F.trim(F.col(col))
-    simple = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)\s+([0-9.eE+-]+)$"
-    labelled = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)\{([^}]+)\}\s+([0-9.eE+-]+)$"
-    is_simple = line.rlike(simple)
-    is_lab = line.rlike(labelled)
-    raw_name = F.when(is_simple, F.regexp_extract(line, simple, 1)).when(is_lab, F.regexp_extract(line, labelled, 1))
-    labels = F.when(is_lab, F.regexp_extract(line, labelled, 2))
-    value = F.when(is_simple, F.regexp_extract(line, simple, 2)).when(is_lab, F.regexp_extract(line, labelled, 3))
+    part = lambda k: F.nullif(F.regexp_extract(line, grammar, k), F.lit(""))
+    number = F.regexp_replace(F.regexp_replace(part(3), "^\\+", ""), "^(-?)Inf$", "$1Infinity")
     parsed = lines.select(
         *source_cols,
-        raw_name.alias("_raw"),
-        labels.alias("_labels"),
-        value.try_cast("double").alias("value"),
+        part(1).alias("_raw"),
+        part(2).alias("_labels"),
+        number.try_cast("double").alias("value"),
     ).filter(F.col("_raw").contains(":spec_decode") & F.col("value").isNotNull())
     name = F.regexp_replace(F.regexp_extract("_raw", r":spec_decode_?(.*)$", 1), r"_total$", "")
     pos_txt = F.regexp_extract(F.coalesce("_labels", F.lit("")), r'position="(\d+)"', 1)
@@ -152,6 +160,29 @@ def smooth(points: DataFrame, keys: tuple[str, ...], window: int = 1) -> DataFra
     return points.select(*keys, "x", F.avg("y").over(w).alias("y"))
 
 
+def fit_curve(points: DataFrame, keys: tuple[str, ...], n_dense: int = 300) -> DataFrame:
+    """O16 before J11: each curve's least-squares cubic, on ``n_dense`` even
+    places from its smallest to its largest ``x``.
+
+    A smoothing spline that may leave the whole variance of ``y`` as residual is
+    that polynomial.  Curves with two or three points get the polynomial through
+    them, a single point stays.  A curve is the few points of one sweep.
+    """
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g["x"].to_numpy(float), g["y"].to_numpy(float)
+        distinct = len(np.unique(x))
+        if distinct < 2:
+            dense, value = x, y
+        else:
+            dense = np.linspace(x.min(), x.max(), n_dense)
+            value = np.polynomial.Polynomial.fit(x, y, min(3, distinct - 1))(dense)
+        return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "x": dense, "y": value})
+
+    schema = ", ".join([f"{k} {points.schema[k].dataType.simpleString()}" for k in keys] + ["x double", "y double"])
+    return points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*keys).applyInPandas(fit, schema)
+
+
 def interpolate_speedup(base: DataFrame, target: DataFrame, increasing: bool, n_grid: int = 200, eps: float = 1e-12) -> DataFrame:
     """J11 (+U4): per subset present in both runs, speed-up on an ``n_grid`` x
     grid over the overlap of their x ranges; subsets without overlap are skipped.

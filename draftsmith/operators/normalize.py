@@ -56,7 +56,7 @@ def normalize_turns(
     reasoning_content``.  Output: ``sample_id, turn, role, text`` plus the
     optional fields that exist in the input.
 
-    Role: ``from`` wins over ``role``.  Content: first non-empty of
+    Role: ``from`` wins over ``role`` where it is given, an empty one too.  Content: first non-empty of
     ``value``, ``content``, ``text``, else ``''``.  Unknown roles are dropped
     but still count as raw turns for dropout.
 
@@ -64,7 +64,7 @@ def normalize_turns(
     is ``>= N-1`` with ``N`` in ``[1, n_raw]`` drawn from ``md5(seed:id)``;
     when there is none, all turns are kept.
     """
-    raw_role = F.coalesce(_nonempty(_opt(turns, "from")), _opt(turns, "role"), F.lit(""))
+    raw_role = F.coalesce(_opt(turns, "from"), _opt(turns, "role"), F.lit(""))
     content = F.coalesce(
         _nonempty(_opt(turns, "value")),
         _nonempty(_opt(turns, "content")),
@@ -109,14 +109,9 @@ def normalize_turns(
 
 
 def drop_empty_conversations(turns: DataFrame) -> DataFrame:
-    """P12 on long form: conversations with no kept turn simply have no rows.
-
-    Conversations whose kept turns all have empty text are dropped as well.
-    A distinct id list (partial aggregation) and a left-semi join — AQE
-    splits a skewed conversation in the join; turn rows are never collected.
-    """
-    has_content = turns.filter(F.length("text") > 0).select("sample_id").distinct()
-    return turns.join(has_content, "sample_id", "left_semi")
+    """P12 on long form: conversations without a kept turn have no rows, so what
+    is left to drop are turns whose role did not map; turns with empty text stay."""
+    return turns.filter(F.col("role").isNotNull())
 
 
 def conversations_to_long(df: DataFrame, id_col: str, conv_col: str = "conversations") -> DataFrame:
@@ -138,7 +133,7 @@ def normalize_array(conv: Column) -> Column:
     mapped = F.transform(
         conv,
         lambda t: F.struct(
-            map_role(F.coalesce(_nonempty(t["from"]), t["role"], F.lit(""))).alias("role"),
+            map_role(F.coalesce(t["from"], t["role"], F.lit(""))).alias("role"),
             F.coalesce(_nonempty(t["value"]), _nonempty(t["content"]), F.lit("")).alias("content"),
         ),
     )

@@ -118,8 +118,11 @@ def failure_streaks(
     3. inside each bucket, streak = failures since the last success (window
        per (key, bucket)) plus the carry for rows before the first success.
 
-    Returns every attempt with ``streak`` and ``abort``.
+    Returns every attempt with ``streak`` and ``abort``; attempts without a key
+    or a time belong to no streak (zero, no abort).
     """
+    known = F.col(key).isNotNull() & F.col(order).isNotNull()
+    apart = attempts.filter(~known).select("*", F.lit(0).cast("bigint").alias("streak"), F.lit(False).alias("abort"))
     b = attempts.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint"))
     # the join below would add these not-null filters to one branch only; stating
     # them here keeps both uses of the partitioned pass identical (one exchange)
@@ -152,7 +155,8 @@ def failure_streaks(
     out = local.join(carry, [key, "_bucket"]).withColumn(
         "streak", (F.col("_st") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)).cast("bigint")
     )
-    return out.withColumn("abort", F.col("streak") >= threshold).drop("_bucket", "_island", "_st", "_last_isl", "_carry")
+    out = out.withColumn("abort", F.col("streak") >= threshold).drop("_bucket", "_island", "_st", "_last_isl", "_carry")
+    return out.unionByName(apart)
 
 
 def step_profile(marks: DataFrame, tokens: str = "num_tokens") -> DataFrame:

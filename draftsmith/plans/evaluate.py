@@ -12,6 +12,7 @@ from draftsmith.operators.evaluation import (
     accumulate,
     attach_acceptance,
     counter_delta,
+    fit_curve,
     generation_lengths,
     interpolate_speedup,
 )
@@ -26,12 +27,16 @@ def acceptance_between(spark: SparkSession, before: str | None, after: str) -> D
     return acceptance_from_counters(final)
 
 
-def acceptance_wide(acc: DataFrame, subset: str, max_positions: int = 16) -> DataFrame:
-    """Pivot the long acceptance result to one row (bounded: a few metrics)."""
+def acceptance_wide(acc: DataFrame, subset: str, positions: int | None = None) -> DataFrame:
+    """Pivot the long acceptance result to one row (bounded: a few metrics and
+    the draft positions).  ``positions`` columns, by default as many as occur."""
+    if positions is None:
+        last = acc.filter("metric = 'acceptance_at_pos'").agg(F.max("position")).first()[0]  # a scalar
+        positions = 0 if last is None else last + 1
     cols = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("num_drafts", "num_draft_tokens", "num_accepted_tokens", "acceptance_length")]
     cols += [
         F.max(F.when((F.col("metric") == "acceptance_at_pos") & (F.col("position") == i), F.col("value"))).alias(f"acceptance_at_pos_{i}")
-        for i in range(max_positions)
+        for i in range(positions)
     ]
     return acc.agg(*cols).withColumn("subset", F.lit(subset))
 
@@ -55,8 +60,9 @@ def generation_budgets(spark: SparkSession, gen_len_files: list[str], out_json:
 
 
 def speedup(spark: SparkSession, baseline: list[str], target: list[str], metric: str = "latency") -> DataFrame:
-    """Speed-up curves of ``LABEL=PATH`` target runs over baseline runs."""
+    """Speed-up curves of ``LABEL=PATH`` target runs over baseline runs, both
+    smoothed first (O16)."""
     increasing = CURVE_METRICS[metric][3]
     b = read_labelled(spark, baseline, metric).select("subset", "x", "y")
     t = read_labelled(spark, target, metric).select("subset", "x", "y")
-    return interpolate_speedup(b, t, increasing)
+    return interpolate_speedup(fit_curve(b, ("subset",)), fit_curve(t, ("subset",)), increasing)

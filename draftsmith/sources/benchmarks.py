@@ -89,7 +89,9 @@ def read_sweeps(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 def read_generation_lengths(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """``benchmarks[0].requests.successful[].output_tokens`` per subset."""
     raw = _read_bench(spark, paths)
-    first = F.element_at("benchmarks", 1)
+    first = F.get("benchmarks", F.lit(0))
+    if raw.filter(F.coalesce(F.size("benchmarks"), F.lit(0)) > 0).isEmpty():
+        raise ValueError("no file holds a benchmark")
     return raw.select(subset_from_path(F.col("_path")).alias("subset"), F.explode(first["requests"]["successful"]).alias("r")).select(
         "subset", F.col("r.output_tokens").alias("output_tokens")
     )
@@ -108,16 +110,16 @@ def read_curve_csv(spark: SparkSession, path: str, metric: str) -> DataFrame:
 
 
 def read_curve_json(spark: SparkSession, paths: list[str] | str, metric: str) -> DataFrame:
-    """Raw result JSON → ``(subset, x=mean rps, y)``; constant strategy only.
+    """Raw result JSON → ``(subset, x=median rps, y)``; constant strategy only.
 
     The subset is the stem of the first data file in the run's arguments.
-    (Q5: JSON curves use the mean rps as in the reference; CSV curves the median.)
+    (Q5: the median, as in CSV curves, so that both can be pooled.)
     """
     _, key, stat, _ = CURVE_METRICS[metric]
     raw = _read_bench(spark, paths)
     subset = F.regexp_replace(F.regexp_extract(F.element_at("args.data_args", 1)["data_files"], r"([^/]+)$", 1), r"\.[^.]*$", "")
     b = raw.select(subset.alias("subset"), F.explode("benchmarks").alias("b")).filter(F.col("b.config.strategy.type_") == "constant")
-    return b.select("subset", F.col("b.metrics.requests_per_second.successful.mean").alias("x"), F.col(f"b.metrics.{key}.successful.{stat}").alias("y")).dropna(subset=["x", "y"])
+    return b.select("subset", F.col("b.metrics.requests_per_second.successful.median").alias("x"), F.col(f"b.metrics.{key}.successful.{stat}").alias("y")).dropna(subset=["x", "y"])
 
 
 def read_curves(spark: SparkSession, path: str, metric: str) -> DataFrame:
@@ -150,8 +152,10 @@ def read_exposition(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def write_result_rows(rows: DataFrame, path: str, extra_cols: list[str] = ()) -> None:
-    """K6: append rows with the fixed result columns (+ acceptance columns); others ignored."""
-    cols = [c for c in [*BASE_CSV_COLUMNS, *extra_cols] if c in rows.columns]
+    """K6: append rows with the fixed result columns (+ acceptance columns): a
+    column that is absent is written empty, so later appends do not shift; others
+    are ignored."""
+    cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in dict.fromkeys([*BASE_CSV_COLUMNS, *extra_cols])]
     rows.select(*cols).write.mode("append").option("header", True).csv(path)
 
 

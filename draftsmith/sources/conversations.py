@@ -94,6 +94,15 @@ def _read_json_files(spark: SparkSession, path: str, schema: T.StructType, recur
     return out
 
 
+def with_row_ids(df: DataFrame) -> DataFrame:
+    """Every row gets an ``idx``: its own, else a negative number that no other
+    row of the source has (the same on every read of the same files and splits),
+    so that files without ids keep one conversation per row."""
+    if "idx" not in df.columns:
+        return df
+    return df.withColumn("idx", F.coalesce(F.col("idx"), -1 - F.monotonically_increasing_id()))
+
+
 def load_raw(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
     """One ``.json``/``.jsonl`` file, or a directory searched recursively.
 
@@ -101,13 +110,13 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA)
     (checked from the file listing, ``inputFiles()`` — metadata only).
     """
     if path.endswith(".jsonl"):
-        return spark.read.schema(schema).option("multiLine", False).json(path)
+        return with_row_ids(spark.read.schema(schema).option("multiLine", False).json(path))
     if path.endswith(".json"):
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return with_row_ids(spark.read.schema(schema).option("multiLine", True).json(path))
     df = _read_json_files(spark, path, schema, recursive=True)
     if not df.inputFiles():
         raise ValueError(f"{path}: the folder holds no JSON or JSON-lines files")
-    return df
+    return with_row_ids(df)
 
 
 # ------------------------------------------------------------------ normalisers
@@ -280,10 +289,8 @@ def _dataset_dir(root: str, ds: str, subset: str | None, split: str) -> str:
 
 
 def _read_dataset_dir(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-    except Exception:  # noqa: BLE001 - not Parquet: JSON files
-        return _read_json_files(spark, path, schema, recursive=True)
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    return with_row_ids(df if df.inputFiles() else _read_json_files(spark, path, schema, recursive=True))
 
 
 def read_conversations(
@@ -298,8 +305,8 @@ def read_conversations(
     Returns the array form with ``conversations`` (normalised by the
     preset's normaliser) and the source's other columns.
     """
-    if source.endswith((".json", ".jsonl")) or os.path.isdir(source):
-        return load_raw(spark, source, schema)
+    if not source.startswith("hf:") and (source.endswith((".json", ".jsonl")) or "/" in source or os.path.isdir(source)):
+        return load_raw(spark, source, schema)  # a file or folder, also one that only Spark reaches
     root = data_root or os.environ.get("DRAFTSMITH_DATA_ROOT", "")
     if source in PRESETS:
         spec = PRESETS[source]

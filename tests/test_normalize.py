@@ -80,9 +80,11 @@ def test_turn_dropout_matches_plain_python(spark):
 
 
 def test_drop_empty(spark):
-    df = _turns(spark, [(1, 0, None, "user", None, "", None, None), (2, 0, None, "user", None, "x", None, None)])
+    """Only a conversation without a kept turn goes; empty texts stay, and a
+    given but empty ``from`` does not fall back to ``role``."""
+    df = _turns(spark, [(1, 0, None, "user", None, "", None, None), (2, 0, None, "user", None, "x", None, None), (3, 0, None, "narrator", None, "x", None, None), (4, 0, "", "user", None, "x", None, None)])
     out = drop_empty_conversations(normalize_turns(df)).select("sample_id").distinct().collect()
-    assert [r.sample_id for r in out] == [2]
+    assert sorted(r.sample_id for r in out) == [1, 2]
 
 
 def test_input_output_normaliser(spark):
