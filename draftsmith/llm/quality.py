@@ -27,7 +27,7 @@ from itertools import islice
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,9 +115,14 @@ def measure(text: str | None) -> tuple:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in MEASURES]))
-def _measured(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in text], columns=list(MEASURES), dtype="int64")
+_ROWS = 256  # texts held as Python strings at a time
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in MEASURES]))
+def _measured(text: pa.Array) -> pa.Array:
+    rows = [measure(t) for k in range(0, len(text), _ROWS) for t in text.slice(k, _ROWS).to_pylist()]
+    columns = np.array(rows, dtype=np.int64).reshape(len(rows), len(MEASURES))
+    return pa.StructArray.from_arrays([pa.array(columns[:, i]) for i in range(len(MEASURES))], names=list(MEASURES))
 
 
 @dataclass(frozen=True)
@@ -248,11 +253,15 @@ def quality_scores(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
 
 
 def quality_filter(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged.  The texts are
-    measured twice rather than shuffled or stored between the passes."""
+    """The rows of ``docs`` that are kept, columns unchanged.  Rows and measures
+    are written once to the checkpoint folder and read for the verdicts, so no
+    text is measured twice or shuffled."""
+    from draftsmith.session import checkpoint_dir
+
+    checkpoint_dir(docs.sparkSession)
     rules = default_rules()
     names = docs.columns
     hidden = docs.select(*[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(names)])
-    m = measured(hidden, f"__d{names.index(text_col)}").withColumn("pattern", pattern_code(rules))
+    m = measured(hidden, f"__d{names.index(text_col)}").withColumn("pattern", pattern_code(rules)).checkpoint()
     kept = score(m, len(rules), threshold=threshold).where("kept")
     return kept.select(*[F.col(f"__d{i}").alias(c) for i, c in enumerate(names)])

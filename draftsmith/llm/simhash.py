@@ -36,6 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +74,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):
-    @F.pandas_udf(T.LongType())
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in text], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def fp(text: pa.Array) -> pa.Array:
+        got = [fingerprint(t, shingle) for k in range(0, len(text), 256) for t in text.slice(k, 256).to_pylist()]
+        return pa.array(np.array(got, dtype=np.uint64).view(np.int64))
 
     return fp
 
