@@ -13,7 +13,11 @@ from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, VOCAB, bool_digest, ids_digest, prepared, prepared_ids, sql_bool_digest, sql_ids_digest, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.operators.examples import (
+    align_targets,
+    anchor_context,
     batch_lengths,
+    causal_pair_counts,
+    chain_context,
     collate_rows,
     mtp_step_targets,
     offpolicy_targets,
@@ -238,12 +242,7 @@ FROM adoc a LEFT JOIN slots s ON s.batch_id = a.batch_id AND s.document_id = a.d
      AND s.slot < a.anchor AND s.slot >= a.anchor - {CTX_WINDOW}
 GROUP BY a.batch_id, a.anchor_no, a.anchor""", G)
 def anchor_prefix_context(spark, sf):
-    """J13 (re-aimed): same-document slots before the anchor within the window =
-    ``min(position_id[anchor], W)`` — read from the batch row, no pairs."""
-    b = _batch_rows(spark, sf)
-    a = b.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
-    ctx = F.least(F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")), F.lit(CTX_WINDOW))
-    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), "a.anchor", ctx.cast("bigint").alias("n_context"))
+    return anchor_context(_batch_rows(spark, sf), CTX_WINDOW)
 
 
 @register("chain_context_count", f"""WITH {sql_prepared_chain()},
@@ -256,12 +255,7 @@ SELECT d.batch_id, d.anchor_no, d.depth, CAST(count(s.slot) + d.depth AS BIGINT)
 FROM d LEFT JOIN slots s ON s.batch_id = d.batch_id AND s.document_id = d.document_id AND s.slot <= d.anchor
 GROUP BY d.batch_id, d.anchor_no, d.depth""", G)
 def chain_context_count(spark, sf):
-    """J14 (re-aimed): depth-0 tokens of the same document up to the anchor + depth."""
-    b = _batch_rows(spark, sf)
-    a = b.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
-    a = a.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTHS - 1))))
-    n = F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")) + 1 + F.col("depth")
-    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), F.col("depth").cast("int"), n.cast("bigint").alias("n_visible"))
+    return chain_context(_batch_rows(spark, sf), DEPTHS)
 
 
 @register("causal_pairs", f"""WITH {sql_prepared_chain()},
@@ -270,13 +264,7 @@ SELECT a.batch_id, CAST(count(*) AS BIGINT) AS n_pairs
 FROM slots a JOIN slots b ON a.batch_id = b.batch_id AND a.document_id = b.document_id AND b.slot <= a.slot
 WHERE a.document_id >= 0 GROUP BY a.batch_id""", G)
 def causal_pairs(spark, sf):
-    """J15 (count form): each real slot sees ``position_id + 1`` same-document slots."""
-    b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
-    pairs = F.aggregate(
-        F.arrays_zip("position_ids", "document_ids"), F.lit(0).cast("bigint"),
-        lambda acc, x: acc + F.when(x["document_ids"] >= 0, x["position_ids"] + 1).otherwise(0),
-    )
-    return b.select("batch_id", pairs.alias("n_pairs"))
+    return causal_pair_counts(collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS))
 
 
 @register("noise_columns", f"""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 2.0 *
@@ -306,9 +294,8 @@ SELECT batch_id, md5(string_agg(CAST(coalesce(aligned, -1) AS VARCHAR), ',' ORDE
        CAST(count(aligned) AS BIGINT) AS n_aligned
 FROM al GROUP BY batch_id""", G)
 def target_alignment(spark, sf):
-    """Verifier outputs rolled right by one slot (in row: ``concat([null], x[0:-1])``)."""
     b = collate_rows(_batched(spark, sf), "batch_id", "rk", MAX_SLOTS)
-    aligned = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("input_ids", 1, MAX_SLOTS - 1))
+    aligned = align_targets(F.col("input_ids"), MAX_SLOTS)
     return b.select(
         "batch_id",
         F.md5(F.array_join(F.transform(aligned, lambda x: F.coalesce(x, F.lit(-1)).cast("string")), ",")).alias("aligned_digest"),

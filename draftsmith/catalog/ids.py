@@ -3,7 +3,7 @@
 QUERY_IDS = {
     # prep
     "normalize_conversations": "P1 P2", "turn_dropout": "P3", "drop_empty_conversations": "P12",
-    "render_template": "P13", "tokenize_offsets": "P14", "loss_mask": "P17 P18 J12",
+    "render_template": "P13", "render_tools": "P2 P11 P13", "tokenize_offsets": "P14", "loss_mask": "P17 P18 J12",
     "prepare_rows": "P13 P14 P17 P18 P19 P22", "prepare_rows_regex": "P15 P16 P17 P18 X3",
     "min_valid_tokens": "P20", "truncate_tokens": "P14 P19", "trainable_runs": "P23",
     # vocab

@@ -24,7 +24,7 @@ from draftsmith.catalog.derived import (
 )
 from draftsmith.functions.hashing import sql_seeded_key
 from draftsmith.functions.text import CHATML, PIECE_PATTERN
-from draftsmith.operators.normalize import drop_empty_conversations, normalize_turns
+from draftsmith.operators.normalize import drop_empty_conversations, normalize_turns, with_extras
 from draftsmith.operators.tokenize import (
     mask_rows,
     render_text,
@@ -203,3 +203,31 @@ def trainable_runs_q(spark, sf):
 
 
 __all__ = ["Window", "MAX_LEN"]
+
+
+_SQL_EXTRAS = f"""{sql_norm()},
+ext AS (
+  SELECT sample_id, turn, role,
+    CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '<think>' || chr(10) || 'turn ' || turn || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || text ||
+    CASE WHEN role = 'assistant' AND turn % 3 = 1 THEN chr(10) || '<tool_call>' || chr(10) || '{{"name": "look", "arguments": {{"turn": ' || turn || '}}}}' || chr(10) || '</tool_call>' ELSE '' END AS text
+  FROM norm
+  UNION ALL
+  SELECT DISTINCT sample_id, -1, 'system', '# Tools' || chr(10) || chr(10) || '<tools>' || chr(10) || '[{{"name": "f' || sample_id || '"}}]' || chr(10) || '</tools>'
+  FROM norm WHERE sample_id % 2 = 0
+)"""
+
+
+@register("render_tools", f"""WITH {_SQL_EXTRAS},
+rendered AS (SELECT sample_id, string_agg({SQL_PREFIX_TEXT} || text || {SQL_SUFFIX_TEXT}, '' ORDER BY turn) AS text FROM ext GROUP BY sample_id)
+SELECT sample_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest FROM rendered""", G)
+def render_tools(spark, sf):
+    """Thoughts, tool calls and a tools preamble in the rendered text."""
+    raw = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    call = F.struct(F.lit("c").alias("id"), F.lit("function").alias("type"),
+                    F.struct(F.lit("look").alias("name"), F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")).alias("arguments")).alias("function"))
+    raw = raw.withColumn("thinking", F.when(F.col("turn") % 4 == 1, F.concat(F.lit("turn "), F.col("turn").cast("string"))))
+    raw = raw.withColumn("tool_calls", F.when(F.col("turn") % 3 == 1, F.array(call)))
+    ids = raw.select(F.col("conv_id").alias("sample_id")).distinct()
+    tools = ids.select("sample_id", F.when(F.col("sample_id") % 2 == 0, F.concat(F.lit('[{"name": "f'), F.col("sample_id").cast("string"), F.lit('"}]'))).otherwise("[broken").alias("tools"))
+    r = render_text(with_extras(normalize_turns(raw), tools), CHATML)
+    return r.select("sample_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))

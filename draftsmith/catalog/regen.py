@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
-from draftsmith.catalog.derived import SEED, prepared, prepared_ids, sql_prepared_chain
+from draftsmith.catalog.derived import MAX_LEN, SEED, VOCAB, prepared, prepared_ids, sql_prepared_chain, turns
 from draftsmith.functions.hashing import sql_md5_int
-from draftsmith.functions.text import TOKEN_PATTERN, sanitize_name
+from draftsmith.functions.text import CHATML, TOKEN_PATTERN, sanitize_name
 from draftsmith.operators.normalize import extract_prompt_turns
 from draftsmith.operators.ranking import id_rank, seeded_rank, shuffle_cap, split_cut, union_shuffle_cap
 from draftsmith.operators.regen import regenerate, run_summary
+from draftsmith.operators.tokenize import prepare_rows
 from draftsmith.operators.resume import (
     assign_chunks,
     attach_artefacts,
@@ -115,7 +116,9 @@ def rank_chunks(spark, sf):
 {_SQL_EXISTING}
 SELECT sample_id, seq_len FROM prepared WHERE sample_id NOT IN (SELECT sample_id FROM existing)""", G)
 def resume_anti_join(spark, sf):
-    return missing_ids(prepared(spark, sf).select("sample_id", F.col("seq_len").cast("bigint")), _existing(spark, sf))
+    # the ids are taken out before any turn is tokenised
+    todo = missing_ids(turns(spark, sf), table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("sample_id")))
+    return prepare_rows(todo, CHATML, MAX_LEN, VOCAB).select("sample_id", F.col("seq_len").cast("bigint"))
 
 
 @register("existing_semi_count", f"""WITH {sql_prepared_chain()},

@@ -254,40 +254,39 @@ def prev_token_in_block(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("prev_token", F.coalesce(F.lag("target").over(w), F.col("target")))
 
 
-def anchor_context(anchors: DataFrame, slots: DataFrame, window: int | None = None) -> DataFrame:
-    """J13 (re-aimed): context size of each anchor = same-document slots before it,
-    limited to ``window``.  Arithmetic on the anchor's position in its
-    document — no theta join, no pairs.
-    """
-    pos = slots.select("batch_id", F.col("slot").alias("anchor"), "position_id", "document_id")
-    j = anchors.filter("anchor_valid").join(pos, ["batch_id", "anchor"])
-    ctx = F.col("position_id") if window is None else F.least(F.col("position_id"), F.lit(window))
-    return j.select("batch_id", "anchor_no", "anchor", ctx.cast("bigint").alias("n_context"))
+def anchor_context(batches: DataFrame, window: int) -> DataFrame:
+    """J13 (re-aimed): context size of each valid anchor of batch rows
+    ``(batch_id, position_ids, anchors)`` = same-document slots before it,
+    limited to ``window``: arithmetic on the anchor's position in its document —
+    no theta join, no pairs."""
+    a = batches.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
+    ctx = F.least(F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")), F.lit(window))
+    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), "a.anchor", ctx.cast("bigint").alias("n_context"))
 
 
-def chain_context(anchors: DataFrame, slots: DataFrame, depths: int) -> DataFrame:
+def chain_context(batches: DataFrame, depths: int) -> DataFrame:
     """J14 (re-aimed): visible context of the depth-``d`` token of an anchor chain =
     depth-0 tokens of the same document up to the anchor + ``d`` chain tokens."""
-    pos = slots.select("batch_id", F.col("slot").alias("anchor"), "position_id")
-    j = anchors.filter("anchor_valid").join(pos, ["batch_id", "anchor"])
-    j = j.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depths - 1))))
-    return j.select("batch_id", "anchor_no", "depth", (F.col("position_id") + 1 + F.col("depth")).cast("bigint").alias("n_visible"))
-
-
-def causal_pair_counts(slots: DataFrame) -> DataFrame:
-    """J15 (count form): visible same-document positions of each real slot = ``position_id + 1``;
-    summed per batch.  Padding excluded."""
-    return slots.filter(F.col("document_id") >= 0).groupBy("batch_id").agg(
-        F.sum(F.col("position_id") + 1).cast("bigint").alias("n_pairs")
+    a = batches.select("batch_id", "position_ids", F.explode("anchors").alias("a")).filter("a.anchor_valid")
+    a = a.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(depths - 1))))
+    n = F.element_at("position_ids", (F.col("a.anchor") + 1).cast("int")) + 1 + F.col("depth")
+    return a.select("batch_id", F.col("a.anchor_no").cast("int").alias("anchor_no"), F.col("depth").cast("int"), n.cast("bigint").alias("n_visible"))
+
+
+def causal_pair_counts(batches: DataFrame) -> DataFrame:
+    """J15 (count form): visible same-document positions of each real slot of batch
+    rows = ``position_id + 1``; summed per batch.  Padding excluded."""
+    pairs = F.aggregate(
+        F.arrays_zip("position_ids", "document_ids"), F.lit(0).cast("bigint"),
+        lambda acc, x: acc + F.when(x["document_ids"] >= 0, x["position_ids"] + 1).otherwise(0),
     )
+    return batches.select("batch_id", pairs.alias("n_pairs"))
 
 
-def align_targets(slots: DataFrame, col: str, out: str = "aligned") -> DataFrame:
-    """The verifier output is rolled right by one — slot ``i`` receives the
-    value of slot ``i-1`` of the same batch (equi self-join on the shifted
-    slot, no window); slot 0 has none (null, never a kept target)."""
-    prev = slots.select("batch_id", (F.col("slot") + 1).alias("slot"), F.col(col).alias(out))
-    return slots.join(prev, ["batch_id", "slot"], "left")
+def align_targets(outputs: Column, max_len: int) -> Column:
+    """Verifier outputs of a batch row rolled right by one — slot ``i`` gets the
+    value of slot ``i-1``; slot 0 has none (null, never a kept target)."""
+    return F.concat(F.array(F.lit(None).cast("bigint")), F.slice(outputs, 1, max_len - 1))
 
 
 def multi_depth_inputs(samples: DataFrame, rows: DataFrame, mask_id: int) -> DataFrame:

@@ -108,6 +108,39 @@ def normalize_turns(
     )
 
 
+# The marks around thoughts, tool calls and the tools preamble.
+THINK = ("<think>\n", "\n</think>\n\n")
+CALL = ("\n<tool_call>\n", "\n</tool_call>")
+TOOLS = ("# Tools\n\n<tools>\n", "\n</tools>")
+
+
+def with_extras(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """P13 for normalised turns with more than text: an assistant turn's thought
+    goes before its text and its tool calls after it; ``tools(sample_id, tools)``
+    (one JSON text per conversation that parses, P11) become a system turn
+    before the first one.  Rendering then needs ``text`` alone.
+    """
+    from draftsmith.sources.conversations import parse_tools
+
+    mine = F.col("role") == "assistant"
+    thought = _opt(turns, "thinking")
+    text = F.concat(F.when(mine & thought.isNotNull(), F.concat(F.lit(THINK[0]), thought, F.lit(THINK[1]))).otherwise(F.lit("")), F.col("text"))
+    if "tool_calls" in turns.columns:
+        def call(c: Column) -> Column:
+            args = F.coalesce(_nonempty(c["function"]["arguments"]), F.lit("{}"))
+            return F.concat(F.lit(CALL[0] + '{"name": "'), c["function"]["name"], F.lit('", "arguments": '), args, F.lit("}" + CALL[1]))
+
+        calls = F.array_join(F.transform("tool_calls", call), "")
+        text = F.concat(text, F.when(mine, F.coalesce(calls, F.lit(""))).otherwise(F.lit("")))
+    out = turns.withColumn("text", text)
+    if tools is None:
+        return out
+    ok = tools.filter(parse_tools(F.col("tools")).isNotNull())
+    first = ok.select("sample_id", F.lit(-1).cast(turns.schema["turn"].dataType).alias("turn"), F.lit("system").alias("role"),
+                      F.concat(F.lit(TOOLS[0]), F.trim("tools"), F.lit(TOOLS[1])).alias("text"))
+    return out.unionByName(first, allowMissingColumns=True)
+
+
 def drop_empty_conversations(turns: DataFrame) -> DataFrame:
     """P12 on long form: conversations without a kept turn have no rows, so what
     is left to drop are turns whose role did not map; turns with empty text stay."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from draftsmith.session import MAX_BROADCAST_ROWS, broadcast_bounded
+from draftsmith.session import broadcast_bounded
 
 
 def token_frequency(rows: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def vocab_maps(selected: DataFrame, target_vocab_size: int, spark: SparkSession)
     t2d = (
         spark.range(target_vocab_size)
         .select(F.col("id").alias("target_id"))
-        .join(broadcast_bounded(selected.select(F.col("token_id").alias("target_id"), F.lit(True).alias("in_draft")), target_vocab_size, "draft selection"), "target_id", "left")
+        .join(selected.select(F.col("token_id").alias("target_id"), F.lit(True).alias("in_draft")), "target_id", "left")
         .select("target_id", F.coalesce("in_draft", F.lit(False)).alias("in_draft"))
     )
     return d2t, t2d
@@ -100,12 +100,13 @@ def validate_vocab_maps(d2t: DataFrame, t2d: DataFrame, draft_vocab_size: int, t
 
 
 def draft_to_target(draft_ids: DataFrame, d2t: DataFrame, draft_col: str = "draft_id") -> DataFrame:
-    """``target = draft + offset`` by a broadcast join on the bounded map."""
-    m = broadcast_bounded(d2t.select(F.col("draft_id").alias(draft_col), "offset"), MAX_BROADCAST_ROWS, "d2t map")
+    """``target = draft + offset`` by an equi join on the map (the planner
+    broadcasts it when it is small)."""
+    m = d2t.select(F.col("draft_id").alias(draft_col), "offset")
     return draft_ids.join(m, draft_col, "left").withColumn("target_id", F.col(draft_col) + F.col("offset")).drop("offset")
 
 
 def prune_to_draft(df: DataFrame, t2d: DataFrame, token_col: str = "token_id") -> DataFrame:
-    """Keep rows whose token is in the draft vocabulary (broadcast semi join)."""
-    sel = broadcast_bounded(t2d.filter("in_draft").select(F.col("target_id").alias(token_col)), MAX_BROADCAST_ROWS, "draft vocabulary")
+    """Keep rows whose token is in the draft vocabulary (semi join)."""
+    sel = t2d.filter("in_draft").select(F.col("target_id").alias(token_col))
     return df.join(sel, token_col, "left_semi")

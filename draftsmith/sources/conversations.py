@@ -94,10 +94,28 @@ def _read_json_files(spark: SparkSession, path: str, schema: T.StructType, recur
     return out
 
 
+def list_content(df: DataFrame) -> DataFrame:
+    """Turns whose content is a list of parts (read as its JSON text) get the
+    list as ``parts`` and its texts, with ``<image>`` for other parts, as content."""
+
+    def split(t: Column) -> Column:
+        given = F.from_json(F.when(F.ltrim(t["content"]).startswith("["), t["content"]), T.ArrayType(PART))
+        parsed = F.when((F.size(given) > 0) & F.forall(given, lambda p: p["type"].isNotNull()), given)
+        text = F.array_join(F.transform(parsed, lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("<image>"))), "")
+        return t.withField("parts", F.coalesce(t["parts"], parsed)).withField("content", F.coalesce(text, t["content"]))
+
+    for c in ("conversations", "messages", "input"):
+        if c in df.columns and df.schema[c].dataType == T.ArrayType(TURN):
+            df = df.withColumn(c, F.transform(c, split))
+    return df
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """Every row gets an ``idx``: its own, else a negative number that no other
-    row of the source has (the same on every read of the same files and splits),
-    so that files without ids keep one conversation per row."""
+    """Raw rows as they leave a reader: list content split (P9), and an ``idx`` in
+    every row: its own, else a negative number that no other row of the source
+    has (the same on every read of the same files and splits), so that files
+    without ids keep one conversation per row."""
+    df = list_content(df)
     if "idx" not in df.columns:
         return df
     return df.withColumn("idx", F.coalesce(F.col("idx"), -1 - F.monotonically_increasing_id()))

@@ -133,3 +133,21 @@ def test_seen_ids_skip_broken_lines(spark, tmp_path):
     p = tmp_path / "out.jsonl"
     p.write_text('{"id": "a"}\nnot json\n{"metadata": {"idx": 7}}\n')
     assert sorted(r.key for r in seen_ids(spark, str(p)).collect()) == ["7", "a"]
+
+
+def test_list_content_and_rows_without_ids(spark, tmp_path):
+    from draftsmith.sources.conversations import is_multimodal, read_conversations, to_turns
+
+    rows = [
+        {"conversations": [{"role": "user", "content": [{"type": "text", "text": "what is "}, {"type": "image", "path": "a.jpg"}]}, {"role": "assistant", "content": "a cat"}]},
+        {"conversations": [{"role": "user", "content": "[note] plain"}, {"role": "assistant", "content": "[1, 2]"}]},
+        {"conversations": [{"role": "user", "content": "[note] plain"}, {"role": "assistant", "content": "[1, 2]"}]},
+    ]
+    p = tmp_path / "chats.jsonl"
+    p.write_text("\n".join(json.dumps(r) for r in rows))
+    raw = read_conversations(spark, str(p))
+    got = sorted((r.m, r.t) for r in raw.select(is_multimodal("conversations").alias("m"), raw.conversations[0]["content"].alias("t")).collect())
+    assert got == [(False, "[note] plain"), (False, "[note] plain"), (True, "what is <image>")]
+    turns = to_turns(raw, "idx")
+    assert turns.select("idx").distinct().count() == 3 and turns.filter("idx IS NULL").count() == 0
+    assert turns.filter("parts IS NOT NULL").select(F.size("parts")).first()[0] == 2

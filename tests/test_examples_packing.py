@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from draftsmith.operators.examples import anchor_blocks, batch_lengths, causal_pair_counts, mtp_step_targets, pack_slots, shift_rows  # noqa: F401
+from draftsmith.operators.examples import align_targets, anchor_blocks, anchor_context, batch_lengths, causal_pair_counts, chain_context, collate_rows, mtp_step_targets, pack_slots, shift_rows  # noqa: F401
 from draftsmith.operators.packing import assign_bins, pack_batches, pack_summary
 
 
@@ -37,8 +37,12 @@ def test_collate_fixture_5_7(spark):
 
 
 def test_document_context_fixture(spark):
-    s = pack_slots(_rows(spark, [1, 2, 3]), "batch", "ord", 6)
-    assert causal_pair_counts(s).first().n_pairs == 1 + 3 + 6
+    b = collate_rows(_rows(spark, [1, 2, 3]), "batch", "ord", 8)
+    assert causal_pair_counts(b).first().n_pairs == 1 + 3 + 6  # the padding sees nothing
+    b = b.withColumn("anchors", F.expr("array(named_struct('anchor_no', 0, 'anchor', 5L, 'anchor_valid', true), named_struct('anchor_no', 1, 'anchor', 0L, 'anchor_valid', false))"))
+    assert [tuple(r) for r in anchor_context(b, 1).collect()] == [(0, 0, 5, 1)]
+    assert [(r.depth, r.n_visible) for r in chain_context(b, 2).orderBy("depth").collect()] == [(0, 3), (1, 4)]
+    assert b.select(align_targets(F.col("input_ids"), 8).alias("x")).first().x == [None] + b.first().input_ids[:-1]
 
 
 def test_anchor_blocks_fixture(spark):
