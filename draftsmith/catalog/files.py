@@ -335,3 +335,15 @@ def regen_source_files(spark, sf):
     users.select(F.col("text").alias("prompt")).write.json(f"{base}/HuggingFaceH4/ultrachat_200k/train_sft")
     df, field = read_regen_source(spark, "ultrachat", base)
     return df.select(F.col(field).alias("prompt"), F.lit(field).alias("field"))
+
+
+@register("legacy_files", """SELECT DISTINCT 'data_' || label || '.pt' AS name FROM embeddings WHERE label IS NOT NULL""", G)
+def legacy_files(spark, sf):
+    """The files of a folder tree whose names end in ``pt``."""
+    base = scratch(spark, "legacy")
+    labels = table(spark, sf, "embeddings", "label").filter("label IS NOT NULL").distinct()
+    for r in labels.collect():  # the ten labels
+        one = labels.filter(F.col("label") == r["label"]).select(F.col("label").cast("string").alias("value"))
+        _named(spark, one, f"{base}/in/{r['label']}/data_{r['label']}.pt")
+        _named(spark, one, f"{base}/in/{r['label']}/notes.txt")
+    return artefacts.legacy_sample_files(spark, f"{base}/in").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))

@@ -15,7 +15,7 @@ from draftsmith.catalog.derived import MAX_LEN, SEED, VOCAB, prepared, prepared_
 from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.functions.text import CHATML, TOKEN_PATTERN, sanitize_name
 from draftsmith.operators.normalize import extract_prompt_turns
-from draftsmith.operators.ranking import id_rank, seeded_rank, shuffle_cap, split_cut, union_shuffle_cap
+from draftsmith.operators.ranking import id_rank, seeded_rank, seeded_split, shuffle_cap, split_cut, union_shuffle_cap
 from draftsmith.operators.regen import regenerate, run_summary
 from draftsmith.operators.tokenize import prepare_rows
 from draftsmith.operators.resume import (
@@ -79,10 +79,7 @@ n AS (SELECT count(*) AS n FROM prepared)
 SELECT sample_id, shuffle_rank, CASE WHEN shuffle_rank < CAST(floor(n * 0.9) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM r, n""", G)
 def shuffled_split(spark, sf):
     rows = prepared_ids(spark, sf)
-    n = rows.count()
-    cut = int(n * 0.9)
-    r = seeded_rank(rows, SEED, "sample_id", "shuffle_rank")
-    return r.withColumn("split", F.when(F.col("shuffle_rank") < cut, "train").otherwise("val"))
+    return seeded_split(rows, SEED, "sample_id", rows.count(), 0.9, "shuffle_rank")
 
 
 def _existing(spark, sf):
@@ -275,4 +272,32 @@ def sanitize_names(spark, sf):
     return table(spark, sf, "pages", "page_id", "url").select("page_id", sanitize_name(F.col("url")).alias("safe_name"))
 
 
+RESUME_LIMIT = 20
+
+
+@register("regen_resume", f"""WITH {_SQL_REGEN},
+per AS (SELECT sample_id, max(fail_turn) IS NULL AS ok, row_number() OVER (ORDER BY sample_id) AS rk FROM st GROUP BY sample_id),
+runs AS (
+  SELECT sample_id, ok, 1 AS run FROM per WHERE rk <= {RESUME_LIMIT}
+  UNION ALL SELECT sample_id, ok, 2 FROM per WHERE rk > {RESUME_LIMIT} OR NOT ok)
+SELECT CASE WHEN sample_id % 2 = 1 THEN 'u-' ELSE 'sample_' END || sample_id AS id, run, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
+FROM runs""", G)
+def regen_resume(spark, sf):
+    """Two runs of the Regen job into one output, the first
+    limited; the second asks again for what is missing or failed only."""
+    from draftsmith.plans.regenerate import regenerate_dataset
+    from draftsmith.sources.conversations import turn_struct
+    from draftsmith.streaming.jobs import scratch
+
+    raw = table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    key = F.concat(F.when(F.col("conv_id") % 2 == 1, "u-").otherwise("sample_"), F.col("conv_id").cast("string"))
+    conv = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: turn_struct(t["role"], t["text"]))
+    chats = raw.groupBy(F.col("conv_id").alias("idx")).agg(conv.alias("conversations"))
+    chats = chats.withColumn("uuid", F.when(F.col("idx") % 2 == 1, F.concat(F.lit("u-"), F.col("idx").cast("string")))).withColumn("prompt", F.lit(None).cast("string"))
+    said = raw.filter(F.col("role") == "assistant").select(key.alias("sample_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    out = scratch(spark, "regen-resume")
+    runs = [regenerate_dataset(spark, chats, lambda prompts: said, out, limit=n) for n in (RESUME_LIMIT, None)]
+    return runs[0].select("id", F.lit(1).alias("run"), "status").unionAll(runs[1].select("id", F.lit(2).alias("run"), "status"))
+
+
 __all__ = ["shuffle_cap", "sql_md5_int"]

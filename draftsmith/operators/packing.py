@@ -33,8 +33,8 @@ def clip_or_drop(lengths: DataFrame, max_len: int, truncate_long: bool = True, l
 
 
 def assign_bins(lengths: DataFrame, max_len: int, seed: int = 0, shards: int = SHARDS, levels: int = LEVELS) -> DataFrame:
-    """``lengths(sample_id, length)`` with ``shard, level, cut, item``: samples of
-    equal ``(shard, level, cut)`` share a bin, in ``item`` order."""
+    """``lengths(sample_id, length)`` with ``shard, level, cut, item`` from the
+    running token sums: samples of equal ``(shard, level, cut)`` share a bin, in ``item`` order."""
     key = seeded_key(seed, "sample_id")
     x = lengths.withColumn("_key", key).withColumn("shard", F.pmod("_key", F.lit(shards)).cast("int"))
     order = Window.partitionBy("shard").orderBy("_key", "sample_id")

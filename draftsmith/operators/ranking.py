@@ -108,12 +108,13 @@ def split_cut(n_rows: int, ratio: float) -> tuple[int, int]:
     raise ValueError(f"ratio {ratio} outside the accepted values: 0 < |ratio| < 1, or exactly 1")
 
 
-def seeded_split(df: DataFrame, seed: int, id_col: str, n_rows: int, ratio: float = 0.9) -> DataFrame:
+def seeded_split(df: DataFrame, seed: int, id_col: str, n_rows: int, ratio: float = 0.9, rank_col: str | None = None) -> DataFrame:
     """Shuffled split — the first ``int(n*ratio)`` rows of the seeded order
-    are ``train``, the rest ``val`` (the same cut value for both sides)."""
-    ranked = seeded_rank(df, seed, id_col, "_srank")
+    are ``train``, the rest ``val`` (the same cut value for both sides); the rank
+    is kept as ``rank_col`` when named."""
+    ranked = seeded_rank(df, seed, id_col, rank_col or "_srank")
     cut = int(n_rows * ratio)
-    return ranked.withColumn("split", F.when(F.col("_srank") < cut, "train").otherwise("val")).drop("_srank")
+    return ranked.withColumn("split", F.when(F.col(rank_col or "_srank") < cut, "train").otherwise("val")).drop("_srank")
 
 
 def contiguous_split(ranked: DataFrame, n_rows: int, ratio: float, rank_col: str = "rank") -> DataFrame:

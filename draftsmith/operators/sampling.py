@@ -87,7 +87,7 @@ def cod_sample(
 
 def cod_in_row(sample_id: Column, mask: Column, num_depths: int = 8, ratio: float = 0.7, ratio_min: float = 0.2, seed: int = 0,
                filter_position_zero: bool = True, drop_negative_anchors: bool = True, max_anchors: int | None = None) -> Column:
-    """O14 for one sequence as array expressions: ``array<struct<depth, anchor>>``.
+    """O14 (U6 as a filter on trainable slots) for one sequence as array expressions: ``array<struct<depth, anchor>>``.
 
     Depth 0 is every position; depth ``d`` keeps ``int(max(0, S-d) * max(r**d,
     r_min))`` of the previous candidates in hash order of ``(seed, sample,

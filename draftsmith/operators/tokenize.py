@@ -373,7 +373,7 @@ def prepare_rows_by_pattern(
     max_length: int = 8192,
     vocab_size: int = DEFAULT_VOCAB_SIZE,
 ) -> DataFrame:
-    """P15 custom-pattern path: render → tokens with offsets → regex spans →
+    """P15 (X3) custom-pattern path: render → tokens with offsets → regex spans →
     overlap mask → ids, all in row after the render (one shuffle: the
     conversation id); truncated to ``max_length`` (Q2: always)."""
     from draftsmith.functions.text import token_id

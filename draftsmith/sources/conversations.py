@@ -318,7 +318,7 @@ def read_conversations(
     schema: T.StructType = RAW_SCHEMA,
     image_root: str | None = None,
 ) -> DataFrame:
-    """File → directory → preset → ``hf:`` spec → error.
+    """S5 (S3, X1: presets by name): file → directory → preset → ``hf:`` spec → error.
 
     Returns the array form with ``conversations`` (normalised by the
     preset's normaliser) and the source's other columns.
