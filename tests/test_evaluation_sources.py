@@ -151,3 +151,48 @@ def test_list_content_and_rows_without_ids(spark, tmp_path):
     turns = to_turns(raw, "idx")
     assert turns.select("idx").distinct().count() == 3 and turns.filter("idx IS NULL").count() == 0
     assert turns.filter("parts IS NOT NULL").select(F.size("parts")).first()[0] == 2
+
+
+def test_exposition_grammar(spark):
+    lines = [
+        "# TYPE eng:spec_decode_num_drafts counter",
+        'eng:spec_decode_num_drafts_total{engine="0"} 12 1700000000000',
+        'eng:spec_decode_num_draft_tokens_total{engine="0", note="a \\"quoted\\" }, b"} +Inf',
+        "eng:spec_decode_num_accepted_tokens_total NaN",
+        'eng:spec_decode_num_accepted_tokens_per_pos_total{engine="0",position="17"} 3e2',
+        "eng:spec_decode_broken{ 4",
+        "eng:other_total 5",
+    ]
+    got = {(r.name, r.position): r.value for r in parse_exposition(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got[("num_drafts", -1)] == 12.0 and got[("num_draft_tokens", -1)] == float("inf") and got[("num_accepted_tokens_per_pos", 17)] == 300.0
+    assert got[("num_accepted_tokens", -1)] != got[("num_accepted_tokens", -1)] and len(got) == 4
+
+
+def test_all_positions_get_a_column(spark):
+    from draftsmith.plans.evaluate import acceptance_wide
+
+    acc = spark.createDataFrame([("acceptance_at_pos", i, i / 20) for i in range(20)] + [("num_drafts", -1, 5.0)], "metric string, position int, value double")
+    row = acceptance_wide(acc, "s").first()
+    assert row.acceptance_at_pos_19 == 0.95 and row.num_drafts == 5.0 and row.subset == "s"
+
+
+def test_curve_fit_is_the_least_squares_cubic(spark):
+    from draftsmith.operators.evaluation import fit_curve
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.uniform(0, 10, 9))
+    y = 0.3 * x**3 - x + rng.normal(size=9)
+    pts = spark.createDataFrame([("a", float(p), float(q)) for p, q in zip(x, y)] + [("b", 1.0, 2.0), ("c", 0.0, 1.0), ("c", 2.0, 5.0)], "subset string, x double, y double")
+    got = {}
+    for r in fit_curve(pts, ("subset",)).collect():
+        got.setdefault(r.subset, []).append((r.x, r.y))
+    dense = np.linspace(x.min(), x.max(), 300)
+    assert np.allclose([q for _, q in sorted(got["a"])], np.polyval(np.polyfit(x, y, 3), dense), rtol=1e-6, atol=1e-6)
+    assert got["b"] == [(1.0, 2.0)]
+    assert np.allclose([q for _, q in sorted(got["c"])], np.linspace(1.0, 5.0, 300))
+
+
+def test_median_from_counts(spark):
+    vals = [("a", v) for v in (5, 1, 9, 9)] + [("b", 7)] + [("c", v) for v in (3, 1, 2)]
+    got = {r.subset: (r["count"], r.median, r.min, r.max, r.max_tokens) for r in generation_lengths(spark.createDataFrame(vals, "subset string, output_tokens long")).collect()}
+    assert got == {"a": (4, 7.0, 1, 9, 8), "b": (1, 7.0, 7, 7, 8), "c": (3, 2.0, 1, 3, 2)}

@@ -92,3 +92,11 @@ def test_dedup_does_not_depend_on_files(spark, tmp_path):
         src = file_stream(spark, str(tmp_path / f"in{n}"), recs.schema, max_files=1)
         run_available(dedup_stream(src, ["user", "day"], str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}")))
         assert spark.read.parquet(str(tmp_path / f"out{n}")).count() == 1
+
+
+def test_failure_streaks_keep_rows_without_key_or_time(spark):
+    from draftsmith.operators.training_logs import failure_streaks
+
+    att = spark.createDataFrame([(1, 0, False), (1, 1, False), (None, 2, False), (1, None, False)], "endpoint long, t long, ok boolean")
+    got = sorted((str(r.endpoint), str(r.t), r.streak, r.abort) for r in failure_streaks(att, 2).collect())
+    assert got == [("1", "0", 1, False), ("1", "1", 2, True), ("1", "None", 0, False), ("None", "2", 0, False)]
