@@ -2,14 +2,16 @@
 
 Plan shape for ``prepare_rows``::
 
+    scan(turns) → project(token count)                                 [narrow]
+      → token sums per (sample_id, bucket) → bucket starts              [small table]
     scan(turns) → project(prefix ids ++ text ids ++ suffix ids, mask)   [narrow]
-      → Exchange hashpartitioning(sample_id)                           [1 shuffle]
-      → Window(running token count) → filter(start < max_length)
-      → SortAggregate/ObjectHashAggregate(collect_list of turn structs) [same partitioning]
+      → Exchange hashpartitioning(sample_id, bucket) ⋈ bucket starts
+      → Window(running token count in the bucket) → filter(start < max_length)
+      → Exchange hashpartitioning(sample_id) → collect_list of turn structs
       → project(flatten + slice)
 
-The running count bounds what each conversation collects to at most
-``max_length`` tokens plus one turn, whatever the size of the conversation.
+The starts bound what each conversation collects to at most ``max_length``
+tokens plus one turn, whatever the size of the conversation.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from draftsmith.functions.text import CHATML, DEFAULT_VOCAB_SIZE, PIECE_PATTERN, ChatTemplate, token_ids
+from draftsmith.functions.text import CHATML, DEFAULT_VOCAB_SIZE, PIECE_PATTERN, TOKEN_PATTERN, ChatTemplate, token_ids
 
 
 def _marker_ids(tokenizer, texts: dict[str, str]) -> dict[str, list[int]]:
@@ -64,6 +66,10 @@ def tokenize_turns(
         body, err = F.coalesce(enc["ids"], F.array().cast("array<bigint>")), enc["error"]
     # the error column only exists with a model tokenizer (the JVM path cannot fail per row)
     extra = [err.alias("_err")] if tokenizer is not None else []
+    # the JVM tokenizer counts without making ids, so a plan that needs lengths alone stays cheap
+    counted = F.size(pre) + F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN_PATTERN), F.lit(0))) + F.size(suf)
+    if tokenizer is None:
+        extra.append(counted.alias("n_ids"))
     return (
         turns.select("sample_id", "turn", "role", pre.alias("_pre"), body.alias("_body"), suf.alias("_suf"), *extra)
         .select(
@@ -76,7 +82,7 @@ def tokenize_turns(
                 F.array_repeat(is_asst, F.size("_body")),
                 F.array_repeat(F.lit(False), F.size("_suf")),
             ).alias("mask"),
-            *(["_err"] if tokenizer is not None else []),
+            "_err" if tokenizer is not None else "n_ids",
         )
     )
 
@@ -120,8 +126,9 @@ def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192, bucket_turns:
     Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
     truncated, has_assistant`` (P19 quality columns included).
     """
-    b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint")).withColumn("_n", F.size("ids"))
-    b = b.repartition("sample_id", "_bucket")  # both uses below share this exchange
+    b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint"))
+    b = b.withColumn("_n", F.col("n_ids") if "n_ids" in turn_tokens.columns else F.size("ids"))
+    b = b.repartition("sample_id", "_bucket")
     # a turn that failed to encode fails the conversation, wherever it is
     err = F.col("_err").isNotNull() if "_err" in turn_tokens.columns else F.lit(False)
     sums = b.groupBy("sample_id", "_bucket").agg(
