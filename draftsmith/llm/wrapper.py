@@ -66,6 +66,7 @@ NAMED = re.compile(
     r"newsletter|subscribe|signup|login|search|comment|comments|respond|disqus|reply|replies|complementary|contentinfo|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+_STATE = re.compile(r"\b(?:has|with|without|no|is|js)[-_][\w-]+", re.I)  # says something of the page, not what the element is
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*+\Z""", re.S)
 _NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -77,7 +78,7 @@ NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|commen
 class Node:
     """``items`` are texts and nodes in page order."""
 
-    __slots__ = ("items", "label", "link", "named", "parent", "tag", "text")
+    __slots__ = ("items", "label", "named", "parent", "tag")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
@@ -88,7 +89,7 @@ class Node:
     def dropped(self) -> bool:
         if self.tag in DROPPED:
             return True
-        if self.named and self.tag not in ("body", "html") and (NAMED_ARTICLE if self.tag in ARTICLE else NAMED).search(self.named):
+        if self.named and self.tag not in ("body", "html") and (NAMED_ARTICLE if self.tag in ARTICLE else NAMED).search(_STATE.sub("", self.named)):
             return True
         return self.tag == "header" and not self.inside_article()
 

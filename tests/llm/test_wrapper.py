@@ -39,6 +39,11 @@ def test_comments_forms_and_notices_go():
     assert main_text(f"<body>{extra}{inside}{extra}</body>", None) == "T Text boldtext next"
 
 
+def test_names_that_only_tell_a_state():
+    body = "<div class='content has-sidebar no-ads'><p>Kept text.</p><div class='sidebar left'>Gone</div><article class='comment'>Gone too</article></div>"
+    assert main_text(f"<body>{body}</body>", None) == "Kept text."
+
+
 def test_broken_markup():
     assert main_text("<article><p><b>one<br><p>two &am &ampx &lt;b&gt;<div>three <a href='x", None) == "one two &am &x <b> three"
     assert main_text("plain text only", None) == "plain text only"
