@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import (
-    MAX_LEN,
     SEED,
     SQL_PREFIX_TEXT,
     SQL_ROLE,
@@ -202,7 +200,6 @@ def trainable_runs_q(spark, sf):
     return r.select("sample_id", F.col("run_no").cast("bigint").alias("run_no"), F.col("trainable").cast("int").alias("trainable"), "run_start", "run_len")
 
 
-__all__ = ["Window", "MAX_LEN"]
 
 
 _SQL_EXTRAS = f"""{sql_norm()},

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import MAX_LEN, SEED, VOCAB, prepared, prepared_ids, sql_prepared_chain, turns
-from draftsmith.functions.hashing import sql_md5_int
 from draftsmith.functions.text import CHATML, TOKEN_PATTERN, sanitize_name
 from draftsmith.operators.normalize import extract_prompt_turns
-from draftsmith.operators.ranking import id_rank, seeded_rank, seeded_split, shuffle_cap, split_cut, union_shuffle_cap
+from draftsmith.operators.ranking import id_rank, seeded_rank, seeded_split, split_cut, union_shuffle_cap
 from draftsmith.operators.regen import regenerate, run_summary
 from draftsmith.operators.tokenize import prepare_rows
 from draftsmith.operators.resume import (
@@ -299,5 +298,3 @@ def regen_resume(spark, sf):
     runs = [regenerate_dataset(spark, chats, lambda prompts: said, out, limit=n) for n in (RESUME_LIMIT, None)]
     return runs[0].select("id", F.lit(1).alias("run"), "status").unionAll(runs[1].select("id", F.lit(2).alias("run"), "status"))
 
-
-__all__ = ["shuffle_cap", "sql_md5_int"]
