@@ -89,23 +89,19 @@ def normalize_turns(
     if not turn_dropout:
         return out.filter(F.col("role").isNotNull())
 
-    # Aggregates + joins on the conversation id (no window over a whole
-    # conversation): partial aggregation and AQE's skew-join splitting keep a
-    # conversation with a huge number of turns off a single task.  The raw
-    # index of a turn is its ``turn`` number (0-based, as in the long form).
-    n_raw = out.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n_raw")).withColumn(
-        "_keep_n", F.pmod(seeded_key(seed, "sample_id"), F.col("_n_raw")) + 1
+    # One aggregate over (id, turn, role) and one join on the id (no window over a
+    # whole conversation, texts are not aggregated): AQE's skew-join splitting keeps
+    # a conversation with a huge number of turns off a single task.  The raw index
+    # of a turn is its ``turn`` number (0-based, as in the long form).
+    per = out.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("_n_raw"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("_asst")
     )
-    j = out.join(n_raw, "sample_id")
-    cut = (
-        j.filter((F.col("role") == "assistant") & (F.col("turn") >= F.col("_keep_n") - 1))
-        .groupBy("sample_id").agg(F.min("turn").alias("_cut"))
-    )
-    return (
-        j.join(cut, "sample_id", "left")
-        .filter(F.col("role").isNotNull() & (F.col("_cut").isNull() | (F.col("turn") <= F.col("_cut"))))
-        .drop("_n_raw", "_keep_n", "_cut")
+    keep_n = F.pmod(seeded_key(seed, "sample_id"), F.col("_n_raw")) + 1
+    per = per.withColumn("_keep_n", keep_n).select(
+        F.col("sample_id").alias("_sid"), F.array_min(F.filter("_asst", lambda t: t >= F.col("_keep_n") - 1)).alias("_cut")
     )
+    j = out.join(per, F.col("sample_id").eqNullSafe(F.col("_sid")))
+    return j.filter(F.col("role").isNotNull() & (F.col("_cut").isNull() | (F.col("turn") <= F.col("_cut")))).drop("_sid", "_cut")
 
 
 # The marks around thoughts, tool calls and the tools preamble.
