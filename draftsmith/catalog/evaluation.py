@@ -28,7 +28,7 @@ from draftsmith.operators.evaluation import (
     acceptance_from_counters,
     attach_acceptance,
     common_subsets,
-    counter_delta,
+    delta_since,
     generation_lengths,
     interpolate_speedup,
     parse_exposition,
@@ -150,9 +150,7 @@ delta AS (SELECT coalesce(f.name, b.name) AS name, coalesce(f.position, b.positi
 {_sql_acceptance('delta')}
 SELECT metric, CAST(position AS INTEGER) AS position, round(value, 6) AS value FROM res""", G)
 def acceptance_metrics(spark, sf):
-    s = _scrapes(spark, sf)
-    d = counter_delta(accumulate(_at_or_before(s)), accumulate(_at_or_before(s, BASE_DAY)))
-    r = acceptance_from_counters(d)
+    r = acceptance_from_counters(delta_since(_scrapes(spark, sf), BASE_DAY))
     return r.select("metric", F.col("position").cast("int"), F.round("value", 6).alias("value"))
 
 

@@ -113,6 +113,17 @@ def counter_delta(final: DataFrame, baseline: DataFrame, keys: tuple[str, ...] =
     )
 
 
+def delta_since(scrapes: DataFrame, base: int) -> DataFrame:
+    """J8 for one table of scrapes: per (name, position) the last value minus the
+    last one at or before scrape ``base``, summed over engines — both sides in one
+    grouped pass, no join."""
+    per = scrapes.groupBy("engine", "name", "position").agg(
+        F.max_by("value", "scrape").alias("_f"),
+        F.max_by(F.when(F.col("scrape") <= base, F.col("value")), F.when(F.col("scrape") <= base, F.col("scrape"))).alias("_b"),
+    )
+    return per.groupBy("name", "position").agg(F.sum(F.col("_f") - F.coalesce("_b", F.lit(0.0))).alias("value"))
+
+
 def acceptance_from_counters(acc: DataFrame, keys: tuple[str, ...] = (), no_drafts_length: float = 0.0) -> DataFrame:
     """A6 (+A26 via ``no_drafts_length=1``): long result ``(metric, position, value)``.
 
