@@ -44,9 +44,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 _WORDS = regex.compile(PATTERN)
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")  # no word spans such a place
 _CHUNK = 1 << 21
-_MEMO = 400_000
+_MEMO = 600_000
 _MEMO_LEN = 48
-_PAIRS = 200_000
+_PAIRS = 350_000
 _ROWS = 256  # rows encoded at a time
 
 
