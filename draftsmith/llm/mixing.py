@@ -3,21 +3,27 @@
 A source with ``n`` rows and target share ``w`` of ``total`` rows has the mean
 repetition rate ``total * w / n``.  Each row inverts the Poisson distribution
 with that mean at a uniform number hashed from ``(seed, id)``: the number of
-copies is the count of cumulative probabilities not above it.  Copies are
-exploded and dealt out by a hash of ``(seed, id, copy)``, and sorted by it
-inside each partition, which is a random order of the whole result.
+copies is the count of cumulative probabilities not above it.  A rate over
+``PIECE_RATE`` is the sum of that many equal pieces as keep below it, each drawn
+by a uniform number of its own (a sum of independent Poisson numbers is one),
+so a source of few rows has no largest rate.  Copies are exploded and dealt out
+by a hash of ``(seed, id, copy)``, and sorted by it inside each partition, which
+is a random order of the whole result.
 
 On Spark: one aggregate for the row counts (map-side combine; a hot source is
 one row per task), a table of one distribution per source, and the one global
 shuffle that the method asks for.  The distributions are broadcast only up to
 ``BROADCAST_SOURCES`` of them (counted), beyond that they are joined by a
-shuffle, with the same rows.  The number of copies is a pure function of seed,
-id and rate, so lost tasks come back the same.
+shuffle, with the same rows.  Rows with more than one piece are dealt out by
+piece before their copies are made, so no task makes all copies of a row.  The
+number of copies is a pure function of seed, id and rate, so lost tasks come
+back the same.
 
 Defined results: rows with a null source form a source of their own; sources
 without a target weight get weight zero (their rows go) when weights are given;
 rows that share an id are repeated alike, a null id counts as an empty one; an
-empty table stays empty; rates over ``MAX_RATE`` raise an error.
+empty table stays empty; any source may have any rate, but a given ``total`` of
+more than ``MAX_GROWTH`` times the rows there are raises an error.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 from draftsmith.session import checkpoint_dir
 
 BROADCAST_SOURCES = 20_000
-MAX_RATE = 500.0
+PIECE_RATE = 700.0  # exp(-700) is still a normal double
+MAX_GROWTH = 500
 SEED = 17
 
 
@@ -37,6 +44,10 @@ def _hash52(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
 
 
+def _uniform(*parts: Column) -> Column:
+    return (_hash52(*parts) + 0.5) / F.lit(float(1 << 52))
+
+
 def _terms(rate: Column) -> Column:
     return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
 
@@ -54,9 +65,9 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, *, source_col: str, weights: dict | None = None, power: float = 0.5, total: int | None = None) -> DataFrame:
-    """``(source, rate, cdf)``: target weights as given, or in proportion to the
-    source's row count to the ``power``; ``total`` rows are aimed at (default:
-    as many as there are)."""
+    """``(source, rate, pieces, cdf)``: target weights as given, or in proportion
+    to the source's row count to the ``power``; ``total`` rows are aimed at
+    (default: as many as there are); ``cdf`` is that of one piece."""
     n = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(power))
@@ -65,11 +76,25 @@ def source_rates(docs: DataFrame, *, source_col: str, weights: dict | None = Non
         w = F.coalesce(*pairs, F.lit(0.0))
     n = n.withColumn("w", w).checkpoint()
     sums = n.agg(F.sum("w").alias("sw"), F.sum("n").alias("sn")).first()  # two numbers
-    sw, sn = float(sums["sw"] or 0), float(total if total is not None else sums["sn"] or 0)
+    rows = sums["sn"] or 0
+    if total is not None and rows and total > MAX_GROWTH * rows:
+        raise ValueError(f"repetition rate too high: {total} rows of {rows}")
+    sw, sn = float(sums["sw"] or 0), float(total if total is not None else rows)
     rate = F.lit(sn) * F.col("w") / F.lit(sw) / F.col("n") if sw else F.lit(0.0)
     r = n.withColumn("rate", rate)
-    checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate too high: "), F.col("rate").cast("string"))))
-    return r.select("source", checked.alias("rate")).select("source", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    r = r.withColumn("pieces", F.greatest(F.ceil(F.col("rate") / PIECE_RATE), F.lit(1)).cast("int"))
+    return r.select("source", "rate", "pieces", poisson_cdf(F.col("rate") / F.col("pieces")).alias("cdf"))
+
+
+def _pieced(x: DataFrame, did: Column, text_col: str, seed: int) -> DataFrame:
+    """A row per copy of the rows whose rate has several pieces."""
+    us = F.transform(F.sequence(F.lit(1), F.col("__ms_pieces")), lambda j: _uniform(F.concat(F.lit(f"{seed}/"), j.cast("string")), did))
+    x = x.withColumn("__ms_counts", F.transform(us, lambda u: F.size(F.filter("__ms_cdf", lambda c: c <= u))))
+    x = x.drop("__ms_cdf").withColumn("__ms_ends", F.transform("__ms_counts", lambda _, i: F.aggregate(F.slice("__ms_counts", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)))
+    x = x.withColumn("__ms_piece", F.explode(F.arrays_zip("__ms_counts", "__ms_ends"))).drop("__ms_counts", "__ms_ends")
+    x = x.select("*", F.col("__ms_piece.__ms_counts").alias("__ms_n"), F.col("__ms_piece.__ms_ends").alias("__ms_end")).where("__ms_n > 0")
+    x = x.repartition(did, "__ms_end", text_col)
+    return x.withColumn("__ms_copy", F.explode(F.sequence(F.col("__ms_end") - F.col("__ms_n") + 1, F.col("__ms_end"))))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict | None = None, power: float = 0.5, total: int | None = None, seed: int = SEED) -> DataFrame:
@@ -77,15 +102,21 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     ``copy`` (from 1) and ``shuffle_key``."""
     checkpoint_dir(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rates = source_rates(docs, source_col=source_col, weights=weights, power=power, total=total).select(F.col("source").alias("__ms_source"), F.col("cdf").alias("__ms_cdf")).checkpoint()
-    if rates.count() <= BROADCAST_SOURCES:
+    rates = source_rates(docs, source_col=source_col, weights=weights, power=power, total=total).select(F.col("source").alias("__ms_source"), F.col("pieces").alias("__ms_pieces"), F.col("cdf").alias("__ms_cdf")).checkpoint()
+    facts = rates.agg(F.count(F.lit(1)).alias("n"), F.max("__ms_pieces").alias("pieces")).first()
+    if facts["n"] <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     did = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    u = (_hash52(F.lit(str(seed)), did) + 0.5) / F.lit(float(1 << 52))
+    u = _uniform(F.lit(str(seed)), did)
+    kept = [F.col(f"`{c}`") for c in names]
     x = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__ms_source")), "left")
-    x = x.withColumn("__ms_u", u).withColumn("__ms_n", F.size(F.filter("__ms_cdf", lambda c: c <= F.col("__ms_u"))))
-    x = x.where("__ms_n > 0").withColumn("__ms_copy", F.explode(F.sequence(F.lit(1), F.col("__ms_n"))))
-    x = x.withColumn("__ms_key", _hash52(F.lit(str(seed)), did, F.col("__ms_copy").cast("string")))
+
+    few = x.where("__ms_pieces = 1").withColumn("__ms_u", u).withColumn("__ms_n", F.size(F.filter("__ms_cdf", lambda c: c <= F.col("__ms_u"))))
+    few = few.where("__ms_n > 0").withColumn("__ms_copy", F.explode(F.sequence(F.lit(1), F.col("__ms_n"))))
+    copies = few.select(*kept, "__ms_copy")
+    if (facts["pieces"] or 1) > 1:
+        copies = copies.unionByName(_pieced(x.where("__ms_pieces > 1"), did, text_col, seed).select(*kept, "__ms_copy"))
+    x = copies.withColumn("__ms_key", _hash52(F.lit(str(seed)), did, F.col("__ms_copy").cast("string")))
     # the text spreads rows that share an id
-    x = x.select(*[F.col(f"`{c}`") for c in names], F.col("__ms_copy").alias("copy"), F.col("__ms_key").alias("shuffle_key"))
+    x = x.select(*kept, F.col("__ms_copy").alias("copy"), F.col("__ms_key").alias("shuffle_key"))
     return x.repartition("shuffle_key", text_col).sortWithinPartitions("shuffle_key", id_col)

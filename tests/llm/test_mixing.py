@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from draftsmith.llm import entries
 from draftsmith.llm.mixing import mix_sources, source_rates
@@ -73,5 +74,34 @@ def test_edges(spark):
         mix_sources(docs, total=10**9).collect()
 
 
+def plain_pieced(doc_id, rate, seed=17):
+    if rate <= 700:
+        return plain_copies(doc_id, rate, seed)
+    pieces = math.ceil(rate / 700)
+    return sum(plain_copies(doc_id, rate / pieces, f"{seed}/{j}") for j in range(1, pieces + 1))
+
+
+def test_a_small_source_beside_many_rows(spark):
+    # default weights: the rate of a one-row source grows with the corpus
+    rows = spark.range(400_000).selectExpr("id AS doc_id", "'t' AS text", "'hot' AS source")
+    rows = rows.union(spark.range(400_000, 400_001).selectExpr("id", "'rare'", "'r1'")).union(spark.range(400_001, 400_002).selectExpr("id", "'none'", "CAST(null AS string)"))
+    rate = 400_002 / (math.sqrt(400_000) + 2)
+    got = {r.doc_id: r for r in mix_sources(rows).where("doc_id >= 400000").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()}
+    assert 500 < rate < 700
+    assert {d: r.n for d, r in got.items()} == {d: plain_copies(d, rate) for d in (400_000, 400_001)}
+    assert all(r.lo == 1 and r.hi == r.n for r in got.values())
+
+
+def test_rates_of_many_pieces(spark):
+    docs = docs_frame(spark, [(i, f"t{i}", "rare" if i < 40 else "big") for i in range(100_000)])
+    out = mix_sources(docs, weights={"rare": 1.0, "big": 1.0}).where("source = 'rare'")
+    got = {r.doc_id: r for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("hi")).collect()}
+    assert {d: r.n for d, r in got.items()} == {d: plain_pieced(d, 1250.0) for d in range(40)}
+    assert all(r.n == r.d == r.hi for r in got.values())
+    n = [r.n for r in got.values()]
+    mean = sum(n) / 40
+    assert abs(mean - 1250) < 4 * math.sqrt(1250 / 40) and 600 < sum((x - mean) ** 2 for x in n) / 39 < 2300  # as Poisson has it
+
+
 def test_registered(spark):
     assert {"op10_poisson_mixing"} <= set(entries.QUERIES) & set(entries.ORACLES)
