@@ -8,8 +8,9 @@ there), so Voronoi bounds apply:
 1. ``pivots`` vectors (a fixed number, smallest by hash) cut the space into
    cells; every vector goes to its nearest pivot.
 2. Per cell a summary is kept: the largest distance of a query to its pivot,
-   and the ``k + 1`` smallest distances of data vectors to theirs (one more, as
-   a query's own row does not count).  From these the triangle inequality gives
+   and the ``k + 1`` smallest distances of data vectors to theirs, of one row an
+   id, its nearest (one more, as no row of a query's own id counts; other rows
+   of an id can only bring neighbours nearer).  From these the triangle inequality gives
    every query cell an upper bound on the distance of its k-th neighbour.
 3. A data vector is sent to a query cell only if the triangle inequality does
    not put it beyond that bound.
@@ -17,10 +18,11 @@ there), so Voronoi bounds apply:
    data sent to it) in one task; the partial top-k lists are merged.
 
 On Spark: the summaries are aggregates of at most ``pivots * (k + 1)`` rows
-(the only thing the driver reads besides three numbers and the pivots); data
-sent to a group is salted into shares of ``rows_per_task`` rows, a cell with
-more than ``queries_per_group`` queries is split, so a vector that a third of
-all rows hold does not make a large task.
+(the only thing the driver reads besides three numbers and the pivots), after
+one aggregate by id that is combined before its shuffle; data sent to a group is
+salted by row number into shares of ``rows_per_task`` rows, a cell with more
+than ``queries_per_group`` queries is split, so neither a vector nor an id that
+a third of all rows hold makes a large task.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; rows with a null id
@@ -96,7 +98,8 @@ def _assigned(q: DataFrame, pivots: Pivots, is_query: bool) -> DataFrame:
 
 
 def bounds(apart: np.ndarray, reach: dict[int, float], least: list[tuple[int, float]], k: int) -> np.ndarray:
-    """Upper bound on the distance of the k-th neighbour of any query of a cell."""
+    """Upper bound on the distance of the k-th neighbour of any query of a cell;
+    ``least`` holds rows of distinct ids."""
     out = np.full(len(apart), np.inf)
     if len(least) < k + 1:
         return out
@@ -171,13 +174,14 @@ def knn_join(queries: DataFrame, data: DataFrame, *, k: int = 20, id_col: str =
     piv = Pivots([r["v"] for r in chosen], dim, top)
     apart = piv.apart()
 
-    x = _assigned(dq, piv, False).checkpoint()
+    x = _assigned(dq, piv, False).withColumn("nr", F.monotonically_increasing_id()).checkpoint()  # numbers stay as written
     q = _assigned(qq, piv, True).dropDuplicates(["id", "vec"]).checkpoint()
     reach, counts = {}, {}
     for r in q.groupBy("cell").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
         reach[r["cell"]], counts[r["cell"]] = r["far"], r["n"]
+    nearest = x.groupBy("id").agg(F.min_by("cell", "dist").alias("cell"), F.min("dist").alias("dist"))
     nth = F.row_number().over(Window.partitionBy("cell").orderBy("dist"))
-    least = [(r["cell"], r["dist"]) for r in x.select("cell", "dist", nth.alias("nth")).where(F.col("nth") <= k + 1).collect()]  # pivots * (k + 1) rows
+    least = [(r["cell"], r["dist"]) for r in nearest.select("cell", "dist", nth.alias("nth")).where(F.col("nth") <= k + 1).collect()]  # pivots * (k + 1) rows
     limit = bounds(apart, reach, least, k)
     group = groups_of(apart, counts, queries_per_group)
     slack = 1e-6 * (1.0 + np.sqrt(float(top)))
@@ -196,10 +200,10 @@ def knn_join(queries: DataFrame, data: DataFrame, *, k: int = 20, id_col: str =
     shares = -(-facts["n"] // rows_per_task)
     home = F.create_map(*[F.lit(int(z)) for c in cells for z in (c, group[c][0])])
     split = F.create_map(*[F.lit(int(z)) for c in cells for z in (c, group[c][1])])
-    spread = lambda n: F.pmod(F.xxhash64("id", "vec"), n)
-    q = q.withColumn("g", (home[F.col("cell")] + spread(split[F.col("cell")].cast("long"))).cast("int"))
+    spread = lambda n, *by: F.pmod(F.xxhash64(*by), n)
+    q = q.withColumn("g", (home[F.col("cell")] + spread(split[F.col("cell")].cast("long"), "id", "vec")).cast("int"))
     q = q.select("id", "vec", "g", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    x = x.select("id", "vec", F.explode(sent_to("cell", "dist")).alias("g"), spread(F.lit(shares).cast("long")).cast("int").alias("share"))
+    x = x.select("id", "vec", F.explode(sent_to("cell", "dist")).alias("g"), spread(F.lit(shares).cast("long"), "nr").cast("int").alias("share"))
 
     def solve(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(xs):

@@ -50,6 +50,18 @@ def test_edges(spark):
     assert knn_join(data.where("vec_id = 0"), data.where("vec_id = 2")).count() == 0
 
 
+@pytest.mark.parametrize("per_task", [16384, 4])
+def test_an_id_of_many_rows(spark, per_task):
+    # equal norms, each vector a pivot of its own: the nearest rows of the query are all its own
+    points = [(5, 0), (3, 4), (4, 3), (0, 5), (-3, 4), (-4, 3), (-5, 0), (3, -4), (4, -3), (0, -5), (-3, -4), (-4, -3)]
+    rows = list(enumerate(points)) + [(0, points[0])] * 30
+    rows += [(20 + i % 2, points[1 + i]) for i in range(8)] + [(0, points[6])]  # ids with rows in several cells
+    data = frame(spark, rows)
+    for k in (3, 10):
+        got = result(knn_join(data.where("vec_id = 0 AND embedding[0] = 5"), data, k=k, pivots=12, rows_per_task=per_task))
+        assert got == plain([rows[0]], rows, k)
+
+
 def test_large_components(spark):
     rows = [(i, [float(2**22 + i * 1000), float(-(2**21))]) for i in range(12)]
     data = frame(spark, rows)
