@@ -21,9 +21,8 @@ once through an Arrow map.  Nothing of a page is cut.
 
 Defined results: null html is an empty page with empty text; a page without a
 host, or of a host with one distinct page, is its own reference; repeated rows
-alike; markup may be broken anywhere (unclosed elements, cut tags, elements
-nested deeper than ``MAX_DEPTH`` are flattened into their ancestor); an empty
-table stays empty; other columns are not read.
+alike; markup may be broken anywhere (unclosed elements, cut tags) and nested to
+any depth; an empty table stays empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +31,8 @@ import hashlib
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -42,7 +42,6 @@ from draftsmith.session import checkpoint_dir
 
 REFERENCES = 8
 BROADCAST_BYTES = 16 << 20
-MAX_DEPTH = 150
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -109,7 +108,17 @@ class Node:
 def parse(page: str) -> Node:
     """Tree of a page; never fails."""
     root = Node("#page", "", None)
-    at, depth, pos, raw = root, 0, 0, None
+    at, pos, raw = root, 0, None
+    path, where, scopes = [root], {}, []  # open nodes, their depths by tag, depths of scopes
+
+    def close(depth: int) -> Node:
+        while len(path) > depth:
+            tag = path.pop().tag
+            where[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+        return path[-1]
+
     for m in _TOKEN.finditer(page):
         if m.start() < pos:
             continue  # inside a raw element
@@ -120,23 +129,15 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        scope = scopes[-1] if scopes else 0
         if m[1]:
-            up, n = at, depth
-            while up is not root and up.tag != tag:
-                if up.tag in SCOPE and tag not in SCOPE:
-                    up = root
-                    break
-                up, n = up.parent, n - 1
-            if up is not root:
-                at, depth = up.parent, n - 1
+            if where.get(tag) and (tag in SCOPE or where[tag][-1] > scope):
+                at = close(where[tag][-1])
             continue
         if tag not in INLINE:
-            closing = CLOSES.get(tag, ())
-            up, n = at, depth
-            while up is not root and up.tag not in SCOPE:
-                if up.tag == "p" or up.tag in closing:
-                    at, depth = up.parent, n - 1
-                up, n = up.parent, n - 1
+            ends = [d[k] for t in ("p", *CLOSES.get(tag, ())) if (d := where.get(t)) and (k := bisect_right(d, scope)) < len(d)]
+            if ends:
+                at = close(min(ends))
         names = " ".join((a or b or c) for _, a, b, c in _NAME.findall(m[3])) if "=" in m[3] else ""
         node = Node(tag, names, at)
         if tag == "br":
@@ -149,8 +150,11 @@ def parse(page: str) -> Node:
             node.items.append(page[pos : raw.start() if raw else len(page)])
             pos = raw.end() if raw else len(page)
             continue
-        if depth < MAX_DEPTH:
-            at, depth = node, depth + 1
+        where.setdefault(tag, []).append(len(path))
+        if tag in SCOPE:
+            scopes.append(len(path))
+        path.append(node)
+        at = node
     if pos < len(page):
         at.items.append(page[pos:])
     return root
@@ -160,19 +164,6 @@ def block_texts(node: Node, skip=lambda n: False) -> Iterator[str]:
     """Texts of the blocks below ``node`` in page order, boilerplate left out."""
     run: list[str] = []
 
-    def walk(n: Node) -> Iterator[str]:
-        for x in n.items:
-            if isinstance(x, str):
-                run.append(html_lib.unescape(x) if "&" in x else x)
-            elif x.dropped or skip(x):
-                continue
-            elif x.tag in INLINE:
-                yield from walk(x)
-            else:
-                yield from flush()
-                yield from walk(x)
-                yield from flush()
-
     def flush() -> Iterator[str]:
         if run:
             t = " ".join("".join(run).split())
@@ -180,7 +171,20 @@ def block_texts(node: Node, skip=lambda n: False) -> Iterator[str]:
             if t:
                 yield t
 
-    yield from walk(node)
+    stack: list[str | Node | None] = list(reversed(node.items))  # None: the end of a block
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            run.append(html_lib.unescape(x) if "&" in x else x)
+        elif x is None:
+            yield from flush()
+        elif x.dropped or skip(x):
+            continue
+        else:
+            if x.tag not in INLINE:
+                yield from flush()
+                stack.append(None)
+            stack.extend(reversed(x.items))
     yield from flush()
 
 
@@ -205,14 +209,32 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching over block elements: size and matched pairs."""
     if a.label != b.label:
         return 0, []
+    stack, found = [_aligned(a, b)], None
+    while True:
+        try:
+            pair = stack[-1].send(found)
+        except StopIteration as done:
+            stack.pop()
+            found = done.value
+            if not stack:
+                return found
+        else:
+            stack.append(_aligned(*pair))
+            found = None
+
+
+def _aligned(a: Node, b: Node) -> Generator[tuple[Node, Node], tuple | None, tuple]:
+    """``match`` of two nodes of one label; asks for those of their children."""
     xs, ys = a.blocks, b.blocks
+    leaf = [not y.blocks for y in ys]
     best = [[(0, None, None)] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     for i, x in enumerate(xs, 1):
         row, up = best[i], best[i - 1]
+        x_leaf = not x.blocks
         for j, y in enumerate(ys, 1):
             top = up[j] if up[j][0] >= row[j - 1][0] else row[j - 1]
             if x.label == y.label:
-                w, pairs = match(x, y)
+                w, pairs = (1, [(x, y)]) if x_leaf or leaf[j - 1] else (yield x, y)
                 if up[j - 1][0] + w > top[0]:
                     top = (up[j - 1][0] + w, up[j - 1], pairs)
             row[j] = top
@@ -238,11 +260,21 @@ class Template:
         return self.items
 
     def dump(self) -> list:
-        return [self.label, self.constant, self.content, [x.dump() for x in self.items]]
+        """Nodes in preorder, each with its number of children."""
+        out, stack = [], [self]
+        while stack:
+            t = stack.pop()
+            out.append([t.label, t.constant, t.content, len(t.items)])
+            stack.extend(reversed(t.items))
+        return out
 
     @staticmethod
     def load(x: list) -> Template:
-        return Template(x[0], x[1], x[2], [Template.load(y) for y in x[3]])
+        stack: list[Template] = []
+        for label, constant, content, n in reversed(x):
+            items = [stack.pop() for _ in range(n)]
+            stack.append(Template(label, constant, content, items))
+        return stack[0]
 
 
 def _content_root(root: Node, constant: set[int]) -> Node:
@@ -251,22 +283,22 @@ def _content_root(root: Node, constant: set[int]) -> Node:
     weight: dict[int, int] = {}  # slot text below each node
     leaves: list[tuple[Node, int]] = []
     articles: list[Node] = []
-    stack = [root]
+    stack, seen = [root], []
     while stack:
         n = stack.pop()
         if n.dropped:
             continue
+        seen.append(n)
         if n.tag in ARTICLE:
             articles.append(n)
         text, linked = own_text(n)
         if len(text) > 2 * linked and id(n) not in constant:
             leaves.append((n, len(text) - linked))
+            weight[id(n)] = len(text) - linked
         stack.extend(n.blocks)
-    for n, w in leaves:
-        at = n
-        while at is not None:
-            weight[id(at)] = weight.get(id(at), 0) + w
-            at = at.parent
+    for n in reversed(seen):  # children come after their parents
+        if n is not root and id(n) in weight:
+            weight[id(n.parent)] = weight.get(id(n.parent), 0) + weight[id(n)]
     full = [n for n in articles if weight.get(id(n))]
     if full:
         # nested: the innermost element that still has (nearly) all of the outer one's text
@@ -332,11 +364,18 @@ def induce(pages: list[str]) -> Template | None:
     while id(top) not in shared and top.parent is not None:
         top = top.parent
 
-    def build(n: Node) -> Template:
-        inside = [build(x) for x in n.blocks if id(x) in shared]
-        return Template(n.label, _digest(n) if id(n) in constant else None, n is top, inside)
+    def made(n: Node) -> Template:
+        return Template(n.label, _digest(n) if id(n) in constant else None, n is top, [])
 
-    return build(base)
+    out = made(base)
+    stack = [(base, out)]
+    while stack:
+        n, t = stack.pop()
+        for x in n.blocks:
+            if id(x) in shared:
+                t.items.append(made(x))
+                stack.append((x, t.items[-1]))
+    return out
 
 
 def main_text(page: str | None, template: Template | None) -> str:

@@ -1,8 +1,9 @@
 import html
+import json
 import re
 
 from draftsmith.llm import entries
-from draftsmith.llm.wrapper import extract_main_text, induce, main_text, match, parse
+from draftsmith.llm.wrapper import Template, extract_main_text, induce, main_text, match, parse
 from tests.conftest import SF_SMALL
 
 
@@ -53,6 +54,20 @@ def test_broken_markup():
     assert main_text("<article><p>5 < 6 and 7 > 3</p></article>", None) == "5 < 6 and 7 > 3"
 
 
+def test_nests_of_any_depth():
+    for n in (100, 200, 5000):
+        nest = "<div>" * n + "deep <aside>Ad</aside><nav><p>Menu</nav>" + "</div>" * n
+        body = f"<body><div class='page'><article><p>Before.</p>{nest}<p>After.</p></article><div><p>Outside the article, a longer text than any in it</p></div></div></body>"
+        assert main_text(body, None) == "Before. deep After."
+        pages = ["<div>" * n + f"<div class='x'><p>Text {i} of page {i}</p></div><p>Same on all</p>" + "</div>" * n for i in range(3)]
+        t = Template.load(json.loads(json.dumps(induce(pages).dump())))
+        assert main_text(pages[1], t) == "Text 1 of page 1"
+
+
+def test_many_unclosed_and_unopened_tags():
+    assert main_text("<b>" * 30_000 + "</i></div>" * 30_000 + "text", None) == "text"
+
+
 def test_simple_tree_matching():
     a, b = parse("<div><p>1</p><ul><li>x</li><li>y</li></ul><p>2</p></div>"), parse("<div><ul><li>z</li></ul><p>3</p><hr></div>")
     size, pairs = match(a, b)
