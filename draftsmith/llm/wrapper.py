@@ -8,16 +8,25 @@ text differs, and children that only some references have, are slots.  The
 content region is the article element that holds most slot text, or else the
 lowest node above all slots that are neither navigation nor links.  Every page
 of the host is matched against this template, and the text blocks of its
-content region are its main text, without boilerplate elements inside.  A
-constant text inside an article element is kept, as it may be a paragraph that
-the references share; outside article elements constant nodes are dropped.
-
-On Spark: references are chosen by a window that keeps one page for each of
-``REFERENCES`` hash classes of a host (limited before the shuffle, so a host
-with a third of all pages moves a bounded number of pages); one small group per
-host makes the template; templates are broadcast up to ``BROADCAST_BYTES``
+content region are its main text, without boilerplate elements inside.  Outside
+article elements nodes that are constant in the references are dropped.
+
+Pages of a host whose content lies at the same label path (numbers left out)
+are of one type.  Each type has a template of its own; a page of a type without
+one takes the host's.  Over all distinct pages of a type the digest of every
+subtree is counted with its label path: what more than ``REFERENCES`` pages and
+``COMMON`` of the type hold at one path is dropped anywhere, inside article
+elements too, so a paragraph that a few pages share stays; a page that holds
+nothing else keeps its text.
+
+On Spark: one Arrow pass makes types and digests, pages that repeat go by an
+aggregate on their hash, digests are counted with map-side combine.  References
+are chosen by a window that keeps one page for each of ``REFERENCES`` hash
+classes of a host and of a type (limited before the shuffle, so a host with a
+third of all pages moves a bounded number of pages); one small group makes a
+template; templates and common digests are broadcast up to ``BROADCAST_BYTES``
 (measured), beyond that joined by a shuffle that AQE can split; the pages pass
-once through an Arrow map.  Nothing of a page is cut.
+through an Arrow map for the type and one for the text.  Nothing of a page is cut.
 
 Defined results: null html is an empty page with empty text; a page without a
 host, or of a host with one distinct page, is its own reference; repeated rows
@@ -37,10 +46,12 @@ from collections.abc import Generator, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from draftsmith.session import checkpoint_dir
 
 REFERENCES = 8
+COMMON = 0.9
 BROADCAST_BYTES = 16 << 20
 
 # Element kinds of HTML.
@@ -70,6 +81,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"
 _NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+_DIGITS = re.compile(r"\d+")
 # Fixed value: those of them that also name boilerplate on an article element.
 NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comment|comments|reply|replies|related|recommended)(?:$|[\s_-])", re.I)
 
@@ -378,7 +390,44 @@ def induce(pages: list[str]) -> Template | None:
     return out
 
 
-def main_text(page: str | None, template: Template | None) -> str:
+def _number(h: bytes) -> int:
+    return int.from_bytes(h[:8], "little", signed=True)
+
+
+def page_type(root: Node) -> int:
+    """Hash of the label path of the content, numbers left out."""
+    at, steps = _content_root(root, set()), []
+    while at is not None:
+        steps.append(_DIGITS.sub("0", at.label))
+        at = at.parent
+    return _number(hashlib.md5("\x00".join(steps).encode("utf-8", "surrogatepass")).digest())
+
+
+def subtree_keys(root: Node) -> dict[int, int]:
+    """Per node (its id) a hash of its label path and of all text below it, for
+    the blocks that hold text and are no boilerplate by name."""
+    seen: list[tuple[Node, bytes]] = []
+    stack = [(root, b"")]
+    while stack:
+        n, above = stack.pop()
+        if not n.dropped:
+            path = hashlib.md5(above + _DIGITS.sub("0", n.label).encode("utf-8", "surrogatepass")).digest()
+            seen.append((n, path))
+            stack.extend((x, path) for x in n.items if not isinstance(x, str))
+    digest: dict[int, bytes] = {}  # of the nodes that hold text
+    keys: dict[int, int] = {}
+    for n, path in reversed(seen):  # children come after their parents
+        parts = [" ".join(x.split()).encode("utf-8", "surrogatepass") if isinstance(x, str) else digest.get(id(x), b"") for x in n.items]
+        parts = [x for x in parts if x]
+        if parts:
+            digest[id(n)] = hashlib.md5(b"\x00".join(parts)).digest()
+            if n.tag not in INLINE:
+                keys[id(n)] = _number(hashlib.md5(path + digest[id(n)]).digest())
+    return keys
+
+
+def main_text(page: str | None, template: Template | None, common: frozenset[int] = frozenset()) -> str:
+    """``common``: subtree keys that nearly all pages of this type hold."""
     if not page:
         return ""
     root = parse(page)
@@ -394,45 +443,94 @@ def main_text(page: str | None, template: Template | None) -> str:
         own = _content_root(root, constant)  # no article: the node above this page's slots
         top = own if top is None or own.tag in ARTICLE or _below(own, top) else top
     inside = top.tag in ARTICLE or top.inside_article()
-    return " ".join(block_texts(top, (lambda n: False) if inside else (lambda n: id(n) in constant)))
+    same = constant if not inside else set()
+    if common:
+        shared = {k for k, key in subtree_keys(root).items() if key in common}
+        text = " ".join(block_texts(top, lambda n: id(n) in same or id(n) in shared))
+        if text:
+            return text
+    text = " ".join(block_texts(top, lambda n: id(n) in same))
+    if not text and not inside and (own := _content_root(root, set())).tag in ARTICLE:
+        return " ".join(block_texts(own))  # pages that only differ outside one article
+    return text
 
 
 def host_of(url):
     return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+@F.pandas_udf(T.LongType())
+def _type_of(html: pd.Series) -> pd.Series:
+    return pd.Series([None if not p else page_type(parse(p)) for p in html], dtype="Int64")
+
+
+@F.pandas_udf(T.StructType([T.StructField("type", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _survey(html: pd.Series) -> pd.DataFrame:
+    types, keys = [], []
+    for p in html:
+        root = parse(p)
+        types.append(page_type(root))
+        keys.append(sorted(set(subtree_keys(root).values())))
+    return pd.DataFrame({"type": pd.Series(types, dtype="int64"), "keys": pd.Series(keys, dtype=object)})
+
+
+def common_subtrees(pages: DataFrame, *, references: int = REFERENCES) -> DataFrame:
+    """``(host, type, common)``: keys on nearly all distinct pages of a type,
+    from ``pages(host, html)``."""
+    x = pages.where(F.col("host").isNotNull() & (F.col("html") != "")).select("host", F.xxhash64("html").alias("h"), _survey("html").alias("s"))
+    x = x.select("host", "h", "s.type", "s.keys").dropDuplicates(["host", "h"])
+    # a null key counts the pages
+    held = x.select("host", "type", F.explode(F.array_append("keys", F.lit(None).cast("long"))).alias("key")).groupBy("host", "type", "key").agg(F.count(F.lit(1)).alias("n"))
+    held = held.where(F.col("n") > references).checkpoint()
+    all_pages = held.where("key IS NULL").select("host", "type", F.col("n").alias("pages"))
+    held = held.where("key IS NOT NULL").join(all_pages, ["host", "type"]).where(F.col("n") >= F.lit(COMMON) * F.col("pages"))
+    return held.groupBy("host", "type").agg(F.collect_list("key").alias("common"))  # at most the blocks of a page / COMMON
+
+
 def host_templates(pages: DataFrame, *, references: int = REFERENCES) -> DataFrame:
-    """``(host, template)`` (JSON) from ``pages(host, html)``."""
+    """``(host, type, template)`` (JSON) from ``pages(host, type, html)``; a
+    host's own template has a null type."""
     h = F.xxhash64("html")
     x = pages.where(F.col("host").isNotNull() & F.col("html").isNotNull()).withColumn("h", h).withColumn("part", F.pmod("h", F.lit(references)))
-    first = F.row_number().over(Window.partitionBy("host", "part").orderBy("h"))
-    few = x.withColumn("nth", first).where("nth = 1").select("host", "html", "h")
+    x = x.select("host", "html", "h", "part", F.explode(F.array_distinct(F.array(F.lit(None).cast("long"), F.col("type")))).alias("type"))
+    first = F.row_number().over(Window.partitionBy("host", "type", "part").orderBy("h"))
+    few = x.withColumn("nth", first).where("nth = 1").select("host", "type", "html", "h")
 
-    def learn(g: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         t = induce(g.sort_values("h")["html"].tolist())
-        return pd.DataFrame({"host": g["host"].iloc[:1], "template": [None if t is None else json.dumps(t.dump())]})
+        kind = pd.Series([None if key[1] is None or pd.isna(key[1]) else int(key[1])], dtype="Int64")
+        return pd.DataFrame({"host": [key[0]], "type": kind, "template": [None if t is None else json.dumps(t.dump())]})
 
-    return few.groupBy("host").applyInPandas(learn, "host string, template string").where("template IS NOT NULL")
+    return few.groupBy("host", "type").applyInPandas(learn, "host string, type long, template string").where("template IS NOT NULL")
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", references: int = REFERENCES) -> DataFrame:
     """``id_col, url_col, text, host, has_template`` of every row."""
     checkpoint_dir(pages.sparkSession)
     x = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
+    common = common_subtrees(x, references=references).checkpoint()
+    x = x.withColumn("type", _type_of("html"))
     made = host_templates(x, references=references).checkpoint()
     size = made.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
-    side = made.withColumnRenamed("host", "t_host")
-    joined = x.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, F.col("host") == F.col("t_host"), "left")
+    size += common.agg(F.sum(8 * F.size("common") + F.length("host"))).first()[0] or 0
+    small = F.broadcast if size <= BROADCAST_BYTES else (lambda side: side)
+    whole = made.where("type IS NULL").select(F.col("host").alias("w_host"), F.col("template").alias("w_template"))
+    typed = made.where("type IS NOT NULL").select(F.col("host").alias("t_host"), F.col("type").alias("t_type"), F.col("template").alias("t_template"))
+    common = common.select(F.col("host").alias("c_host"), F.col("type").alias("c_type"), "common")
+    joined = x.join(small(typed), (F.col("host") == F.col("t_host")) & (F.col("type") == F.col("t_type")), "left")
+    joined = joined.join(small(whole), F.col("host") == F.col("w_host"), "left")
+    joined = joined.join(small(common), (F.col("host") == F.col("c_host")) & (F.col("type") == F.col("c_type")), "left")
+    joined = joined.withColumn("template", F.coalesce("t_template", "w_template"))
 
     @F.pandas_udf("string")
-    def text_of(html: pd.Series, template: pd.Series) -> pd.Series:
+    def text_of(html: pd.Series, template: pd.Series, common: pd.Series) -> pd.Series:
         loaded: dict[str, Template] = {}
         out = []
-        for page, t in zip(html, template):
+        for page, t, c in zip(html, template, common):
             if t is not None and t not in loaded:
                 loaded[t] = Template.load(json.loads(t))
-            out.append(main_text(page, loaded.get(t)))
+            out.append(main_text(page, loaded.get(t), frozenset() if c is None else frozenset(c.tolist())))
         return pd.Series(out, dtype=object)
 
-    done = joined.withColumn("text", text_of("html", "template"))
+    done = joined.withColumn("text", text_of("html", "template", "common"))
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "host", F.col("template").isNotNull().alias("has_template"))

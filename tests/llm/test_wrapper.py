@@ -88,3 +88,24 @@ def test_edges(spark):
     assert len([r for r in got if r.page_id == 50 and r.text.startswith("Copy Same page.")]) == 3
     assert by[60] == "Long " + " ".join(f"Paragraph {i} text." for i in range(3000))
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_constant_nodes_inside_articles_and_page_types(spark):
+    def news(i):
+        few = "<p>Shared by three.</p>" if i < 3 else ""
+        return f"<body><main id='post-{i}'><div class='zz'>Read our other pages</div><p>News {i} of the day.</p>{few}<p>Even more {i}.</p><p>Printed in Town</p></main></body>"
+
+    def shop(i):
+        return f"<body><div class='shop'><div class='q'>Free delivery</div><section class='item'><h2>Item {i}</h2><p>Costs {i} coins.</p></section></div></body>"
+
+    rows = [(i, "http://h.example/n", news(i)) for i in range(60)] + [(100 + i, "http://h.example/s", shop(i)) for i in range(15)]
+    rows += [(200 + i, "http://same.example/", f"<body><nav>{i}</nav><article><p>One text.</p></article></body>") for i in range(20)]
+    rows += [(300 + i, "http://few.example/", news(i)) for i in range(3)] + [(400, "http://copies.example/", news(7))] * 30
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(60):
+        assert got[i] == f"News {i} of the day. {'Shared by three. ' if i < 3 else ''}Even more {i}."
+    for i in range(15):
+        assert got[100 + i] == f"Item {i} Costs {i} coins."
+    assert all(got[200 + i] == "One text." for i in range(20))  # nothing else on the page
+    assert got[301] == "Read our other pages News 1 of the day. Shared by three. Even more 1. Printed in Town"
+    assert got[400] == "Read our other pages News 7 of the day. Even more 7. Printed in Town"
