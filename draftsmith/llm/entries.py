@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from draftsmith.llm.alignment import alignment_counts
 from draftsmith.llm.bpe import encode_documents, ids_digest, tokenizer_file
 from draftsmith.llm.knn import knn_join
 from draftsmith.llm.lines import MIN_WORDS, dedup_lines
@@ -143,6 +144,11 @@ def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "has_template")
 
 
+@register()
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @register()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
