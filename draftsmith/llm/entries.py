@@ -14,6 +14,7 @@ from draftsmith.llm.knn import knn_join
 from draftsmith.llm.lines import MIN_WORDS, dedup_lines
 from draftsmith.llm.mixing import SEED as MIX_SEED
 from draftsmith.llm.mixing import mix_sources
+from draftsmith.llm.prefix_trie import rebuilt_trie
 from draftsmith.llm.quality import quality_scores
 from draftsmith.llm.simhash import hex_fingerprint, simhash_components
 from draftsmith.llm.surrogates import replace_entities
@@ -144,6 +145,39 @@ def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "has_template")
 
 
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+    lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT))"""
+
+
+@register(f"""WITH k AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, key, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM k),
+s AS (SELECT conv_id, max(pos) AS size FROM t GROUP BY conv_id),
+c AS (SELECT s.conv_id, h, b.conv_id AS base, least(h, coalesce(b.size, 0)) AS taken
+      FROM (SELECT conv_id, {_CRC} % 4 AS h FROM s) s LEFT JOIN s AS b ON b.conv_id = s.conv_id - s.conv_id % 20),
+r AS (SELECT conv_id, pos - h + taken AS pos, key, w FROM t JOIN c USING (conv_id) WHERE pos > h
+      UNION ALL SELECT c.conv_id, pos, key, w FROM t JOIN c ON t.conv_id = c.base WHERE pos <= taken),
+p AS (SELECT conv_id, 0 AS pos, '' AS pk, 0 AS w FROM c
+      UNION ALL SELECT conv_id, pos, md5(string_agg(key, ',') OVER (PARTITION BY conv_id ORDER BY pos)), w FROM r),
+n AS (SELECT pos AS depth, pk, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w FROM p GROUP BY pos, pk),
+m AS (SELECT n.*, u.conv_id AS parent FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.pos = n.depth - 1
+      LEFT JOIN n AS u ON u.depth = p.pos AND u.pk = p.pk),
+d AS (SELECT depth - 1 AS depth, parent, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN d ON d.depth = m.depth AND d.parent = m.conv_id),
+g AS (SELECT p.pos AS depth, p.pk, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.w) AS saved
+      FROM v JOIN p ON p.conv_id = v.conv_id AND p.pos <= v.depth GROUP BY p.pos, p.pk),
+e AS (SELECT pos AS depth, pk, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ids
+      FROM (SELECT * FROM p QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)) GROUP BY pos, pk)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, v.parent AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ids, sha256('')) AS ends_sha256
+FROM v JOIN g USING (depth, pk) LEFT JOIN e USING (depth, pk)""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 @register()
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
