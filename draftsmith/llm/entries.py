@@ -11,6 +11,8 @@ import corpus_pipeline
 from draftsmith.llm.alignment import alignment_counts
 from draftsmith.llm.bpe import encode_documents, ids_digest, tokenizer_file
 from draftsmith.llm.knn import knn_join
+from draftsmith.llm.language import fold, identify
+from draftsmith.llm.language import train as language_train
 from draftsmith.llm.lines import MIN_WORDS, dedup_lines
 from draftsmith.llm.mixing import SEED as MIX_SEED
 from draftsmith.llm.mixing import mix_sources
@@ -145,6 +147,14 @@ def op6_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "has_template")
 
 
+@register()
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_train(docs.where(fold() != 1))
+    found = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 _CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
   lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
     lambda y, z: xor(y >> 1, CASE WHEN y % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT))"""
