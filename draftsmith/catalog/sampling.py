@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from draftsmith.catalog import register
 from draftsmith.catalog.derived import SEED, prepared, sql_prepared_chain
 from draftsmith.functions.hashing import sql_md5_int, sql_seeded_key
-from draftsmith.operators.packing import LEVELS, clip_or_drop, pack_batches, pack_summary, skip_batches
+from draftsmith.operators.packing import LEVELS, clip_or_drop, pack_batches, pack_running_sums, pack_summary, skip_batches
 from draftsmith.operators.sampling import cod_sample_rows
 
 G = "sampling"
 PACK_LEN = 2048
 REPLICAS = 2
-PACK_SHARDS = 4  # the tables are small; the default is for large ones
+PACK_SHARDS = 4  # of the running sums; the tables are small, the default is for large ones
 COD_DEPTHS = 4
 COD_RATIO = 0.7
 COD_MIN = 0.2
@@ -32,7 +32,7 @@ def clip_or_drop_long(spark, sf):
     return clipped.join(lens.select("sample_id", (F.col("length") > PACK_LEN).cast("int").alias("is_long")), "sample_id")
 
 
-def _sql_plan(seed: int) -> str:
+def _sql_running_plan(seed: int) -> str:
     """CTEs up to ``plan(batch_no, replica, sample_id, length, item)``."""
     over = "PARTITION BY shard ORDER BY key, sample_id"
     parts = [f"""k0 AS (SELECT sample_id, CAST(least(seq_len, {PACK_LEN}) AS BIGINT) AS length, {sql_seeded_key(seed, 'sample_id')} AS key FROM prepared),
@@ -50,14 +50,41 @@ plan AS (SELECT CAST(bin // {REPLICAS} AS BIGINT) AS batch_no, CAST(bin % {REPLI
     return ",\n".join(parts)
 
 
-@register("pack_batches", f"""WITH {sql_prepared_chain()},
+def _sql_plan(seed: int) -> str:
+    """CTEs up to ``plan(batch_no, replica, sample_id, length, item)``: best-fit-
+    decreasing sample by sample, bins dealt to batches by the seeded stride."""
+    hit = "coalesce(list_position(rooms, list_min(list_filter(rooms, lambda x: x >= size))), 0)"
+    return f"""k0 AS (SELECT sample_id, CAST(least(seq_len, {PACK_LEN}) AS BIGINT) AS length, {sql_seeded_key(seed, 'sample_id')} AS key FROM prepared),
+ordered AS (SELECT *, greatest(length, 1) AS size, row_number() OVER (ORDER BY greatest(length, 1) DESC, key, sample_id) - 1 AS item FROM k0),
+fitted AS (
+  SELECT CAST(-1 AS BIGINT) AS item, CAST([] AS BIGINT[]) AS rooms, CAST(0 AS BIGINT) AS bin
+  UNION ALL
+  SELECT item,
+         CASE WHEN hit = 0 THEN list_append(rooms, {PACK_LEN} - size) ELSE list_transform(rooms, lambda x, i: CASE WHEN i = hit THEN x - size ELSE x END) END,
+         CASE WHEN hit = 0 THEN len(rooms) ELSE hit - 1 END
+  FROM (SELECT ordered.item, size, rooms, {hit} AS hit FROM fitted JOIN ordered ON ordered.item = fitted.item + 1)),
+counted AS (SELECT max(bin) + 1 AS bins FROM fitted),
+step AS (SELECT bins, (SELECT min(s) FROM unnest(range(greatest(1, CAST(floor(bins * {0.6180339887 + 0.01 * (seed % 7)!r}) AS BIGINT)), 2 * bins + 2)) AS u(s) WHERE gcd(s, bins) = 1) AS step FROM counted),
+dealt AS (SELECT ordered.*, (bin * step + {seed * 7919} % bins) % bins AS slot, bins FROM ordered JOIN fitted USING (item), step),
+plan AS (SELECT CAST(slot // {REPLICAS} AS BIGINT) AS batch_no, CAST(slot % {REPLICAS} AS INTEGER) AS replica, sample_id, length, CAST(item AS BIGINT) AS item
+  FROM dealt WHERE slot < bins // {REPLICAS} * {REPLICAS})"""
+
+
+@register("pack_running_sums", f"""WITH {sql_prepared_chain()},
+{_sql_running_plan(SEED)}
+SELECT * FROM plan""", G)
+def pack_running_sums_q(spark, sf):
+    return pack_running_sums(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, shards=PACK_SHARDS)
+
+
+@register("pack_batches", f"""WITH RECURSIVE {sql_prepared_chain()},
 {_sql_plan(SEED)}
 SELECT * FROM plan""", G)
 def pack_batches_q(spark, sf):
-    return pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, shards=PACK_SHARDS)
+    return pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED)
 
 
-@register("pack_summary", f"""WITH {sql_prepared_chain()},
+@register("pack_summary", f"""WITH RECURSIVE {sql_prepared_chain()},
 {_sql_plan(SEED)},
 p AS (SELECT CAST(count(*) AS BIGINT) AS n_packed, CAST(sum(length) AS BIGINT) AS used_tokens, CAST(max(batch_no) + 1 AS BIGINT) AS n_batches FROM plan),
 s AS (SELECT CAST(count(*) AS BIGINT) AS n_samples, CAST(count(*) FILTER (WHERE seq_len > {PACK_LEN}) AS BIGINT) AS n_long FROM prepared)
@@ -66,14 +93,14 @@ SELECT n_samples, n_packed, n_samples - n_packed AS n_dropped, n_long, n_batches
 FROM p, s""", G)
 def pack_summary_q(spark, sf):
     lens = _lengths(spark, sf)
-    return pack_summary(pack_batches(lens, PACK_LEN, REPLICAS, seed=SEED, shards=PACK_SHARDS), lens, PACK_LEN, REPLICAS)
+    return pack_summary(pack_batches(lens, PACK_LEN, REPLICAS, seed=SEED), lens, PACK_LEN, REPLICAS)
 
 
-@register("resume_skip_batches", f"""WITH {sql_prepared_chain()},
+@register("resume_skip_batches", f"""WITH RECURSIVE {sql_prepared_chain()},
 {_sql_plan(SEED + 1)}
 SELECT * FROM plan WHERE batch_no >= 3""", G)
 def resume_skip_batches(spark, sf):
-    return skip_batches(pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, epoch=1, shards=PACK_SHARDS), 3)
+    return skip_batches(pack_batches(_lengths(spark, sf), PACK_LEN, REPLICAS, seed=SEED, epoch=1), 3)
 
 
 def _sql_cod(select: str | None = None) -> str:
@@ -126,7 +153,7 @@ def cod_sampling(spark, sf):
     )
 
 
-@register("training_batches", f"""WITH {sql_prepared_chain()},
+@register("training_batches", f"""WITH RECURSIVE {sql_prepared_chain()},
 {_sql_plan(SEED)},
 d AS (SELECT batch_no, replica, item, loss_mask, greatest(len(input_ids) - 1, 0) AS n FROM plan JOIN prepared USING (sample_id)),
 o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY batch_no, replica ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM d),
@@ -140,7 +167,7 @@ def training_batches(spark, sf):
     shift (X4) → collated batch rows with anchors and blocks."""
     from draftsmith.plans.examples import build_training_batches
 
-    b = build_training_batches(prepared(spark, sf), PACK_LEN, REPLICAS, seed=SEED, step="shift", shards=PACK_SHARDS, anchors=(4, 3, 131072))
+    b = build_training_batches(prepared(spark, sf), PACK_LEN, REPLICAS, seed=SEED, step="shift", anchors=(4, 3, 131072))
     return b.select(
         "batch_no", "replica",
         F.size("lengths").cast("bigint").alias("n_docs"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftsmith.operators.examples import anchors_in_row, blocks_in_row, collate_rows, preprocess
-from draftsmith.operators.packing import SHARDS, pack_batches, skip_batches
+from draftsmith.operators.packing import pack_batches, skip_batches
 
 
 def build_training_batches(
@@ -24,7 +24,6 @@ def build_training_batches(
     epoch: int = 0,
     step: str = "none",
     resume_batches: int = 0,
-    shards: int = SHARDS,
     anchors: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """Batch rows ``(batch_no, replica, input_ids, loss_mask, position_ids,
@@ -35,7 +34,7 @@ def build_training_batches(
     block-model inputs.
     """
     lengths = rows.select("sample_id", F.size("input_ids").cast("bigint").alias("length"))
-    plan = skip_batches(pack_batches(lengths, max_len, replicas, seed=seed, epoch=epoch, shards=shards), resume_batches)
+    plan = skip_batches(pack_batches(lengths, max_len, replicas, seed=seed, epoch=epoch), resume_batches)
     prepared = preprocess(rows.select("sample_id", "input_ids", "loss_mask"), step)
     j = prepared.join(plan.select("sample_id", "batch_no", "replica", "item"), "sample_id")
     j = j.withColumn("_bin", F.struct("batch_no", "replica"))

@@ -1,11 +1,13 @@
 """Example builders and packing (FIXTURES 19, 21, 22, 30, 32) + packing invariants."""
 
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from draftsmith.operators.examples import align_targets, anchor_blocks, anchor_context, batch_lengths, causal_pair_counts, chain_context, collate_rows, mtp_step_targets, pack_slots, shift_rows  # noqa: F401
-from draftsmith.operators.packing import assign_bins, pack_batches, pack_summary
+from draftsmith.operators.packing import assign_bins, bin_runs, pack_batches, pack_running_sums, pack_summary, stride
 
 
 def test_shift_fixture(spark):
@@ -88,10 +90,12 @@ def test_bins_match_a_plain_loop(spark):
         assert {r.sample_id: (r.level, r.cut) for r in got if r.shard == shard} == want
 
 
-def test_pack_invariants(spark):
+@pytest.mark.parametrize("pack", [pack_batches, pack_running_sums])
+def test_pack_invariants(spark, pack):
+    kw = {"shards": 3} if pack is pack_running_sums else {}
     rng = random.Random(1)
     lens = spark.createDataFrame([(i, rng.randint(5, 600)) for i in range(4000)], "sample_id long, length long")
-    plan = pack_batches(lens, 1024, 4, seed=3, shards=3)
+    plan = pack(lens, 1024, 4, seed=3, **kw)
     rows = plan.collect()
     ids = [r.sample_id for r in rows]
     assert len(ids) == len(set(ids))
@@ -103,10 +107,79 @@ def test_pack_invariants(spark):
     assert batches == set(range(len(batches))) and len(fill) == 4 * len(batches)
     s = pack_summary(plan, lens, 1024, 4).first()
     assert s.n_packed == len(ids) and s.n_dropped == 4000 - len(ids) and 0.5 < s.fill_ratio <= 1
-    whole = pack_batches(lens, 1024, 4, seed=3, shards=3, drop_last=False)
+    whole = pack(lens, 1024, 4, seed=3, drop_last=False, **kw)
     assert whole.count() == 4000  # every sample is placed
 
 
+def _plain_best_fit(lengths, max_len):
+    """Bin of each length (in descending order), one by one."""
+    room, out = [], []
+    for n in lengths:
+        fits = [(r, b) for b, r in enumerate(room) if r >= n]
+        if not fits:
+            room.append(max_len)
+            fits = [(max_len, len(room) - 1)]
+        _, b = min(fits)
+        room[b] -= n
+        out.append(b)
+    return out, len(room)
+
+
+def test_runs_are_best_fit_decreasing():
+    for seed in range(400):
+        rng = random.Random(seed)
+        max_len = rng.randint(1, 40)
+        lens = sorted((rng.randint(1, max_len) for _ in range(rng.randint(0, 80))), reverse=True)
+        runs, bins = bin_runs({n: lens.count(n) for n in lens}, max_len)
+        ends = [r[0] for r in runs[1:]] + [len(lens)]
+        got = [first + (i - item) // per for (item, first, per), end in zip(runs, ends) for i in range(item, end)]
+        assert (got, bins) == _plain_best_fit(lens, max_len)
+
+
+def test_stride_is_a_permutation():
+    for bins in (1, 2, 3, 10, 97, 360):
+        for seed in range(9):
+            step, shift = stride(bins, seed)
+            assert sorted((b * step + shift) % bins for b in range(bins)) == list(range(bins))
+
+
+def test_packing_is_dense_and_independent_of_the_layout(spark):
+    """Lengths 100 to 2,599 and bins of 4,096: full to 97 % at least; one length
+    may hold a third of the samples; small buckets and other partitions change nothing."""
+    rng = random.Random(7)
+    rows = [(i, 1500 if i % 3 == 0 else rng.randint(100, 2599)) for i in range(20_000)]
+    lens = spark.createDataFrame(rows, "sample_id long, length long")
+    plan = pack_batches(lens, 4096, 8, seed=5)
+    even = pack_summary(pack_batches(spark.createDataFrame([(i, rng.randint(100, 2599)) for i in range(20_000)], "sample_id long, length long"), 4096, 8), lens, 4096, 8).first()
+    assert even.fill_ratio >= 0.97
+    got = {r.sample_id: (r.batch_no, r.replica, r.item) for r in plan.collect()}
+    _, n = bin_runs(Counter(length for _, length in rows), 4096)
+    assert len({g[:2] for g in got.values()}) == n // 8 * 8
+    fill = {}
+    for i, length in rows:
+        if i in got:
+            fill[got[i][:2]] = fill.get(got[i][:2], 0) + length
+    assert max(fill.values()) <= 4096
+    other = pack_batches(lens.repartition(7), 4096, 8, seed=5, bucket_rows=300)
+    assert {r.sample_id: (r.batch_no, r.replica, r.item) for r in other.collect()} == got
+    # batches are mixed: long and short samples all over the epoch
+    half = [length for i, length in rows if i in got and got[i][0] < n // 16]
+    rest = [length for i, length in rows if i in got and got[i][0] >= n // 16]
+    assert abs(sum(half) / len(half) - sum(rest) / len(rest)) < 60
+
+
+def test_packing_empty_and_long_samples(spark):
+    lens = spark.createDataFrame([(i, 0) for i in range(50)] + [(100, 99), (101, None), (102, 10)], "sample_id long, length long")
+    plan = pack_batches(lens, 10, 1).collect()
+    assert len(plan) == 53 and max(r.length or 0 for r in plan) == 10
+    per = {}
+    for r in plan:
+        per[r.batch_no] = per.get(r.batch_no, 0) + max(r.length or 0, 1)
+    assert max(per.values()) <= 10 and len(per) == 8
+    assert pack_batches(lens.filter("sample_id = 100"), 10, 1, truncate_long=False).collect() == []
+    assert pack_batches(lens.limit(0), 10, 2).collect() == []
+
+
 def test_collate_rows_fixtures(spark):
     from draftsmith.operators.examples import collate_rows
 
@@ -145,8 +218,7 @@ def test_resume_skips_batches_without_payload(spark):
     from draftsmith.operators.packing import skip_batches
 
     lens = spark.createDataFrame([(i, 10 + (i * 7) % 50) for i in range(600)], "sample_id long, length long")
-    for shards in (1, 4):
-        plan = pack_batches(lens, 100, 2, seed=1, shards=shards)
+    for plan in (pack_batches(lens, 100, 2, seed=1), pack_running_sums(lens, 100, 2, seed=1, shards=4)):
         rest = skip_batches(plan, 3)
         assert set(plan.columns) == {"batch_no", "replica", "sample_id", "length", "item"}
         assert rest.agg(F.min("batch_no")).first()[0] == 3
