@@ -21,6 +21,8 @@ from draftsmith.streaming.jobs import (
     dedup_stream,
     failure_breaker_stream,
     file_stream,
+    read_aborts,
+    read_counter_deltas,
     read_latest_counts,
     regen_stream,
     run_available,
@@ -32,6 +34,7 @@ from draftsmith.tables import table
 
 G = "streams"
 THRESHOLD = 2
+FILES = 12  # of a stage without order
 
 
 def _stage(df, folder: str, key: str, files: int = 3, fmt: str = "parquet") -> None:
@@ -68,10 +71,10 @@ FROM scr QUALIFY lag(value) OVER (PARTITION BY engine, name, position ORDER BY s
 def stream_counter_deltas(spark, sf):
     s = _scrapes(spark, sf).select(F.col("scrape").cast("int"), "engine", "name", F.col("position").cast("int"), "value")
     base = scratch(spark, "deltas")
-    _stage(s, f"{base}/in", "scrape")
-    src = file_stream(spark, f"{base}/in", s.schema, max_files=1)
-    run_available(counter_delta_stream(src, f"{base}/out", f"{base}/ck"))
-    return spark.read.parquet(f"{base}/out")
+    s.repartition(FILES).write.parquet(f"{base}/in")
+    src = file_stream(spark, f"{base}/in", s.schema, max_files=FILES // 3)
+    run_available(counter_delta_stream(src, f"{base}/out", f"{base}/ck", width=7))
+    return read_counter_deltas(spark, f"{base}/out")
 
 
 @register("stream_failure_breaker", f"""WITH a AS (SELECT user_id % 4 AS endpoint, event_id AS t, event_type <> 'error' AS ok FROM events),
@@ -83,10 +86,10 @@ def stream_failure_breaker(spark, sf):
     e = table(spark, sf, "events", "event_id", "user_id", "event_type")
     att = e.select(F.pmod(F.col("user_id"), F.lit(4)).cast("bigint").alias("endpoint"), F.col("event_id").alias("t"), (F.col("event_type") != "error").alias("ok"))
     base = scratch(spark, "breaker")
-    _stage(att, f"{base}/in", "t")
-    src = file_stream(spark, f"{base}/in", att.schema, max_files=1)
+    att.repartition(FILES).write.parquet(f"{base}/in")
+    src = file_stream(spark, f"{base}/in", att.schema, max_files=FILES // 3)
     run_available(failure_breaker_stream(src, THRESHOLD, f"{base}/out", f"{base}/ck"))
-    return spark.read.parquet(f"{base}/out")
+    return read_aborts(spark, f"{base}/out", THRESHOLD)
 
 
 @register("stream_dedup", f"""WITH {_SQL_EVENTS}

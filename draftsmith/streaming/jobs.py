@@ -4,22 +4,21 @@ Every job reads a file stream (a folder the producers append to), keeps
 its progress in a checkpoint location, and writes through an idempotent
 sink: file sinks (exactly-once through the sink log) or ``foreachBatch``
 writes keyed by the batch id (a retried batch overwrites its own output).
-Stateful steps use the built-in state store (aggregation, deduplication)
-or ``applyInPandasWithState`` for custom sequential state per key.
+Aggregation and deduplication use the built-in state store.  Jobs that depend
+on the order of a key's rows (T4, T7) keep segments of the order axis as state,
+in tables: rows may arrive in any order, and no key is bound to one task.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from draftsmith.session import checkpoint_dir
@@ -61,9 +60,6 @@ def read_if_written(spark: SparkSession, path: str, *columns: str) -> DataFrame
         raise
 
 
-# --------------------------------------------------------------------- T6
-
-
 def token_frequency_stream(rows: DataFrame, out: str, ckpt: str):
     """Running trainable-token counts in ``update`` mode.
 
@@ -88,75 +84,119 @@ def read_latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("token_id").agg(F.max_by("freq", "batch").alias("freq"))
 
 
-# --------------------------------------------------------------------- T7
-
-
-def _delta_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    engine, name, position = key
-    for pdf in pdfs:  # an Arrow batch at a time; rows come in scrape order (see below)
-        rows = pdf.sort_values("scrape", kind="stable")
-        value = rows["value"].astype(float)
-        before = value.shift(1)
-        if len(before) and last is not None:
-            before.iloc[0] = last
-        delta = (value - before).where(value >= before, value)
-        known = before.notna()
-        if len(value):
-            last = float(value.iloc[-1])
-        if known.any():
-            yield pd.DataFrame({"scrape": rows["scrape"][known], "engine": engine, "name": name, "position": position, "delta": delta[known]})
-    if last is not None:
-        state.update((last,))
-
-
-def counter_delta_stream(scrapes: DataFrame, out: str, ckpt: str):
-    """Per counter, the last value is the state; each new scrape emits its
-    delta (a decrease is a reset: the delta restarts from 0).  Files hold scrapes
-    in order, and a counter has one row per scrape, so a group is read batch by
-    batch without being gathered."""
-    deltas = scrapes.groupBy("engine", "name", "position").applyInPandasWithState(
-        _delta_state,
-        "scrape int, engine string, name string, position int, delta double",
-        "last double",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    return deltas.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
+def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each (keys, segment) as the last micro-batch that touched it left them."""
+    versions = rows.groupBy(*keys, "segment").agg(F.max("batch").alias("batch"))
+    same = [rows[c].eqNullSafe(versions[c]) for c in (*keys, "segment", "batch")]
+    return rows.join(versions, on=functools.reduce(lambda a, b: a & b, same), how="left_semi")
 
 
-# --------------------------------------------------------------------- T4
+def merged_segments(bdf: DataFrame, batch_id: int, store: str, keys: list[str], order: str, width: int) -> DataFrame:
+    """Rows of a micro-batch with those that earlier batches stored of the same
+    segments (``width`` units of ``order`` of one key), and the column ``segment``.
+
+    A segment is the unit of state: it is read again only when new rows fall into
+    it, and is then written as a whole, so neither the order of files nor that of
+    micro-batches matters, and one key is as many tasks as it has segments.
+    """
+    new = bdf.withColumn("segment", F.floor(F.col(order) / width).cast("bigint"))
+    have = read_if_written(bdf.sparkSession, store, "batch", "segment", *bdf.columns)
+    if have is None:
+        return new
+    lo, hi = new.agg(F.min("segment"), F.max("segment")).first()
+    touched = new.select(*keys, "segment").distinct()
+    have = have.filter((F.col("batch") < batch_id) & F.col("segment").between(lo, hi))  # a batch that is tried again ignores its own
+    same = functools.reduce(lambda a, b: a & b, [have[c].eqNullSafe(touched[c]) for c in (*keys, "segment")])
+    return new.unionByName(_newest(have.join(touched, on=same, how="left_semi"), keys).select(*new.columns))
+
 
+COUNTER = ["engine", "name", "position"]
 
-def _breaker(threshold: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, aborted = (state.get if state.exists else (0, False))
-        for pdf in pdfs:  # an Arrow batch at a time, in the order of the attempts
-            rows = pdf.sort_values("t", kind="stable")
-            ok = rows["ok"].to_numpy(dtype=bool)
-            run = (~ok).cumsum() - pd.Series(np.where(ok, (~ok).cumsum(), np.nan)).ffill().fillna(-count).to_numpy()
-            hit = np.flatnonzero(~ok & (run >= threshold))
-            if len(hit) and not aborted:
-                aborted = True
-                yield pd.DataFrame({"endpoint": [key[0]], "t": [int(rows["t"].iloc[hit[0]])], "streak": [int(run[hit[0]])]})
-            if len(run):
-                count = int(run[-1])
-        state.update((int(count), bool(aborted)))
 
-    return fn
+def counter_delta_stream(scrapes: DataFrame, out: str, ckpt: str, width: int = 4096):
+    """Each scrape's delta to the one before it (a decrease is a reset: the
+    delta restarts from 0), in whatever order scrapes arrive.
+
+    Deltas inside a segment of ``width`` scrapes are written with its rows; the
+    first row of a segment has none yet and its last one is marked, which is all
+    that :func:`read_counter_deltas` needs to join neighbouring segments.
+    """
+
+    def sink(bdf: DataFrame, batch_id: int) -> None:
+        known = bdf.select("scrape", *COUNTER, "value").filter(F.col("scrape").isNotNull())
+        rows = merged_segments(known, batch_id, out, COUNTER, "scrape", width)
+        inside = Window.partitionBy(*COUNTER, "segment").orderBy("scrape", "value")
+        before = F.lag("value").over(inside)
+        rows = rows.select("segment", "scrape", *COUNTER, "value", _delta(F.col("value"), before).alias("delta"), F.lead("scrape").over(inside).isNull().alias("last"))
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return scrapes.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
 
 
-def failure_breaker_stream(attempts: DataFrame, threshold: int, out: str, ckpt: str):
-    """T4: consecutive-failure circuit breaker per endpoint; emits one abort
-    row when the streak reaches ``threshold``.  State is a count and a flag;
-    attempts are read batch by batch in file order, never gathered."""
-    aborts = attempts.groupBy("endpoint").applyInPandasWithState(
-        _breaker(threshold), "endpoint long, t long, streak long", "count long, aborted boolean", "append", GroupStateTimeout.NoTimeout
+def _delta(value: Column, before: Column) -> Column:
+    return F.when(value >= before, value - before).when(before.isNotNull(), value)
+
+
+def read_counter_deltas(spark: SparkSession, out: str) -> DataFrame:
+    """Deltas ``(scrape, engine, name, position, delta)`` of all that has arrived; a
+    counter's first scrape has none."""
+    rows = _newest(spark.read.parquet(out), COUNTER)
+    place = F.struct("scrape", "value")
+    ends = rows.filter(F.col("delta").isNull() | F.col("last")).groupBy(*COUNTER, "segment").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(*COUNTER).orderBy("segment"))["value"]
+    joints = ends.withColumn("before", before).select(F.col("first.scrape").alias("scrape"), *COUNTER, _delta(F.col("first.value"), F.col("before")).alias("delta"))
+    inside = rows.select("scrape", *COUNTER, "delta")
+    return inside.unionAll(joints).filter(F.col("delta").isNotNull())
+
+
+def failure_breaker_stream(attempts: DataFrame, threshold: int, out: str, ckpt: str, width: int = 4096):
+    """T4: consecutive-failure circuit breaker per endpoint, in whatever order
+    attempts arrive.
+
+    Each segment of ``width`` units of time is summed up so that neighbours can be
+    joined: failures before its first success (with the times of the first
+    ``threshold`` of them), failures after its last one, and the first time a
+    streak of its own reaches ``threshold``.  :func:`read_aborts` joins the sums.
+    """
+
+    def sink(bdf: DataFrame, batch_id: int) -> None:
+        known = bdf.select("endpoint", "t", "ok").filter("endpoint IS NOT NULL AND t IS NOT NULL")
+        rows = merged_segments(known, batch_id, f"{out}/rows", ["endpoint"], "t", width)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        segment_sums(bdf.sparkSession.read.parquet(f"{out}/rows/batch={batch_id}"), threshold).write.mode("overwrite").parquet(f"{out}/sums/batch={batch_id}")
+
+    return attempts.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+
+
+def segment_sums(rows: DataFrame, threshold: int) -> DataFrame:
+    """``rows(endpoint, segment, t, ok)`` to one row a segment: ``has_ok``, ``trail``,
+    ``lead`` (times of its first failures) and ``hit``; at equal times failures come first."""
+    part = Window.partitionBy("endpoint", "segment")
+    upto = part.orderBy("t", "ok").rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("island", F.sum(F.col("ok").cast("int")).over(upto))
+    streak = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("endpoint", "segment", "island").orderBy("t", "ok").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("streak", streak)
+    failed_first = (F.col("island") == 0) & (F.col("streak") <= threshold)
+    return x.groupBy("endpoint", "segment").agg(
+        F.max("ok").alias("has_ok"),
+        F.max_by("streak", F.struct("t", "ok", "streak")).alias("trail"),
+        F.array_sort(F.collect_list(F.when(failed_first, F.col("t")))).alias("lead"),
+        F.min(F.when((F.col("island") > 0) & (F.col("streak") >= threshold), F.col("t"))).alias("hit"),
     )
-    return aborts.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
 
 
-# --------------------------------------------------------------------- T8 / T9
+def read_aborts(spark: SparkSession, out: str, threshold: int) -> DataFrame:
+    """``(endpoint, t, streak)``: the first time each endpoint has ``threshold``
+    failures in a row, from one row a segment (the job stops when there is one)."""
+    s = _newest(spark.read.parquet(f"{out}/sums"), ["endpoint"])
+    earlier = Window.partitionBy("endpoint").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("island", F.coalesce(F.sum(F.col("has_ok").cast("int")).over(earlier), F.lit(0)))
+    s = s.withColumn("from", F.last(F.when(F.col("has_ok"), F.col("trail")), True).over(earlier))
+    since = F.sum("trail").over(Window.partitionBy("endpoint", "island").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("carry", F.coalesce("from", F.lit(0)) + F.coalesce(since, F.lit(0)))
+    # carried over: the failure of ``lead`` that makes the streak long enough
+    crossed = F.when(F.col("carry") < threshold, F.get("lead", (F.lit(threshold - 1) - F.col("carry")).cast("int")))
+    return s.groupBy("endpoint").agg(F.min(F.least(crossed, "hit")).alias("t")).filter("t IS NOT NULL").select("endpoint", "t", F.lit(threshold).cast("bigint").alias("streak"))
 
 
 def windowed_metrics_stream(records: DataFrame, out: str, ckpt: str, window: str = "1 day", delay: str = "10 minutes"):
@@ -180,9 +220,6 @@ def dedup_stream(records: DataFrame, keys: list[str], out: str, ckpt: str, delay
     return d.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
 
 
-# --------------------------------------------------------------------- T1 / T2 / T5
-
-
 def regen_stream(
     conversations: DataFrame,
     answer,

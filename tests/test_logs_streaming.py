@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from draftsmith.operators.evaluation import scrape_deltas
 from draftsmith.operators.training_logs import best_epoch, failure_streaks, normalize_counted, running_best, step_profile
-from draftsmith.streaming.jobs import counter_delta_stream, dedup_stream, failure_breaker_stream, file_stream, regen_stream, run_available
+from draftsmith.streaming.jobs import counter_delta_stream, dedup_stream, failure_breaker_stream, file_stream, read_aborts, read_counter_deltas, regen_stream, run_available
 
 
 def test_normalize_counted(spark):
@@ -58,14 +59,67 @@ def test_streaming_counter_deltas_and_breaker(spark, tmp_path):
         scr.filter((F.col("scrape") >= lo) & (F.col("scrape") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = file_stream(spark, str(tmp_path / "in"), scr.schema, max_files=1)
     run_available(counter_delta_stream(src, str(tmp_path / "out"), str(tmp_path / "ck")))
-    d = {r.scrape: r.delta for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    d = {r.scrape: r.delta for r in read_counter_deltas(spark, str(tmp_path / "out")).collect()}
     assert d == {1: 3.0, 2: 5.0, 3: 2.0, 4: 3.0}  # scrape 3 is a reset: delta restarts from 0
 
     att = spark.createDataFrame([(1, t, ok) for t, ok in enumerate([True, False, False, True, False, False, False])], "endpoint long, t long, ok boolean")
     att.coalesce(1).write.parquet(str(tmp_path / "att"))
     src = file_stream(spark, str(tmp_path / "att"), att.schema)
     run_available(failure_breaker_stream(src, 2, str(tmp_path / "ab"), str(tmp_path / "ck2")))
-    assert [(r.t, r.streak) for r in spark.read.parquet(str(tmp_path / "ab")).collect()] == [(2, 2)]
+    assert [(r.t, r.streak) for r in read_aborts(spark, str(tmp_path / "ab"), 2).collect()] == [(2, 2)]
+
+
+ROWS = 200_000
+
+
+def _layouts(df, order, folder, spark):
+    """Folders with the same rows: 16 files in order, and files of mixed rows."""
+    df.repartitionByRange(16, order).sortWithinPartitions(order).write.parquet(f"{folder}/ordered")
+    df.repartition(9).write.parquet(f"{folder}/mixed")
+    for name, files in (("ordered", None), ("ordered", 5), ("mixed", 4)):
+        yield f"{name}-{files}", file_stream(spark, f"{folder}/{name}", df.schema, max_files=files)
+
+
+def test_counter_deltas_do_not_depend_on_the_order_of_files(spark, tmp_path):
+    """One counter with 200,000 scrapes (and a small one), with resets."""
+    value = F.when(F.col("id") % 1013 == 0, 0.0).otherwise((F.col("id") % 1013) * 3.0 + F.pmod(F.xxhash64("id"), F.lit(3)))
+    scr = spark.range(ROWS).select(F.col("id").cast("int").alias("scrape"), F.lit("e").alias("engine"), F.when(F.col("id") % 40_000 == 7, "rare").otherwise("hot").alias("name"), F.lit(-1).alias("position"), value.alias("value"))
+    want = sorted(map(tuple, scrape_deltas(scr).collect()))
+    assert len(want) == ROWS - 2
+    for name, src in _layouts(scr, "scrape", str(tmp_path), spark):
+        run_available(counter_delta_stream(src, f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-ck", width=5000))
+        assert sorted(map(tuple, read_counter_deltas(spark, f"{tmp_path}/{name}-out").collect())) == want, name
+
+
+def test_breaker_does_not_depend_on_the_order_of_files(spark, tmp_path):
+    """Endpoint 1 fails every other time but for two streaks; 2 never has a
+    streak; 3 has one over the end of a segment; 4 only fails."""
+    at = F.col("id")
+    att = spark.range(ROWS).select(F.lit(1).cast("bigint").alias("endpoint"), at.alias("t"), ((at % 2 == 0) & ~at.isin(30_004, 150_004)).alias("ok"))
+    att = att.unionAll(spark.range(20_000).selectExpr("2L", "id", "id % 3 <> 1"))
+    att = att.unionAll(spark.range(20_000).selectExpr("3L", "id", "id NOT BETWEEN 4998 AND 5002"))
+    att = att.unionAll(spark.range(12_000).selectExpr("4L", "id", "false"))
+    for threshold, want in ((2, [(1, 30_004), (3, 4_999), (4, 1)]), (3, [(1, 30_005), (3, 5_000), (4, 2)]), (5, [(3, 5_002), (4, 4)]), (11_000, [(4, 10_999)])):
+        batch = failure_streaks(att, threshold).filter("abort").groupBy("endpoint").agg(F.min("t").alias("t"))
+        assert sorted(map(tuple, batch.collect())) == want
+        for name, src in _layouts(att, "t", f"{tmp_path}/{threshold}", spark):
+            out = f"{tmp_path}/{threshold}/{name}"
+            run_available(failure_breaker_stream(src, threshold, f"{out}-out", f"{out}-ck", width=5000))
+            assert sorted((r.endpoint, r.t) for r in read_aborts(spark, f"{out}-out", threshold).collect()) == want, name
+
+
+def test_a_batch_tried_again_leaves_each_row_once(spark, tmp_path):
+    """The sink of a micro-batch may run twice (a restart after the write)."""
+    scr = spark.createDataFrame([(s, "e", "n", -1, float(s * s)) for s in range(10)], "scrape int, engine string, name string, position int, value double")
+    scr.filter("scrape % 2 = 0").write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for k in (1, 2):  # another checkpoint of the same output starts again with batch 0
+        run_available(counter_delta_stream(file_stream(spark, str(tmp_path / "in"), scr.schema), out, str(tmp_path / f"ck{k}"), width=4))
+        assert read_counter_deltas(spark, out).count() == 4
+    scr.filter("scrape % 2 = 1").write.mode("append").parquet(str(tmp_path / "in"))
+    run_available(counter_delta_stream(file_stream(spark, str(tmp_path / "in"), scr.schema), out, str(tmp_path / "ck2"), width=4))
+    got = {r.scrape: r.delta for r in read_counter_deltas(spark, out).collect()}
+    assert got == {s: float(2 * s - 1) for s in range(1, 10)}
 
 
 def test_regen_stream_resume_is_idempotent(spark, tmp_path):
