@@ -29,8 +29,10 @@ read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -48,13 +50,20 @@ BLOCK = 1 << 22  # characters of a block
 _BLOCK_DOCS = 1 << 14
 _PART = 1 << 18  # characters encoded and aligned at a time
 _PIECE = 1 << 20  # characters of one call of a tokenizer
+# Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")  # no token of either side spans such a place
+_RUN = 4096
+_LONG_RUN = regex.compile(rf"\s{{{_RUN}}}")
 _BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>")
 
 
 class TwoTokenizers:
     """A: a tokenizers JSON file (byte-level BPE); B: a sentencepiece model that
-    puts a space in front of the text."""
+    puts a space in front of the text.
+
+    Where A's ids follow its merges (as those of public vocabularies do), tiktoken
+    encodes over the same vocabulary: the same ids in a third of the time."""
 
     def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
@@ -64,6 +73,7 @@ class TwoTokenizers:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        self.fast = self._ranked(json.loads(a_spec))
         byte = byte_chars()
         self.a_bytes: dict[int, bytes] = {}
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
@@ -91,6 +101,29 @@ class TwoTokenizers:
         self.digits = (ids // power % 10 + ord("0")).astype(np.uint8)
         self.is_digit = (ids >= power) | (power == 1)
 
+    def a_encode(self, texts: list[str]) -> list[list[int]]:
+        if self.fast is None:
+            return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # its pattern matcher runs out of stack on very long runs of white space
+        return [self.fast(t) if len(t) < _RUN or not _LONG_RUN.search(t) else self.a.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts]
+
+    @staticmethod
+    def _ranked(spec: dict) -> Callable[[str], list[int]] | None:
+        model, pre, byte = spec["model"], spec["pre_tokenizer"] or {}, byte_chars()
+        plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        if not plain or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {t: i for t, i in model["vocab"].items() if t not in added}
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [ranks.get(t, -1) for t in made]
+        whole = set(byte) <= ranks.keys() and len(ranks) == len(byte) + len(set(made)) and all(c in byte for t in made for c in t)
+        if not whole or any(x >= y for x, y in zip(ids, ids[1:])):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in ranks.items()}, special_tokens={}).encode_ordinary
+
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
         while self.cuttable and len(text) - at > _PIECE:
@@ -112,10 +145,10 @@ class TwoTokenizers:
                 owners.append(k)
                 pieces.append(p)
         if pieces:
-            from_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
+            from_a = self.a_encode(pieces)
             from_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
             for k, x, y in zip(owners, from_a, from_b):
-                a[k] = a[k] + x.ids if a[k] else x.ids
+                a[k] = a[k] + x if a[k] else x
                 b[k] = b[k] + y if b[k] else y
         for k, text in enumerate(texts):
             if text:
@@ -167,7 +200,7 @@ class Aligned(NamedTuple):
 def align_texts(tok: TwoTokenizers, texts: list[str | None]) -> Aligned:
     a_ids, b_ids = tok.encode(texts)
     n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (a_ids, b_ids))
-    a, b = (np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+    a, b = (np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
     # the documents' bytes end to end: both sides have the same bytes of each
     a_end, b_end = np.cumsum(tok.a_len[a]), np.cumsum(tok.b_len[b])
     a_start, b_start = a_end - tok.a_len[a], b_end - tok.b_len[b]

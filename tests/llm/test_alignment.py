@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -127,9 +128,13 @@ def test_groups_are_whole_and_digest_is_theirs(spark):
         assert all(g.a and g.b for g in r.groups)
 
 
-def test_long_texts_in_pieces_are_as_in_one(monkeypatch):
+@pytest.fixture(scope="module")
+def tok():
     with open(FILES[0], encoding="utf-8") as f, open(FILES[1], "rb") as g:
-        tok = A.TwoTokenizers(f.read(), g.read())
+        return A.TwoTokenizers(f.read(), g.read())
+
+
+def test_long_texts_in_pieces_are_as_in_one(tok, monkeypatch):
     text = (PROSE + ", l'été  12 ") * 40
     whole = tok.encode([text])
     monkeypatch.setattr(A, "_PIECE", 50)
@@ -137,6 +142,13 @@ def test_long_texts_in_pieces_are_as_in_one(monkeypatch):
     assert tok.encode([text]) == whole
 
 
+def test_both_libraries_give_the_same_ids(tok):
+    rng = random.Random(4)
+    signs = [chr(i) for i in range(0x3001) if chr(i).isspace()] + ["\u180e", "\u200b", "\ufeff", "'s", "'LL", "12", "²", "½", "éa", "Ab", "the", "中", "\U0001f600", "!?", "_", "▁", "<s>", "<|endoftext|>", "\x00"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 25))) for _ in range(5000)] + ["x" * 20_000, " " * 4095 + "a", "\n" * 4095, (" " * 4000 + "b") * 9, " " * 1_000_000 + "a"]
+    assert tok.a_encode(texts) == [x.ids for x in tok.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_coalesce_and_links_on_random_cuts():
     rng = np.random.default_rng(3)
     for _ in range(50):
