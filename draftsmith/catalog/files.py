@@ -30,17 +30,38 @@ from draftsmith.tables import table
 G = "files"
 
 
-def _named(spark: SparkSession, rows: DataFrame, path: str, fmt: str = "text") -> None:
-    """Write ``rows`` as the one file ``path`` (the name is what readers go by)."""
-    tmp = f"{path}-parts"
-    rows.coalesce(1).write.format(fmt).save(tmp)
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(fs_path(tmp)) if s.getPath().getName().startswith("part-"))
-    fs.mkdirs(fs_path(path).getParent())
-    if not fs.rename(part, fs_path(path)):
-        raise OSError(f"{path} cannot be written")
+PART_ROWS = 1000  # rows that one staged document holds, about
+
+
+def _staged(spark: SparkSession, rows: DataFrame, targets) -> None:
+    """Write ``rows(value)`` as text, a file for each part of the frame or for each
+    value of a column ``part``, under the paths that ``targets`` gives in turn."""
+    tmp = f"{scratch(spark, 'staged')}/rows"
+    (rows.write.partitionBy("part") if "part" in rows.columns else rows.write).text(tmp)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(tmp).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(s.getPath().toString() for s in fs.globStatus(fs_path(f"{tmp}/{'part=*/' if 'part' in rows.columns else ''}part-*")) if s.isFile())
+    for k, file in enumerate(files):
+        path = fs_path(targets(k))
+        fs.mkdirs(path.getParent())
+        if not fs.rename(fs_path(file), path):
+            raise OSError(f"{path.toString()} cannot be written")
+
+
+def _named(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> None:
+    """Files ``folder/<k>/name`` with the rows (readers go by the name)."""
+    _staged(spark, rows, lambda k: f"{folder}/{k}/{name}")
+
+
+def _document(spark: SparkSession, row: DataFrame, path: str) -> None:
+    """The one row of ``row`` as the file ``path``."""
+    _staged(spark, row.coalesce(1), lambda k: path)
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``part``, so that a part has about ``PART_ROWS`` rows at any size."""
+    parts = -(-df.count() // PART_ROWS)
+    return df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(max(1, parts))))
 
 
 def _chats(spark, sf):
@@ -72,9 +93,9 @@ def raw_chats_without_ids(spark, sf):
     base = scratch(spark, "raw")
     chats = _chats(spark, sf).select("conv_id", _turns(role="from", text="value").alias("conversations"))
     even = chats.filter("conv_id % 2 = 0").select(F.to_json(F.struct("conversations")).alias("value"))
-    odd = chats.filter("conv_id % 2 = 1").agg(F.to_json(F.collect_list(F.struct("conversations"))).alias("value"))
-    _named(spark, even, f"{base}/in/a/part.jsonl")
-    _named(spark, odd, f"{base}/in/b.json")
+    odd = _dealt(chats.filter("conv_id % 2 = 1"), "conv_id").groupBy("part").agg(F.to_json(F.collect_list(F.struct("conversations"))).alias("value"))
+    _named(spark, even, f"{base}/in/a", "part.jsonl")
+    _named(spark, odd, f"{base}/in/b", "chats.json")
     raw = conversations.read_conversations(spark, f"{base}/in")
     turns = conversations.to_turns(raw, "idx")
     back = turns.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("turn", "from", "role", "value", "content"))).alias("conversations"))
@@ -98,7 +119,7 @@ def preset_sources(spark, sf):
     qa = u.join(a, ["conv_id", "turn"])
     specs = conversations.PRESETS
     at = lambda name: conversations._dataset_dir(f"{base}/root", specs[name].dataset_id, specs[name].subset, specs[name].split)
-    lines = lambda df, path: _named(spark, df.select(F.to_json(F.struct("*")).alias("value")), f"{path}/data.jsonl")
+    lines = lambda df, path: _named(spark, df.select(F.to_json(F.struct("*")).alias("value")), path, "data.jsonl")
     lines(chats.select(_turns().alias("messages")), at("ultrachat"))
     lines(qa.select("question", "answer"), at("gsm8k"))
     lines(qa.select(F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("input"), F.col("answer").alias("output")), at("nemotron"))
@@ -196,12 +217,12 @@ SELECT 'estimated', 'data/data_' || doc_id || '.pt',
 FROM documents""", G)
 def sample_length_lookup(spark, sf):
     """Lengths by file name; one that is missing makes all estimated."""
-    path = f"{scratch(spark, 'lengths')}/sample_lengths.json"
+    path = f"{scratch(spark, 'lengths')}/in"
     d = table(spark, sf, "documents", "doc_id", "n_chars")
-    entries = d.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("n_chars"))))).alias("value"))
-    _named(spark, entries, path)
+    entry = F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("n_chars"))))
+    _named(spark, _dealt(d, "doc_id").groupBy("part").agg(F.to_json(entry).alias("value")), path, "sample_lengths.json")
     files = d.select(F.concat(F.lit("data/data_"), F.col("doc_id").cast("string"), F.lit(".pt")).alias("path"), (F.col("n_chars").cast("bigint") + 1).alias("length"))
-    known = artefacts.sample_lengths(spark, files, path)
+    known = artefacts.sample_lengths(spark, files, f"{path}/*")
     guessed = artefacts.sample_lengths(spark, files, None, first_len=100)
     return known.select(F.lit("known").alias("kind"), "path", "length").unionByName(guessed.select(F.lit("estimated").alias("kind"), "path", "length"))
 
@@ -218,7 +239,7 @@ def _bench_file(spark, rows, path, requests=None):
         F.struct(*[m(c).alias(k) for k, c in benchmarks.METRICS_TO_EXTRACT], m("total_output_tokens").alias("output_tokens")).alias("metrics"),
     )
     doc = rows.agg(F.collect_list(b).alias("benchmarks"), F.array(F.struct(F.concat(F.lit("data/"), F.first("subset"), F.lit(".jsonl")).alias("data_files"))).alias("d"))
-    _named(spark, doc.select(F.to_json(F.struct("benchmarks", F.struct(F.col("d").alias("data_args")).alias("args"))).alias("value")), path)
+    _document(spark, doc.select(F.to_json(F.struct("benchmarks", F.struct(F.col("d").alias("data_args")).alias("args"))).alias("value")), path)
 
 
 SUBSETS = ("sub0", "sub1", "sub2", "sub3")  # user_id mod 4, see catalog.evaluation
@@ -247,11 +268,12 @@ SELECT subset, CAST(pow(2, ceil(log2(greatest(median(CAST(round(value * 10) AS B
 def generation_length_files(spark, sf):
     """Request lengths read from documents, budgets written as JSON."""
     base = scratch(spark, "genlen")
-    ev = _events(spark, sf).select("subset", F.round(F.col("value") * 10).cast("bigint").alias("output_tokens"))
+    ev = _events(spark, sf).select("event_id", "subset", F.round(F.col("value") * 10).cast("bigint").alias("output_tokens"))
     for s in SUBSETS:
-        req = ev.filter(F.col("subset") == s).agg(F.array(F.struct(F.struct(F.collect_list(F.struct("output_tokens")).alias("successful")).alias("requests"))).alias("benchmarks"))
-        _named(spark, req.select(F.to_json(F.struct("benchmarks")).alias("value")), f"{base}/in/gen_len_{s}.json")
-    g = generation_lengths(benchmarks.read_generation_lengths(spark, f"{base}/in"))
+        requests = F.struct(F.struct(F.collect_list(F.struct("output_tokens")).alias("successful")).alias("requests"))
+        req = _dealt(ev.filter(F.col("subset") == s), "event_id").groupBy("part").agg(F.array(requests).alias("benchmarks"))
+        _named(spark, req.select("part", F.to_json(F.struct("benchmarks")).alias("value")), f"{base}/in/{s}", f"gen_len_{s}.json")
+    g = generation_lengths(benchmarks.read_generation_lengths(spark, f"{base}/in/*/*"))
     benchmarks.write_budget(g, f"{base}/budget")
     back = spark.read.schema("max_tokens map<string,bigint>").json(f"{base}/budget")
     return back.select(F.explode("max_tokens").alias("subset", "max_tokens"))
@@ -323,7 +345,7 @@ def val_metric_files(spark, sf):
     base = scratch(spark, "val")
     n = table(spark, sf, "embeddings", "label").filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n"))
     for r in n.select("label").collect():  # the ten labels
-        _named(spark, n.filter(F.col("label") == r["label"]).select(F.to_json(F.struct("n")).alias("value")), f"{base}/{r['label']}/val_metrics.json")
+        _document(spark, n.filter(F.col("label") == r["label"]).select(F.to_json(F.struct("n")).alias("value")), f"{base}/{r['label']}/val_metrics.json")
     return artefacts.read_val_metrics(spark, base)
 
 
@@ -344,6 +366,6 @@ def legacy_files(spark, sf):
     labels = table(spark, sf, "embeddings", "label").filter("label IS NOT NULL").distinct()
     for r in labels.collect():  # the ten labels
         one = labels.filter(F.col("label") == r["label"]).select(F.col("label").cast("string").alias("value"))
-        _named(spark, one, f"{base}/in/{r['label']}/data_{r['label']}.pt")
-        _named(spark, one, f"{base}/in/{r['label']}/notes.txt")
+        _document(spark, one, f"{base}/in/{r['label']}/data_{r['label']}.pt")
+        _document(spark, one, f"{base}/in/{r['label']}/notes.txt")
     return artefacts.legacy_sample_files(spark, f"{base}/in").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))

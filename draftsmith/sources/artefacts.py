@@ -73,18 +73,21 @@ def legacy_sample_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sample_lengths(spark: SparkSession, files: DataFrame, lengths_json: str | None, first_len: int | None = None) -> DataFrame:
-    """Sample lengths from ``sample_lengths.json`` (``{"<N>": len}``) keyed by the
-    part after the last ``_`` of each file stem; if *any* file has no entry,
+    """Sample lengths from ``sample_lengths.json`` (``{"<N>": len}``; one file, or
+    a folder of such) keyed by the part after the last ``_`` of each file stem; if *any* file has no entry,
     every length falls back to ``ceil(size / size_0 * len_0)`` (file 0 = first
     by path, ``len_0`` = its known length).
 
     One left join plus one ``bool_or`` aggregate (a scalar) decides the branch.
+    The lengths are read as a table: records end at the commas, so a large file
+    is read by many tasks and no map is ever one value.
     """
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     f = files.select("path", "length", F.element_at(F.split(stem, "_"), -1).alias("_key"))
     if lengths_json is not None:
-        m = spark.read.text(lengths_json, wholetext=True).select(F.from_json("value", "map<string,bigint>").alias("m"))
-        f = f.join(m.select(F.explode("m").alias("_key", "_len")), "_key", "left")
+        entry = r'^[\s\uFEFF{]*"([^"]*)"\s*:\s*(-?\d+)[\s}]*$'
+        m = spark.read.option("lineSep", ",").text(lengths_json).filter(F.col("value").rlike(entry))
+        f = f.join(m.select(F.regexp_extract("value", entry, 1).alias("_key"), F.regexp_extract("value", entry, 2).cast("bigint").alias("_len")), "_key", "left")
     else:
         f = f.withColumn("_len", F.lit(None).cast("bigint"))
     stats = f.agg(F.bool_or(F.col("_len").isNull()).alias("missing"), F.min_by("length", "path").alias("size0")).first()

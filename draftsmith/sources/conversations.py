@@ -13,15 +13,19 @@ Parquet or JSON), plus its filter and normaliser.
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftsmith.operators.normalize import conversations_to_long
+from draftsmith.sources.json_arrays import read_json_documents
 
 PART = T.StructType(
     [
@@ -72,26 +76,38 @@ RAW_SCHEMA = T.StructType(
 )
 
 
-def _read_json_files(spark: SparkSession, path: str, schema: T.StructType, recursive: bool) -> DataFrame:
-    """``.jsonl`` files are line-delimited; ``.json`` files hold one document or an array."""
+_JSON_IDS = 1 << 62  # rows of JSON documents are numbered below the negative of this
+
+
+def _read_json_documents(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """``.json`` documents (one object or an array each), an array read by as many
+    tasks as it has byte ranges.  A row without ``idx`` gets the negative number of
+    its file (in the order of their paths) and of its place there."""
+    df = read_json_documents(spark, path, schema, glob=glob, recursive=recursive)
+    if "idx" not in df.columns:
+        return df.drop("_file", "_element")
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9.+-]+):/+", "$1:/")
+    files = spark.createDataFrame([(f, -_JSON_IDS - (k << 34)) for k, f in enumerate(sorted(df.inputFiles()))], "_path string, _base bigint")
+    df = df.join(files.select(plain(F.col("_path")).alias("_path"), "_base"), plain(F.col("_file")) == F.col("_path"), "left")
+    return df.withColumn("idx", F.coalesce(F.col("idx"), F.col("_base") - F.col("_element"))).drop("_file", "_element", "_path", "_base")
+
+
+def _read_json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All files below a folder: ``.jsonl`` files are line-delimited, ``.json`` files documents."""
     frames = []
-    for pattern, multiline in (("*.jsonl", False), ("*.json", True)):
-        r = spark.read.schema(schema).option("multiLine", multiline).option("pathGlobFilter", pattern)
-        if recursive:
-            r = r.option("recursiveFileLookup", "true")
+    lines = lambda: spark.read.schema(schema).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").json(path)
+    for read in (lines, lambda: _read_json_documents(spark, path, schema, "*.json", True)):
         try:
-            df = r.json(path)
-        except Exception as e:  # noqa: BLE001 - no file of this kind
-            if "PATH_NOT_FOUND" in str(e) or "Unable to infer" in str(e):
-                continue
-            raise
-        frames.append(df)
+            df = read()
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            if df.inputFiles():
+                frames.append(df)
     if not frames:
         raise ValueError(f"{path}: the folder holds no JSON or JSON-lines files")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def list_content(df: DataFrame) -> DataFrame:
@@ -114,7 +130,7 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     """Raw rows as they leave a reader: list content split (P9), and an ``idx`` in
     every row: its own, else a negative number that no other row of the source
     has (the same on every read of the same files and splits), so that files
-    without ids keep one conversation per row."""
+    without ids keep one conversation per row.  (Rows of JSON documents have one already.)"""
     df = list_content(df)
     if "idx" not in df.columns:
         return df
@@ -128,16 +144,10 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA)
     (checked from the file listing, ``inputFiles()`` — metadata only).
     """
     if path.endswith(".jsonl"):
-        return with_row_ids(spark.read.schema(schema).option("multiLine", False).json(path))
+        return with_row_ids(spark.read.schema(schema).json(path))
     if path.endswith(".json"):
-        return with_row_ids(spark.read.schema(schema).option("multiLine", True).json(path))
-    df = _read_json_files(spark, path, schema, recursive=True)
-    if not df.inputFiles():
-        raise ValueError(f"{path}: the folder holds no JSON or JSON-lines files")
-    return with_row_ids(df)
-
-
-# ------------------------------------------------------------------ normalisers
+        return with_row_ids(_read_json_documents(spark, path, schema))
+    return with_row_ids(_read_json_files(spark, path, schema))
 
 
 def _turn(role: str | Column, content: Column) -> Column:
@@ -254,9 +264,6 @@ def to_turns(df: DataFrame, id_col: str = "idx") -> DataFrame:
     return conversations_to_long(df, id_col, "conversations")
 
 
-# ------------------------------------------------------------------ registry
-
-
 @dataclass(frozen=True)
 class SourceSpec:
     """S3 + X1: a named preset — dataset location, filter (a DataFrame →
@@ -282,24 +289,16 @@ PRESETS: dict[str, SourceSpec] = {
 }
 
 
+# hf:<id>, then nothing, :<split>, or :<subset>:<split>
+_HUB_SPEC = re.compile(r"(?:hf:)?(?P<id>[^:]+)(?:(?::(?P<subset>[^:]+))?:(?P<split>[^:]+))?")
+
+
 def parse_hub_spec(spec: str) -> tuple[str, str | None, str]:
-    """``hf:<id>[:<subset>]:<split>`` → ``(id, subset, split)``; default split ``train``."""
-    parts = spec.removeprefix("hf:").split(":")
-    if len(parts) == 1:
-        ds, subset, split = parts[0], None, "train"
-    elif len(parts) == 2:
-        ds, subset, split = parts[0], None, parts[1]
-    elif len(parts) == 3:
-        ds, subset, split = parts
-    else:
-        raise ValueError(f"{spec!r}: too many ':'-separated parts (dataset id, optional subset, split)")
-    if not ds:
-        raise ValueError(f"{spec!r}: the dataset id is empty")
-    if subset == "":
-        raise ValueError(f"{spec!r}: the subset is empty")
-    if not split:
-        raise ValueError(f"{spec!r}: the split is empty")
-    return ds, subset, split
+    """Dataset id, subset (or None) and split (``train`` if not named)."""
+    m = _HUB_SPEC.fullmatch(spec)
+    if m is None:
+        raise ValueError(f"{spec!r} does not read as hf:<id>[[:<subset>]:<split>] with no part empty")
+    return m["id"], m["subset"], m["split"] or "train"
 
 
 def _dataset_dir(root: str, ds: str, subset: str | None, split: str) -> str:
@@ -308,7 +307,7 @@ def _dataset_dir(root: str, ds: str, subset: str | None, split: str) -> str:
 
 def _read_dataset_dir(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-    return with_row_ids(df if df.inputFiles() else _read_json_files(spark, path, schema, recursive=True))
+    return with_row_ids(df if df.inputFiles() else _read_json_files(spark, path, schema))
 
 
 def read_conversations(
