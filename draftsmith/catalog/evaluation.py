@@ -37,6 +37,9 @@ from draftsmith.operators.evaluation import (
     smooth,
     storage_estimate,
 )
+from draftsmith.plans.evaluate import speedup
+from draftsmith.sources.benchmarks import write_result_rows
+from draftsmith.streaming.jobs import scratch
 from draftsmith.tables import table
 
 G = "evaluation"
@@ -297,6 +300,49 @@ def speedup_interpolated(spark, sf):
     return r.select("subset", F.col("i").cast("int"), *[F.round(c, 6).alias(c) for c in ("x", "y_base", "y_target", "speedup")])
 
 
+def _sql_cubic(raw: str, out: str, dense: int = 300) -> str:
+    """CTEs that turn points ``raw(subset, x, y)`` into their least-squares cubic on
+    ``dense`` even places, by orthogonal polynomials of the points."""
+    return f"""{out}_0 AS (SELECT r.subset, x, y, lo, hi, k, CASE WHEN k > 1 THEN (x - lo) / (hi - lo) ELSE 0 END AS u
+  FROM {raw} r JOIN (SELECT subset, min(x) AS lo, max(x) AS hi, count(DISTINCT x) AS k FROM {raw} GROUP BY subset) USING (subset)),
+{out}_1 AS (SELECT *, u - a0 AS p1 FROM {out}_0 JOIN (SELECT subset, avg(u) AS a0, avg(y) AS c0, CAST(count(*) AS DOUBLE) AS n0 FROM {out}_0 GROUP BY subset) USING (subset)),
+{out}_2 AS (SELECT *, (u - a1) * p1 - n1 / n0 AS p2 FROM {out}_1 JOIN (
+  SELECT subset, sum(u * p1 * p1) / sum(p1 * p1) AS a1, sum(y * p1) / sum(p1 * p1) AS c1, sum(p1 * p1) AS n1 FROM {out}_1 WHERE k > 1 GROUP BY subset) USING (subset)),
+{out}_3 AS (SELECT *, (u - a2) * p2 - n2 / n1 * p1 AS p3 FROM {out}_2 JOIN (
+  SELECT subset, CASE WHEN k > 2 THEN sum(u * p2 * p2) / sum(p2 * p2) ELSE 0 END AS a2, CASE WHEN k > 2 THEN sum(y * p2) / sum(p2 * p2) ELSE 0 END AS c2,
+         CASE WHEN k > 2 THEN sum(p2 * p2) ELSE 0 END AS n2 FROM {out}_2 GROUP BY subset, k) USING (subset)),
+{out}_4 AS (SELECT subset, k, lo, hi, a0, a1, a2, c0, c1, c2, n1 / n0 AS b1, n2 / n1 AS b2, CASE WHEN max(k) > 3 THEN sum(y * p3) / sum(p3 * p3) ELSE 0 END AS c3
+  FROM {out}_3 GROUP BY ALL),
+{out}_5 AS (SELECT *, i / {dense - 1}.0 AS u FROM (SELECT *, unnest(range({dense})) AS i FROM {out}_4)),
+{out} AS (SELECT subset, lo + (hi - lo) * u AS x, c0 + c1 * p1 + c2 * p2 + c3 * ((u - a2) * p2 - b2 * p1) AS y
+  FROM (SELECT *, (u - a1) * p1 - b1 AS p2 FROM (SELECT *, u - a0 AS p1 FROM {out}_5))
+  UNION ALL SELECT subset, x, y FROM {out}_0 WHERE k = 1)"""
+
+
+@register("speedup_smoothed", f"""WITH {_SQL_EVENTS},
+{_SQL_CURVES.replace('cb AS', 'kb AS').replace('cs AS', 'ks AS')},
+{_sql_cubic('kb', 'cb')},
+{_sql_cubic('ks', 'cs')},
+rb AS (SELECT subset, min(x) AS lo, max(x) AS hi FROM kb GROUP BY subset),
+rs AS (SELECT subset, min(x) AS lo, max(x) AS hi FROM ks GROUP BY subset),
+ov AS (SELECT rb.subset, greatest(rb.lo, rs.lo) AS lo, least(rb.hi, rs.hi) AS hi FROM rb JOIN rs USING (subset)
+       WHERE greatest(rb.lo, rs.lo) < least(rb.hi, rs.hi)),
+grid AS (SELECT subset, CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 199 AS x FROM (SELECT *, UNNEST(range(200)) AS i FROM ov)),
+{_sql_interp('cb', 'base')},
+{_sql_interp('cs', 'target')}
+SELECT b.subset, b.i, round(b.x, 4) AS x, round(b.y_base, 4) AS y_base, round(t.y_target, 4) AS y_target,
+       round(b.y_base / greatest(t.y_target, 1e-12), 4) AS speedup
+FROM i_base b JOIN i_target t USING (subset, i)""", G)
+def speedup_smoothed(spark, sf):
+    """Result files of two runs, each curve smoothed, then interpolated."""
+    path = scratch(spark, "speedup")
+    rows = _sweep(_events(spark, sf), ("run", "subset", "event_type"))
+    for run in ("base", "spec"):
+        write_result_rows(rows.filter(F.col("run") == run), f"{path}/{run}.csv")
+    r = speedup(spark, [f"B={path}/base.csv"], [f"T={path}/spec.csv"], "latency")
+    return r.select("subset", F.col("i").cast("int"), *[F.round(c, 4).alias(c) for c in ("x", "y_base", "y_target", "speedup")])
+
+
 @register("curve_smoothing", f"""WITH {_SQL_EVENTS},
 {_SQL_CURVES},
 pts AS (SELECT 'base' AS label, * FROM cb UNION ALL SELECT 'spec', * FROM cs)

@@ -70,15 +70,55 @@ def id_rank(df: DataFrame, id_col: str, rank_col: str = "rank") -> DataFrame:
     return global_rank(df, [F.col(id_col)], bucket, rank_col, max_buckets=ID_BUCKETS)
 
 
+def smallest_keys(df: DataFrame, key: str, n: int, digits: int = 3, most: int = 1 << 12) -> tuple[str, bool, int]:
+    """Distributed selection of the ``n`` smallest values of ``key`` (hex strings of
+    one length): ``(cut, all_of_cut, rest)``.
+
+    A histogram of key prefixes (at most ``16**digits`` rows reach the driver)
+    finds the bucket in which the ``n``-th key lies; that bucket alone is counted
+    again by its next digits, until it has at most ``most`` keys, which are looked
+    at.  Keys below ``cut`` are in; of those equal to it all, or else ``rest`` rows.
+    """
+    prefix, need = "", n
+    while True:
+        here = df.filter(F.col(key).startswith(prefix)) if prefix else df
+        counts = here.groupBy(F.substring(key, len(prefix) + 1, digits).alias("k")).count().orderBy("k").collect()
+        for r in counts:
+            if r["count"] >= need:
+                break
+            need -= r["count"]
+        else:  # fewer rows than asked for: only on the first pass
+            return "g", False, 0
+        prefix += r["k"]
+        if r["k"] == "" or len(r["k"]) < digits:  # the whole key: equal rows
+            return prefix, r["count"] == need, need
+        if r["count"] <= most:
+            keys = sorted(x[0] for x in df.filter(F.col(key).startswith(prefix)).select(key).collect())
+            cut = keys[need - 1]
+            below = sum(k < cut for k in keys)
+            return cut, keys.count(cut) == need - below, need - below
+
+
 def shuffle_cap(df: DataFrame, seed: int, id_col: str, n: int | None, unique_ids: bool = True) -> DataFrame:
     """O1 + O2/O3: keep the first ``n`` rows of the seeded order (all if None).
 
-    A filter on the distributed rank — no single-partition ``limit``.
+    The ``n``-th key is found by :func:`smallest_keys` (when called; it reads ids
+    only), and the rows are filtered by it: no rank, no window, no exchange.  Rows
+    of equal ids (``unique_ids=False``) are ordered by a hash of the whole row.
     """
-    ranked = seeded_rank(df, seed, id_col, "_srank", unique_ids=unique_ids)
-    if n is not None:
-        ranked = ranked.filter(F.col("_srank") < n)
-    return ranked.drop("_srank")
+    if n is None:
+        return df
+    if n <= 0:
+        return df.filter(F.lit(False))
+    key = seeded_hex(seed, id_col)
+    if not unique_ids:
+        key = F.concat(key, F.lpad(F.lower(F.hex(F.xxhash64(*[F.col(c) for c in df.columns]))), 16, "0"))
+    keyed = df.withColumn("_key", F.coalesce(key, F.lit("f" * (32 if unique_ids else 48))))
+    cut, whole, rest = smallest_keys(keyed.select("_key"), "_key", n)
+    if whole or not rest:
+        return keyed.filter(F.col("_key") <= cut).drop("_key")
+    # rows that nothing tells apart: any of them will do
+    return keyed.filter(F.col("_key") < cut).unionAll(keyed.filter(F.col("_key") == cut).limit(rest)).drop("_key")
 
 
 def union_shuffle_cap(frames: list[DataFrame], seed: int, id_col: str, per_source_cap: int | None, final_cap: int | None) -> DataFrame:
