@@ -9,8 +9,11 @@ character kinds, phone numbers their country code, card numbers their first
 digit and whether the Luhn check holds.  Surrogates are then checked over the
 whole corpus: one that two units share, or that is itself a unit of the corpus,
 stays with none but the smallest unit, the others draw again, until all are
-distinct.  Equal units get equal surrogates everywhere (coreference), different
-units different ones.
+distinct.  Where a format is crowded (``a@b.de`` has 676 of its shape) later draws
+are longer: names and mail addresses from the second draw on, other kinds only
+after ``_SAME_LENGTH`` draws, so units of any number get distinct surrogates.
+Equal units get equal surrogates everywhere (coreference), different units
+different ones.
 
 On Spark: finding is narrow; distinct units are one aggregate (map-side
 combine), each round of the check is one aggregate and one equi join on the
@@ -57,7 +60,8 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _CHEAP = f"[@0-9]|(?<![\\p{{L}}\\p{{N}}]){_TITLE} \\p{{Lu}}"  # no entity without one of these
 KEY = "draftsmith-surrogates-1"
-_ROUNDS = 12
+_SAME_LENGTH = 8  # draws that keep a format's length
+_ROUNDS = 40
 
 
 def _let(value: Column, body) -> Column:
@@ -161,19 +165,22 @@ def _draw(attempt: int, key: str) -> Column:
     def drawn(h: Column) -> Column:
         octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string"))
         tld = F.regexp_extract(unit, "\\.[^.]*$", 0)
-        mail = F.concat(_same_shape(F.substr(unit, F.lit(1), F.length(unit) - F.length(tld)), h, F.lit(0)), tld)
+        more = F.concat(*[_pick("abcdefghijklmnopqrstuvwxyz", _byte(h, F.lit(63 - i))) for i in range(max(1, 2 * attempt))]) if attempt else F.lit("")
+        mail = F.concat(more, _same_shape(F.substr(unit, F.lit(1), F.length(unit) - F.length(tld)), h, F.lit(0)), tld)
         hexes = F.substr(F.repeat(h, 1 + 4), F.lit(1), F.length(unit))
-        return (
-            F.when(what == "email", mail)
-            .when(what == "ip", F.array_join(octets, "."))
+        longer = max(0, attempt - _SAME_LENGTH + 1)
+        extra = F.concat(*[_pick("0123456789", _byte(h, F.lit(40 + i))) for i in range(longer)]) if longer else F.lit("")
+        same = (
+            F.when(what == "ip", F.array_join(octets, "."))
             .when(what == "phone", _same_shape(unit, h, F.greatest(F.length(unit) - 10, F.lit(0))))
             .when(what == "card", _card(unit, h))
             .when(what == "iban", _same_shape(unit, h, F.lit(2)))
             .when((what == "secret") & unit.rlike("^[0-9a-f]{1,640}$"), hexes)
             .when((what == "secret") & unit.rlike("^[0-9A-F]{1,640}$"), F.upper(hexes))
-            .when(what.isin("secret", "ssn"), _same_shape(unit, h, F.lit(0)))
-            .otherwise(_name(unit, h, what, attempt))
+            .otherwise(_same_shape(unit, h, F.lit(0)))
         )
+        fixed = what.isin("ip", "phone", "card", "iban", "secret", "ssn")
+        return F.when(what == "email", mail).when(fixed, F.concat(same, extra)).otherwise(_name(unit, h, what, attempt))
 
     return _let(h0, drawn)
 
@@ -195,7 +202,7 @@ def surrogate_table(units: DataFrame, *, key: str = KEY) -> DataFrame:
         left = units.join(done, ["type", "unit"], "left_anti").checkpoint()
         if left.isEmpty():
             return done
-    raise ValueError("some entity kinds have more units in the corpus than surrogates of their format")
+    raise ValueError(f"surrogates still collide after {_ROUNDS} draws, of which the last are longer than their units: the draws do not differ")
 
 
 def _render(e: Column, what: Column, got: Column) -> Column:
@@ -209,6 +216,8 @@ def _render(e: Column, what: Column, got: Column) -> Column:
     nth = lambda i: F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
     chars = F.filter(F.split(e, ""), lambda c: c != "")
     spread = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(got[0], nth(i), F.lit(1))).otherwise(c)), "")
+    rest = F.substr(got[0], nth(F.length(e) - 1) + 1)  # of a surrogate that had to be longer
+    spread = F.concat(spread, rest)
     loud = (what == "email") & (F.upper(e) == e)
     return F.when(what == "person", person).when(loud, F.upper(got[0])).when(what.isin("email", "ip"), got[0]).otherwise(spread)
 

@@ -67,9 +67,30 @@ def test_collisions_draw_again(spark, monkeypatch):
     assert got["a"] == "t-0" and got["b"] == "t-1-b" and got["d"] == "t-2-d"  # t-1-d is a unit itself
 
 
-def test_too_few_surrogates_is_an_error(spark, monkeypatch):
+def test_crowded_formats_get_distinct_surrogates(spark):
+    """More addresses than half of their shape, and a kind with ten values."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.de" for a in letters for b in letters]
+    rows = [(i, f"mail {m} or {m.upper()} now") for i, m in enumerate(mails)]
+    got = replaced(spark, rows)
+    seen = {}
+    for i, m in enumerate(mails):
+        one, two = re.fullmatch(r"mail (\S+@\S+\.de) or (\S+@\S+\.DE) now", got[i].text).groups()
+        assert one.upper() == two and one not in mails
+        seen[m] = one
+    assert len(set(seen.values())) == 676
+    units = spark.createDataFrame([("ssn", str(d)) for d in range(10)] + [("ip", "1.2.3.4")], "type string, unit string")
+    table = {r.unit: r.surrogate for r in G.surrogate_table(units).collect()}
+    assert len(set(table.values())) == 11 and not set(table.values()) & set(table)
+    shown = spark.createDataFrame([("123-45", "123459"), ("123-45", "12345")], "e string, s string")
+    shown = shown.select(G._render(F.col("e"), F.lit("ssn"), F.array("s")).alias("r")).collect()
+    assert [r.r for r in shown] == ["123-459", "123-45"]
+
+
+def test_draws_that_never_differ_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(G, "_draw", lambda attempt, key: F.lit("same"))
-    with pytest.raises(ValueError, match="more units"):
+    monkeypatch.setattr(G, "_ROUNDS", 3)
+    with pytest.raises(ValueError, match="still collide"):
         G.surrogate_table(spark.createDataFrame([("t", "a"), ("t", "b")], "type string, unit string"))
 
 
