@@ -220,8 +220,9 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = components(near_links(classes.select("fp"), max_bits=max_bits, blocks=blocks))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = rooted.checkpoint()
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "root", "component_id").checkpoint()  # both sides of the last join are plain exchanges
+    # written first, so that both sides of the joins are plain exchanges, which AQE splits at a hot root
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
+    by_fp = rooted.join(named, "root").select("fp", "root", "component_id").checkpoint()
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return own.join(by_fp, "fp").select(real("id").alias(id_col), "text_key", "fp", "root", real("component_id").alias("component_id"))
 
