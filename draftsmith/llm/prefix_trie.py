@@ -16,9 +16,10 @@ of a hash of depth and turn (role and text by SHA-256).  It needs no order, so
 partial aggregates serve, and a conversation is never held in one task.
 
 On Spark: texts are read once and turned into keys and word counts; all rounds
-are equi joins and aggregates over those rows, each cut with ``checkpoint()``;
-joined sides are plain exchanges, which AQE splits where many conversations
-share a prefix.  Turns are numbered by a sort over ranges of (conversation, turn, key),
+are equi joins and aggregates over those rows, each written as a table below the
+shared checkpoint folder and read again (a checkpointed plan keeps what the
+optimizer inferred of it, which would grow with every round); joined sides are
+plain exchanges, which AQE splits where many conversations share a prefix.  Turns are numbered by a sort over ranges of (conversation, turn, key),
 so a conversation may span many tasks.  The digest of a node's ends runs over
 texts of up to 256 ids that are streamed in order (SHA-256 is sequential; memory
 is that of one Arrow batch).  Only two numbers reach the driver.
@@ -33,6 +34,7 @@ table has no nodes; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +48,14 @@ _IDS = 8  # bits of the ids that one text of ids covers
 _TURN = ("k1", "k2", "w")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a folder of its own and read from it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/trie-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def turn_keys(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv, turn, k1, k2, w)``: two keys of role and text, and the text's words."""
     role, text = (F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (role_col, text_col))
@@ -63,7 +73,7 @@ def numbered(keys: DataFrame) -> DataFrame:
     """``(conv, pos, k1, k2, w)``: turns numbered from 1 in each conversation."""
     order = (F.col("turn").asc_nulls_first(), "k1", "k2")
     rows = keys.groupBy("conv", "turn", *_TURN).agg(F.count("*").alias("n"))
-    rows = rows.repartitionByRange("conv", *order).sortWithinPartitions("conv", *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    rows = _stored(rows.repartitionByRange("conv", *order).sortWithinPartitions("conv", *order).withColumn("part", F.spark_partition_id()))
     sizes = rows.groupBy("conv", "part").agg(F.sum("n").alias("size"))
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("conv", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
@@ -80,7 +90,7 @@ def rebuilt(turns: DataFrame, every: int = SWAP_EVERY) -> tuple[DataFrame, DataF
     sizes = turns.groupBy("conv").agg(F.max("pos").alias("size"))
     plan = sizes.select("conv", (F.crc32(conv.cast("string")) % 4).alias("h"), (conv - conv % every).alias("base"), "size")
     base = sizes.where(conv % every == 0).select(conv.alias("base"), F.col("size").alias("base_size"))
-    plan = plan.join(base, "base", "left").select("conv", "base", "h", F.least("h", F.coalesce("base_size", F.lit(0))).alias("taken")).checkpoint()
+    plan = _stored(plan.join(base, "base", "left").select("conv", "base", "h", F.least("h", F.coalesce("base_size", F.lit(0))).alias("taken")))
     own = turns.join(plan, "conv").where("pos > h").select("conv", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), *_TURN)
     heads = turns.where((F.col("pos") <= 3) & (conv % every == 0)).withColumnRenamed("conv", "base")
     heads = heads.join(plan, "base").where("pos <= taken").select("conv", "pos", *_TURN)
@@ -100,8 +110,8 @@ def cut(u: DataFrame, half: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     sides = [F.bit_xor(F.when(upper, _mixed(i))).alias(f"x{i}") for i in (1, 2)]
     s = u.groupBy("a", "root", "seq", "weight").agg(*sides, F.count(F.when(upper, 1)).alias("n")).where(F.col("n") == half)
     key = ["a", "root", "x1", "x2"]
-    names = s.groupBy(*key).agg(F.min("seq").alias("rep"), F.sum("weight").alias("total")).checkpoint()
-    named = s.join(names, key).select("a", "seq", "rep", "total", "x1", "x2").checkpoint()
+    names = _stored(s.groupBy(*key).agg(F.min("seq").alias("rep"), F.sum("weight").alias("total")))
+    named = _stored(s.join(names, key).select("a", "seq", "rep", "total", "x1", "x2"))
     x = u.join(named, ["a", "seq"], "left").where(~upper | F.col("rep").isNull() | (F.col("rep") == F.col("seq")))
     first = lambda up, low: F.when(upper, up).otherwise(low)
     out = x.select(
@@ -113,7 +123,7 @@ def cut(u: DataFrame, half: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         "pos",
         *_TURN,
     )
-    return out.checkpoint(), names.select("a", "rep"), named.select("a", "seq", "rep")
+    return _stored(out), names.select("a", "rep"), named.select("a", "seq", "rep")
 
 
 def children(u: DataFrame) -> DataFrame:
@@ -130,7 +140,7 @@ def _needed(cuts: list[tuple[int, DataFrame, DataFrame]]) -> dict[int, DataFrame
         need[half] = names.select("a", F.col("rep").alias("seq"))
         if 2 * half in need:
             need[half] = need[half].unionAll(need[2 * half].select((F.col("a") + half).alias("a"), "seq"))
-        need[half] = need[half].checkpoint()
+        need[half] = _stored(need[half])
     return need
 
 
@@ -142,17 +152,18 @@ def graft(u: DataFrame, nodes: DataFrame, totals: DataFrame, cuts: list[tuple[in
     for half, _, named in reversed(cuts):
         if paths is None:
             at = nodes.select((F.col("depth") - 1).alias("a"), F.col("parent").alias("root"), *_TURN, "conv")
-            paths = u.join(need[half], ["a", "seq"], "left_semi").join(at, ["a", "root", *_TURN]).select("a", "seq", "pos", "conv").checkpoint()
+            paths = _stored(u.join(need[half], ["a", "seq"], "left_semi").join(at, ["a", "root", *_TURN]).select("a", "seq", "pos", "conv"))
         below = totals.where((F.col("depth") - 1) % (2 * half) == half).groupBy((F.col("depth") - 1 - half).alias("a"), F.col("parent").alias("seq"))
         lower = below.agg(F.sum("n_leaves").alias("leaves"), F.sum("saved").alias("more"))
         added = paths.join(lower, ["a", "seq"]).groupBy(F.col("pos").alias("depth"), "conv").agg(F.sum("leaves").alias("leaves"), F.sum("more").alias("more"))
         zero = lambda c: F.coalesce(c, F.lit(0))
-        totals = totals.join(added.checkpoint(), ["depth", "conv"], "left").select("depth", "conv", "parent", (F.col("n_leaves") + zero("leaves")).alias("n_leaves"), (F.col("saved") + zero("more")).alias("saved")).checkpoint()
+        totals = totals.join(_stored(added), ["depth", "conv"], "left").select("depth", "conv", "parent", (F.col("n_leaves") + zero("leaves")).alias("n_leaves"), (F.col("saved") + zero("more")).alias("saved"))
+        totals = _stored(totals)
         if 2 * half in need:
             wide = need[2 * half]
             first = wide.join(named, ["a", "seq"]).join(paths.withColumnRenamed("seq", "rep"), ["a", "rep"])
             second = wide.withColumn("m", F.col("a") + half).join(paths.withColumnRenamed("a", "m"), ["m", "seq"])
-            paths = first.select("a", "seq", "pos", "conv").unionAll(second.select("a", "seq", "pos", "conv")).checkpoint()
+            paths = _stored(first.select("a", "seq", "pos", "conv").unionAll(second.select("a", "seq", "pos", "conv")))
     return totals
 
 
@@ -197,8 +208,7 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``,
     ``saved_tokens``, ``ends_sha256``."""
     spark = turns.sparkSession
-    checkpoint_dir(spark)
-    turns = turns.checkpoint()
+    turns = _stored(turns)
     size = convs.agg(F.min("conv").alias("least"), F.count("*").alias("n")).first()
     if not size.n:
         return spark.createDataFrame([], _OUT)
@@ -212,9 +222,9 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         span //= 2
         u, names, named = cut(u, span)
         cuts.append((span, names, named))
-    nodes = children(u).checkpoint()
-    below = nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.count("*").alias("n_children")).checkpoint()
-    nodes = nodes.join(below, ["depth", "conv"], "left").withColumn("n_children", F.coalesce("n_children", zero)).checkpoint()
+    nodes = _stored(children(u))
+    below = _stored(nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.count("*").alias("n_children")))
+    nodes = _stored(nodes.join(below, ["depth", "conv"], "left").withColumn("n_children", F.coalesce("n_children", zero)))
     single = nodes.select("depth", "conv", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("w")).alias("saved"))
     totals = graft(u, nodes, single, cuts).select("depth", "conv", "n_leaves", "saved")
 
@@ -239,12 +249,10 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
 def rebuilt_trie(conversations: DataFrame, **cols: str) -> DataFrame:
     """The trie of ``conversations`` after ``rebuilt``."""
-    checkpoint_dir(conversations.sparkSession)
-    return trie(*rebuilt(numbered(turn_keys(conversations, **cols)).checkpoint()))
+    return trie(*rebuilt(_stored(numbered(turn_keys(conversations, **cols)))))
 
 
 def conversation_trie(conversations: DataFrame, **cols: str) -> DataFrame:
     """The trie of ``conversations`` as they are."""
-    checkpoint_dir(conversations.sparkSession)
-    turns = numbered(turn_keys(conversations, **cols)).checkpoint()
+    turns = _stored(numbered(turn_keys(conversations, **cols)))
     return trie(turns, turns.select("conv").distinct())
