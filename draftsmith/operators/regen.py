@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftsmith.sources.commits import write_once
+
 # prompt turns (sample_id, turn, role, text) -> replies (REPLY_FIELDS)
 Answer = Callable[[DataFrame], DataFrame]
 
@@ -78,6 +80,12 @@ def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
     results.write.mode(mode).partitionBy("status").json(path)
 
 
+def write_results_once(results: DataFrame, path: str, job: str) -> bool:
+    """K4 for a batch job that may be run again: the rows of ``job`` are added once,
+    whatever happened to earlier tries (read them with ``read_committed``)."""
+    return write_once(results, path, job, "json", ("status",))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """``(status, n)``."""
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

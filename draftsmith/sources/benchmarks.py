@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from draftsmith.operators.evaluation import parse_exposition
+from draftsmith.sources.commits import write_once
 
 STAT = T.StructType([T.StructField(k, T.DoubleType()) for k in ("mean", "median", "sum")])
 METRIC = T.StructType([T.StructField("successful", STAT)])
@@ -151,12 +152,15 @@ def read_exposition(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return parse_exposition(lines, "value")
 
 
-def write_result_rows(rows: DataFrame, path: str, extra_cols: list[str] = ()) -> None:
+def write_result_rows(rows: DataFrame, path: str, extra_cols: list[str] = (), job: str | None = None) -> None:
     """K6: append rows with the fixed result columns (+ acceptance columns): a
     column that is absent is written empty, so later appends do not shift; others
-    are ignored."""
+    are ignored.  Rows of a named ``job`` are added once, however often it is run."""
     cols = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in dict.fromkeys([*BASE_CSV_COLUMNS, *extra_cols])]
-    rows.select(*cols).write.mode("append").option("header", True).csv(path)
+    if job is not None:
+        write_once(rows.select(*cols), path, job, "csv", header=True)
+    else:
+        rows.select(*cols).write.mode("append").option("header", True).csv(path)
 
 
 def write_budget(budgets: DataFrame, path: str) -> None:

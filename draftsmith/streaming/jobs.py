@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from draftsmith.session import checkpoint_dir
+from draftsmith.sources.commits import Runs
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -60,12 +61,13 @@ def read_if_written(spark: SparkSession, path: str, *columns: str) -> DataFrame
         raise
 
 
-def token_frequency_stream(rows: DataFrame, out: str, ckpt: str):
+def token_frequency_stream(rows: DataFrame, out: str, ckpt: str, fanout: int = 4):
     """Running trainable-token counts in ``update`` mode.
 
-    Each micro-batch writes the changed counts to ``out/batch=<id>`` (a
-    retried batch overwrites its own folder); :func:`read_latest_counts`
-    takes the newest count per token.
+    Each micro-batch adds a run with the counts that changed; runs are merged as
+    they become many (:class:`draftsmith.sources.commits.Runs`), so reading the
+    newest counts costs the vocabulary times ``fanout`` runs a level, not the
+    history.  A batch that is tried again replaces its own run.
     """
     counts = (
         rows.select(F.explode(F.arrays_zip("input_ids", "loss_mask")).alias("t"))
@@ -75,13 +77,13 @@ def token_frequency_stream(rows: DataFrame, out: str, ckpt: str):
     )
 
     def sink(bdf: DataFrame, batch_id: int) -> None:
-        bdf.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        Runs(bdf.sparkSession, out, ["token_id"], fanout).add(bdf, batch_id)
 
     return counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
 
 
 def read_latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).groupBy("token_id").agg(F.max_by("freq", "batch").alias("freq"))
+    return Runs(spark, out, ["token_id"]).newest()
 
 
 def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
