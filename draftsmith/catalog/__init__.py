@@ -38,7 +38,7 @@ def load_all() -> dict[str, Entry]:
     # Imported for their registrations.
     from draftsmith.catalog import prep  # noqa: F401
 
-    for mod in ("vocab", "examples", "sampling", "quality", "evaluation", "training_logs", "regen", "streams", "files", "stores"):
+    for mod in ("vocab", "examples", "sampling", "quality", "evaluation", "training_logs", "regen", "streams", "files", "stores", "templates"):
         try:
             __import__(f"draftsmith.catalog.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -154,6 +154,7 @@ class HFTokenizer:
         self.tokenizer_json = tokenizer_json
         self.add_special_tokens = add_special_tokens
         self._tok = None
+        self._sizes = None
 
     @classmethod
     def from_file(cls, path: str, **kw) -> "HFTokenizer":
@@ -161,11 +162,30 @@ class HFTokenizer:
             return cls(f.read(), **kw)
 
     def __getstate__(self):
-        return {"tokenizer_json": self.tokenizer_json, "add_special_tokens": self.add_special_tokens, "_tok": None}
+        return {"tokenizer_json": self.tokenizer_json, "add_special_tokens": self.add_special_tokens, "_tok": None, "_sizes": None}
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def _load(self) -> None:
         if self._tok is None:
             from tokenizers import Tokenizer
 
             self._tok = Tokenizer.from_str(self.tokenizer_json)
+
+    def encode_bytes(self, text: str):
+        """Ids of one text and the number of its bytes that each token stands for.
+        In a byte-level vocabulary every byte of a token is written as one
+        character; added tokens stand for their own text."""
+        import numpy as np
+
+        self._load()
+        if self._sizes is None:
+            added = {t.content for t in self._tok.get_added_tokens_decoder().values()}
+            vocab = self._tok.get_vocab(with_added_tokens=True)
+            self._sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+            for token, i in vocab.items():
+                self._sizes[i] = len(token.encode()) if token in added else len(token)
+        ids = self._tok.encode(text, add_special_tokens=self.add_special_tokens).ids
+        return ids, self._sizes[ids] if ids else np.zeros(0, dtype=np.int64)
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        self._load()
         return [e.ids for e in self._tok.encode_batch(list(texts), add_special_tokens=self.add_special_tokens)]
