@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftsmith.functions.hashing import HASH_RANGE, seeded_key
-from draftsmith.session import broadcast_bounded
+from draftsmith.session import broadcast_bounded, checkpoint_dir
 
 SHARDS = 64
 LEVELS = 3
@@ -156,11 +156,13 @@ def pack_batches(
     The order is the seeded permutation of ``seed + epoch``.  ``drop_last``
     leaves out the last batch when fewer than ``replicas`` bins are left for it.
     An empty sample takes the room of one token, so a bin holds at most
-    ``max_len`` samples.  Reads ``lengths`` once for the histogram (when called).
+    ``max_len`` samples.  ``lengths`` is read once (when called): ids and lengths are
+    checkpointed, for the histogram and for the plan.
     """
     spark = lengths.sparkSession
+    checkpoint_dir(spark)
     base = clip_or_drop(lengths.select("sample_id", F.col("length").cast("bigint")), max_len, truncate_long)
-    base = base.withColumn("size", F.greatest(F.coalesce("length", F.lit(0)), F.lit(1)).cast("bigint"))
+    base = base.withColumn("size", F.greatest(F.coalesce("length", F.lit(0)), F.lit(1)).cast("bigint")).checkpoint()
     counts = {r["size"]: r["count"] for r in base.groupBy("size").count().collect()}  # at most max_len rows
     runs, bins = bin_runs(counts, max_len)
     plan = spark.sparkContext.broadcast(np.array(runs, dtype=np.int64).reshape(-1, 3).T)  # a few runs a length
