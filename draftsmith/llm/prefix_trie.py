@@ -33,6 +33,7 @@ table has no nodes; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -103,31 +104,52 @@ def _mixed(lane: int) -> Column:
 
 
 def cut(u: DataFrame, half: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round: problems ``u(a, root, p1, p2, seq, weight, pos, k1, k2, w)`` of
-    twice ``half`` turns below depth ``a`` to those of ``half`` turns; the names of
-    the cut prefixes ``(a, rep)`` and of all sequences that have one ``(a, seq, rep)``."""
+    """One round: sequences ``u(a, root, p1, p2, seq, weight, size, pos, k1, k2, w)`` of
+    ``half`` to twice ``half`` turns below depth ``a`` to those of at most ``half``;
+    the names of the cut prefixes ``(a, rep)`` and of all sequences ``(a, seq, rep)``."""
     upper = F.col("pos") <= F.col("a") + half
     sides = [F.bit_xor(F.when(upper, _mixed(i))).alias(f"x{i}") for i in (1, 2)]
-    s = u.groupBy("a", "root", "seq", "weight").agg(*sides, F.count(F.when(upper, 1)).alias("n")).where(F.col("n") == half)
+    s = u.groupBy("a", "root", "seq", "weight").agg(*sides)
     key = ["a", "root", "x1", "x2"]
     names = _stored(s.groupBy(*key).agg(F.min("seq").alias("rep"), F.sum("weight").alias("total")))
     named = _stored(s.join(names, key).select("a", "seq", "rep", "total", "x1", "x2"))
-    x = u.join(named, ["a", "seq"], "left").where(~upper | F.col("rep").isNull() | (F.col("rep") == F.col("seq")))
+    x = u.join(named, ["a", "seq"]).where(~upper | (F.col("rep") == F.col("seq")))
     first = lambda up, low: F.when(upper, up).otherwise(low)
     out = x.select(
         first(F.col("a"), F.col("a") + half).alias("a"),
         first(F.col("root"), F.col("rep")).alias("root"),
         *[first(F.col(f"p{i}"), F.col(f"p{i}").bitwiseXOR(F.col(f"x{i}"))).alias(f"p{i}") for i in (1, 2)],
         "seq",
-        first(F.coalesce("total", "weight"), F.col("weight")).alias("weight"),
+        first(F.col("total"), F.col("weight")).alias("weight"),
+        first(F.lit(half).cast("long"), F.col("size") - half).alias("size"),
         "pos",
         *_TURN,
     )
     return _stored(out), names.select("a", "rep"), named.select("a", "seq", "rep")
 
 
+def cut_all(u: DataFrame, span: int) -> tuple[DataFrame, list[tuple[int, DataFrame, DataFrame]]]:
+    """All rounds from ``span`` down: sequences of one turn, and each round's
+    ``(half, names, named)``.
+
+    A round takes the sequences that reach its cut.  Shorter ones wait, in the table
+    they are in, for the round that cuts them, so a long conversation among many
+    short ones costs the short ones nothing.
+    """
+    waiting: list[DataFrame] = []
+    cuts = []
+    while span > 1:
+        span //= 2
+        # of the round before, whose upper parts have twice ``span`` turns, and of all others
+        now = [u.where(F.col("size") >= span)] + [w.where((F.col("size") >= span) & (F.col("size") < 2 * span)) for w in waiting]
+        waiting.append(u)
+        u, names, named = cut(functools.reduce(DataFrame.unionAll, now), span)
+        cuts.append((span, names, named))
+    return u, cuts
+
+
 def children(u: DataFrame) -> DataFrame:
-    """Problems of span one to their nodes: ``(depth, conv, parent, q1, q2, k1, k2, n_convs, w)``."""
+    """Sequences of one turn to their nodes: ``(depth, conv, parent, q1, q2, k1, k2, w, n_convs)``."""
     n = u.groupBy("a", "root", *_TURN).agg(F.min("seq").alias("conv"), F.sum("weight").alias("n_convs"), *[F.first(F.col(f"p{i}").bitwiseXOR(_mixed(i))).alias(f"q{i}") for i in (1, 2)])
     return n.select((F.col("a") + 1).alias("depth"), "conv", F.col("root").alias("parent"), "q1", "q2", *_TURN, "n_convs")
 
@@ -144,27 +166,31 @@ def _needed(cuts: list[tuple[int, DataFrame, DataFrame]]) -> dict[int, DataFrame
     return need
 
 
-def graft(u: DataFrame, nodes: DataFrame, totals: DataFrame, cuts: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
-    """``totals(depth, conv, parent, n_leaves, saved)`` of single nodes to those of
-    their subtrees, from the narrowest cuts up."""
+def graft(u: DataFrame, nodes: DataFrame, single: DataFrame, cuts: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
+    """``single(depth, conv, parent, n_leaves, saved)`` of nodes alone to
+    ``(depth, conv, n_leaves, saved)`` of their subtrees, from the narrowest cuts up.
+
+    What a lower trie adds to the nodes above it is kept as rows of its own, so a
+    round touches the nodes below and above its cuts only.
+    """
     need = _needed(cuts)
-    paths = None
+    sums = [F.sum(c).alias(c) for c in ("n_leaves", "saved")]
+    parts, paths = [single], None
     for half, _, named in reversed(cuts):
         if paths is None:
             at = nodes.select((F.col("depth") - 1).alias("a"), F.col("parent").alias("root"), *_TURN, "conv")
-            paths = _stored(u.join(need[half], ["a", "seq"], "left_semi").join(at, ["a", "root", *_TURN]).select("a", "seq", "pos", "conv"))
-        below = totals.where((F.col("depth") - 1) % (2 * half) == half).groupBy((F.col("depth") - 1 - half).alias("a"), F.col("parent").alias("seq"))
-        lower = below.agg(F.sum("n_leaves").alias("leaves"), F.sum("saved").alias("more"))
-        added = paths.join(lower, ["a", "seq"]).groupBy(F.col("pos").alias("depth"), "conv").agg(F.sum("leaves").alias("leaves"), F.sum("more").alias("more"))
-        zero = lambda c: F.coalesce(c, F.lit(0))
-        totals = totals.join(_stored(added), ["depth", "conv"], "left").select("depth", "conv", "parent", (F.col("n_leaves") + zero("leaves")).alias("n_leaves"), (F.col("saved") + zero("more")).alias("saved"))
-        totals = _stored(totals)
+            paths = _stored(u.join(need[half], ["a", "seq"], "left_semi").join(at, ["a", "root", *_TURN]).select("a", "seq", "pos", "conv", F.col("root").alias("parent")))
+        below = [p.where((F.col("depth") - 1) % (2 * half) == half) for p in parts]
+        below = functools.reduce(DataFrame.unionAll, below).groupBy((F.col("depth") - 1 - half).alias("a"), F.col("parent").alias("seq")).agg(*sums)
+        # written first: paths of one sequence, or of many with one root, can then be split
+        added = paths.join(_stored(below), ["a", "seq"]).groupBy(F.col("pos").alias("depth"), "conv", "parent").agg(*sums)
+        parts.append(_stored(added))
         if 2 * half in need:
-            wide = need[2 * half]
+            wide, of = need[2 * half], ["a", "seq", "pos", "conv", "parent"]
             first = wide.join(named, ["a", "seq"]).join(paths.withColumnRenamed("seq", "rep"), ["a", "rep"])
             second = wide.withColumn("m", F.col("a") + half).join(paths.withColumnRenamed("a", "m"), ["m", "seq"])
-            paths = _stored(first.select("a", "seq", "pos", "conv").unionAll(second.select("a", "seq", "pos", "conv")))
-    return totals
+            paths = _stored(first.select(*of).unionAll(second.select(*of)))
+    return functools.reduce(DataFrame.unionAll, parts).groupBy("depth", "conv").agg(*sums)
 
 
 def ends(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -208,7 +234,8 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``,
     ``saved_tokens``, ``ends_sha256``."""
     spark = turns.sparkSession
-    turns = _stored(turns)
+    sizes = turns.groupBy("conv").agg(F.max("pos").alias("size"))
+    turns = _stored(turns.join(sizes, "conv"))
     size = convs.agg(F.min("conv").alias("least"), F.count("*").alias("n")).first()
     if not size.n:
         return spark.createDataFrame([], _OUT)
@@ -216,17 +243,13 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
     span = 1 << max(0, longest - 1).bit_length()
 
     zero = F.lit(0).cast("long")
-    u = turns.select(zero.alias("a"), F.lit(size.least).cast("long").alias("root"), zero.alias("p1"), zero.alias("p2"), F.col("conv").alias("seq"), F.lit(1).cast("long").alias("weight"), "pos", *_TURN)
-    cuts: list[tuple[int, DataFrame, DataFrame]] = []
-    while span > 1:
-        span //= 2
-        u, names, named = cut(u, span)
-        cuts.append((span, names, named))
+    u = turns.select(zero.alias("a"), F.lit(size.least).cast("long").alias("root"), zero.alias("p1"), zero.alias("p2"), F.col("conv").alias("seq"), F.lit(1).cast("long").alias("weight"), "size", "pos", *_TURN)
+    u, cuts = cut_all(u, span)
     nodes = _stored(children(u))
     below = _stored(nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("conv")).agg(F.count("*").alias("n_children")))
     nodes = _stored(nodes.join(below, ["depth", "conv"], "left").withColumn("n_children", F.coalesce("n_children", zero)))
     single = nodes.select("depth", "conv", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("w")).alias("saved"))
-    totals = graft(u, nodes, single, cuts).select("depth", "conv", "n_leaves", "saved")
+    totals = _stored(graft(u, nodes, single, cuts))
 
     below_root = totals.where("depth = 1").agg(F.count("*").alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), zero), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved"), zero).alias("saved"))
     top = below_root.select(F.lit(size.least).cast("long").alias("conv"), zero.alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(size.n).cast("long").alias("n_convs"), "n_children", "n_leaves", "saved", zero.alias("q1"), zero.alias("q2"))
