@@ -331,16 +331,18 @@ grid AS (SELECT subset, CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 199 AS x F
 {_sql_interp('cb', 'base')},
 {_sql_interp('cs', 'target')}
 SELECT b.subset, b.i, round(b.x, 4) AS x, round(b.y_base, 4) AS y_base, round(t.y_target, 4) AS y_target,
-       round(b.y_base / greatest(t.y_target, 1e-12), 4) AS speedup
+       CASE WHEN t.y_target > 0.001 THEN round(b.y_base / t.y_target, 4) END AS speedup
 FROM i_base b JOIN i_target t USING (subset, i)""", G)
 def speedup_smoothed(spark, sf):
-    """Result files of two runs, each curve smoothed, then interpolated."""
+    """Result files of two runs, each curve smoothed, then interpolated (no
+    ratio is shown where a smoothed target falls to zero)."""
     path = scratch(spark, "speedup")
     rows = _sweep(_events(spark, sf), ("run", "subset", "event_type"))
     for run in ("base", "spec"):
         write_result_rows(rows.filter(F.col("run") == run), f"{path}/{run}.csv")
     r = speedup(spark, [f"B={path}/base.csv"], [f"T={path}/spec.csv"], "latency")
-    return r.select("subset", F.col("i").cast("int"), *[F.round(c, 4).alias(c) for c in ("x", "y_base", "y_target", "speedup")])
+    shown = F.when(F.col("y_target") > 0.001, F.round("speedup", 4)).alias("speedup")
+    return r.select("subset", F.col("i").cast("int"), *[F.round(c, 4).alias(c) for c in ("x", "y_base", "y_target")], shown)
 
 
 @register("curve_smoothing", f"""WITH {_SQL_EVENTS},
