@@ -19,7 +19,7 @@ _HASHES = 5
 
 
 def open_store(spark: SparkSession, table: str, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
-    """The store at ``path`` as the table ``table`` of ``buckets`` buckets by ``key``
+    """J2 + J4 + J5: the store at ``path`` as the table ``table`` of ``buckets`` buckets by ``key``
     (an empty one if there is none).  Stores that are joined must have the same
     number of buckets; a bucket of some 200 MB suits a task."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -40,7 +40,7 @@ def latest(ledger: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def due_requests(requests: DataFrame, ledger: DataFrame | None, now: float, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Requests to ask for at ``now``, with the number of the attempt as ``attempt``."""
+    """Requests to ask for at ``now``, with the number of the attempt as ``attempt``."""
     if ledger is None:
         return requests.withColumn("attempt", F.lit(1))
     last = latest(ledger, key)
@@ -79,7 +79,7 @@ def ask_until_done(
     sleep: Callable[[float], None] = time.sleep,
     max_rounds: int | None = None,
 ) -> DataFrame:
-    """Rounds of due requests → ``answer`` (due requests in, reply rows out) → ledger,
+    """Rounds of due requests → ``answer`` (due requests in, reply rows out) → ledger,
     until no request waits (or ``max_rounds``).  Between rounds the driver sleeps
     until the next request is due.  Returns the ledger."""
     spark = requests.sparkSession

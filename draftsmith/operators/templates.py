@@ -78,7 +78,7 @@ class TurnTemplate:
         return x.select("sample_id", "turn", "role", "text", before.alias("before"), self._case(lambda r: r.after).alias("after")).filter(F.col("before").isNotNull())
 
     def render(self, turns: DataFrame) -> DataFrame:
-        """``(sample_id, text, spans)``: the rendered text of each conversation and its
+        """P13 + P17: ``(sample_id, text, spans)``: the rendered text of each conversation and its
         trainable spans ``array<struct<span_start, span_end>>`` (in characters)."""
         p = self.pieces(turns)
         parts = F.array_sort(F.collect_list(F.struct("turn", "role", "before", "text", "after")))
@@ -209,7 +209,7 @@ def encoded(text: Column, tokenizer: HFTokenizer) -> Column:
 
 
 def prepare_by_model(turns: DataFrame, template: TurnTemplate, tokenizer: HFTokenizer, max_length: int = 8192) -> DataFrame:
-    """Turns to ``(sample_id, input_ids, loss_mask, seq_len, error)`` with a model
+    """P14 + P18 + P21: turns to ``(sample_id, input_ids, loss_mask, seq_len, error)`` with a model
     vocabulary: rendered, encoded, masked by the spans of the rules, cut to
     ``max_length``.  Rows with an error have no ids; drop and count them."""
     from draftsmith.operators.tokenize import overlap_mask
