@@ -2,16 +2,15 @@
 
 Plan shape for ``prepare_rows``::
 
-    scan(turns) → project(token count)                                 [narrow]
-      → token sums per (sample_id, bucket) → bucket starts              [small table]
     scan(turns) → project(prefix ids ++ text ids ++ suffix ids, mask)   [narrow]
-      → Exchange hashpartitioning(sample_id, bucket) ⋈ bucket starts
-      → Window(running token count in the bucket) → filter(start < max_length)
-      → Exchange hashpartitioning(sample_id) → collect_list of turn structs
-      → project(flatten + slice)
-
-The starts bound what each conversation collects to at most ``max_length``
-tokens plus one turn, whatever the size of the conversation.
+      → Exchange hashpartitioning(sample_id)
+      → Window(running token count) → filter(start < max_length)
+      → collect_list of turn structs → project(flatten + slice)
+
+Turns numbered 256 or more, which most tables lack, are cut before they join the
+exchange: token sums per (sample_id, bucket of turns), running sums over the small
+bucket table and inside each bucket.  A conversation collects at most twice
+``max_length`` tokens plus two turns, whatever its size.
 """
 
 from __future__ import annotations
@@ -87,66 +86,71 @@ def tokenize_turns(
     )
 
 
-def _assemble(bounded: DataFrame, max_length: int) -> DataFrame:
-    """Collect the (bounded) turns of each conversation in order, truncate, and
-    project ``seq_len`` (P22: only the row columns are kept)."""
-    failed = F.max("_failed_any") if "_failed_any" in bounded.columns else F.lit(False)
-    rows = bounded.groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "ids", "mask"))).alias("_parts"),
-        F.first("_total").alias("_total"),
-        F.first("_asst").alias("_asst"),
-        failed.alias("_failed"),
-    ).filter(~F.col("_failed"))
-    ids = F.slice(F.flatten(F.transform("_parts", lambda p: p["ids"])), 1, max_length)
-    mask = F.slice(F.flatten(F.transform("_parts", lambda p: p["mask"])), 1, max_length)
-    return rows.select(
-        "sample_id",
-        ids.alias("input_ids"),
-        mask.alias("loss_mask"),
-        F.least(F.col("_total"), F.lit(max_length)).cast("int").alias("seq_len"),
-        F.col("_total").cast("bigint").alias("n_tokens_full"),
-        (F.col("_total") > max_length).alias("truncated"),
-        (F.col("_asst") == 1).alias("has_assistant"),
-    )
+BUCKET_TURNS = 256
 
 
-BUCKET_TURNS = 256
+def _later_turns(x: DataFrame, max_length: int, bucket_turns: int) -> DataFrame:
+    """Of the turns after a conversation's first ``bucket_turns`` those that start
+    before ``max_length`` tokens (counted from the first of them), with the sums of
+    all of them.  Bucket sums give each bucket's start by a running sum over the
+    small bucket table, a running sum inside the bucket gives each turn's."""
+    b = x.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint")).repartition("sample_id", "_bucket")
+    sums = b.groupBy("sample_id", "_bucket").agg(F.sum("_n").alias("_bn"), F.max("_a").alias("_ba"), F.max("_e").alias("_be"))
+    whole = Window.partitionBy("sample_id")
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        F.col("sample_id").alias("_sid"), F.col("_bucket").alias("_sb"),
+        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_bstart"),
+        F.sum("_bn").over(whole).alias("_all_n"), F.max("_ba").over(whole).alias("_all_a"), F.max("_be").over(whole).alias("_all_e"),
+    )
+    kept = b.join(starts, F.col("sample_id").eqNullSafe(F.col("_sid")) & (F.col("_bucket") == F.col("_sb"))).filter(F.col("_bstart") < max_length)
+    inside = Window.partitionBy("sample_id", "_bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.filter(F.col("_bstart") < max_length).withColumn("_start", F.col("_bstart") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return kept.filter(F.col("_start") < max_length).drop("_bucket", "_sid", "_sb", "_bstart", "_start")
 
 
 def assemble_rows(turn_tokens: DataFrame, max_length: int = 8192, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
     """Concatenate turn tokens in turn order and truncate to ``max_length``.
 
-    One plan for conversations of any size: turns are dealt by conversation and
-    bucket of ``bucket_turns`` consecutive turn numbers.  Bucket token sums give
-    each bucket's start by a running sum over the small bucket table, a running
-    sum inside the bucket gives each turn's start, and only turns that start
-    before ``max_length`` meet in the task of their conversation, which so holds
-    ``max_length`` tokens and one turn, however long the conversation is.
+    The first ``bucket_turns`` turn numbers of a conversation are few whatever its
+    size, so they go to its task as they are: one scan, one exchange.  Later turns,
+    where there are any, are cut first (:func:`_later_turns`; their scans are pruned
+    by the turn number), so a conversation of any size collects no more than twice
+    ``max_length`` tokens and two turns.
 
     Output: ``sample_id, input_ids, loss_mask, seq_len, n_tokens_full,
-    truncated, has_assistant`` (P19 quality columns included).
+    truncated, has_assistant`` (P19, P22: only the row columns are kept).
     """
-    b = turn_tokens.withColumn("_bucket", F.floor(F.col("turn") / F.lit(bucket_turns)).cast("bigint"))
-    b = b.withColumn("_n", F.col("n_ids") if "n_ids" in turn_tokens.columns else F.size("ids"))
-    b = b.repartition("sample_id", "_bucket")
+    x = turn_tokens.withColumn("_n", F.col("n_ids") if "n_ids" in turn_tokens.columns else F.size("ids"))
     # a turn that failed to encode fails the conversation, wherever it is
-    err = F.col("_err").isNotNull() if "_err" in turn_tokens.columns else F.lit(False)
-    sums = b.groupBy("sample_id", "_bucket").agg(
-        F.sum("_n").alias("_bn"), F.max((F.col("role") == "assistant").cast("int")).alias("_ba"), F.max(err).alias("_be")
-    )
-    whole = Window.partitionBy("sample_id")
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        F.col("sample_id").alias("_sid"), F.col("_bucket").alias("_sb"),
-        F.coalesce(F.sum("_bn").over(earlier), F.lit(0)).alias("_bstart"),
-        F.sum("_bn").over(whole).alias("_total"),
-        F.max("_ba").over(whole).alias("_asst"),
-        F.max("_be").over(whole).alias("_failed_any"),
+    x = x.withColumn("_e", F.col("_err").isNotNull() if "_err" in turn_tokens.columns else F.lit(False))
+    x = x.select("sample_id", "turn", "ids", "mask", "_n", (F.col("role") == "assistant").cast("int").alias("_a"), "_e")
+    later = _later_turns(x.filter(F.col("turn") >= bucket_turns), max_length, bucket_turns)
+    first = x.filter(F.col("turn") < bucket_turns)
+    first = first.select("*", *[F.lit(None).cast(later.schema[c].dataType).alias(c) for c in ("_all_n", "_all_a", "_all_e")])
+    b = first.withColumn("_later", F.lit(False)).unionByName(later.withColumn("_later", F.lit(True))).repartition("sample_id")
+    part = Window.partitionBy("sample_id", "_later")
+    start = F.coalesce(F.sum("_n").over(part.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = {"_all_n": F.sum("_n"), "_all_a": F.max("_a"), "_all_e": F.max("_e")}
+    b = b.select("sample_id", "turn", "ids", "mask", "_later", start.alias("_start"), *[F.coalesce(c, v.over(part)).alias(c) for c, v in sums.items()])
+    side = lambda c, later: F.coalesce(F.max(F.when(F.col("_later") == later, F.col(c))), F.lit(0))
+    rows = b.filter(F.col("_start") < max_length).groupBy("sample_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "ids", "mask"))).alias("_parts"),
+        (side("_all_n", False) + side("_all_n", True)).alias("_total"),
+        F.max("_all_a").alias("_asst"),
+        F.max("_all_e").alias("_failed"),
+    ).filter(~F.col("_failed"))
+    ids = F.slice(F.flatten(F.transform("_parts", lambda p: p["ids"])), 1, max_length)
+    mask = F.slice(F.flatten(F.transform("_parts", lambda p: p["mask"])), 1, max_length)
+    return rows.select(
+        "sample_id",
+        ids.alias("input_ids"),
+        mask.alias("loss_mask"),
+        F.least(F.col("_total"), F.lit(max_length)).cast("int").alias("seq_len"),
+        F.col("_total").cast("bigint").alias("n_tokens_full"),
+        (F.col("_total") > max_length).alias("truncated"),
+        (F.col("_asst") == 1).alias("has_assistant"),
     )
-    kept = b.join(starts, F.col("sample_id").eqNullSafe(F.col("_sid")) & (F.col("_bucket") == F.col("_sb"))).filter(F.col("_bstart") < max_length)
-    inside = Window.partitionBy("sample_id", "_bucket").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_bstart") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    return _assemble(kept.withColumn("_start", start).filter(F.col("_start") < max_length), max_length)
 
 
 def valid_tokens(mask: Column) -> Column:
