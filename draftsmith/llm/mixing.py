@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from draftsmith.session import checkpoint_dir
 
-BROADCAST_SOURCES = 20_000
+BROADCAST_BYTES = 16 << 20  # measured size of the rates up to which they are broadcast; else both sides are exchanged
 PIECE_RATE = 700.0  # exp(-700) is still a normal double
 MAX_GROWTH = 500
 SEED = 17
@@ -103,8 +103,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     checkpoint_dir(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rates = source_rates(docs, source_col=source_col, weights=weights, power=power, total=total).select(F.col("source").alias("__ms_source"), F.col("pieces").alias("__ms_pieces"), F.col("cdf").alias("__ms_cdf")).checkpoint()
-    facts = rates.agg(F.count(F.lit(1)).alias("n"), F.max("__ms_pieces").alias("pieces")).first()
-    if facts["n"] <= BROADCAST_SOURCES:
+    size = F.sum(F.size("__ms_cdf") * 8 + F.coalesce(F.octet_length(F.col("__ms_source").cast("string")), F.lit(0)) + 64)
+    facts = rates.agg(size.alias("bytes"), F.max("__ms_pieces").alias("pieces")).first()
+    if (facts["bytes"] or 0) <= BROADCAST_BYTES:
         rates = F.broadcast(rates)
     did = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = _uniform(F.lit(str(seed)), did)

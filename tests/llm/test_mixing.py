@@ -55,7 +55,7 @@ def test_shuffle_join_gives_the_same_rows(spark, monkeypatch):
 
     docs = docs_frame(spark, [(i, "t", f"s{i % 7}") for i in range(300)])
     want = sorted((r.doc_id, r.copy) for r in mix_sources(docs).collect())
-    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
     assert sorted((r.doc_id, r.copy) for r in mix_sources(docs).collect()) == want
 
 
