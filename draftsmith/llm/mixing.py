@@ -13,8 +13,8 @@ is a random order of the whole result.
 On Spark: one aggregate for the row counts (map-side combine; a hot source is
 one row per task), a table of one distribution per source, and the one global
 shuffle that the method asks for.  The distributions are broadcast only up to
-``BROADCAST_SOURCES`` of them (counted), beyond that they are joined by a
-shuffle, with the same rows.  Rows with more than one piece are dealt out by
+``BROADCAST_BYTES`` (measured), beyond that they are joined by a shuffle, with the
+same rows.  Rows with more than one piece are dealt out by
 piece before their copies are made, so no task makes all copies of a row.  The
 number of copies is a pure function of seed, id and rate, so lost tasks come
 back the same.
