@@ -28,6 +28,7 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import uuid
@@ -67,18 +68,14 @@ class TwoTokenizers:
 
     def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_spec)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.fast = self._ranked(json.loads(a_spec))
+        self.a_spec = a_spec
+        spec = json.loads(a_spec)
+        self.fast = self._ranked(spec)
         byte = byte_chars()
-        self.a_bytes: dict[int, bytes] = {}
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            level = all(c in byte for c in token)
-            self.a_bytes[i] = bytes(byte[c] for c in token) if level else token.encode()
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.a_bytes = {i: bytes(byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in added and all(c in byte for c in t)}
+        self.a_bytes |= {i: t.encode() for t, i in added.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = []
@@ -101,6 +98,17 @@ class TwoTokenizers:
         self.digits = (ids // power % 10 + ord("0")).astype(np.uint8)
         self.is_digit = (ids >= power) | (power == 1)
 
+    @functools.cached_property
+    def a(self):
+        """A's own library."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.a_spec)
+        made.encode_special_tokens = True
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def a_encode(self, texts: list[str]) -> list[list[int]]:
         if self.fast is None:
             return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
