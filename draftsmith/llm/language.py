@@ -158,13 +158,16 @@ class LanguageModel:
         return np.where(n > 0, best, -1), np.where(n > 0, p[np.arange(len(texts)), best], 0.0)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], *, bits: int, dim: int = 16, epochs: int = 6, batch: int = 16, rate: float = 4.0, seed: int = 1) -> LanguageModel:
-    """Stochastic gradient descent over small batches, with a falling rate."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[str], *, bits: int, dim: int = 16, epochs: int = 6, batch: int = 16, rate: float = 4.0, seed: int = 1, least_steps: int = 1500) -> LanguageModel:
+    """Stochastic gradient descent over small batches, with a falling rate; few
+    documents are gone over more often, for ``least_steps`` batches."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     weights, bias = np.zeros((len(langs), dim), dtype=np.float32), np.zeros(len(langs), dtype=np.float32)
     share = [(n / n.sum()).astype(np.float32) for _, n in bags]
-    steps, done = epochs * -(-len(bags) // batch), 0
+    batches = -(-len(bags) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    steps, done = epochs * batches, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):

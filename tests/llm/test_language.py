@@ -122,7 +122,7 @@ def test_rejection_and_no_labels(spark):
 
 def test_calibration():
     rng = np.random.default_rng(0)
-    model = L.LanguageModel(["a", "b"], rng.normal(size=(4, 2)).astype(np.float32), np.eye(2), np.zeros(2), 2)
+    model = L.LanguageModel(["a", "b"], 5 * rng.normal(size=(4, 2)).astype(np.float32), np.eye(2), np.zeros(2), 2)
     bags = [(np.array([i % 4]), np.array([1.0])) for i in range(400)]
     right = np.array([int((model.table[i % 4]).argmax()) for i in range(400)])
     y = np.where(rng.random(400) < 0.3, 1 - right, right)
