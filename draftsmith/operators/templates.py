@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from draftsmith.functions.batches import runs
 from draftsmith.functions.text import HFTokenizer
 
 Turns = list[tuple[str, str]]  # (role, text)
@@ -186,25 +188,46 @@ def character_offsets(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return char[starts], char[np.maximum(ends, 1) - 1] + 1
 
 
+# Bytes of text whose tokens a Python worker holds at a time.
+PART_BYTES = 1 << 20
+
+
+def _encoded_part(texts: list[str | None], tokenizer: HFTokenizer) -> pa.Array:
+    """The tokens of some texts, as columns from the start: no object per token."""
+    ids, starts, ends, counts, errors = [], [], [], [], []
+    for t in texts:
+        try:
+            one, sizes = tokenizer.encode_bytes(t or "")
+            start, end = character_offsets(t or "", sizes)
+            one = np.asarray(one, dtype=np.int64)
+            error = None
+        except Exception as e:  # noqa: BLE001 - of this row alone
+            one = start = end = np.zeros(0, dtype=np.int64)
+            error = f"{type(e).__name__}: {e}"
+        for column, value in ((ids, one), (starts, start), (ends, end)):
+            column.append(value)
+        counts.append(len(one))
+        errors.append(error)
+    error = pa.array(errors, pa.string())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    token = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, starts, ends)], names=["token_id", "start", "end"])
+    tokens = pa.ListArray.from_arrays(offsets, token, mask=pc.is_valid(error))
+    return pa.StructArray.from_arrays([tokens, error], names=["tokens", "error"])
+
+
 def encoded(text: Column, tokenizer: HFTokenizer) -> Column:
     """P14 + X2: ``struct<tokens array<struct<token_id, start, end>>, error>`` of a
-    byte-level vocabulary, in Arrow batches; a text that cannot be encoded has an
-    error and null tokens (P21: its row is dropped and counted, the job goes on)."""
+    byte-level vocabulary; a text that cannot be encoded has an error and null tokens
+    (P21: its row is dropped and counted, the job goes on).  An Arrow batch is encoded
+    and sent on by runs of rows of ``PART_BYTES`` of text, so a worker's memory does
+    not depend on the number of rows in a batch."""
 
     @F.arrow_udf(_ENCODED)
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            try:
-                ids, sizes = tokenizer.encode_bytes(t or "")
-                start, end = character_offsets(t or "", sizes)
-                out.append({"tokens": [{"token_id": i, "start": s, "end": e} for i, s, e in zip(ids, start.tolist(), end.tolist())], "error": None})
-            except Exception as e:  # noqa: BLE001 - of this row alone
-                out.append({"tokens": None, "error": f"{type(e).__name__}: {e}"})
-        return pa.array(out, _arrow)
-
-    token = pa.struct([("token_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-    _arrow = pa.struct([("tokens", pa.list_(token)), ("error", pa.string())])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for first, n in runs(pc.fill_null(pc.binary_length(texts), 0), PART_BYTES):
+                yield _encoded_part(texts.slice(first, n).to_pylist(), tokenizer)
+
     return run(text)
 
 

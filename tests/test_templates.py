@@ -135,3 +135,32 @@ def test_the_query_against_the_vocabularys_own_library(spark):
         assert got[i].seq_len == min(len(e.ids), MAX_LEN) and not got[i].failed
         assert got[i].n_valid == sum(any(b > s and a < z for s, z in spans) for a, b in e.offsets[:MAX_LEN])
         assert got[i].digest == hashlib.md5(",".join(map(str, e.ids[:MAX_LEN])).encode()).hexdigest()
+
+
+def test_a_large_batch_is_encoded_in_bounded_memory(spark):
+    """4,000 texts of 500 words are one Arrow batch; a worker holds a part of their tokens."""
+
+    class Watched(HFTokenizer):
+        """Fails once its process has grown by 250 MB since the first text."""
+
+        def encode_bytes(self, text):
+            out = HFTokenizer.encode_bytes(self, text)
+            with open("/proc/self/statm") as f:
+                now = int(f.read().split()[1]) * 4096
+            self.first = getattr(self, "first", now)
+            if now - self.first > 250e6:
+                raise MemoryError(f"{(now - self.first) / 1e6:.0f} MB")
+            return out
+
+    df = spark.range(4000, numPartitions=1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 500)).alias("text"))
+    got = df.select("*", encoded(F.col("text"), Watched.from_file(VOCAB)).alias("e")).select("id", F.size("e.tokens").alias("n"), F.element_at("e.tokens", -1)["end"].alias("end"), F.length("text").alias("n_chars"), "e.error").collect()
+    assert len(got) == 4000 and {r.error for r in got} == {None}
+    assert all(r.n > 500 and r.end == r.n_chars for r in got)
+
+
+def test_runs_of_rows():
+    from draftsmith.functions.batches import runs
+
+    assert list(runs([], 5)) == []
+    assert list(runs([0, 0, 0], 5)) == [(0, 3)]
+    assert list(runs([2, 3, 1, 9, 0, 4, 2], 5)) == [(0, 2), (2, 1), (3, 1), (4, 2), (6, 1)]
