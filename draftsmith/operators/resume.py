@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftsmith.functions.batches import runs
 from draftsmith.operators.ranking import chunk_of, id_rank
 
 POLICIES = ("generate", "skip", "warn", "raise")
@@ -97,17 +98,28 @@ def artefact_index(paths: DataFrame, path_col: str = "path", prefix: str = "hs_"
     return paths.select(F.when(idx != "", idx.cast("bigint")).alias("sample_id")).filter(F.col("sample_id").isNotNull()).distinct()
 
 
-def artefact_generator(fn, schema: str = "sample_id bigint, token_ids array<bigint>, hidden_states array<array<float>>"):
+# Tokens whose states a generator makes at a time.
+PART_TOKENS = 1 << 16
+
+
+def artefact_generator(
+    fn,
+    schema: str = "sample_id bigint, token_ids array<bigint>, hidden_states array<array<float>>",
+    part_tokens: int = PART_TOKENS,
+):
     """Wrap a user callable ``fn(pandas.DataFrame(sample_id, input_ids)) ->
     pandas.DataFrame(schema)`` (e.g. a client of a serving endpoint) as a
     ``DataFrame -> DataFrame`` generator for :func:`draftsmith.plans.backfill.backfill`.
 
-    It runs per Arrow batch in ``mapInPandas``; keep ``fn`` pure per row so a
-    retried task produces the same artefacts (the write commits once).
+    It runs in ``mapInPandas`` on runs of rows of ``part_tokens`` tokens (a longer row
+    alone), because states are many times the size of the ids of an Arrow batch; keep
+    ``fn`` pure per row so a retried task produces the same artefacts (the write commits
+    once).
     """
 
     def run(batches):
         for pdf in batches:
-            yield fn(pdf)
+            for first, n in runs([0 if ids is None else len(ids) for ids in pdf["input_ids"]], part_tokens):
+                yield fn(pdf.iloc[first : first + n].reset_index(drop=True))
 
     return lambda rows: rows.select("sample_id", "input_ids").mapInPandas(run, schema)

@@ -128,6 +128,26 @@ def test_backfill_with_pandas_generator(spark, tmp_path):
     assert sorted(r.sample_id for r in out) == [0, 2, 3, 4, 5] and all(r.ok for r in out)
 
 
+def test_a_generator_gets_bounded_frames(spark):
+    """One Arrow batch of 3,000 rows; each call sees a run of rows of bounded tokens, all rows once."""
+    import pandas as pd
+
+    from draftsmith.operators.resume import PART_TOKENS, artefact_generator
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = sum(len(ids) for ids in pdf["input_ids"])
+        if n > 2 * PART_TOKENS or n > PART_TOKENS and len(pdf) > 1 or list(pdf.index) != list(range(len(pdf))):
+            raise ValueError(f"{n} tokens in {len(pdf)} rows")
+        return pd.DataFrame({"sample_id": pdf["sample_id"], "token_ids": pdf["input_ids"], "hidden_states": [[[float(t)] for t in ids] for ids in pdf["input_ids"]]})
+
+    size = F.when(F.col("id") == 1000, 2 * PART_TOKENS).when(F.col("id") % 7 == 0, 0).otherwise(100)
+    ids = F.when(size > 0, F.sequence(F.col("id"), F.col("id") + size - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = spark.range(3000, numPartitions=1).select(F.col("id").alias("sample_id"), ids.alias("input_ids"))
+    made = artefact_generator(states)(rows).select("sample_id", F.col("token_ids").alias("input_ids"), F.transform("hidden_states", lambda v: v[0].cast("bigint")).alias("states"))
+    assert made.count() == 3000 and made.filter(F.col("input_ids") != F.col("states")).count() == 0
+    assert made.select("sample_id", "input_ids").exceptAll(rows).count() == 0
+
+
 def test_build_training_batches(spark):
     from draftsmith.plans.examples import build_training_batches
 
