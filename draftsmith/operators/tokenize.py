@@ -16,12 +16,15 @@ bucket table and inside each bucket.  A conversation collects at most twice
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from draftsmith.functions.batches import runs
 from draftsmith.functions.text import CHATML, DEFAULT_VOCAB_SIZE, PIECE_PATTERN, TOKEN_PATTERN, ChatTemplate, token_ids
 
 
@@ -204,18 +207,18 @@ def piece_starts(pieces):
     return pa.ListArray.from_arrays(off, starts)
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
-def _token_table(pieces):
-    """Pieces → ``[(token, start, end)]`` of the non-space pieces, per Arrow
-    batch with vectorised compute: prefix sums of piece lengths re-based per
+# Pieces whose offsets a Python worker holds at a time.
+PART_PIECES = 1 << 18
+
+
+def _token_table_part(pieces: pa.Array) -> pa.Array:
+    """Pieces → ``[(token, start, end)]`` of the non-space pieces, with
+    vectorised compute: prefix sums of piece lengths re-based per
     row, space runs dropped (a piece is a space run iff its first character
     is a space — pieces tile the text), list offsets rebuilt from counts."""
     import numpy as np
-    import pyarrow as pa
     import pyarrow.compute as pc
 
-    if isinstance(pieces, pa.ChunkedArray):
-        pieces = pieces.combine_chunks()
     n = len(pieces)
     off = pc.subtract(pieces.offsets, pieces.offsets[0])
     flat = pc.list_flatten(pieces)
@@ -237,9 +240,22 @@ def _token_table(pieces):
     return pa.ListArray.from_arrays(new_off, values)
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def _token_table(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """:func:`_token_table_part` of an Arrow batch by runs of rows of ``PART_PIECES``
+    pieces, each sent on at once: a worker holds a batch of pieces, not its table."""
+    import pyarrow.compute as pc
+
+    for pieces in batches:
+        if isinstance(pieces, pa.ChunkedArray):
+            pieces = pieces.combine_chunks()
+        for first, n in runs(pc.fill_null(pc.list_value_length(pieces), 0), PART_PIECES):
+            yield _token_table_part(pieces.slice(first, n))
+
+
 def token_array(text: Column) -> Column:
     """P14 in row: ``array<struct<token, start, end>>`` of the non-space tokens
-    (pieces extracted in the JVM, offsets and filtering in one Arrow batch UDF)."""
+    (pieces extracted in the JVM, offsets and filtering in one Arrow UDF)."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE_PATTERN), 0)
     return _token_table(pieces)
 

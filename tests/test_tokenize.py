@@ -94,6 +94,29 @@ def test_piece_starts_match_python(spark):
         assert got[i] == exp, (i, got[i], exp)
 
 
+def test_a_large_batch_is_tabled_by_bounded_parts(spark):
+    """A batch of many pieces leaves as parts of bounded pieces that make the whole table."""
+    import pyarrow as pa
+
+    from draftsmith.operators.tokenize import PART_PIECES, _token_table
+
+    rows = [["é1", " ", "b", "!", "\n "] * (i % 5) for i in range(60_000)] + [["x", "  "] * PART_PIECES, [], ["yé", "\t", "z"]]
+    parts = [p.to_pylist() for p in _token_table.func(iter([pa.array(rows, pa.list_(pa.string()))]))]
+    assert len(parts) >= 4 and all(sum(map(len, p)) <= PART_PIECES or len(p) == 1 for p in parts)
+    got = [r for p in parts for r in p]
+    assert len(got) == len(rows)
+    for pieces, tokens in zip(rows, got):
+        exp, pos = [], 0
+        for x in pieces:
+            if x.strip():
+                exp.append((x, pos, pos + len(x)))
+            pos += len(x)
+        assert [(t["token"], t["start"], t["end"]) for t in tokens] == exp
+    df = spark.range(20_000, numPartitions=1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit(" a-b"), 20)).alias("text"))
+    per_row = token_offsets(df, "id", "text").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("pos"), F.max("end").alias("end"))
+    assert per_row.join(df, "id").filter((F.col("n") == 61) & (F.col("pos") == 60) & (F.col("end") == F.length("text"))).count() == 20_000
+
+
 def test_assembly_does_not_depend_on_buckets(spark):
     from draftsmith.operators.tokenize import assemble_rows, tokenize_turns
 
